@@ -27,6 +27,7 @@ FEATURE_BITS = 22
 SAMPLE = 20_000
 LABELLERS = ("capitals", "symbols", "one_word", "repeated_runs", "lexicon", "annotator")
 GOOD, BAD, NONE = 0, 1, 2
+MARKS = ".,;:!?\"'()[]|*#$%&"
 
 
 class _Features(dict):
@@ -53,18 +54,21 @@ def look(text: str | None, known: dict) -> tuple[list[int], np.ndarray]:
     letters = sum(map(str.isalpha, text))
     capitals = sum(map(str.isupper, text)) / max(1, letters)
     symbols = 1 - (sum(map(str.isalnum, text)) + sum(map(str.isspace, text))) / len(text)
-    lower = [w.lower().strip(".,;:!?\"'()[]|*#$%&") for w in words]
+    lower = [w.lower().strip(MARKS) for w in words]
     top = max(Counter(lower).values()) / n
     runs = list(zip(lower, lower[1:], lower[2:], strict=False))
     repeated = 1 - len(set(runs)) / len(runs) if runs else 0.0
     votes = [
         _level(capitals, 0.2, 0.5) if letters else NONE,
-        _level(symbols, 0.08, 0.14),
+        _level(symbols, 0.06, 0.1) if n >= 8 else NONE,
         _level(top, 0.15, 0.3) if n >= 20 else NONE,
         _level(repeated, 0.1, 0.4) if n >= 20 else NONE,
     ]
     distinct = {b for w in set(lower) if w for b in known[w]}
-    distinct.update(xxhash.xxh64_intdigest(f"\0{i}:{v}") >> (64 - FEATURE_BITS) for i, v in enumerate(votes))
+    levels = (capitals, symbols if n >= 8 else 0, top if n >= 20 else 0, repeated if n >= 20 else 0)
+    style = [f"\0{i}>{k}" for i, x in enumerate(levels) for k in range(1, min(16, int(32 * x) + 1))]
+    style += [f"\0end{w[len(w.rstrip(MARKS)):][:3]}" for w in set(words) if w[-1] in MARKS]
+    distinct.update(b for s in set(style) for b in known[s][:1])
     return votes, np.fromiter(sorted(distinct), np.int32, len(distinct))
 
 
@@ -107,9 +111,14 @@ def _voting(lexicon):
     return run
 
 
-def weak_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+def weak_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, trusted: tuple[int, ...] = (), trust: float = 0.99) -> tuple[np.ndarray, np.ndarray]:
     """Votes (patterns x labellers) with counts to the posterior of bad for each pattern, and
-    labeller tables P(vote | class) of shape (labellers, 2, 3)."""
+    labeller tables P(vote | class) of shape (labellers, 2, 3).
+
+    ``trusted`` labellers are held to at least the accuracy ``trust`` where they vote. Bad documents
+    are bad in different ways, and without an anchor the classes drift to the most common one."""
+    if not len(patterns):
+        return np.empty(0), np.full((patterns.shape[1], 2, 3), 1 / 3)
     bad = np.where((patterns == BAD).any(axis=1), 0.9, 0.05)
     tables = np.full((patterns.shape[1], 2, 3), 1 / 3)
     for _ in range(rounds):
@@ -118,6 +127,11 @@ def weak_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100
         for j in range(patterns.shape[1]):
             for y in (0, 1):
                 tally = np.bincount(patterns[:, j], weights=weight[y], minlength=3) + 0.5
+                if j in trusted:
+                    voted = tally[GOOD] + tally[BAD]
+                    tally[y] = max(tally[y], trust * voted)
+                    tally[1 - y] = voted - tally[y]
+                    tally[:2] = np.maximum(tally[:2], 1e-6)
                 tables[j, y] = tally / tally.sum()
         score = np.log(prior)[:, None] + sum(np.log(tables[j][:, patterns[:, j]]) for j in range(patterns.shape[1]))
         new = 1 / (1 + np.exp(np.clip(score[0] - score[1], -500, 500)))
@@ -127,9 +141,11 @@ def weak_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100
     return bad, tables
 
 
-def fit_linear(features: list[np.ndarray], bad: np.ndarray, rounds: int = 150, rate: float = 0.1, penalty: float = 3e-5, least: int = 5) -> tuple[np.ndarray, float]:
+def fit_linear(features: list[np.ndarray], bad: np.ndarray, rounds: int = 150, rate: float = 0.1, penalty: float = 3e-5, least: int = 4, times: float = 2.5) -> tuple[np.ndarray, float]:
     """Logistic regression on 0/1 buckets against soft labels, by full-batch Adam. Buckets in fewer
-    than ``least`` rows get no weight."""
+    than ``least`` bad rows, or not at ``times`` their rate in good ones, get no weight: else long
+    texts would seem good for the many words that happened to stand in good ones only, and short
+    ones bad for the want of them."""
     size = 1 << FEATURE_BITS
     lengths = np.array([len(f) for f in features], np.int64)
     weights, n = np.zeros(size, np.float32), len(features)
@@ -137,7 +153,10 @@ def fit_linear(features: list[np.ndarray], bad: np.ndarray, rounds: int = 150, r
         return weights, 0.0
     flat = np.concatenate(features)
     row = np.repeat(np.arange(n), lengths)
-    used = np.flatnonzero(np.bincount(flat, minlength=size) >= least)
+    in_bad = np.bincount(flat, weights=bad[row], minlength=size)
+    in_good = np.bincount(flat, weights=1 - bad[row], minlength=size)
+    rates = in_bad / max(1e-9, bad.sum()), (in_good + 1) / max(1.0, n - bad.sum())
+    used = np.flatnonzero((in_bad >= least) & (rates[0] > times * rates[1]))
     place = np.full(size, -1, np.int64)
     place[used] = np.arange(len(used))
     keep = place[flat] >= 0
@@ -196,7 +215,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     table = seen.collect()  # at most 3^6 rows
     codes = np.array([r[0] for r in table], np.int64)
     patterns = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
-    posterior, _ = weak_label_model(patterns, np.array([r[1] for r in table], float))
+    posterior, _ = weak_label_model(patterns, np.array([r[1] for r in table], float), trusted=(LABELLERS.index("annotator"),))
     of = dict(zip(codes.tolist(), posterior.tolist(), strict=True))
     soft = np.array([of[_pattern([*v, _lexicon_vote(f, flags), int(b)])] for v, f, b in zip(votes, features, bad, strict=True)])
     model = fit_linear(features, soft)

@@ -67,8 +67,8 @@ def _strength(default: float) -> Column:
     [0.5, 1000]. ``default`` where no member can tell."""
     spread = F.col("m") * (1 - F.col("m"))
     deviation = F.pow(F.col("b") / F.col("n") - F.col("m"), 2) - spread / F.col("n")
-    rho = F.sum(deviation) / F.sum(spread * (1 - 1 / F.col("n")))
-    return F.coalesce(F.least(F.lit(1000.0), F.greatest(F.lit(0.5), 1 / F.greatest(rho, F.lit(1e-9)) - 1)), F.lit(default)).alias("k")
+    rho = F.try_divide(F.sum(deviation), F.sum(spread * (1 - 1 / F.col("n"))))
+    return F.when(rho.isNull(), default).otherwise(F.least(F.lit(1000.0), F.greatest(F.lit(0.5), 1 / F.greatest(rho, F.lit(1e-9)) - 1))).alias("k")
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645, default: float = 2.0) -> DataFrame:
@@ -84,7 +84,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645, default: float = 2.0)
     # Hosts of one domain share its suffix, so each level sums the one below.
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    top = suffixes.agg(F.sum("b") / F.sum("n")).first()[0]
+    top = suffixes.agg(F.try_divide(F.sum("b"), F.sum("n"))).first()[0]
 
     def posterior(members: DataFrame) -> DataFrame:
         k = members.where("n > 0").agg(_strength(default)).first()[0]
