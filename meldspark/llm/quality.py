@@ -141,7 +141,7 @@ def weak_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100
     return bad, tables
 
 
-def fit_linear(features: list[np.ndarray], bad: np.ndarray, rounds: int = 150, rate: float = 0.1, penalty: float = 3e-5, least: int = 4, times: float = 2.5) -> tuple[np.ndarray, float]:
+def fit_linear(features: list[np.ndarray], bad: np.ndarray, rounds: int = 300, rate: float = 0.2, penalty: float = 1e-5, least: int = 4, times: float = 2.5) -> tuple[np.ndarray, float]:
     """Logistic regression on 0/1 buckets against soft labels, by full-batch Adam. Buckets in fewer
     than ``least`` bad rows, or not at ``times`` their rate in good ones, get no weight: else long
     texts would seem good for the many words that happened to stand in good ones only, and short
