@@ -84,11 +84,11 @@ def _covered(spans: list[list[int]]) -> int:
     return total
 
 
-def _scan(searchers: list, at: int, names: list[str]):
+def _scan(table, at: int, names: list[str]):
     """Columns ``at``: text, found item ids, found word spans; the others pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = searchers[0].value
+        search = table.value
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
@@ -129,24 +129,41 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     read. Documents are not shuffled. A benchmark beyond ``TABLE_BYTES`` is cut into several
     tables, searched one after the other in the same pass.
     """
-    spark: SparkSession = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("binary").alias("text"))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + size // TABLE_BYTES
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     rows = rows.withColumns({"items": F.lit(None).cast("array<long>"), "spans": F.lit(None).cast("array<array<long>>")})
     schema = "doc_id long, text binary, items array<long>, spans array<array<long>>, n_words long"
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # at most about TABLE_BYTES
-        table = spark.sparkContext.broadcast(Searcher(((r.item_id, bytes(r.text) if r.text is not None else None) for r in part), window))
-        rows = rows.mapInArrow(_scan([table], 1, ["doc_id", "text", "items", "spans", "n_words"]), schema)
+    for table in _tables(docs.sparkSession, benchmark, item_col, item_text_col, window):
+        rows = rows.mapInArrow(_scan(table, 1, ["doc_id", "text", "items", "spans", "n_words"]), schema)
     return rows.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<long>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def _tables(spark: SparkSession, benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> list:
+    """Broadcast searchers, each over about ``TABLE_BYTES`` of benchmark text at most."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("binary").alias("text"))
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = 1 + size // TABLE_BYTES
+    out = []
+    for k in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
+        out.append(spark.sparkContext.broadcast(Searcher(((r.item_id, bytes(r.text) if r.text is not None else None) for r in part), window)))
+    return out
+
+
+def _keep_clean(table, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = table.value
+        for b in batches:
+            texts = b.column(at).cast(pa.binary())
+            yield b.filter(pa.array([next(search.find(words_of(t.as_py())), None) is None for t in texts], pa.bool_()))
+
+    return run
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs; columns as they were.
 
-    Rows whose id is null are judged like others; of rows that share an id all go if one is hit.
+    Each row is judged by its own text, in place: documents are not shuffled. Null texts stay.
     """
-    hits = benchmark_hits(docs, benchmark, id_col, text_col, **settings).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, docs[id_col].eqNullSafe(F.col("__hit")), "left_anti")
+    for table in _tables(docs.sparkSession, benchmark, item_col, item_text_col, window):
+        docs = docs.mapInArrow(_keep_clean(table, docs.columns.index(text_col)), docs.schema)
+    return docs

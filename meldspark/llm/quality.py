@@ -185,16 +185,8 @@ def _scoring(model):
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """``(doc_id, score)``, a row for each row of ``docs``: the scorer's chance that it is good.
-
-    ``labels`` has doc_id, quality (1 good) and toxic (1 bad); a document is annotated bad if any
-    of its rows calls it toxic or of no quality; null marks say nothing. About ``sample`` annotated
-    documents, chosen by a hash of the id, are fitted on; votes are counted over all documents.
-    Null and wordless texts have no features and take the scorer's bias, with the vote of a text that
-    repeats one word. Without labels only the other labellers teach, on no sample, and every
-    score is the prior. Repeated rows are voted on and scored each. Other columns are not read.
-    """
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE):
+    """The scorer (weights, bias), broadcast: a table of fixed size."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = F.greatest(1 - F.col("quality"), F.col("toxic")).cast("int")
@@ -219,11 +211,35 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     of = dict(zip(codes.tolist(), posterior.tolist(), strict=True))
     soft = np.array([of[_pattern([*v, _lexicon_vote(f, flags), int(b)])] for v, f, b in zip(votes, features, bad, strict=True)])
     model = fit_linear(features, soft)
-    return texts.mapInArrow(_scoring(sc.broadcast(model)), "doc_id long, score double")
+    return sc.broadcast(model)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """``(doc_id, score)``, a row for each row of ``docs``: the scorer's chance that it is good.
+
+    ``labels`` has doc_id, quality (1 good) and toxic (1 bad); a document is annotated bad if any
+    of its rows calls it toxic or of no quality; null marks say nothing. About ``sample`` annotated
+    documents, chosen by a hash of the id, are fitted on; votes are counted over all documents.
+    Null and wordless texts have no features and take the scorer's bias. Without labels there is no
+    sample to fit on and every score is 0.5. Repeated rows are voted on and scored each. An empty
+    table gives an empty result. Other columns are not read.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(_scoring(fit_quality(docs, labels, id_col, text_col, sample)), "doc_id long, score double")
+
+
+def _keep_good(model, at: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, (weights, bias) = _Features(), model.value
+        for b in batches:
+            z = np.array([float(weights[look(t.as_py(), known)[1]].sum()) + bias for t in b.column(at)], float)
+            yield b.filter(pa.array(1 / (1 + np.exp(np.clip(z, -30, 30))) >= threshold))
+
+    return run
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **settings) -> DataFrame:
-    """The rows of ``docs`` that the scorer does not reject; columns as they were. Rows that share
-    an id are all kept or all rejected, by the lowest of their scores; rows with a null id stay."""
-    rejected = quality_scores(docs, labels, id_col, text_col, **settings).where(F.col("score") < threshold).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(rejected, docs[id_col] == F.col("__bad"), "left_anti")
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that the scorer does not reject; columns as they were. Each row is
+    judged by its own text, in place: documents are not shuffled."""
+    model = fit_quality(docs, labels, id_col, text_col, sample)
+    return docs.mapInArrow(_keep_good(model, docs.columns.index(text_col), threshold), docs.schema)

@@ -221,8 +221,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; of repeated rows one stays.
 
-    Rows with a null id are kept as they are.
+    Rows with a null id are kept as they are. The kept ids grow with the documents, so the join is
+    by shuffle at every size, and the rows of an id are then together already.
     """
     keep = simhash_components(docs, id_col, text_col, **settings).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == F.col("__keep"), "left_semi")
+    kept = docs.join(keep.hint("merge"), docs[id_col] == F.col("__keep"), "left_semi")
     return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
