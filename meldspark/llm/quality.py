@@ -27,16 +27,18 @@ FEATURE_BITS = 22
 SAMPLE = 20_000
 LABELLERS = ("capitals", "symbols", "one_word", "repeated_runs", "lexicon", "annotator")
 GOOD, BAD, NONE = 0, 1, 2
-MARKS = ".,;:!?\"'()[]|*#$%&"
+MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
+_MARKS, _SPACES = list(MARKS), [9, 10, 11, 12, 13, 32]
+_NO_MARKS = bytes(32 if c in MARKS else c for c in range(256))
 
 
 class _Features(dict):
     """Buckets of a word and of its beginnings, remembered for the words in use."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) > 150_000:
             self.clear()
-        keys = [word] + [f"{word[:k]}~{k}" for k in (4, 5) if len(word) > k]
+        keys = [word] + [b"%s~%d" % (word[:k], k) for k in (4, 5) if len(word) > k]
         self[word] = out = tuple(xxhash.xxh64_intdigest(k) >> (64 - FEATURE_BITS) for k in keys)
         return out
 
@@ -46,29 +48,33 @@ def _level(x: float, good: float, bad: float) -> int:
 
 
 def look(text: str | None, known: dict) -> tuple[list[int], np.ndarray]:
-    """Votes of the first four labellers, and the distinct feature buckets of the text."""
-    words = (text or "").split()
+    """Votes of the first four labellers, and the distinct feature buckets of the text. Characters
+    are counted by the class of their first byte; those beyond ASCII count as small letters."""
+    text = text or ""
+    raw = text.encode("utf-8", "surrogatepass")
+    words = text.lower().encode("utf-8", "surrogatepass").translate(_NO_MARKS).split()
     n = len(words)
-    if not n:
+    count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    if not count.sum() - count[_SPACES].sum():
         return [NONE, NONE, BAD, NONE], np.empty(0, np.int32)
-    letters = sum(map(str.isalpha, text))
-    capitals = sum(map(str.isupper, text)) / max(1, letters)
-    symbols = 1 - (sum(map(str.isalnum, text)) + sum(map(str.isspace, text))) / len(text)
-    lower = [w.lower().strip(MARKS) for w in words]
-    top = max(Counter(lower).values()) / n
-    runs = list(zip(lower, lower[1:], lower[2:], strict=False))
-    repeated = 1 - len(set(runs)) / len(runs) if runs else 0.0
+    upper = int(count[65:91].sum())
+    letters = upper + int(count[97:123].sum()) + int(count[192:].sum())
+    marks = count[_MARKS]
+    capitals, symbols = upper / max(1, letters), int(marks.sum()) / len(text)
+    top = max(Counter(words).values()) / n if n else 0.0
+    repeated = 1 - len(set(zip(words, words[1:], words[2:], strict=False))) / (n - 2) if n > 2 else 0.0
     votes = [
         _level(capitals, 0.2, 0.5) if letters else NONE,
         _level(symbols, 0.06, 0.1) if n >= 8 else NONE,
         _level(top, 0.15, 0.3) if n >= 20 else NONE,
         _level(repeated, 0.1, 0.4) if n >= 20 else NONE,
     ]
-    distinct = {b for w in set(lower) if w for b in known[w]}
+    distinct = {b for w in set(words) for b in known[w]}
     levels = (capitals, symbols if n >= 8 else 0, top if n >= 20 else 0, repeated if n >= 20 else 0)
-    style = [f"\0{i}>{k}" for i, x in enumerate(levels) for k in range(1, min(16, int(32 * x) + 1))]
-    style += [f"\0end{w[len(w.rstrip(MARKS)):][:3]}" for w in set(words) if w[-1] in MARKS]
-    distinct.update(b for s in set(style) for b in known[s][:1])
+    style = [b"\0%d>%d" % (i, k) for i, x in enumerate(levels) for k in range(1, min(16, int(32 * x) + 1))]
+    if n >= 20:
+        style += [b"\0mark%c" % MARKS[i] for i in np.flatnonzero(marks > 0.01 * len(text)).tolist()]
+    distinct.update(known[s][0] for s in style)
     return votes, np.fromiter(sorted(distinct), np.int32, len(distinct))
 
 
