@@ -1,3 +1,96 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+Not here: op1 (alignment), op3 (rounds of order sampling), op5 (XXH64), op7 and op10 (fitted
+models); tests hold those against brute force.
+"""
+
+from __future__ import annotations
+
+from ._common import LOWER, UPPER
+from .linededup import BLOCKS, SILENT
+from .urlfilter import RULES, SECOND_LEVEL
+
+
+def _lower(text: str) -> str:
+    return f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
+
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_HOST = _lower(r"regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1)")
+_PATH = r"coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
+
+_DECONTAMINATE = rf"""with d as (select row_number() over () as rid, doc_id, regexp_extract_all({_lower("text")}, '{_WORD}') as w from documents),
+b as (select item_id, w, least(10, len(w)) as m from (select item_id, regexp_extract_all({_lower("text")}, '{_WORD}') as w from benchmark where item_id is not null) where len(w) > 0),
+win as (select distinct item_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as k from b),
+grams as (select rid, m, list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')) as ks from d, (select distinct m from win) where len(w) >= m),
+runs as (select rid, m, unnest(ks) as k, generate_subscripts(ks, 1) as i from grams),
+hits as (select rid, i, m, item_id from runs join win using (m, k)),
+cover as (select rid, count(distinct p) as n from (select rid, i + unnest(range(m)) as p from (select distinct rid, i, m from hits)) group by 1),
+found as (select rid, count(*) as n, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct rid, item_id from hits) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(c.n, 0)::bigint as n_hit, coalesce(f.n, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, c.n is not null as contaminated
+from d left join cover c using (rid) left join found f using (rid)"""
+
+# CRC-32 by its table, a byte at a time.
+_SHARD = """with s as (select doc_id, encode(coalesce(text, '')) as t, list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c % 2 = 1 then xor(3988292384, c // 2) else c // 2 end)) as tbl from documents),
+h as (select doc_id, octet_length(t) + 1 as size, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(t), '..'), lambda x: ('0x' || x)::bigint)), lambda c, x: xor(c // 256, tbl[1 + xor(c, x) % 256]))) as crc from s),
+r as (select *, sum(size) over (order by doc_id nulls first, size, crc rows unbounded preceding) as upto, sum(size) over () as total, row_number() over (order by doc_id nulls first, size, crc) as n from h),
+g as (select *, least(15, floor(((2 * upto - size) * 16)::double / (2 * total)::double))::int as shard from r)
+select doc_id, size::bigint as size, crc::bigint as text_crc32, 'bytes' as law, shard, (n - min(n) over (partition by shard))::bigint as slot, null::int as grown_shard from g"""
+
+
+def _rules(pick) -> str:
+    whens = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{pick(v, h, p)}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
+    return f"case {whens} end"
+
+
+def _strength(members: str) -> str:
+    """Prior strength of a level, over its members that have outcomes."""
+    return f"""(select case when rho is null then 2.0::double else least(1000.0::double, greatest(0.5::double, 1 / greatest(rho, 1e-9::double) - 1)) end as k from
+(select sum(power(b / n - m, 2) - m * (1 - m) / n) / nullif(sum(m * (1 - m) * (1 - 1 / n)), 0) as rho from {members} where n > 0))"""
+
+
+_URLS = rf"""with p as (select page_id, {_HOST} as host, {_PATH} as path from pages),
+r as (select *, {_rules(lambda v, h, p: h + p)} as rule, {_rules(lambda v, h, p: v)} as ruling from p),
+h0 as (select host, count(ruling)::double as n, count(*) filter (ruling = 'block')::double as b, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') as bare from r group by host),
+h1 as (select *, regexp_extract(bare, '(?:^|\.)((?:{"|".join(SECOND_LEVEL)})\.[a-z]{{2}})$', 1) as two, str_split(bare, '.') as parts from h0),
+h2 as (select host, n, b, case when two <> '' then two else parts[-1] end as suffix, array_to_string(parts[greatest(1, len(parts) - case when two <> '' then 2 else 1 end):], '.') as domain from h1),
+d0 as (select domain, suffix, sum(n) as n, sum(b) as b from h2 group by all),
+s0 as (select suffix, sum(n) as n, sum(b) as b from d0 group by all),
+s1 as (select *, coalesce((select sum(b) / nullif(sum(n), 0) from s0), 0.5::double) as m from s0),
+s2 as (select suffix, (k * m + b) / (k + n) as m from s1, {_strength("s1")}),
+d1 as (select d0.*, m from d0 join s2 using (suffix)),
+d2 as (select domain, suffix, (k * m + b) / (k + n) as m from d1, {_strength("d1")}),
+h3 as (select h2.*, m from h2 join d2 using (domain, suffix)),
+h4 as (select host, k + n + 1 as strength, (k * m + b) / (k + n) as mean from h3, {_strength("h3")})
+select page_id, host, path, rule, coalesce(ruling, case when mean - 1.645::double * sqrt(mean * (1 - mean) / strength) > 0.5 then 'block' else 'allow' end) as verdict from r join h4 using (host)"""
+
+_NEAREST = """with v as (select vec_id::bigint as vec_id, embedding::double[] as v from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, x: a + x)) as score from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 100 = 0)
+select query_id, rank, vec_id, score from (select *, (row_number() over (partition by query_id order by score, vec_id))::int as rank from pairs) where rank <= 10"""
+
+_SPACE = r"[ \t\n\x0B\f\r]"
+_LINES = "coalesce(html, '')"
+for _pattern, _by in (
+    (rf"(?is)<!--.*?-->|<(?:{'|'.join(SILENT)})\b[^>]*>.*?</(?:{'|'.join(SILENT)}){_SPACE}*>", "' '"),
+    (rf"(?i)</?(?:{'|'.join(BLOCKS)})(?:(?:{_SPACE}|/)[^>]*)?>", "chr(10)"),
+    (r"<[a-zA-Z/!][^>]*>", "''"),
+    (r"[ \t\r\f]+", "' '"),
+):
+    _LINES = f"regexp_replace({_LINES}, '{_pattern}', {_by}, 'g')"
+
+_LINE_DEDUP = f"""with p as (select row_number() over () as rid, page_id, {_HOST} as host, list_filter(list_transform(str_split({_LINES}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') as lines from pages),
+n as (select host, count(*) as pages from p where host <> '' group by 1),
+seen as (select host, line, count(*) as c from (select host, unnest(list_distinct(lines)) as line from p where host <> '') group by all),
+stock as (select host, line from seen join n using (host) where c >= 3 and c > 0.3::double * pages),
+l as (select rid, host, unnest(lines) as line, generate_subscripts(lines, 1) as i from p),
+kept as (select rid, count(*) as c, string_agg(line, chr(10) order by i) as text from l anti join stock using (host, line) group by 1)
+select page_id, host, len(lines)::int as n_lines, (len(lines) - coalesce(c, 0))::int as n_dropped, coalesce(text, '') as text from p left join kept using (rid)"""
+
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": _DECONTAMINATE,
+    "op4_shard": _SHARD,
+    "op6_url_filter": _URLS,
+    "op8_nearest": _NEAREST,
+    "op9_line_dedup": _LINE_DEDUP,
+}
