@@ -85,14 +85,20 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(1), pa.array([v for v, _ in looks], pa.list_(pa.int32())), pa.array([f for _, f in looks], pa.list_(pa.int32()))], names=["bad", "votes", "features"])
 
 
+def _tally(features: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Weights of the rows that have each bucket, summed row by row: no table but the result is made."""
+    out = np.zeros(1 << FEATURE_BITS, weights.dtype)
+    for f, w in zip(features, weights, strict=True):
+        if w:
+            np.add.at(out, f, w)
+    return out
+
+
 def _lexicon(features: list[np.ndarray], bad: np.ndarray, least: int = 8, times: float = 8.0) -> np.ndarray:
     """Buckets that occur in at least ``least`` bad documents, at ``times`` their rate in good ones."""
-    size = 1 << FEATURE_BITS
-    flat = np.concatenate(features) if features else np.empty(0, np.int64)
-    of = np.repeat(bad, [len(f) for f in features])
-    b = np.bincount(flat[of == 1], minlength=size)
-    g = np.bincount(flat[of == 0], minlength=size)
-    return np.flatnonzero((b >= least) & (b / max(1, (bad == 1).sum()) > times * (g + 1) / max(1, (bad == 0).sum())))
+    b, g = _tally(features, (bad == 1).astype(np.int32)), _tally(features, (bad == 0).astype(np.int32))
+    some = np.flatnonzero(b >= least)
+    return some[b[some] / max(1, (bad == 1).sum()) > times * (g[some] + 1) / max(1, (bad == 0).sum())]
 
 
 def _lexicon_vote(features: np.ndarray, flags: np.ndarray) -> int:
@@ -153,20 +159,17 @@ def fit_linear(features: list[np.ndarray], bad: np.ndarray, rounds: int = 300, r
     texts would seem good for the many words that happened to stand in good ones only, and short
     ones bad for the want of them."""
     size = 1 << FEATURE_BITS
-    lengths = np.array([len(f) for f in features], np.int64)
     weights, n = np.zeros(size, np.float32), len(features)
-    if not n or not lengths.sum():
+    if not any(map(len, features)):
         return weights, 0.0
-    flat = np.concatenate(features)
-    row = np.repeat(np.arange(n), lengths)
-    in_bad = np.bincount(flat, weights=bad[row], minlength=size)
-    in_good = np.bincount(flat, weights=1 - bad[row], minlength=size)
-    rates = in_bad / max(1e-9, bad.sum()), (in_good + 1) / max(1.0, n - bad.sum())
-    used = np.flatnonzero((in_bad >= least) & (rates[0] > times * rates[1]))
-    place = np.full(size, -1, np.int64)
+    in_bad, in_good = _tally(features, bad), _tally(features, 1 - bad)
+    used = np.flatnonzero(in_bad >= least)
+    used = used[in_bad[used] / max(1e-9, bad.sum()) > times * (in_good[used] + 1) / max(1.0, n - bad.sum())]
+    del in_bad, in_good
+    place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
-    keep = place[flat] >= 0
-    row, flat = row[keep], place[flat[keep]]
+    kept = [p[p >= 0] for p in (place[f] for f in features)]
+    row, flat = np.repeat(np.arange(n), [len(p) for p in kept]), np.concatenate(kept)
     w, bias = np.zeros(len(used) + 1), np.log((bad.sum() + 1) / (n - bad.sum() + 1))
     w[-1] = bias
     m, v = np.zeros_like(w), np.zeros_like(w)
