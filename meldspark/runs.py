@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .engine import canonical
 from .operators.scratch import materialize
 from .plans.projection import parse_path, project
-from .sources import readers
+from .sources import readers, resumes
 
 ERRORS = "source string, stage string, error string"
 POLICIES = ("null", "omit", "error")
@@ -91,7 +91,7 @@ def read_sources(spark: SparkSession, refs: list[tuple[str, str | None]]) -> tup
         if not _exists(spark, location):
             known.append((location, "ingest", f"failed to read {kind} source {location!r}: not found"))
             continue
-        faults = json_errors(spark, location, kind) if kind in ("ats_json", "github", "linkedin") else None
+        faults = resumes.faults(spark, location) if kind == "resume" else json_errors(spark, location, kind) if kind in ("ats_json", "github", "linkedin") else None
         found = readers.READERS[kind](spark, location)
         if found.isEmpty() and (faults is None or faults.isEmpty()):
             found = readers._records(spark.range(1), kind, F.lit(location), {})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clean, find_emails, find_link, find_phones
 from ..functions.vocabulary import load, mentions
+from . import resumes
 
 ENTRY = "struct<company:string,title:string,start:string,end:string,summary:string>"
 SCHOOL = "struct<institution:string,degree:string,field:string,end_year:int>"
@@ -118,7 +119,15 @@ def read_notes(spark: SparkSession, path: str, vocabulary: dict[str, list[str]]
     return _records(df, "recruiter_notes", F.input_file_name(), methods, full_name=name, emails=_one(F.get(find_emails(t), F.lit(0))), phones=_one(F.get(find_phones(t), F.lit(0))), skills=mentions(t, vocabulary or load()))
 
 
-READERS = {"recruiter_csv": read_csv, "ats_json": read_ats, "github": read_github, "linkedin": read_linkedin, "recruiter_notes": read_notes}
+def read_resume(spark: SparkSession, path: str, vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
+    """One record a text, DOCX or PDF resume; unreadable files have none (see ``resumes.faults``)."""
+    df = resumes.parse(resumes.texts(spark, path).where("text is not null"), vocabulary)
+    col = F.col
+    fields = {k: col(k) for k in ("full_name", "headline", "skills", "experience", "education")}
+    return _records(df, "resume", col("source_id"), resumes.METHODS, emails=_one(col("email")), phones=_one(col("phone")), location=place_of(col("place")), links=_links(col("linkedin"), col("github")), **fields)
+
+
+READERS = {"recruiter_csv": read_csv, "ats_json": read_ats, "github": read_github, "linkedin": read_linkedin, "resume": read_resume, "recruiter_notes": read_notes}
 
 
 def route(location: str, hint: str | None = None) -> str:
@@ -128,7 +137,7 @@ def route(location: str, hint: str | None = None) -> str:
             raise ValueError(f"no reader for {hint}")
         return hint
     low = location.lower()
-    for kind, fits in (("recruiter_csv", low.endswith(".csv")), ("ats_json", low.endswith(".json")), ("linkedin", "linkedin.com" in low), ("github", "github.com" in low), ("recruiter_notes", low.endswith(".txt"))):
+    for kind, fits in (("recruiter_csv", low.endswith(".csv")), ("ats_json", low.endswith(".json")), ("linkedin", "linkedin.com" in low), ("github", "github.com" in low), ("resume", low.endswith((".pdf", ".docx"))), ("recruiter_notes", low.endswith(".txt"))):
         if fits:
             return kind
     raise ValueError(f"no reader for {location}")
