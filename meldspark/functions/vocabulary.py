@@ -6,10 +6,12 @@ import json
 import os
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from .scalar import clean, indel_ratio
+from .scalar import clean, indel_ratio, lcs
 
 #: Names used where no vocabulary file is given (the file holds {name: [aliases]}).
 DEFAULT = {
@@ -63,3 +65,30 @@ def mentions(text: Column, vocabulary: dict[str, list[str]]) -> Column:
     patterns = [rf"(?i)(?<![A-Za-z0-9+#.]){re.escape(f)}(?![A-Za-z0-9+#])" for f in every]
     found = F.array(*[F.struct(F.regexp_instr(text, F.lit(p)).alias("at"), F.regexp_extract(text, p, 0).alias("raw")) for p in patterns])
     return F.transform(F.array_sort(F.filter(found, lambda x: x["at"] > 0)), lambda x: x["raw"])
+
+
+def canonical_name(value: Column, vocabulary: dict[str, list[str]], listed: bool = False, threshold: float = 90.0, least: int = 4) -> Column:
+    """A term, or each of a list, by its canonical name; terms that match nothing stay as they are.
+    Same tiers as ``match_terms``, for a projected value that no join can reach."""
+    exact = {a.lower(): n for n, al in vocabulary.items() for a in al} | {n.lower(): n for n in vocabulary}
+    near: dict[str, str | None] = {}
+
+    def name(raw: str | None) -> str | None:
+        key = " ".join((raw or "").split()).lower()
+        if not key or key in exact:
+            return exact.get(key, raw)
+        if len(near) > 100_000:
+            near.clear()
+        if key not in near:
+            ratios = [(-200 * lcs(key, f) / (len(key) + len(f)), f) for f in exact if min(len(f), len(key)) >= least]
+            best = min(ratios, default=(0.0, ""))
+            near[key] = exact[best[1]] if -best[0] >= threshold else None
+        return near[key] or raw
+
+    def one(values: pd.Series) -> pd.Series:
+        return values.map(name, na_action="ignore")
+
+    def many(values: pd.Series) -> pd.Series:
+        return values.map(lambda terms: None if terms is None else [name(t) for t in terms])
+
+    return F.pandas_udf(many, ArrayType(StringType()))(value) if listed else F.pandas_udf(one, StringType())(value)

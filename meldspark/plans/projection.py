@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, NumericType, StringType, StructType
 
 from ..functions.scalar import normalize_phone
+from ..functions.vocabulary import canonical_name, load
 
 _SEGMENT = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)(?:\[(\d*)\])?")
 
@@ -89,19 +90,18 @@ NORMALIZERS = {
     "lowercase": F.lower,
     "uppercase": F.upper,
     "e164": lambda c: F.coalesce(normalize_phone(c)["value"], c),
-    "canonical": lambda c: c,
 }
 
 
-def normalized(value: Column, kind: DataType | None, name: str | None) -> Column:
-    f = NORMALIZERS.get((name or "").lower())
-    if f is None or kind is None:
+def normalized(value: Column, kind: DataType | None, name: str | None, vocabulary: dict[str, list[str]] | None = None) -> Column:
+    """Strings and lists of strings by the named normalizer; other values as they are."""
+    name, listed = (name or "").lower(), isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType)
+    if not listed and not isinstance(kind, StringType):
         return value
-    if isinstance(kind, StringType):
-        return f(value)
-    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType):
-        return F.transform(value, f)
-    return value
+    if name == "canonical":
+        return canonical_name(value, vocabulary or load(), listed)
+    f = NORMALIZERS.get(name)
+    return value if f is None else F.transform(value, f) if listed else f(value)
 
 
 def type_fits(kind: DataType | None, want: str | None) -> bool:
@@ -114,16 +114,50 @@ def type_fits(kind: DataType | None, want: str | None) -> bool:
     return want not in known or isinstance(kind, known[want])
 
 
-def project(df: DataFrame, config: dict, key: str = "candidate_id") -> tuple[DataFrame, DataFrame]:
+def _type_name(kind: DataType) -> str:
+    """What JSON values of the type are called in error texts (fixed values)."""
+    names = {"string": "str", "boolean": "bool", "array": "list", "struct": "dict", "map": "dict", "double": "float", "float": "float"}
+    return names.get(kind.typeName(), "int")
+
+
+def element_faults(kind: DataType, want: str | dict) -> list[tuple[str, str]]:
+    """Faults of any element of a type, as (suffix of the field's name, reason): scalars against a
+    type name, objects against a mapping of subfields, which may be nested. The type says it all,
+    so elements are not looked at one by one; only whether they are null, which scalars may be."""
+    if not isinstance(want, dict):
+        return [] if type_fits(kind, want) else [("", f"expected element type {want!r} but got {_type_name(kind)!r}")]
+    if not isinstance(kind, StructType):
+        return [("", f"expected an object but got {_type_name(kind)!r}")]
+    out = []
+    for sub, inner in want.items():
+        if sub not in kind.names:
+            out.append((f".{sub}", "required object subfield is missing"))
+        elif isinstance(inner, dict):
+            out += [(f".{sub}{s}", why) for s, why in element_faults(kind[sub].dataType, inner)]
+        elif not type_fits(kind[sub].dataType, inner):
+            out.append((f".{sub}", f"expected type {inner!r} but got {_type_name(kind[sub].dataType)!r}"))
+    return out
+
+
+def _element_errors(name: str, value: Column, kind: ArrayType, want: str | dict) -> Column:
+    """Array of error structs, one for each faulty element and subfield."""
+    error = lambda i, suffix, why: F.struct(F.lit("validate").alias("stage"), F.concat(F.lit(f"field '{name}["), i.cast("string"), F.lit(f"]{suffix}': {why}")).alias("error"))
+    faults = element_faults(kind.elementType, want)
+    null = [("", "expected an object but got 'NoneType'")] if isinstance(want, dict) else []
+    each = F.transform(value, lambda x, i: F.when(x.isNull(), F.array(*[error(i, *f) for f in null]) if null else None).otherwise(F.array(*[error(i, *f) for f in faults]) if faults else None))
+    return F.flatten(F.filter(each, lambda e: e.isNotNull()))
+
+
+def project(df: DataFrame, config: dict, key: str = "candidate_id", vocabulary: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Profiles ``(key, profile)`` with profile a JSON text of the configured fields in order, and
     errors ``(key, stage, error)``."""
-    fragments, errors = [], []
+    fragments, errors, element_errors = [], [], []
     everywhere = config.get("on_missing", "null")
     fields = {f.get("name") or f.get("path"): f for f in config["fields"]}
     for name, spec in fields.items():
         got = resolve_path(parse_path(spec.get("from") or spec.get("path") or name), df.schema)
         policy = spec.get("on_missing", everywhere)
-        value = normalized(got.value, got.kind, spec.get("normalize"))
+        value = normalized(got.value, got.kind, spec.get("normalize"), vocabulary)
         bad = got.error.isNotNull()
         errors.append(F.when(bad, F.struct(F.lit("project").alias("stage"), got.error.alias("error"))))
         shown = F.to_json(F.struct(value.alias(name)), {"ignoreNullFields": "false"})
@@ -147,10 +181,16 @@ def project(df: DataFrame, config: dict, key: str = "candidate_id") -> tuple[Dat
             errors.append(failed(~absent, f"expected type {spec['type']}"))
         elif spec.get("enum"):
             errors.append(failed(~absent & ~value.cast("string").isin([str(x) for x in spec["enum"]]), "value is not in the enum"))
+        want = spec.get("element_type")
+        if want and isinstance(got.kind, ArrayType) and type_fits(got.kind, spec.get("type")) and (isinstance(want, dict) or element_faults(got.kind.elementType, want)):
+            element_errors.append(F.when(~absent, _element_errors(name, value, got.kind, want)))
     if config.get("include_provenance", True) and "provenance" in df.columns:
         fragments.append(F.concat(F.lit('"provenance":'), F.to_json("provenance", {"ignoreNullFields": "false"})))
     if config.get("include_confidence", True) and "overall_confidence" in df.columns:
         fragments.append(F.concat(F.lit('"overall_confidence":'), F.col("overall_confidence").cast("string")))
     profile = F.concat(F.lit("{"), F.array_join(F.filter(F.array(*fragments), lambda x: x.isNotNull()), ","), F.lit("}"))
-    found = df.select(F.col(key), F.explode(F.filter(F.array(*errors), lambda x: x.isNotNull())).alias("e")).select(key, "e.stage", "e.error")
+    every = F.filter(F.array(*errors), lambda x: x.isNotNull())
+    for more in element_errors:
+        every = F.concat(every, F.coalesce(more, F.array().cast("array<struct<stage:string,error:string>>")))
+    found = df.select(F.col(key), F.explode(every).alias("e")).select(key, "e.stage", "e.error")
     return df.select(F.col(key), profile.alias("profile")), found

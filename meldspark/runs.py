@@ -122,7 +122,7 @@ def run_multi(spark: SparkSession, refs: list[tuple[str, str | None]], configs:
     people, errors = build(spark, refs, vocabulary)
     out = []
     for config in configs:
-        profiles, found = project(people, config)
+        profiles, found = project(people, config, vocabulary=vocabulary)
         found = found.select(F.col("candidate_id").alias("source"), "stage", "error")
         out.append(RunResult(profiles, errors.unionByName(found)))
     return out

@@ -2,6 +2,7 @@
 
 import random
 import uuid
+import json
 from collections import Counter
 
 import duckdb
@@ -102,3 +103,16 @@ def test_paths_and_policies(spark):
     for bad in ("a..b", "a[", "a[].b[]", ""):
         with pytest.raises(ValueError):
             parse_path(bad)
+
+
+def test_canonical_names_and_elements(spark):
+    df = spark.createDataFrame([(1, ["py", "kubernets", "wizardry", None], "GOLANG", [("a", 1), None]), (2, None, None, [])], "id long, terms array<string>, term string, items array<struct<k:string,v:int>>")
+    fields = [{"name": "terms", "normalize": "canonical", "element_type": "number"}, {"name": "term", "normalize": "canonical"}, {"name": "items", "element_type": {"k": "string", "v": "string", "w": "number"}}, {"name": "rows", "from": "items", "element_type": {"k": "string"}}]
+    profiles, errors = project(df, {"fields": fields}, "id")
+    got = {r.id: json.loads(r.profile) for r in profiles.collect()}
+    assert got[1]["terms"] == ["Python", "Kubernetes", "wizardry", None] and got[1]["term"] == "Go" and got[2]["terms"] is None
+    assert sorted(r.error for r in errors.where("stage = 'validate'").collect()) == sorted(
+        [f"field 'terms[{i}]': expected element type 'number' but got 'str'" for i in range(3)]
+        + ["field 'items[0].v': expected type 'string' but got 'int'", "field 'items[0].w': required object subfield is missing"]
+        + [f"field '{n}[1]': expected an object but got 'NoneType'" for n in ("items", "rows")]
+    )
