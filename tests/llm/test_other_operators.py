@@ -90,6 +90,41 @@ def test_links_across_partition_borders(spark):
     assert links.where("b <> a + 1 or ap <> bp").count() == 0
 
 
+def test_texts_that_repeat_inside(spark):
+    rnd = random.Random(7)
+    block, line = random_words(rnd, 48), random_words(rnd, 20)
+    own = [random_words(rnd, 30) for _ in range(4)]
+    twice = block * 3 + block[:24]  # equal texts of 168 words
+    docs = {1: twice, 2: random_words(rnd, 80), 3: twice, 5: own[0] + line * 4 + own[1], 6: own[2] + line * 4 + own[3]}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in passages.repeated_passages(df).collect()}
+    assert {i: r.class_id for i, r in got.items()} == {1: 1, 3: 1, 5: 5, 6: 5}
+    assert [(p.start, p.end, p.n_match) for p in got[1].passages] == [(0, 168, 168)]
+    assert (30, 110, 30, 110, 80) in {(p.start, p.end, p.partner_start, p.partner_end, p.n_match) for p in got[5].passages}
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_places_are_linked_in_turn(monkeypatch, size):
+    import pyarrow as pa
+
+    rnd = random.Random(size)
+    seeds = sorted({(rnd.randrange(4), rnd.randrange(5), rnd.randrange(30)) for _ in range(150)})
+    monkeypatch.setattr(passages, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda self: 0})())}))
+    doubled = [x for x in seeds for _ in range(2)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*doubled[i : i + size], strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["h", "d", "p"]) for i in range(0, len(doubled), size)]
+    got = Counter(tuple(r[c] for c in ("h", "a", "ap", "b", "bp")) for b in passages._neighbour_links(batches) for r in b.to_pylist() if r["kind"] == 0)
+    want = Counter()
+    for h in range(4):
+        lists = [(d, [p for x, y, p in seeds if (x, y) == (h, d)]) for d in range(5)]
+        lists = [x for x in lists if x[1]]
+        for d, places in lists:
+            want.update((h, d, p, d, q) for p, q in zip(places, places[1:], strict=False))
+        for (a, p), (b, q) in zip(lists, lists[1:], strict=False):
+            n = max(len(p), len(q))
+            want.update((h, a, p[min(i, len(p) - 1)], b, q[min(i, len(q) - 1)]) for i in range(n))
+    assert got == want
+
+
 # --- URL filter
 
 
