@@ -103,6 +103,17 @@ def test_texts_that_repeat_inside(spark):
     assert (30, 110, 30, 110, 80) in {(p.start, p.end, p.partner_start, p.partner_end, p.n_match) for p in got[5].passages}
 
 
+def test_chains_are_split_at_gaps(spark):
+    rnd = random.Random(8)
+    p, q, stock = random_words(rnd, 60), random_words(rnd, 60), random_words(rnd, 25)
+    own = [random_words(rnd, 100) for _ in range(4)]
+    docs = {1: p + own[0] + q, 2: p + own[1] + q, 11: q[::-1] + own[2][:50] + stock, 12: q[::-1] + own[3][:50] + stock}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = {r.doc_id: [(x.start, x.end, x.partner, x.partner_start, x.partner_end, x.n_match) for x in r.passages] for r in passages.repeated_passages(df).collect()}
+    assert got[1] == [(0, 60, 2, 0, 60, 60), (160, 220, 2, 160, 220, 60)]
+    assert got[11] == [(0, 60, 12, 0, 60, 60)]
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 1000])
 def test_places_are_linked_in_turn(monkeypatch, size):
     import pyarrow as pa
