@@ -103,6 +103,30 @@ def test_texts_that_repeat_inside(spark):
     assert (30, 110, 30, 110, 80) in {(p.start, p.end, p.partner_start, p.partner_end, p.n_match) for p in got[5].passages}
 
 
+def test_passages_held_apart_by_third_documents(spark):
+    rnd = random.Random(9)
+    shared, lines = random_words(rnd, 60), [random_words(rnd, 18) for _ in range(4)]
+    own = lambda n: random_words(rnd, n)
+    docs = {10: own(40) + shared + own(40), 11: own(40) + shared[:42] + own(40), 12: own(40) + shared + own(40)}
+    docs |= {i: own(30) + lines[i % 4] + own(30) for i in range(20, 400)}
+    for i in (25, 300):
+        docs[i] = own(30) + sum(lines, []) + own(30)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in passages.repeated_passages(df).collect()}
+    assert {i: r.class_id for i, r in got.items()} == {10: 10, 12: 10, 25: 25, 300: 25}
+    assert [(p.start, p.end, p.partner_start, p.partner_end) for p in got[10].passages] == [(40, 100, 40, 100)]
+    assert [(p.start, p.end, p.partner_start, p.partner_end) for p in got[25].passages] == [(30, 102, 30, 102)]
+
+
+def test_stretches_are_the_same_anywhere():
+    rnd = np.random.default_rng(0)
+    a, b = rnd.integers(0, 1 << 63, 300, np.uint64), rnd.integers(0, 1 << 63, 90, np.uint64)
+    b[20:80] = a[200:260]
+    h, g = passages.stretches(a, np.arange(300), 45), passages.stretches(b, np.arange(90), 45)
+    assert (h[200:216] == g[20:36]).all() and len(np.intersect1d(h[h > 0], g[g > 0])) == 16
+    assert (h[256:] == 0).all() and (h[:256] > 0).all() and len(np.unique(h)) == 257
+
+
 def test_chains_are_split_at_gaps(spark):
     rnd = random.Random(8)
     p, q, stock = random_words(rnd, 60), random_words(rnd, 60), random_words(rnd, 25)
