@@ -155,8 +155,8 @@ def test_places_are_linked_in_turn(monkeypatch, size):
         for d, places in lists:
             want.update((h, d, p, d, q) for p, q in zip(places, places[1:], strict=False))
         for (a, p), (b, q) in zip(lists, lists[1:], strict=False):
-            n = max(len(p), len(q))
-            want.update((h, a, p[min(i, len(p) - 1)], b, q[min(i, len(q) - 1)]) for i in range(n))
+            want.update((h, a, x, b, y) for x, y in zip(p, q, strict=False))
+            want.update([(h, a, p[-1], b, q[-1])] if len(p) != len(q) else [])
     assert got == want
 
 
