@@ -65,8 +65,26 @@ class _Queries:
         self.norm = (self.scale * np.sqrt((self.codes.astype(float) ** 2).sum(axis=1))) ** 2
 
 
-def _tile(q: _Queries, ids: np.ndarray, x: np.ndarray, keep: int, heaps: list[list[tuple[float, int]]]) -> None:
-    """Merge one tile into the heaps of (-distance, -id), ``keep`` entries a query."""
+def _put(heap: list[tuple[float, int]], k: int, entry: tuple[float, int]) -> None:
+    """Of one id only the ``k`` nearest rows can count, so 2 k entries hold k of other ids than any one."""
+    if len(heap) == 2 * k and entry <= heap[0]:
+        return
+    same = [e for e in heap if e[1] == entry[1]]
+    if len(same) == k:
+        if entry > min(same):
+            heap[heap.index(min(same))] = entry
+            heapq.heapify(heap)
+    elif len(heap) < 2 * k:
+        heapq.heappush(heap, entry)
+    else:
+        heapq.heapreplace(heap, entry)
+
+
+def _tile(q: _Queries, ids: np.ndarray, x: np.ndarray, k: int, heaps: list[list[tuple[float, int]]]) -> None:
+    """Merge one tile into the heaps of (-distance, -id)."""
+    # A query's own rows do not count, and no id has more rows here than ``most``.
+    most = int(np.unique(ids, return_counts=True)[1].max())
+    keep = k + most
     # Equal vectors: only the smallest ids can be among the nearest.
     order = np.argsort(ids, kind="stable")
     x, ids = x[order], ids[order]
@@ -88,16 +106,13 @@ def _tile(q: _Queries, ids: np.ndarray, x: np.ndarray, keep: int, heaps: list[li
         err = q.error[s, None] + error + slack
         upper = mid + err
         bound = np.partition(upper, keep - 1, axis=1)[:, keep - 1] if upper.shape[1] > keep else np.full(len(upper), np.inf)
-        held = np.array([-h[0][0] if len(h) == keep else np.inf for h in heaps[s]])
+        held = np.array([-h[0][0] if len(h) == 2 * k else np.inf for h in heaps[s]])
         row, col = np.nonzero(mid - err <= np.minimum(bound, held)[:, None])
         if not len(row):
             continue
         distance = exact_distance(q.x[lo + row], x[col])
         for r, d, i in zip((lo + row).tolist(), distance.tolist(), ids[col].tolist(), strict=True):
-            if len(heaps[r]) < keep:
-                heapq.heappush(heaps[r], (-d, -i))
-            elif (-d, -i) > heaps[r][0]:
-                heapq.heapreplace(heaps[r], (-d, -i))
+            _put(heaps[r], k, (-d, -i))
 
 
 def _search(queries, k: int):
@@ -109,7 +124,7 @@ def _search(queries, k: int):
                 part = b.slice(lo, TILE)
                 for ids, x in _clean(part.column(0), part.column(1)):
                     if len(ids) and x.shape[1] in sets:
-                        _tile(sets[x.shape[1]], ids, x, k + 1, heaps[x.shape[1]])  # one may be the query itself
+                        _tile(sets[x.shape[1]], ids, x, k, heaps[x.shape[1]])
         for dim, q in sets.items():
             out: list[tuple[int, int, float]] = []
             for owners, heap in zip(q.owners, heaps[dim], strict=True):

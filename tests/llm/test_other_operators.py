@@ -227,6 +227,24 @@ def test_nearest_is_exact(spark, monkeypatch):
     assert neighbours.nearest(df.limit(0), df.vec_id % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("tile", [16, 4096])
+def test_nearest_with_repeated_rows(spark, monkeypatch, tile):
+    monkeypatch.setattr(neighbours, "TILE", tile)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 4))
+    rows = [(i, x[i].tolist()) for i in range(60)]
+    rows += [(0, x[0].tolist())] * 14 + [(7, x[7].tolist())] * 12  # the query itself, and another row
+    rows += [(20, x[20].tolist())] * 11 + [(61, x[20].tolist())]  # two ids with one vector
+    rows += [(40, (x[40] + 1e-3 * j).tolist()) for j in range(1, 25)]  # one id with many vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    want = []
+    for q in (0, 20):
+        near = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(x[q], v, strict=True)))), i) for i, v in rows if i != q)
+        want += [(q, rank + 1, i) for rank, (_, i) in enumerate(near[:10])]
+    for parts in (df, df.repartition(3)):
+        assert sorted(tuple(r)[:3] for r in neighbours.nearest(parts, df.vec_id.isin(0, 20)).collect()) == want
+
+
 # --- Lines
 
 
