@@ -66,7 +66,7 @@ def list_combine_query(spark: SparkSession, d: str) -> DataFrame:
 def identity_exact_query(spark: SparkSession, d: str) -> DataFrame:
     """Orders as records: the customer is an email key, and each 50 orders share a phone key with
     the order before; groups are connected components."""
-    o = _table(spark, d, "orders").where("o_orderkey % 3 = 0")
+    o = _table(spark, d, "orders")
     e = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
     keys = o.select(F.col("o_orderkey").alias("record_id"), F.array(e).alias("emails"), F.when(F.col("o_orderkey") % 50 < 6, F.array(F.concat(F.lit("p"), F.floor(F.col("o_orderkey") / 50).cast("string")))).otherwise(F.array().cast("array<string>")).alias("phones"), F.lit(None).cast("string").alias("name"))
     return resolve(keys).groupBy("group_id").agg(F.count("*").alias("n"))

@@ -116,3 +116,26 @@ def test_canonical_names_and_elements(spark):
         + ["field 'items[0].v': expected type 'string' but got 'int'", "field 'items[0].w': required object subfield is missing"]
         + [f"field '{n}[1]': expected an object but got 'NoneType'" for n in ("items", "rows")]
     )
+
+
+def test_identity_exact_takes_all_orders(spark, tmp_path):
+    from collections import Counter
+
+    from meldspark.queries import identity_exact_query
+
+    orders = [(k, 100 + k * 7 % 41) for k in range(1, 400, 3)] + [(k, 500 + k) for k in range(402, 700, 5)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    parent = {k: k for k, _ in orders}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for j, c in orders:
+        for k, e in orders:
+            if c == e or (j // 50 == k // 50 and j % 50 < 6 and k % 50 < 6):
+                a, b = sorted((find(j), find(k)))
+                parent[b] = a
+    want = Counter(find(k) for k, _ in orders)
+    assert {r.group_id: r.n for r in identity_exact_query(spark, str(tmp_path)).collect()} == want
