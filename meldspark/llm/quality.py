@@ -5,13 +5,15 @@ one word repeated, word runs repeated), a lexicon of features that set bad annot
 apart, and the annotators themselves where they looked. Votes of all documents are counted by
 pattern (at most 3^labellers rows). Expectation-maximisation over those counts estimates how often
 each labeller votes how on good and on bad documents, and so a posterior for every pattern. The
-posteriors of a bounded sample of annotated documents train a logistic scorer on hashed words and
-word beginnings, which then judges every document from its text alone.
+posteriors of a bounded sample of annotated and other documents train a logistic scorer on hashed
+words and word beginnings, which then judges every document from its text alone.
+
+Texts are taken apart once: votes and feature buckets are written, and voting of the lexicon,
+fitting and scoring read those.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,70 +21,138 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._common import materialize
 
 FEATURE_BITS = 22
-#: Annotated documents that the lexicon and the scorer are fitted on.
-SAMPLE = 20_000
-LABELLERS = ("capitals", "symbols", "one_word", "repeated_runs", "lexicon", "annotator")
+#: Annotated documents that the lexicon and the scorer are fitted on, and others for the scorer.
+SAMPLE, PLAIN = 20_000, 10_000
+#: Bounds of the annotators' accuracy: above the lower they anchor the classes, below the upper the
+#: other labellers can outvote them.
+ANNOTATOR = (0.9, 0.99)
+#: Documents whose chance of being good is below this are rejected.
+THRESHOLD = 0.3
+LABELLERS = ("capitals", "symbols", "one_word", "repeated_runs", "lexicon", "scorer", "annotator")
+_PLACES = {name: 3**i for i, name in enumerate(LABELLERS)}
 GOOD, BAD, NONE = 0, 1, 2
 MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _MARKS, _SPACES = list(MARKS), [9, 10, 11, 12, 13, 32]
 _NO_MARKS = bytes(32 if c in MARKS else c for c in range(256))
 
 
-class _Features(dict):
-    """Buckets of a word and of its beginnings, remembered for the words in use."""
+class _Words(dict):
+    """Numbers of the words in use; row i of ``buckets`` has the buckets of word i and of its beginnings."""
+
+    SIZE = 200_000
+
+    def __init__(self) -> None:
+        self.buckets = np.zeros((self.SIZE, 3), np.int32)
+        self.styles: dict[bytes, int] = {}
+
+    def __missing__(self, word: bytes) -> int:
+        i = len(self)
+        if i == len(self.buckets):  # one text with very many words
+            self.buckets = np.concatenate([self.buckets, np.zeros_like(self.buckets)])
+        self[word] = i
+        self.buckets[i] = _bucket(word)
+        for j, k in enumerate((4, 5), 1):
+            if len(word) > k:
+                self.buckets[i, j] = _bucket(b"%s~%d" % (word[:k], k))
+        return i
+
+    def style(self, mark: bytes) -> int:
+        if mark not in self.styles:
+            self.styles[mark] = _bucket(mark)
+        return self.styles[mark]
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 150_000:
-            self.clear()
-        keys = [word] + [b"%s~%d" % (word[:k], k) for k in (4, 5) if len(word) > k]
-        self[word] = out = tuple(xxhash.xxh64_intdigest(k) >> (64 - FEATURE_BITS) for k in keys)
-        return out
+
+def _bucket(key: bytes) -> int:
+    return xxhash.xxh64_intdigest(key) >> (64 - FEATURE_BITS)
 
 
 def _level(x: float, good: float, bad: float) -> int:
     return BAD if x > bad else GOOD if x < good else NONE
 
 
-def look(text: str | None, known: dict) -> tuple[list[int], np.ndarray]:
+def look(text: str | None, known: _Words) -> tuple[list[int], np.ndarray]:
     """Votes of the first four labellers, and the distinct feature buckets of the text. Characters
     are counted by the class of their first byte; those beyond ASCII count as small letters."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
-    words = text.lower().encode("utf-8", "surrogatepass").translate(_NO_MARKS).split()
-    n = len(words)
     count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     if not count.sum() - count[_SPACES].sum():
         return [NONE, NONE, BAD, NONE], np.empty(0, np.int32)
+    if len(known) > 150_000:
+        known.clear()
+    words = text.lower().encode("utf-8", "surrogatepass").translate(_NO_MARKS).split()
+    n = len(words)
+    at = np.fromiter(map(known.__getitem__, words), np.int64, n)
+    distinct, times = np.unique(at, return_counts=True)
     upper = int(count[65:91].sum())
     letters = upper + int(count[97:123].sum()) + int(count[192:].sum())
     marks = count[_MARKS]
     capitals, symbols = upper / max(1, letters), int(marks.sum()) / len(text)
-    top = max(Counter(words).values()) / n if n else 0.0
-    repeated = 1 - len(set(zip(words, words[1:], words[2:], strict=False))) / (n - 2) if n > 2 else 0.0
+    top = int(times.max()) / n if n else 0.0
+    repeated = 0.0
+    if n > 2:
+        place = np.searchsorted(distinct, at)
+        runs = np.unique((place[:-2] * len(distinct) + place[1:-1]) * len(distinct) + place[2:])
+        repeated = 1 - len(runs) / (n - 2)
     votes = [
         _level(capitals, 0.2, 0.5) if letters else NONE,
         _level(symbols, 0.06, 0.1) if n >= 8 else NONE,
         _level(top, 0.15, 0.3) if n >= 20 else NONE,
         _level(repeated, 0.1, 0.4) if n >= 20 else NONE,
     ]
-    distinct = {b for w in set(words) for b in known[w]}
     levels = (capitals, symbols if n >= 8 else 0, top if n >= 20 else 0, repeated if n >= 20 else 0)
-    style = [b"\0%d>%d" % (i, k) for i, x in enumerate(levels) for k in range(1, min(16, int(32 * x) + 1))]
+    style = [known.style(b"\0%d>%d" % (i, k)) for i, x in enumerate(levels) for k in range(1, min(16, int(32 * x) + 1))]
     if n >= 20:
-        style += [b"\0mark%c" % MARKS[i] for i in np.flatnonzero(marks > 0.01 * len(text)).tolist()]
-    distinct.update(known[s][0] for s in style)
-    return votes, np.fromiter(sorted(distinct), np.int32, len(distinct))
+        style += [known.style(b"\0mark%c" % MARKS[i]) for i in np.flatnonzero(marks > 0.01 * len(text)).tolist()]
+    found = np.unique(np.concatenate([known.buckets[distinct].ravel(), np.array(style, np.int32)]))
+    return votes, found[found != 0].astype(np.int32)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Features()
-    for b in batches:
-        looks = [look(t.as_py(), known) for t in b.column(0)]
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array([v for v, _ in looks], pa.list_(pa.int32())), pa.array([f for _, f in looks], pa.list_(pa.int32()))], names=["bad", "votes", "features"])
+def pack(features: np.ndarray) -> bytes:
+    """Ascending buckets as 16-bit steps; 65535 is a step of that length that goes on."""
+    step = np.diff(features, prepend=0)
+    long = step // 65535
+    if long.any():
+        out = np.full(len(step) + int(long.sum()), 65535, np.uint16)
+        out[np.cumsum(long + 1) - 1] = step % 65535
+        return out.tobytes()
+    return step.astype(np.uint16).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    step = np.frombuffer(packed, np.uint16)
+    return np.cumsum(step, dtype=np.int32)[step != 65535]
+
+
+def _looking(at: int):
+    """Column ``at`` holds the text, or the row that has it as a field; that of rows passes through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for b in batches:
+            texts = b.column(1).field(at) if at >= 0 else b.column(1)
+            looks = [look(t.as_py(), known) for t in texts]
+            columns = [b.column(0), pa.array([_pattern(v) for v, _ in looks], pa.int32()), pa.array([pack(f) for _, f in looks], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns + [b.column(1)] * (at >= 0), names=["doc_id", "votes", "features", "row"][: 3 + (at >= 0)])
+
+    return run
+
+
+def looked(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """``(doc_id, votes, features)`` of each row, written once: texts are taken apart nowhere else.
+    With ``carry`` the row comes along."""
+    key = F.col(id_col).cast("long").alias("doc_id")
+    if not carry:
+        rows = docs.select(key, F.col(text_col).cast("string").alias("text"))
+        return materialize(rows.mapInArrow(_looking(-1), "doc_id long, votes int, features binary"), "looks")
+    rows = docs.select(key, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    schema = StructType().add("doc_id", "long").add("votes", "integer").add("features", "binary").add("row", docs.schema)
+    return materialize(rows.mapInArrow(_looking(docs.columns.index(text_col)), schema), "looks")
 
 
 def _tally(features: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
@@ -94,7 +164,7 @@ def _tally(features: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lexicon(features: list[np.ndarray], bad: np.ndarray, least: int = 8, times: float = 8.0) -> np.ndarray:
+def _lexicon(features: list[np.ndarray], bad: np.ndarray, least: int = 8, times: float = 20.0) -> np.ndarray:
     """Buckets that occur in at least ``least`` bad documents, at ``times`` their rate in good ones."""
     b, g = _tally(features, (bad == 1).astype(np.int32)), _tally(features, (bad == 0).astype(np.int32))
     some = np.flatnonzero(b >= least)
@@ -103,32 +173,41 @@ def _lexicon(features: list[np.ndarray], bad: np.ndarray, least: int = 8, times:
 
 def _lexicon_vote(features: np.ndarray, flags: np.ndarray) -> int:
     hits = int(flags[features].sum())
-    return BAD if hits >= 2 else GOOD if not hits else NONE
+    return BAD if hits >= 4 else GOOD if hits < 2 else NONE
 
 
 def _pattern(votes: list[int]) -> int:
     return sum(v * 3**i for i, v in enumerate(votes))
 
 
-def _voting(lexicon):
+def _scorer_vote(features: np.ndarray, model: tuple[np.ndarray, float] | None) -> int:
+    if model is None:
+        return NONE
+    z = float(model[0][features].sum()) + model[1]  # 1.4: a chance of 0.8
+    return BAD if z > 1.4 else GOOD if z < -1.4 else NONE
+
+
+def _later_votes(features: list[np.ndarray], flags: np.ndarray, model: tuple[np.ndarray, float] | None) -> np.ndarray:
+    """Places of the votes of lexicon and scorer in the pattern."""
+    return np.array([_lexicon_vote(f, flags) * _PLACES["lexicon"] + _scorer_vote(f, model) * _PLACES["scorer"] for f in features], np.int64)
+
+
+def _voting(voters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, flags = _Features(), lexicon.value
         for b in batches:
-            out = []
-            for t in b.column(1):
-                votes, features = look(t.as_py(), known)
-                out.append(_pattern([*votes, _lexicon_vote(features, flags)]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int32())], names=["doc_id", "pattern"])
+            codes = b.column(1).to_numpy() + _later_votes([unpack(f.as_py()) for f in b.column(2)], *voters.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.int32())], names=["doc_id", "pattern"])
 
     return run
 
 
-def weak_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, trusted: tuple[int, ...] = (), trust: float = 0.99) -> tuple[np.ndarray, np.ndarray]:
+def weak_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, held: dict[int, tuple[float, float]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Votes (patterns x labellers) with counts to the posterior of bad for each pattern, and
     labeller tables P(vote | class) of shape (labellers, 2, 3).
 
-    ``trusted`` labellers are held to at least the accuracy ``trust`` where they vote. Bad documents
-    are bad in different ways, and without an anchor the classes drift to the most common one."""
+    ``held`` keeps the accuracy of a labeller, where it votes, between two bounds. Bad documents
+    are bad in different ways: without a labeller held above some accuracy the classes drift to
+    the most common way, and one held below some accuracy can be outvoted by the others."""
     if not len(patterns):
         return np.empty(0), np.full((patterns.shape[1], 2, 3), 1 / 3)
     bad = np.where((patterns == BAD).any(axis=1), 0.9, 0.05)
@@ -137,13 +216,12 @@ def weak_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100
         weight = np.stack([counts * (1 - bad), counts * bad])
         prior = (weight.sum(axis=1) + 1) / (weight.sum() + 2)
         for j in range(patterns.shape[1]):
-            for y in (0, 1):
+            low, high = (held or {}).get(j, (0.0, 1.0))
+            for y in (GOOD, BAD):
                 tally = np.bincount(patterns[:, j], weights=weight[y], minlength=3) + 0.5
-                if j in trusted:
-                    voted = tally[GOOD] + tally[BAD]
-                    tally[y] = max(tally[y], trust * voted)
-                    tally[1 - y] = voted - tally[y]
-                    tally[:2] = np.maximum(tally[:2], 1e-6)
+                voted = tally[GOOD] + tally[BAD]
+                tally[y] = min(max(tally[y], low * voted), high * voted)
+                tally[1 - y] = max(voted - tally[y], 1e-6)
                 tables[j, y] = tally / tally.sum()
         score = np.log(prior)[:, None] + sum(np.log(tables[j][:, patterns[:, j]]) for j in range(patterns.shape[1]))
         new = 1 / (1 + np.exp(np.clip(score[0] - score[1], -500, 500)))
@@ -183,72 +261,100 @@ def fit_linear(features: list[np.ndarray], bad: np.ndarray, rounds: int = 300, r
     return weights, float(w[-1])
 
 
+def _goodness(features: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
+    weights, bias = model
+    z = np.array([float(weights[unpack(f.as_py())].sum()) + bias for f in features], float)
+    return 1 / (1 + np.exp(np.clip(z, -30, 30)))
+
+
 def _scoring(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (weights, bias) = _Features(), model.value
         for b in batches:
-            z = [float(weights[look(t.as_py(), known)[1]].sum()) + bias for t in b.column(1)]
-            good = 1 / (1 + np.exp(np.clip(np.array(z, float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(good)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_goodness(b.column(1), model.value))], names=["doc_id", "score"])
 
     return run
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE):
-    """The scorer (weights, bias), broadcast: a table of fixed size."""
-    sc = docs.sparkSession.sparkContext
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def gold_marks(labels: DataFrame) -> DataFrame:
+    """``(doc_id, bad)``: what the annotators say of each document they looked at."""
     marks = F.greatest(1 - F.col("quality"), F.col("toxic")).cast("int")
-    gold = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(marks).alias("bad")).where("bad is not null")
-    gold = materialize(gold, "gold")
-    share = min(1.0, sample / max(1, gold.count()))
-    chosen = gold.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    fitted = texts.join(chosen, "doc_id").select("text", "bad").mapInArrow(_sampled, "bad int, votes array<int>, features array<int>").toArrow()
-    bad = fitted.column(0).to_numpy()
-    votes = [v.as_py() for v in fitted.column(1)]
-    features = [f.values.to_numpy() for f in fitted.column(2)]
-    flags = np.zeros(1 << FEATURE_BITS, bool)
-    flags[_lexicon(features, bad)] = True
+    return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(marks).alias("bad")).where("bad is not null")
 
-    seen = texts.mapInArrow(_voting(sc.broadcast(flags)), "doc_id long, pattern int").join(gold, "doc_id", "left")
-    place = 3 ** (len(LABELLERS) - 1)
-    seen = seen.select((F.col("pattern") + F.coalesce("bad", F.lit(NONE)) * place).alias("pattern")).groupBy("pattern").count()
-    table = seen.collect()  # at most 3^6 rows
+
+def _sample(looks: DataFrame, gold: DataFrame, sample: int, plain: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Votes, annotations and features of about ``sample`` annotated and ``plain`` other rows."""
+    shares = [min(1.0, k / max(1, n)) for k, n in ((sample, gold.count()), (plain, looks.count()))]
+    draw = F.pmod(F.xxhash64("doc_id", "features", F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = looks.where("doc_id is not null").withColumn("draw", draw).where(F.col("draw") < max(shares))
+    drawn = drawn.join(gold, "doc_id", "left").where(F.col("draw") < F.when(F.col("bad").isNull(), shares[1]).otherwise(shares[0]))
+    table = drawn.orderBy("doc_id", "features").select("votes", F.coalesce("bad", F.lit(NONE)).alias("mark"), "features").toArrow()
+    return table.column(0).to_numpy().astype(np.int64), table.column(1).to_numpy().astype(np.int64), [unpack(f.as_py()) for f in table.column(2)]
+
+
+def _posteriors(looks: DataFrame, gold: DataFrame, flags: np.ndarray, model: tuple[np.ndarray, float] | None) -> dict[int, float]:
+    """The chance of bad for each pattern of votes that occurs, counted over all rows."""
+    seen = looks.mapInArrow(_voting(looks.sparkSession.sparkContext.broadcast((flags, model))), "doc_id long, pattern int").join(gold, "doc_id", "left")
+    seen = seen.select((F.col("pattern") + F.coalesce("bad", F.lit(NONE)) * _PLACES["annotator"]).alias("pattern")).groupBy("pattern").count()
+    table = seen.orderBy("pattern").collect()  # at most 3^labellers rows
     codes = np.array([r[0] for r in table], np.int64)
-    patterns = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
-    posterior, _ = weak_label_model(patterns, np.array([r[1] for r in table], float), trusted=(LABELLERS.index("annotator"),))
-    of = dict(zip(codes.tolist(), posterior.tolist(), strict=True))
-    soft = np.array([of[_pattern([*v, _lexicon_vote(f, flags), int(b)])] for v, f, b in zip(votes, features, bad, strict=True)])
-    model = fit_linear(features, soft)
-    return sc.broadcast(model)
+    posterior, _ = weak_label_model(codes[:, None] // list(_PLACES.values()) % 3, np.array([r[1] for r in table], float), held={LABELLERS.index("annotator"): ANNOTATOR})
+    return dict(zip(codes.tolist(), posterior.tolist(), strict=True))
+
+
+def fit_rounds(looks: DataFrame, labels: DataFrame, sample: int = SAMPLE, plain: int = PLAIN, rounds: int = 2) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, float]]]:
+    """Weak labels (posteriors of bad) of the sampled rows and the scorer fitted to them, round by
+    round. The lexicon comes from the annotated rows; from the second round on the scorer of the
+    round before is a labeller too, so that it is not taught that what only it knows is good."""
+    looks, gold = looks.select("doc_id", "votes", "features"), materialize(gold_marks(labels), "gold")
+    votes, marks, features = _sample(looks, gold, sample, plain)
+    known = np.flatnonzero(marks != NONE)
+    flags = np.zeros(1 << FEATURE_BITS, bool)
+    flags[_lexicon([features[i] for i in known], marks[known])] = True
+    model = None
+    for _ in range(rounds):
+        of = _posteriors(looks, gold, flags, model)
+        pattern = votes + _later_votes(features, flags, model) + marks * _PLACES["annotator"]
+        soft = np.array([of[p] for p in pattern.tolist()], float)
+        model = fit_linear(features, soft)
+        yield soft, model
+
+
+def fit_quality(looks: DataFrame, labels: DataFrame, sample: int = SAMPLE, plain: int = PLAIN):
+    """The scorer (weights, bias) of the last round, broadcast: a table of fixed size."""
+    model = None
+    for _, model in fit_rounds(looks, labels, sample, plain):
+        pass
+    return looks.sparkSession.sparkContext.broadcast(model)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, plain: int = PLAIN) -> DataFrame:
     """``(doc_id, score)``, a row for each row of ``docs``: the scorer's chance that it is good.
 
     ``labels`` has doc_id, quality (1 good) and toxic (1 bad); a document is annotated bad if any
     of its rows calls it toxic or of no quality; null marks say nothing. About ``sample`` annotated
-    documents, chosen by a hash of the id, are fitted on; votes are counted over all documents.
-    Null and wordless texts have no features and take the scorer's bias. Without labels there is no
-    sample to fit on and every score is 0.5. Repeated rows are voted on and scored each. An empty
-    table gives an empty result. Other columns are not read.
+    and ``plain`` other documents, chosen by a hash, are fitted on; votes are counted over all
+    documents. Null and wordless texts have no features and take the scorer's bias. Without labels
+    there is no lexicon, and the scorer learns from the other labellers alone. Repeated rows are
+    voted on and scored each. An empty table gives an empty result. Other columns are not read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_scoring(fit_quality(docs, labels, id_col, text_col, sample)), "doc_id long, score double")
+    looks = looked(docs, id_col, text_col)
+    return looks.select("doc_id", "features").mapInArrow(_scoring(fit_quality(looks, labels, sample, plain)), "doc_id long, score double")
 
 
-def _keep_good(model, at: int, threshold: float):
+def _keep_good(model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (weights, bias) = _Features(), model.value
         for b in batches:
-            z = np.array([float(weights[look(t.as_py(), known)[1]].sum()) + bias for t in b.column(at)], float)
-            yield b.filter(pa.array(1 / (1 + np.exp(np.clip(z, -30, 30))) >= threshold))
+            good = _goodness(b.column(0), model.value) >= threshold
+            yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(good))], names=["row"])
 
     return run
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that the scorer does not reject; columns as they were. Each row is
-    judged by its own text, in place: documents are not shuffled."""
-    model = fit_quality(docs, labels, id_col, text_col, sample)
-    return docs.mapInArrow(_keep_good(model, docs.columns.index(text_col), threshold), docs.schema)
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE, plain: int = PLAIN) -> DataFrame:
+    """The rows of ``docs`` that the scorer gives at least ``threshold``; columns as they were. Each
+    row is judged by its own text, written beside its features: documents are not shuffled. Cases
+    as for ``quality_scores``."""
+    looks = looked(docs, id_col, text_col, carry=True)
+    model = fit_quality(looks, labels, sample, plain)
+    kept = looks.select("features", "row").mapInArrow(_keep_good(model, threshold), StructType().add("row", docs.schema))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -12,7 +12,7 @@ from .mixing import mix_plan
 from .neighbours import nearest
 from .oracles import ORACLES
 from .passages import repeated_passages
-from .quality import quality_scores
+from .quality import THRESHOLD, quality_scores
 from .sharding import shards
 from .simhash import simhash_components
 from .urlfilter import url_verdicts
@@ -49,7 +49,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps."""
     scores = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return scores.where("score >= 0.5").withColumn("keep", F.lit(True))
+    return scores.where(F.col("score") >= THRESHOLD).withColumn("keep", F.lit(True))
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

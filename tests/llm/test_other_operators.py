@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meldspark.llm import linededup, lmscore, neighbours, passages, quality, urlfilter
 
@@ -335,11 +336,84 @@ def test_quality_on_held_out_labels(spark):
     train = labels.where("pmod(xxhash64(doc_id), 4) > 0")
     test = labels.where("pmod(xxhash64(doc_id), 4) = 0").join(quality.quality_scores(docs, train), "doc_id").toPandas()
     bad = (test.quality == 0) | (test.toxic == 1)
-    kept = test.score >= 0.5
+    kept = test.score >= quality.THRESHOLD
     assert (kept[~bad]).mean() > 0.97
     assert (~kept[test.toxic == 1]).mean() > 0.9  # fitted on under a thousand labels
 
 
+def plain_em(votes, held, rounds=100):
+    """Expectation-maximisation document by document, without patterns."""
+    bad = [0.9 if quality.BAD in v else 0.05 for v in votes]
+    for _ in range(rounds):
+        prior = [sum(1 - b for b in bad) + 1, sum(bad) + 1]
+        tables = []
+        for j in range(len(votes[0])):
+            rows = []
+            for y in (0, 1):
+                tally = [0.5 + sum((b if y else 1 - b) for v, b in zip(votes, bad, strict=True) if v[j] == x) for x in range(3)]
+                if j in held:
+                    voted = tally[0] + tally[1]
+                    tally[y] = min(max(tally[y], held[j][0] * voted), held[j][1] * voted)
+                    tally[1 - y] = voted - tally[y]
+                rows.append([t / sum(tally) for t in tally])
+            tables.append(rows)
+        new = []
+        for v in votes:
+            p = [prior[y] / sum(prior) * math.prod(tables[j][y][x] for j, x in enumerate(v)) for y in (0, 1)]
+            new.append(p[1] / sum(p))
+        done = max(abs(a - b) for a, b in zip(new, bad, strict=True)) < 1e-9
+        bad = new
+        if done:
+            break
+    return bad
+
+
+@pytest.fixture(scope="module")
+def looks(spark):
+    base = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{base}/labels.parquet").where("doc_id is not null")
+    return quality.looked(spark.read.parquet(f"{base}/documents.parquet"), "doc_id", "text"), labels
+
+
+def test_training_labels_are_plain_em(looks):
+    table, labels = looks
+    soft, _ = next(quality.fit_rounds(table, labels))
+    marks = {r.doc_id: r.bad for r in quality.gold_marks(labels).collect()}
+    rows = sorted((r.doc_id, bytes(r.features), r.votes) for r in table.collect())
+    features = [quality.unpack(f) for _, f, _ in rows]
+    known = [i for i, r in enumerate(rows) if r[0] in marks]
+    flags = np.zeros(1 << quality.FEATURE_BITS, bool)
+    flags[quality._lexicon([features[i] for i in known], np.array([marks[rows[i][0]] for i in known]))] = True
+    votes = [[*(v // 3**i % 3 for i in range(4)), quality._lexicon_vote(f, flags), quality.NONE, marks.get(d, quality.NONE)] for (d, _, v), f in zip(rows, features, strict=True)]
+    want = plain_em(votes, {6: quality.ANNOTATOR})
+    assert len(soft) == len(rows) and len(known) < len(rows)  # annotated and other documents
+    assert np.abs(soft - np.array(want)).max() < 1e-6
+
+
+def test_each_labeller_counts(looks):
+    table, labels = looks
+    before = [soft for soft, _ in quality.fit_rounds(table, labels)]
+    turned = table.withColumn("votes", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.col("votes") - F.col("votes") % 3 + 1).otherwise(F.col("votes")))
+    after = [soft for soft, _ in quality.fit_rounds(turned, labels)]
+    for x, y in zip(before, after, strict=True):
+        assert (np.abs(x - y) > 1e-3).any()
+
+
+def test_features_pack():
+    rng = np.random.default_rng(2)
+    for some in ([], [5], [65535], [65536, 131070, 196605, 4_000_000], np.unique(rng.integers(0, 1 << 22, 500))):
+        some = np.array(some, np.int32)
+        assert quality.unpack(quality.pack(some)).tolist() == some.tolist()
+
+
+def test_look_on_long_and_odd_texts():
+    known = quality._Words()
+    assert quality.look("word " * 300_000, known)[0][2:] == [quality.BAD, quality.BAD]
+    votes, features = quality.look(" ".join(f"w{i}" for i in range(400_000)), known)
+    assert votes[2:] == [quality.GOOD, quality.GOOD] and len(features) > 300_000
+    assert quality.look("x" * 1_000_000, known)[1].size and quality.look("??!!", known)[0] == [quality.NONE] * 4
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "fine words here", "x"), (None, "no id", "x"), (3, "fine words here", "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(3, 1, 0), (3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
