@@ -61,12 +61,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: the documents annotated as good and not toxic. Background: all documents.
-
-    The annotations grow with the documents, so the join is by shuffle at every size."""
-    docs = _table(spark, sf_dir, "documents")
-    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct()
-    return cross_entropy_difference(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))
+    """Target: the documents annotated as good and not toxic. Background: all documents."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return cross_entropy_difference(_table(spark, sf_dir, "documents"), target_ids=good)
 
 
 QUERIES = {f.__name__: f for f in (op1_repeated_passages, op2_decontaminate, op3_mix, op4_shard, op5_simhash, op6_url_filter, op7_quality, op8_nearest, op9_line_dedup, op10_lm_score)}

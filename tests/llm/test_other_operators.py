@@ -276,41 +276,61 @@ def test_line_dedup_matches_brute_force(spark):
 # --- Language models
 
 
-def test_cross_entropy_difference(spark):
+def brute_losses(texts, corpora, mu=50):
+    """Losses of each text under the models of the corpora, on words themselves."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    words, pairs = [Counter() for _ in corpora], [Counter() for _ in corpora]
+    for w, p, corpus in zip(words, pairs, corpora, strict=True):
+        for t in map(split, corpus):
+            if t:
+                w.update(["", *t])
+                p.update(zip(["", *t], t, strict=False))
+    vocabulary = len({x for w in words for x in w if x})
+    out = []
+    for t in map(split, texts):
+        row = []
+        for w, p in zip(words, pairs, strict=True):
+            all_ = sum(w.values()) - w[""]
+            row.append(-sum(math.log((p[v, x] + mu * (w[x] + 1) / (all_ + vocabulary)) / (w[v] + mu)) for v, x in zip(["", *t], t, strict=False)) / len(t) if t else None)
+        out.append((len(t), *row))
+    return out
+
+
+@pytest.mark.parametrize("chunk_bytes", [200, 1 << 23])
+def test_cross_entropy_difference(spark, chunk_bytes):
     rnd = random.Random(6)
     good = [" ".join(rnd.choices(["alpha", "beta", "gamma", "Delta"], k=rnd.randint(1, 60))) for _ in range(30)]
     rest = [" ".join(rnd.choices(["one", "two", "alpha", "É"], k=rnd.randint(1, 60))) for _ in range(60)]
-    df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(good + rest)] + [(500, None, 1.0), (501, " ", 1.0), (None, "one", 1.0), (0, good[0], 1.0)], "doc_id long, text string, score double").repartition(5)
-    target = df.where("doc_id < 30")
-    bits = (12, 14)
-    got = lmscore.cross_entropy_difference(df, target, word_bits=bits[0], pair_bits=bits[1]).collect()
-
-    def counts(texts):
-        w, p = Counter(), Counter()
-        for t in texts:
-            a, b = lmscore.token_buckets(t.encode() if t else None, lmscore._Hashes(), *bits)
-            w.update(a.tolist())
-            p.update(b.tolist())
-        return w, p, sum(w.values())
-
-    models = [counts([*good, good[0]]), counts([r.text for r in df.collect()])]
-    by = {i: t for i, t, _ in df.collect()}
-    for r in got:
-        t = by[r.doc_id]
-        a, b = lmscore.token_buckets(t.encode() if t else None, lmscore._Hashes(), *bits)
-        assert r.n_tokens == len(b)
-        if not len(b):
-            assert r.score is None
-            continue
-        loss = []
-        for w, p, n in models:
-            single = [(w[x] + 1) / (n + (1 << bits[0])) for x in a.tolist()]
-            loss.append(-sum(math.log((p[y] + 50 * s) / (w[v] + 50)) for y, s, v in zip(b.tolist(), single[1:], a.tolist(), strict=False)) / len(b))
-        assert math.isclose(r.target_loss, loss[0], rel_tol=1e-5) and math.isclose(r.background_loss, loss[1], rel_tol=1e-5)
-        assert math.isclose(r.score, loss[0] - loss[1], rel_tol=1e-4, abs_tol=1e-5)
-    mean = lambda rows: sum(r.score for r in rows) / len(rows)
-    assert mean([r for r in got if r.doc_id is not None and r.doc_id < 30]) < 0 < mean([r for r in got if r.doc_id is not None and 30 <= r.doc_id < 500])
-    assert lmscore.cross_entropy_difference(df.limit(0), target.limit(0)).count() == 0
+    rows = [(i, t, 1.0) for i, t in enumerate(good + rest)]
+    rows += [(500, None, 1.0), (501, " ", 1.0), (None, "one", 1.0), (None, "one", 2.0), (0, good[0], 1.0), (0, "another text", 1.0), (600, "the " * 40_000, 1.0), (601, "x" * 500_000, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double").repartition(5)
+    ids = spark.createDataFrame([(i, 0) for i in range(30)] * 2 + [(None, 1), (9999, 1)], "doc_id long, chunk int")
+    in_target = [t for i, t, _ in rows if i is not None and i < 30]
+    every = [t for _, t, _ in rows]
+
+    def same(got, corpora):
+        want = [(-1 if i is None else i, *x) for (i, _, _), x in zip(rows, brute_losses([t for _, t, _ in rows], corpora), strict=True)]
+        for g, w in zip(sorted(got, key=str), sorted([(*w, None if w[2] is None else w[2] - w[3]) for w in want], key=str), strict=True):
+            assert g[:2] == w[:2] and all((x is None and y is None) or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(g[2:], w[2:], strict=True))
+
+    run = lambda *a, **k: [(r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.target_loss, r.background_loss, r.score) for r in lmscore.cross_entropy_difference(*a, chunk_bytes=chunk_bytes, **k).collect()]
+    got = run(df, target_ids=ids)
+    same(got, [in_target, every])
+    other = spark.createDataFrame([("alpha two new",), (None,)], "text string")
+    same(run(df, target=other, background=df.where("doc_id > 40")), [["alpha two new"], [t for i, t, _ in rows if (i or 0) > 40]])
+    same(run(df, target_ids=ids.limit(0)), [[], every])
+    mean = lambda rows: sum(r[4] for r in rows) / len(rows)
+    assert mean([r for r in got if 0 < r[0] < 30]) < 0 < mean([r for r in got if 30 <= r[0] < 500])
+    assert lmscore.cross_entropy_difference(df.limit(0), target_ids=ids).count() == 0
+
+
+def test_counts_and_hashes_pack():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 500):
+        counts = rng.choice([0, 1, 254, 255, 256, 1 << 40], n).astype(np.int64)
+        assert lmscore._wide(lmscore._narrow(counts), n).tolist() == counts.tolist()
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert lmscore._unpack(lmscore._pack(keys)).tolist() == keys.tolist()
 
 
 # --- Quality
