@@ -1,14 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every document of a source is to be taken target / size times on average. The whole part is
-allocated as certain copies. For the fraction, documents are ranked by the Pareto variable
-q = (u / (1 - u)) / (p / (1 - p)): random odds over inclusion odds, u a hash of the id. Those of
-lowest q are taken until the source's remaining words are reached, so the sample is of fixed
-size in words; the document that then fits the small remainder best closes it.
-
-Ranks are cut without sorting a source in one task: words are summed in fixed buckets of q, the
-running sums of buckets (at most ``RANKS`` per source) give the bucket in which the cut falls, and
-only the rows of that bucket are ordered.
+allocated as certain copies. For the fraction f, documents are ranked by the Pareto variable
+q = (u / (1 - u)) / (p / (1 - p)): random odds over inclusion odds, u a hash of the id, and
+p / (1 - p) = f / (1 - f) times the document's own odds. Those of lowest q are taken up to the last
+that the source's remaining words hold, so the sample is of fixed size in words; the one document
+that then fits the remainder best closes it.
+
+The cut is found without sorting a source in one task: a rank is a number of six digits, and from
+the first digit on, words are summed by digit (at most 1024 sums a source) among the rows that share
+the digits before. Only rows equal in all digits are ordered one by one.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-#: Buckets of q per source.
-RANKS = 1 << 16
+#: Ranks are cut digit by digit, of this many bits; three digits rank by q, two by a hash of the
+#: row's id, size and text, one by the row's number.
+DIGIT, DIGITS = 10, 6
 
 
 def word_count(text: Column) -> Column:
@@ -57,91 +59,103 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
+def by_length(size: Column) -> Column:
+    """Odds that grow with the root of the length: of two documents of a source, the one of four
+    times the words has twice the odds."""
+    return F.sqrt(F.greatest(size, F.lit(1)).cast("double"))
+
+
 def _small(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """A table with a row per source: written, counted, and broadcast if it has at most ``limit`` rows."""
     df = materialize(df, "mix")
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 42, odds: Column | None = None, closeness: float = 1e-3, most_rounds: int = 8, carry: bool = False) -> DataFrame:
+def _spread(x: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(x, 64 - bits)
+
+
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 42, odds: Column | None = None, carry: bool = False) -> DataFrame:
     """A row for each row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
 
     Sources are ordered by code point, nulls last as a source of their own, and given ``weights``
-    in turn. ``odds`` (positive) multiplies a row's inclusion odds, for unequal chances within a
-    source; the words taken do not depend on it. Empty texts have size 0 and only take words they
-    do not have. Ties of q fall to the smaller id (null last), then the smaller size; rows equal
-    in all three are taken or left together. Whole documents are taken, so a source may miss its
-    target by the size of a document where one makes up much of the source. An empty table gives an empty result. With ``carry``
-    the row of ``docs`` comes along as column ``row``.
+    in turn. ``odds`` (positive) multiplies a row's inclusion odds within its source, by default
+    ``by_length``; the words taken do not depend on it. Empty texts have size 0 and only take words
+    they do not have. Ranks equal in 30 bits fall by a hash of id, size and text; rows equal in all
+    of these are alike, and as many of them are taken as fit. Whole documents are taken, so a source
+    may miss its target by the size of a document where one makes up much of the source. An empty
+    table gives an empty result. With ``carry`` the row of ``docs`` comes along as column ``row``.
+    Texts are read once, and what the plan needs of them is written with the rows.
     """
+    size = word_count(F.col(text_col))
     read = [
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-        (odds if odds is not None else F.lit(1.0)).cast("double").alias("tilt"),
+        size.alias("size"),
+        F.xxhash64(F.col(text_col)).alias("hash"),
     ]
-    base = docs.select(*read, F.struct(*[docs[c] for c in docs.columns]).alias("row")) if carry else docs.select(*read)
-    slim = materialize(docs.select(*read), "mix-sizes")
-    base = base if carry else slim
-
-    totals = slim.groupBy("source").agg(F.sum("size").alias("total"))
-    plan = _targets(totals, weights, share, most).withColumnRenamed("source", "s")
+    if odds is not None:
+        read.append(odds.cast("double").alias("tilt"))
+    rows = docs.select(*read, *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []))
+    if odds is None:
+        rows = rows.withColumn("tilt", by_length(F.col("size")))
+    rows = materialize(rows.withColumn("number", F.monotonically_increasing_id()), "mix-rows")
+
+    totals = rows.groupBy("source").agg(F.sum("size").alias("total"), F.avg("tilt").alias("mean"))
+    plan = _targets(totals, weights, share, most).join(totals.select(F.col("source").alias("o"), "mean"), F.col("source").eqNullSafe(F.col("o"))).drop("o").withColumnRenamed("source", "s")
     plan = plan.withColumn("ratio", F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(0.0))
     plan = plan.withColumn("whole", F.floor("ratio")).withColumn("p", F.col("ratio") - F.col("whole"))
     # Words that remain to be sampled after the certain copies.
-    plan = _small(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("total")))
-
-    def ranked(rows: DataFrame) -> DataFrame:
-        rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("u", uniform(F.col("doc_id"), seed))
-        q = F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p")) * F.col("tilt"))
-        rows = rows.where("p <= 0").withColumns({"q": F.lit(float("inf")), "bucket": F.lit(RANKS)}).unionByName(
-            rows.where("p > 0").withColumn("q", q).withColumn("bucket", F.least(F.floor(F.col("q") / (1 + F.col("q")) * RANKS), F.lit(RANKS - 1)).cast("int"))
+    plan = _small(plan.withColumn("gap", F.col("target") - F.col("whole") * F.col("total")))
+
+    def ranked(df: DataFrame) -> DataFrame:
+        df = df.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("u", uniform(F.col("doc_id"), seed))
+        q = F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p")) * F.col("tilt") / F.col("mean"))
+        most_ = float(1 << 3 * DIGIT)
+        rank = F.when(F.col("p") > 0, F.least(F.floor(q / (1 + q) * most_), F.lit(most_ - 1)).cast("long"))
+        tie = _spread(F.xxhash64("doc_id", "size", "hash"), 2 * DIGIT)
+        number = _spread(F.xxhash64("number"), DIGIT)
+        code = F.shiftleft(rank, 3 * DIGIT) + F.shiftleft(tie, DIGIT) + number
+        return df.withColumn("code", code).drop("u")
+
+    drawn = materialize(ranked(rows).where("code is not null and size > 0").select("source", "size", "code", "number"), "mix-drawn")
+    state = plan.select(F.col("s"), "gap", F.lit(0).cast("long").alias("cut"))
+    same = F.col("source").eqNullSafe(F.col("s"))
+    for d in range(1, DIGITS + 1):
+        # Rows that share the digits found so far, and their next digit.
+        left = (DIGITS - d) * DIGIT
+        next_ = F.shiftright(F.col("code"), left)
+        open_ = drawn.join(state, same).where(F.shiftright(next_, DIGIT) == F.col("cut"))
+        sums = open_.groupBy("s", next_.alias("next")).agg(F.sum("size").alias("words"))
+        sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("s").orderBy("next").rowsBetween(Window.unboundedPreceding, 0))).withColumnRenamed("s", "t")
+        # The first digit whose words pass the gap; where all fit, the one after the last.
+        found = state.join(sums, F.col("s").eqNullSafe(F.col("t")), "left").groupBy("s").agg(
+            F.first("gap").alias("gap"),
+            F.coalesce(F.min(F.when(F.col("upto") > F.col("gap"), F.col("next"))), F.max("next") + 1, F.shiftleft(F.first("cut"), DIGIT)).alias("cut"),
+            F.coalesce(F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))), F.lit(0)).alias("before"),
         )
-        return rows.withColumn("key", F.struct("q", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), "size"))
-
-    drawn = materialize(ranked(slim).where("p > 0").select("source", "size", "bucket", "key"), "mix-drawn")
-    state = _small(plan.select("s", "target", F.col("rest").alias("gap")))
-    rounds = 0
-
-    def taken() -> Column:
-        """Taken in some round: not larger than what was then missing, and not ranked behind its last row."""
-        hit = F.lit(False)
-        for r in range(rounds):
-            hit = hit | ((F.col("size") <= F.col(f"gap{r}")) & F.coalesce(F.col("key") <= F.col(f"last{r}"), F.lit(False)))
-        return F.coalesce(hit, F.lit(False))
-
-    # A long document that no longer fits is passed over in the next round; the missing words soon
-    # are few, and one round is the rule where documents are small beside the target.
-    while rounds < most_rounds:
-        open_ = drawn.join(state, F.col("source").eqNullSafe(F.col("s"))).where(~taken() & (F.col("size") <= F.col("gap")))
-        counted = open_.groupBy("s", "bucket").agg(F.sum("size").alias("words"), F.max("key").alias("high"), F.first("gap").alias("gap"))
-        running = counted.withColumn("upto", F.sum("words").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
-        fits = F.col("upto") <= F.col("gap")
-        # The first bucket that passes the gap; those before it are taken whole.
-        cut = running.groupBy("s").agg(F.min(F.when(~fits, F.col("bucket"))).alias("cut"), F.max(F.when(fits, F.col("upto"))).alias("before"), F.max(F.when(fits, F.col("high"))).alias("high"))
-        cut = _small(cut.withColumnRenamed("s", "t"))
-        at_cut = open_.join(cut, F.col("s").eqNullSafe(F.col("t")) & (F.col("bucket") == F.col("cut")))
-        # Ties are peers in the frame, so they stand on the same side of the cut.
-        at_cut = at_cut.withColumn("upto", F.coalesce("before", F.lit(0)) + F.sum("size").over(Window.partitionBy("s").orderBy("key")))
-        edge = at_cut.groupBy("s").agg(F.max(F.when(fits, F.col("key"))).alias("last"), F.max(F.when(fits, F.col("upto"))).alias("got")).withColumnRenamed("s", "e")
-        state = state.join(cut, F.col("s").eqNullSafe(F.col("t")), "left").join(edge, F.col("s").eqNullSafe(F.col("e")), "left")
-        state = state.withColumn(f"gap{rounds}", F.col("gap")).withColumn(f"last{rounds}", F.coalesce("last", "high"))
-        state = _small(state.withColumn("gap", F.col("gap") - F.coalesce("got", "before", F.lit(0))).drop("t", "cut", "before", "high", "e", "last", "got"))
-        rounds += 1
-        if state.where((F.col("gap") > closeness * F.col("target")) & F.col(f"last{rounds - 1}").isNotNull()).isEmpty():
-            break
+        state = _small(found.select("s", (F.col("gap") - F.col("before")).alias("gap"), "cut"))
+    # Rows equal in all digits: one by one.
+    at_cut = drawn.join(state, same).where(F.col("code") == F.col("cut"))
+    at_cut = at_cut.withColumn("upto", F.sum("size").over(Window.partitionBy("s").orderBy("size", "number").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= F.col("gap"))
+    edge = at_cut.groupBy("s").agg(F.max("upto").alias("got"), F.max(F.struct("size", "number")).alias("last")).withColumnRenamed("s", "e")
+    state = state.join(edge, F.col("s").eqNullSafe(F.col("e")), "left").drop("e")
+    state = _small(state.withColumn("gap", F.col("gap") - F.coalesce("got", F.lit(0))).drop("got"))
+    taken = (F.col("code") < F.col("cut")) | ((F.col("code") == F.col("cut")) & F.coalesce(F.struct("size", "number") <= F.col("last"), F.lit(False)))
     # One more row, of those not taken: the one that brings the words nearest to the target.
-    fit = drawn.join(state, F.col("source").eqNullSafe(F.col("s"))).where(~taken() & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
-    fit = fit.groupBy("s").agg(F.min_by("key", F.struct(F.abs(F.col("gap") - F.col("size")), F.col("key"))).alias("fit")).withColumnRenamed("s", "f")
-    cut = _small(state.join(fit, F.col("s").eqNullSafe(F.col("f")), "left").drop("f", "target"))
+    miss = F.abs(F.col("gap") - F.col("size"))
+    fit = drawn.join(state, same).where(~taken & (miss < F.col("gap"))).groupBy("s").agg(F.min_by("number", F.struct(miss, F.col("code"), F.col("number"))).alias("fit"))
+    cut = state.join(fit.withColumnRenamed("s", "f"), F.col("s").eqNullSafe(F.col("f")), "left").drop("f")
+    cut = _small(cut.select(F.col("s").alias("c"), F.col("gap").alias("rest"), "cut", "last", "fit"))
 
-    rows = ranked(base).join(cut, F.col("source").eqNullSafe(F.col("s")), "left")
-    chosen = (F.col("p") > 0) & (taken() | F.coalesce(F.col("key") == F.col("fit"), F.lit(False)))
-    rows = rows.withColumn("copies", F.col("whole") + F.coalesce(chosen, F.lit(False)).cast("long"))
-    return rows.select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if carry else []))
+    out = ranked(rows).join(cut, F.col("source").eqNullSafe(F.col("c")), "left")
+    chosen = F.col("code").isNotNull() & (F.col("size") > 0) & (taken | (F.col("number") == F.col("fit")))
+    out = out.withColumn("copies", F.col("whole") + F.coalesce(chosen, F.lit(False)).cast("long"))
+    return out.select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if carry else []))
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as the plan takes it, columns as they were."""
     plan = mix_plan(docs, carry=True, **settings).where("copies > 0")
-    return plan.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    each = plan.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return each.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

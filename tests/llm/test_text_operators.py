@@ -244,6 +244,78 @@ def test_pareto_ranks_follow_odds(spark):
     assert abs(sum(n.values()) - 3000) <= 1 and 1.4 < n[0] / n[1] < 2.2
 
 
+def brute_mix(rows, weights=(5, 2, 1)):
+    """Words that a plain walk through all rows in order of rank takes of each source."""
+    import hashlib
+    import math
+
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    totals, taken = {}, {}
+    for _, t, s in rows:
+        totals[s] = totals.get(s, 0) + size(t)
+    targets = brute_targets(totals)
+    for s, total in totals.items():
+        own = [(i, size(t), t) for i, t, x in rows if x == s]
+        whole = int(targets[s] / total) if total else 0
+        p = targets[s] / total - whole if total else 0
+        taken[s] = whole * total
+        if p <= 0:
+            continue
+        mean = sum(math.sqrt(max(n, 1)) for _, n, _ in own) / len(own)
+        ranked = []
+        for i, n, t in own:
+            u = (int(hashlib.md5(f"42:{'' if i is None else i}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
+            q = u / (1 - u) / (p / (1 - p) * math.sqrt(max(n, 1)) / mean)
+            if n:
+                ranked.append((int(q / (1 + q) * (1 << 30)), n))
+        gap, rest = targets[s] - taken[s], []
+        ranked.sort()
+        for k, (_, n) in enumerate(ranked):
+            if n > gap:
+                rest = [n for _, n in ranked[k:]]
+                break
+            gap -= n
+        best = min(rest, key=lambda n: abs(gap - n), default=None)
+        if best is not None and abs(gap - best) < gap:
+            gap -= best
+        taken[s] = targets[s] - gap
+    return taken
+
+
+def test_mix_draws_in_order_of_rank(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(["w"] * int(rnd.paretovariate(1.1) * 9 + 1)), rnd.choice(["a", "b", "c", "d", None])) for i in range(1500)]
+    got = mixing.mix_plan(frame(spark, rows)).collect()
+    taken = {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    want = brute_mix(rows)
+    assert taken.keys() == want.keys() and all(abs(taken[s] - want[s]) < 1e-6 * want[s] + 1e-6 for s in want)
+    target = {r.source: r.target for r in got}
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in taken)
+
+
+def test_mix_equal_rows_one_by_one(spark):
+    rows = [(7, "a b c d e f g h i j k l", "z")] * 1000 + [(i, "x " * 40, "a") for i in range(10, 300)] + [(i, "x " * 35, "b") for i in range(300, 900)]
+    got = mixing.mix_plan(frame(spark, rows).repartition(3)).collect()
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+    assert len({r.copies for r in got if r.source == "z"}) == 2
+    assert all(abs(taken[s] - target[s]) <= 40 for s in taken)
+    mixed = mixing.mix(frame(spark, rows)).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in mixed} == {s: sum(r.copies for r in got if r.source == s) for s in taken}
+
+
+def test_longer_documents_are_drawn_more_often(spark):
+    rows = [(i, "w " * (100 if i % 2 else 400), "one") for i in range(4000)]
+    got = mixing.mix_plan(frame(spark, rows), share=0.4).collect()
+    drawn = [sum(r.copies for r in got if r.size == n) for n in (100, 400)]
+    odds = [d / (2000 - d) for d in drawn]
+    assert 1.6 < odds[1] / odds[0] < 2.5
+
+
 # --- Sharding
 
 
