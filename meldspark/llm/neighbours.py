@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import materialize
+
 #: Bytes of query vectors broadcast at once; more queries go in further passes over the table.
 QUERY_BYTES = 16 << 20
 TILE = 4096
@@ -147,25 +149,30 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     one query when their vectors are equal; none is its own candidate. An empty table gives an
     empty result. Other columns are not read.
 
-    Queries are broadcast in blocks of at most ``QUERY_BYTES``, a pass over the table for each;
-    every partition sends at most k rows a query.
+    Queries are taken in blocks of about ``QUERY_BYTES``: a block is broadcast, passes over the
+    table, writes at most k rows a query and partition, and is released before the next.
     """
     spark = table.sparkSession
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     asked = table.where(is_query).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).distinct()
     size = asked.agg(F.sum(F.size("v") * F.lit(8))).first()[0] or 0
     blocks = 1 + max(0, size) // QUERY_BYTES
+    if blocks > 1:
+        asked = materialize(asked, "queries")
     found = None
     for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().combine_chunks()  # about QUERY_BYTES
+        block = asked.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b).toArrow().combine_chunks()  # about QUERY_BYTES
         sets = {}
         for c in block.to_batches():
             for ids, x in _clean(c.column(0), c.column(1)):
                 if len(ids):
                     had = sets.get(x.shape[1])
                     sets[x.shape[1]] = (ids, x) if had is None else (np.r_[had[0], ids], np.r_[had[1], x])
-        sets = {dim: _Queries(*q) for dim, q in sets.items()}
-        part = rows.mapInArrow(_search(spark.sparkContext.broadcast(sets), k), "query_id long, vec_id long, score double")
+        sent = spark.sparkContext.broadcast({dim: _Queries(*q) for dim, q in sets.items()})
+        part = rows.mapInArrow(_search(sent, k), "query_id long, vec_id long, score double")
+        if blocks > 1:
+            part = materialize(part, "nearest")
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
