@@ -20,13 +20,13 @@ _HOST = _lower(r"regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1)")
 _PATH = r"coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
 
 _DECONTAMINATE = rf"""with d as (select row_number() over () as rid, doc_id, regexp_extract_all({_lower("text")}, '{_WORD}') as w from documents),
-b as (select item_id, w, least(10, len(w)) as m from (select item_id, regexp_extract_all({_lower("text")}, '{_WORD}') as w from benchmark where item_id is not null) where len(w) > 0),
+b as (select item_id, w, least(10, len(w)) as m from (select item_id, regexp_extract_all({_lower("text")}, '{_WORD}') as w from benchmark) where len(w) > 0),
 win as (select distinct item_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as k from b),
 grams as (select rid, m, list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')) as ks from d, (select distinct m from win) where len(w) >= m),
 runs as (select rid, m, unnest(ks) as k, generate_subscripts(ks, 1) as i from grams),
 hits as (select rid, i, m, item_id from runs join win using (m, k)),
 cover as (select rid, count(distinct p) as n from (select rid, i + unnest(range(m)) as p from (select distinct rid, i, m from hits)) group by 1),
-found as (select rid, count(*) as n, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct rid, item_id from hits) group by 1)
+found as (select rid, count(*) as n, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct rid, item_id from hits where item_id is not null) group by 1)
 select doc_id, len(w)::bigint as n_words, coalesce(c.n, 0)::bigint as n_hit, coalesce(f.n, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, c.n is not null as contaminated
 from d left join cover c using (rid) left join found f using (rid)"""
 

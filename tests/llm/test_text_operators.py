@@ -148,14 +148,14 @@ def brute_hits(text, items):
     words, hit, found = find(text), set(), set()
     for i, t in items:
         w = find(t)
-        if i is None or not w:
+        if not w:
             continue
         m = min(10, len(w))
         for s in range(len(w) - m + 1):
             for at in range(len(words) - m + 1):
                 if words[at : at + m] == w[s : s + m]:
                     hit.update(range(at, at + m))
-                    found.add(i)
+                    found.update({i} - {None})
     sha = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
     return len(words), len(hit), len(found), sha, bool(hit)
 
@@ -193,6 +193,17 @@ def test_decontaminate_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "TABLE_BYTES", 300)
     assert sorted(map(str, decontaminate.benchmark_hits(frame(spark, rows), bench).collect())) == sorted(map(str, one))
     assert {r.n_items for r in one} == {2}
+    kept = decontaminate.decontaminate(frame(spark, [*rows, (99, "a b c", "s")]), bench).collect()
+    assert [r.doc_id for r in kept] == [99]
+
+
+def test_search_table_is_small():
+    import pickle
+
+    rnd = random.Random(9)
+    items = [(i, " ".join(f"w{int(rnd.paretovariate(0.5))}" for _ in range(200)).encode()) for i in range(600)]
+    text = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(decontaminate.Searcher(items))) < 25 * text
 
 
 # --- Mixing
