@@ -1,16 +1,23 @@
-"""SimHash near-dedup: 64-bit fingerprints compared bit-sliced within pigeonhole buckets.
+"""SimHash near-dedup: fingerprints compared bit-sliced within buckets.
 
-Method. Fingerprints are collapsed to distinct values. Two values that differ in at most
+Fingerprints that link at a few bits. They are collapsed to distinct values. Two values that differ in at most
 ``radius`` bits agree on all of at least ``b - radius`` of ``b`` bit blocks, so each value is
 filed once for every choice of ``b - radius`` blocks and compared only inside its buckets. There
 the values stand vertically: one arbitrary-precision integer per bit, whose bit i belongs to the
 i-th value. Shifting such a plane by d and xor-ing compares every value with its d-th neighbour
 at once; carry-save counters sum the planes, and a block is abandoned as soon as every pair in it
 has passed the radius.
+
+Documents that link by similarity (``simhash_dedup``). The similarity of 0.8 moves some 15 % of the
+bits of a fingerprint, so it takes a longer one, of 256 bits, to tell, and no choice of blocks stays
+equal. Texts are filed instead under eight minima of shingle hashes, each of which two texts share
+with a chance of their similarity (all eight are missed 3 in a million times at 0.8), and compared
+bit-sliced inside those buckets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -19,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from ._common import materialize, runs
 from .components import connected_components
@@ -89,12 +97,13 @@ def _int(flags: np.ndarray) -> int:
 
 
 def close_pairs(fp: np.ndarray, bucket: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j) with i < j of equal ``bucket`` (sorted) and at most ``radius`` differing bits."""
+    """Positions (i, j) with i < j of equal ``bucket`` (sorted) and at most ``radius`` differing bits.
+    ``fp``: one 64-bit word a row, or a row of several."""
     n = len(fp)
     if n < 2:
         return
-    vertical = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)
-    planes = [_int(vertical[:, i]) for i in range(BITS)]
+    vertical = np.unpackbits(np.ascontiguousarray(fp, ">u8").view(np.uint8).reshape(n, -1), axis=1)
+    planes = [_int(x) for x in np.ascontiguousarray(vertical.T)]
     width = radius.bit_length() or 1
     preset = (1 << width) - 1 - radius  # so that the counters overflow just past the radius
     d = 0
@@ -218,12 +227,170 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(of, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; of repeated rows one stays.
+# --- Documents that link by similarity
+
+WORDS, MINIMA = 4, 8  # of 64 bits a fingerprint; of shingle hashes
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th hash that is independent of the others, from one."""
+    h = (h ^ (h >> np.uint64(29 + k % 4))) * _MIX[k]
+    return h ^ (h >> np.uint64(32))
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def shingles(text: bytes | None, shingle: int, known: dict) -> np.ndarray:
+    """A hash of each different ``shingle``-word run (fewer words: of all); A-Z lower-cased."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - shingle + 1)
+    out = h[:n].copy()
+    for i in range(1, min(shingle, len(words))):
+        out = (out ^ (out >> np.uint64(31))) * _MIX[0] + h[i : i + n]
+    return np.unique(_mixed(out, 3))
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints (rows of ``WORDS``) and minima (rows of ``MINIMA``) of sets of shingle hashes;
+    those of an empty set are zero."""
+    fp = np.stack([fingerprints_of([_mixed(h, k) for h in sets]) for k in range(WORDS)], axis=1)
+    low = np.zeros((len(sets), MINIMA), np.uint64)
+    full = [i for i, h in enumerate(sets) if len(h)]
+    if full:
+        flat = np.concatenate([sets[i] for i in full])
+        first = np.cumsum([0] + [len(sets[i]) for i in full[:-1]])
+        for k in range(MINIMA):
+            low[full, k] = np.minimum.reduceat(_mixed(flat, k) * _MIX[(k + 3) % MINIMA], first)
+    return fp, low
+
+
+def _signed_batches(at: int, shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for b in batches:
+            texts = b.column(1).field(at).cast(pa.binary())
+            for lo in range(0, b.num_rows, 256):
+                fp, low = signatures([shingles(t.as_py(), shingle, known) for t in texts.slice(lo, 256)])
+                both = [pa.array([r.tobytes() for r in fp], pa.binary()), pa.array(list(low.view(np.int64)), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 256), *both, b.column(1).slice(lo, 256)], names=["doc_id", "fp", "low", "row"])
+
+    return run
+
+
+def _leaders(fp: np.ndarray, ids: np.ndarray, radius: int, out: list) -> None:
+    """Link each row to the first rows that it is close to, one leader after the other: every row
+    that no leader before it reached leads, and is compared with all."""
+    open_ = np.ones(len(fp), bool)
+    while open_.any():
+        lead = int(open_.argmax())
+        open_[lead] = False
+        near = np.flatnonzero(np.bitwise_count(fp ^ fp[lead]).sum(axis=1) <= radius)
+        near = near[near != lead]
+        open_[near] = False
+        out.append((ids[near], np.full(len(near), ids[lead])))
+
+
+def _similar(fp: np.ndarray, low: np.ndarray, ids: np.ndarray, bucket: np.ndarray, radius: int, used: frozenset, out: list) -> None:
+    """Append links (id, id) of close rows with equal ``bucket`` (sorted). A bucket too large for one
+    block is divided by each other minimum; what that does not divide is much alike, and led."""
+    edges = np.flatnonzero(np.diff(bucket)) + 1
+    lo, hi = np.r_[0, edges], np.r_[edges, len(bucket)]
+    keep = hi - lo > 1
+    lo, hi = lo[keep], hi[keep]
+    large = hi - lo > BLOCK
+    for a, b in zip(lo[large].tolist(), hi[large].tolist(), strict=True):
+        for k in set(range(low.shape[1])) - used:
+            key = low[a:b, k]
+            most = np.unique(key, return_counts=True)[1].max()
+            if 2 * most > b - a or len(used) > 2:
+                _leaders(fp[a:b], ids[a:b], radius, out)
+                break
+            order = np.argsort(key, kind="stable")
+            _similar(fp[a:b][order], low[a:b][order], ids[a:b][order], key[order], radius, used | {k}, out)
+    lo, hi = lo[~large], hi[~large]
+    start = 0
+    while start < len(lo):  # as many whole buckets as fit in a block
+        end = int(np.searchsorted(np.cumsum(hi[start:] - lo[start:]), BLOCK, "right")) + start
+        end = max(end, start + 1)
+        at = np.concatenate([np.arange(a, b) for a, b in zip(lo[start:end].tolist(), hi[start:end].tolist(), strict=True)])
+        for i, j in close_pairs(fp[at], bucket[at], radius):
+            out.append((ids[at[i]], ids[at[j]]))
+        start = end
+
+
+def _forest(pairs: list) -> tuple[np.ndarray, np.ndarray]:
+    """A star (id, smallest id) for each group that the pairs link."""
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 2
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(ids))
+    while True:  # smallest labels along links, then along the roots
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[moved], ids[root[moved]]
+
+
+def _similar_batches(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 2):
+            out: list = []
+            which, key, ids = (t.column(i).to_numpy() for i in (0, 1, 4))
+            fp = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint64).reshape(len(ids), -1)
+            low = t.column(3).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            for k in np.unique(which).tolist():
+                s = which == k
+                _similar(fp[s], low[s], ids[s], key[s], radius, frozenset([k]), out)
+            a, b = _forest(out)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def similarity_radius(similarity: float, bits: int = 64 * WORDS) -> int:
+    """Bits that differ between fingerprints of sets of the given Jaccard similarity: the mean, and
+    one standard deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near copies: that of the smallest id, null last, and of rows of one
+    id the first. Columns as they were.
 
-    Rows with a null id are kept as they are. The kept ids grow with the documents, so the join is
-    by shuffle at every size, and the rows of an id are then together already.
+    Texts are near copies if their different ``shingle``-word runs have about the given Jaccard
+    similarity or more, told by the distance of 256-bit fingerprints; groups are those reachable.
+    Equal texts are one group whatever their number. Null and wordless texts are alike, and equal
+    to each other only. An empty table gives an empty result. Rows are written once with their
+    signatures, and once shuffled to those that stay, by number, as the kept ones grow with the input.
     """
-    keep = simhash_components(docs, id_col, text_col, **settings).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep.hint("merge"), docs[id_col] == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    schema = StructType().add("doc_id", "long").add("fp", "binary").add("low", ArrayType(LongType())).add("row", docs.schema)
+    signed = rows.mapInArrow(_signed_batches(docs.columns.index(text_col), shingle), schema)
+    signed = materialize(signed.withColumn("number", F.monotonically_increasing_id()), "signatures")
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "number")
+    groups = materialize(signed.groupBy("fp", "low").agg(F.min(order).alias("first")).select("fp", "low", "first.doc_id", "first.number"), "signature-groups")
+    filed = groups.select(F.posexplode("low").alias("which", "key"), "fp", "low", "number").repartition("which", "key").sortWithinPartitions("which", "key", "number")
+    parts = connected_components(filed.mapInArrow(_similar_batches(similarity_radius(similarity)), "a long, b long"))
+    joined = groups.join(parts, groups.number == parts.id, "left").select(F.coalesce("component", "number").alias("component"), "doc_id", "number")
+    keep = joined.groupBy("component").agg(F.min(F.struct("doc_id", "number")).alias("first")).select(F.col("first.number").alias("number"))
+    kept = signed.select("number", "row").join(keep.hint("merge"), "number", "left_semi")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

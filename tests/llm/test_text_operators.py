@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -130,16 +131,110 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_simhash_dedup_and_empty(docs, empty):
-    _, df = docs
-    kept = simhash.simhash_dedup(df)
-    assert kept.columns == df.columns
-    parts = simhash.simhash_components(df).where("doc_id is not null")
-    assert kept.where("doc_id is not null").count() == parts.select("component_id").distinct().count()
-    assert kept.where("doc_id is null").count() == 1
+def word_runs(text, n=5):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def brute_near(texts, similarity=0.8):
+    """Components of texts, by all pairs of their signatures."""
+    known = simhash._Hashes()
+    fp, low = simhash.signatures([simhash.shingles(t.encode() if t else None, 5, known) for t in texts])
+    radius, parent = simhash.similarity_radius(similarity), list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        close = ((low[: i + 1] == low[i]).any(axis=1)) & (np.bitwise_count(fp[: i + 1] ^ fp[i]).sum(axis=1) <= radius)
+        for j in np.flatnonzero(close).tolist():
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_signatures_tell_similarity():
+    known, rnd = simhash._Hashes(), random.Random(4)
+    caught = {0.8: [0, 0], 0.9: [0, 0]}
+    for _ in range(400):
+        w = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(60, 400))]
+        v = list(w)
+        for _ in range(rnd.randint(1, max(2, len(w) // 25))):
+            v[rnd.randrange(len(v))] = "changed"
+        a, b = word_runs(" ".join(w)), word_runs(" ".join(v))
+        real = len(a & b) / len(a | b)
+        fp, low = simhash.signatures([simhash.shingles(" ".join(x).encode(), 5, known) for x in (w, v)])
+        assert (fp[0] != 0).any() and len(simhash.shingles(" ".join(w).encode(), 5, known)) == len(a)
+        near = (low[0] == low[1]).any() and int(np.bitwise_count(fp[0] ^ fp[1]).sum()) <= simhash.similarity_radius(0.8)
+        for least in caught:
+            if real >= least:
+                caught[least][0] += near
+                caught[least][1] += 1
+        assert not near or real > 0.6
+    assert caught[0.8][1] > 100 and caught[0.8][0] / caught[0.8][1] > 0.95
+    assert caught[0.9][0] == caught[0.9][1] > 50
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_simhash_dedup(spark, docs, empty, block):
+    rows, df = docs
+    rnd = random.Random(5)
+    base = " ".join(f"v{rnd.randrange(300)}" for _ in range(150)).split()
+    rows = [r for r in rows if r[0] is not None]
+    for i in range(60):  # a large group of near copies
+        w = list(base)
+        w[rnd.randrange(150)] = f"new{i}"
+        rows.append((1000 + i, " ".join(w), "s"))
+    rows += [(5, "wholly another text under an id in use " * 3, "s"), (None, rows[0][1], "s"), (None, "no id, twice", "s"), (None, "no id, twice", "t")]
+    before = simhash.BLOCK
+    simhash.BLOCK = block
+    try:
+        got = simhash.simhash_dedup(frame(spark, rows))
+        assert got.columns == df.columns
+        got = [(r.doc_id, r.text) for r in got.collect()]
+    finally:
+        simhash.BLOCK = before
+    first = {}
+    for (i, t, _), c in zip(rows, brute_near([t for _, t, _ in rows]), strict=True):
+        key = (i is None, i or 0)
+        if c not in first or key < first[c][0]:
+            first[c] = (key, (i, t))
+    assert sorted(map(str, got)) == sorted(str(x) for _, x in first.values())
+    assert sum(i is not None and i >= 1000 for i, _ in got) == 1
+    assert simhash.simhash_dedup(empty).count() == 0
     assert simhash.simhash_components(empty).count() == 0
 
 
+def test_large_buckets_are_divided(monkeypatch):
+    """What one bucket links, whatever the size of a block: all that all pairs link, led groups whole."""
+    rng = np.random.default_rng(6)
+    radius = simhash.similarity_radius(0.8)
+    base = rng.integers(0, 1 << 63, (12, simhash.WORDS), dtype=np.uint64)
+    lows = rng.integers(0, 1 << 62, (12, simhash.MINIMA))
+    fp, low = [], []
+    for k in range(600):
+        x, y = base[k % 12].copy(), lows[k % 12].copy()
+        for bit in rng.choice(256, 9, replace=False):
+            x[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        y[rng.integers(1, simhash.MINIMA)] = rng.integers(0, 1 << 62)
+        y[0] = 7
+        fp.append(x)
+        low.append(y)
+    fp, low, ids = np.array(fp), np.array(low), np.arange(600)
+    want = {tuple(i for i in range(600) if i % 12 == g) for g in range(12)}
+    for block in (8, 64, 4096):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        out = []
+        simhash._similar(fp, low, ids, low[:, 0], radius, frozenset([0]), out)
+        a, b = simhash._forest(out)
+        groups = {}
+        for x in range(600):
+            groups.setdefault(dict(zip(a.tolist(), b.tolist(), strict=True)).get(x, x), []).append(x)
+        assert {tuple(g) for g in groups.values()} == want
+
+
 # --- Decontamination
 
 
