@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     edges = materialize(edges, "edges")
     for _ in range(max_rounds):
-        edges = materialize(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        before, edges = edges, materialize(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        discard(before)
         # a forest of stars: every node has one parent, and no parent has a parent
         low = edges.groupBy("a").agg(F.count("*").alias("n"))
         done = low.where("n > 1").isEmpty() and edges.join(low.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()

@@ -3,7 +3,8 @@
 Exact keys give star edges to the smallest record of a key, never pairs. Names are compared by the
 indel ratio (over 90) only where neither kind of contact is present on both sides, since a contact
 of one kind on both sides either already links them or forbids the link. That leaves pairs of
-presence classes none-any and email only-phone only, and candidate names by the pigeonhole rule: with
+presence classes none-any and email only-phone only: the names of these classes alone are compared,
+and where every record has an email, none. Candidate names come by the pigeonhole rule: with
 fewer than d edits between them, one of d pieces of the shorter name is found unchanged in the
 longer, moved by less than d.
 """
@@ -59,13 +60,15 @@ def _long(names: pd.Series) -> pd.Series:
     return names.map(long_keys)
 
 
-def close_names(names: DataFrame) -> DataFrame:
-    """Distinct ``name`` to all ordered pairs ``(x, y)``, x <> y, with indel ratio over 90."""
-    x = names.select(F.col("name").alias("x"), F.explode(_short("name")).alias("key"))
-    y = names.select(F.col("name").alias("y"), F.explode(_long("name")).alias("key"))
-    pairs = x.join(y, "key").where("x <> y").select("x", "y").distinct()
-    close = pairs.where(200 * lcs_length("x", "y") > 90 * (F.length("x") + F.length("y")))
-    return close.union(close.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+def close_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct ``name`` on two sides to the ordered pairs ``(x, y)``, x <> y, with indel ratio over
+    90 between a name of one side and a name of the other."""
+    short = lambda df, c: df.select(F.col("name").alias(c), F.explode(_short("name")).alias("key"))
+    long = lambda df, c: df.select(F.col("name").alias(c), F.explode(_long("name")).alias("key"))
+    pairs = short(left, "x").join(long(right, "y"), "key").select("x", "y").union(short(right, "y").join(long(left, "x"), "key").select("x", "y"))
+    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    close = materialize(pairs.where(200 * lcs_length("x", "y") > 90 * (F.length("x") + F.length("y"))), "close")
+    return close.union(close.select("y", "x"))
 
 
 def identity_edges(keys: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -81,20 +84,32 @@ def identity_edges(keys: DataFrame, fuzzy: bool = True) -> DataFrame:
         return edges
     has = lambda c: F.when(F.size(c) > 0, F.lit(c[0])).otherwise("")
     named = keys.where("name is not null").select("record_id", "name", F.concat(has("emails"), has("phones")).alias("kind"))
-    groups = named.groupBy("name", "kind").agg(F.min("record_id").alias("least"))
-    names = groups.select("name").distinct()
-    linked = close_names(names).union(names.select("name", "name")).toDF("x", "y")
+    groups = materialize(named.groupBy("name", "kind").agg(F.min("record_id").alias("least")), "names")
+    kinds = {r.kind for r in groups.select("kind").distinct().collect()}  # at most four
+    of = lambda *some: groups.where(F.col("kind").isin(*some)).select("name").distinct()
+    sides = [(of(""), groups.select("name").distinct())] if "" in kinds else []
+    if {"e", "p"} <= kinds:
+        sides.append((of("e"), of("p")))
+    if not sides:  # every two names have a kind of contact in common
+        return edges
+    linked = groups.select(F.col("name").alias("x"), F.col("name").alias("y")).distinct()
+    for left, right in sides:
+        linked = linked.union(close_names(left, right))
     ours, theirs = named.toDF("a", "x", "kind"), groups.toDF("y", "other", "b")
     fits = "kind = '' or other = '' or (kind = 'e' and other = 'p') or (kind = 'p' and other = 'e')"
-    return edges.union(ours.join(linked, "x").join(theirs, "y").where(fits).select("a", "b"))
+    return edges.union(ours.join(linked.distinct(), "x").join(theirs, "y").where(fits).select("a", "b"))
 
 
 def resolve(keys: DataFrame, fuzzy: bool = True) -> DataFrame:
     """``(record_id, group_id, candidate_id)``: group_id is the smallest record of the group, and
-    candidate_id the UUID of its smallest email, else phone, else name, else its record ids."""
+    candidate_id the UUID of its smallest email, else phone, else name, else of where its records
+    come from (column ``origin``, else their ids)."""
+    if "origin" not in keys.columns:
+        keys = keys.withColumn("origin", F.col("record_id").cast("string"))
     keys = materialize(keys, "keys")
     parts = connected_components(identity_edges(keys, fuzzy))
     grouped = keys.join(parts, keys.record_id == parts.id, "left").withColumn("group_id", F.coalesce("component", "record_id"))
-    per = grouped.groupBy("group_id").agg(F.min(F.array_min("emails")).alias("e"), F.min(F.array_min("phones")).alias("p"), F.min("name").alias("n"))
-    key = F.coalesce(F.concat(F.lit("email:"), "e"), F.concat(F.lit("phone:"), "p"), F.concat(F.lit("name:"), "n"), F.concat(F.lit("fallback:"), "group_id"))
+    per = grouped.groupBy("group_id").agg(F.min(F.array_min("emails")).alias("e"), F.min(F.array_min("phones")).alias("p"), F.min("name").alias("n"), F.min("origin").alias("o"))
+    # Records without email, phone and name are alone in their group, so the smallest origin is all there is.
+    key = F.coalesce(F.concat(F.lit("email:"), "e"), F.concat(F.lit("phone:"), "p"), F.concat(F.lit("name:"), "n"), F.concat(F.lit("fallback:"), "o"))
     return grouped.select("record_id", "group_id").join(per.select("group_id", entity_id(key).alias("candidate_id")), "group_id").select("record_id", "group_id", "candidate_id")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+#: Tables that stand, by path, with the sessions that wrote them.
+_tables: dict[str, SparkSession] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,7 +32,47 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back; survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet into the shared folder and read it back; survives lost executors.
+
+    The table stands until it is discarded, or the process ends."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables[path] = spark
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _remove(path: str) -> None:
+    spark = _tables.pop(path, None)
+    if spark is not None:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for table in tables:
+        _remove(table._scratch_path)
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Collects the tables that are materialized in the block, for ``discard_paths``."""
+    before, made = set(_tables), []
+    yield made
+    made += [p for p in _tables if p not in before]
+
+
+def discard_paths(paths: list[str]) -> None:
+    for path in paths:
+        _remove(path)
+
+
+@atexit.register
+def _clean_up() -> None:
+    """What still stands in a shared folder when the process ends."""
+    for path in list(_tables):
+        with contextlib.suppress(Exception):  # the session may be gone already
+            _remove(path)
