@@ -11,9 +11,19 @@ from pyspark.sql.types import DoubleType, IntegerType
 ID_NAMESPACE = "6f9b3f7a2c1e5d8b9a4c3e2d1f0a7b6c"
 EMAIL_QUALITY = (1.0, 0.7)
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-#: Country code to the pattern of its national numbers: the regions covered exactly. Other codes
-#: are accepted with 7 to 12 national digits.
-PHONE_PLANS = {"1": "[2-9][0-9]{2}[2-9][0-9]{6}", "44": "[1237][0-9]{8,9}|[58][0-9]{9}", "91": "[6-9][0-9]{9}"}
+#: Country code to the pattern of its national numbers, from the public numbering plans. Numbers of
+#: other countries are rejected: no value is better than a wrong one.
+PHONE_PLANS = {
+    "1": "[2-9][0-9]{2}[2-9][0-9]{6}", "7": "[3489][0-9]{9}", "20": "1[0125][0-9]{8}|[2-9][0-9]{7,8}", "27": "[1-8][0-9]{8}", "30": "2[0-9]{9}|6[89][0-9]{8}", "31": "[1-9][0-9]{8}",
+    "32": "[1-9][0-9]{7}|4[0-9]{8}", "33": "[1-9][0-9]{8}", "34": "[5-9][0-9]{8}", "36": "[1-9][0-9]{7,8}", "39": "0[0-9]{5,10}|3[0-9]{8,9}", "40": "[237][0-9]{8}", "41": "[2-9][0-9]{8}",
+    "43": "[1-9][0-9]{3,12}", "44": "[1237][0-9]{8,9}|[58][0-9]{9}", "45": "[2-9][0-9]{7}", "46": "[1-9][0-9]{6,9}", "47": "[2-9][0-9]{7}", "48": "[1-9][0-9]{8}", "49": "[1-9][0-9]{5,12}",
+    "51": "9[0-9]{8}|[14-8][0-9]{7}", "52": "[2-9][0-9]{9}", "54": "9?[1-3][0-9]{9}", "55": "[1-9]{2}9?[0-9]{8}", "56": "[2-9][0-9]{8}", "57": "3[0-9]{9}|60[0-9]{8}", "58": "[24][0-9]{9}",
+    "60": "1[0-9]{8,9}|[3-9][0-9]{7,8}", "61": "[23478][0-9]{8}", "62": "[2-9][0-9]{7,11}", "63": "9[0-9]{9}|[2-8][0-9]{7,9}", "64": "[34679][0-9]{7}|2[0-9]{7,9}", "65": "[3689][0-9]{7}",
+    "66": "[2-7][0-9]{7}|[689][0-9]{8}", "81": "[1-9][0-9]{8}|[5789]0[0-9]{8}", "82": "1[0-9]{8,9}|[2-6][0-9]{7,9}", "84": "[2-9][0-9]{8}|2[0-9]{9}", "86": "1[3-9][0-9]{9}|[2-9][0-9]{8,10}",
+    "90": "[2-5][0-9]{9}", "91": "[6-9][0-9]{9}", "92": "3[0-9]{9}|[2-9][0-9]{8,9}", "94": "[1-9][0-9]{8}", "98": "[1-9][0-9]{9}", "212": "[5-7][0-9]{8}", "234": "[7-9][0-9]{9}|[1-9][0-9]{6,7}",
+    "254": "[17][0-9]{8}|[2-6][0-9]{6,8}", "351": "[2-9][0-9]{8}", "353": "[1-9][0-9]{6,9}", "358": "[1-9][0-9]{4,11}", "380": "[3-9][0-9]{8}", "420": "[2-9][0-9]{8}", "852": "[2-9][0-9]{7}",
+    "880": "1[0-9]{9}|[2-9][0-9]{7,9}", "886": "9[0-9]{8}|[2-8][0-9]{7,8}", "966": "[15][0-9]{8}", "971": "5[0-9]{8}|[2-9][0-9]{7}", "972": "5[0-9]{8}|[2-9][0-9]{7}", "977": "9[0-9]{9}|[1-9][0-9]{7}",
+}
 
 
 def clean(c: Column) -> Column:
@@ -38,11 +48,10 @@ def normalize_phone(c: Column, default_code: str | None = None) -> Column:
     digits = F.regexp_replace(text, r"[^0-9]", "")
     shaped = text.rlike(r"^\+?[0-9().\s/\-]+$")
     known = "|".join(f"{code}(?:{plan})" for code, plan in PHONE_PLANS.items())
-    other = rf"(?!(?:{'|'.join(PHONE_PLANS)}))[2-9][0-9]{{8,14}}"
     full = F.when(explicit, digits)
     if default_code:
         full = full.otherwise(F.concat(F.lit(default_code), F.regexp_replace(digits, "^0", "")))
-    return _result(F.when(shaped & full.rlike(f"^(?:{known}|{other})$"), F.concat(F.lit("+"), full)), F.when(explicit, 1.0).otherwise(0.7))
+    return _result(F.when(shaped & full.rlike(f"^(?:{known})$"), F.concat(F.lit("+"), full)), F.when(explicit, 1.0).otherwise(0.7))
 
 
 def normalize_date(c: Column) -> Column:
@@ -79,11 +88,17 @@ def country_table(spark: SparkSession) -> DataFrame:
 
 
 def with_country(df: DataFrame, column: str, into: str) -> DataFrame:
-    """Adds ``into``: struct(value, quality) of the country named in ``column``. The table has about
-    750 rows, which bounds the broadcast."""
+    """Adds ``into``: struct(value, quality) of the country named in ``column``: exactly (1.0), or by
+    a part of its name (0.7), the earlier in the name the better, then the smaller code. The table
+    has about 750 rows, which bounds the broadcasts; only distinct unknown names meet all of it."""
     table = country_table(df.sparkSession).select(F.col("key").alias("__key"), F.col("code").alias("__code"))
-    out = df.join(F.broadcast(table), F.lower(clean(F.col(column))) == F.col("__key"), "left")
-    return out.withColumn(into, _result(F.col("__code"), F.lit(1.0))).drop("__key", "__code")
+    keyed = df.withColumn("__land", F.lower(clean(F.col(column))))
+    exact = F.broadcast(table)
+    open_ = keyed.where("__land is not null").select("__land").distinct().join(exact, F.col("__land") == F.col("__key"), "left_anti")
+    parts = table.where(F.length("__key") > 3).toDF("name", "near")
+    near = open_.join(F.broadcast(parts), F.col("name").contains(F.col("__land"))).groupBy("__land").agg(F.min_by("near", F.struct(F.least(F.instr("name", F.col("__land")), F.lit(13)), F.col("near"))).alias("__near")).withColumnRenamed("__land", "__part")
+    out = keyed.join(exact, F.col("__land") == F.col("__key"), "left").join(near, F.col("__land") == F.col("__part"), "left")
+    return out.withColumn(into, _result(F.coalesce("__code", "__near"), F.when(F.col("__code").isNotNull(), 1.0).otherwise(0.7))).drop("__key", "__code", "__land", "__part", "__near")
 
 
 def name_key(c: Column) -> Column:
@@ -121,13 +136,18 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else 200 * lcs(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a, b, strict=True)], dtype="Float64")
 
 
+#: What looks like an email address, and like a phone number.
+EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+PHONE = r"(?U)\+?\d[\d\s().\-]{7,}\d"
+
+
 def find_emails(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"), 0))
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL), 0))
 
 
 def find_phones(text: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\+?\d[\d\s().\-]{7,}\d"), 0), clean)
-    return F.array_distinct(F.filter(found, lambda x: F.length(F.regexp_replace(x, r"\D", "")).between(10, 15)))
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PHONE), 0), clean)
+    return F.array_distinct(F.filter(found, lambda x: F.length(F.regexp_replace(x, r"(?U)\D", "")).between(10, 15)))
 
 
 def find_link(text: Column, site: str) -> Column:

@@ -6,6 +6,7 @@ emitted as JSON fragments, since a field may be left out row by row.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -114,6 +115,17 @@ def type_fits(kind: DataType | None, want: str | None) -> bool:
     return want not in known or isinstance(kind, known[want])
 
 
+def one_of(value: Column, kind: DataType | None, allowed: list) -> Column:
+    """Whether the value is among those allowed, of its own JSON kind: the number 1 is not the text "1"."""
+    kinds = {StringType: str, NumericType: (int, float), BooleanType: bool}
+    mine = next((k for t, k in kinds.items() if isinstance(kind, t)), ())
+    same = [x for x in allowed if isinstance(x, mine) and isinstance(x, bool) == isinstance(kind, BooleanType)]
+    if not same:
+        text = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+        return text.isin([json.dumps({"v": x}, separators=(",", ":"), ensure_ascii=False) for x in allowed if isinstance(x, list | dict)])
+    return value.isin(same)
+
+
 def _type_name(kind: DataType) -> str:
     """What JSON values of the type are called in error texts (fixed values)."""
     names = {"string": "str", "boolean": "bool", "array": "list", "struct": "dict", "map": "dict", "double": "float", "float": "float"}
@@ -150,7 +162,7 @@ def _element_errors(name: str, value: Column, kind: ArrayType, want: str | dict)
 
 def project(df: DataFrame, config: dict, key: str = "candidate_id", vocabulary: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Profiles ``(key, profile)`` with profile a JSON text of the configured fields in order, and
-    errors ``(key, stage, error)``."""
+    errors ``(key, stage, error)``. A column ``__order`` comes along."""
     fragments, errors, element_errors = [], [], []
     everywhere = config.get("on_missing", "null")
     fields = {f.get("name") or f.get("path"): f for f in config["fields"]}
@@ -180,7 +192,7 @@ def project(df: DataFrame, config: dict, key: str = "candidate_id", vocabulary:
         if not type_fits(got.kind, spec.get("type")):
             errors.append(failed(~absent, f"expected type {spec['type']}"))
         elif spec.get("enum"):
-            errors.append(failed(~absent & ~value.cast("string").isin([str(x) for x in spec["enum"]]), "value is not in the enum"))
+            errors.append(failed(~absent & ~one_of(value, got.kind, spec["enum"]), "value is not in the enum"))
         want = spec.get("element_type")
         if want and isinstance(got.kind, ArrayType) and type_fits(got.kind, spec.get("type")) and (isinstance(want, dict) or element_faults(got.kind.elementType, want)):
             element_errors.append(F.when(~absent, _element_errors(name, value, got.kind, want)))
@@ -193,4 +205,5 @@ def project(df: DataFrame, config: dict, key: str = "candidate_id", vocabulary:
     for more in element_errors:
         every = F.concat(every, F.coalesce(more, F.array().cast("array<struct<stage:string,error:string>>")))
     found = df.select(F.col(key), F.explode(every).alias("e")).select(key, "e.stage", "e.error")
-    return df.select(F.col(key), profile.alias("profile")), found
+    order = [c for c in ("__order",) if c in df.columns]
+    return df.select(F.col(key), profile.alias("profile"), *order), found

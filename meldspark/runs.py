@@ -75,7 +75,7 @@ def json_errors(spark: SparkSession, location: str, kind: str) -> DataFrame:
     return bad.unionByName(values.select(F.col("source_id").alias("source"), F.lit("extract").alias("stage"), F.format_string("Expected a JSON object, got %s", "kind").alias("error")))
 
 
-def read_sources(spark: SparkSession, refs: list[tuple[str, str | None]]) -> tuple[DataFrame | None, DataFrame]:
+def read_sources(spark: SparkSession, refs: list[tuple[str, str | None]], registry: readers.Registry = readers.REGISTRY) -> tuple[DataFrame | None, DataFrame]:
     """References ``(location, type or None)`` to records, or None, and errors.
 
     A source that reads well but has no records gives one record of nulls. References are few and
@@ -84,17 +84,30 @@ def read_sources(spark: SparkSession, refs: list[tuple[str, str | None]]) -> tup
     records, errors, known = [], [], []
     for location, hint in refs:
         try:
-            kind = readers.route(location, hint)
+            adapter = registry.resolve(location, hint)
         except ValueError:
             known.append((location, "ingest", f"No registered adapter can handle reference: location={location!r}, source_type={hint!r}"))
             continue
-        if not _exists(spark, location):
-            known.append((location, "ingest", f"failed to read {kind} source {location!r}: not found"))
+        kind = adapter.kind
+        try:
+            if not _exists(spark, location):
+                known.append((location, "ingest", f"failed to read {kind} source {location!r}: not found"))
+                continue
+            faults = None
+            if kind in readers.TEXT_SOURCES:
+                faults = readers.text_faults(spark, location, kind)
+            elif kind in ("ats_json", "github", "linkedin"):
+                faults = json_errors(spark, location, kind)
+            elif kind == "resume":
+                faults = resumes.faults(spark, location)
+            found = adapter.read(spark, location)
+            if kind in readers.TEXT_SOURCES:
+                found = found.join(faults.select(F.col("source").alias("source_id")), "source_id", "left_anti").select(*found.columns)
+            if found.isEmpty() and (faults is None or faults.isEmpty()):
+                found = readers._records(spark.range(1), kind, F.lit(location), {})
+        except Exception as e:  # whatever a source is like, the others are read
+            known.append((location, "ingest", f"unexpected ingest error: {type(e).__name__}"))
             continue
-        faults = resumes.faults(spark, location) if kind == "resume" else json_errors(spark, location, kind) if kind in ("ats_json", "github", "linkedin") else None
-        found = readers.READERS[kind](spark, location)
-        if found.isEmpty() and (faults is None or faults.isEmpty()):
-            found = readers._records(spark.range(1), kind, F.lit(location), {})
         records.append(found)
         if faults is not None:
             errors.append(faults)
@@ -102,10 +115,10 @@ def read_sources(spark: SparkSession, refs: list[tuple[str, str | None]]) -> tup
     return (reduce(DataFrame.unionByName, records) if records else None), every
 
 
-def build(spark: SparkSession, refs: list[tuple[str, str | None]], vocabulary: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+def build(spark: SparkSession, refs: list[tuple[str, str | None]], vocabulary: dict[str, list[str]] | None = None, registry: readers.Registry = readers.REGISTRY) -> tuple[DataFrame, DataFrame]:
     """The candidates, written once for all projections, and the errors of their sources. Without
     any records there is one candidate of nulls."""
-    records, errors = read_sources(spark, refs)
+    records, errors = read_sources(spark, refs, registry)
     if records is None:
         records = readers._records(spark.range(0), "", F.lit(""), {})
     people = materialize(canonical(records, vocabulary), "candidates")
@@ -116,10 +129,10 @@ def build(spark: SparkSession, refs: list[tuple[str, str | None]], vocabulary: d
     return people, materialize(errors, "source-errors")
 
 
-def run_multi(spark: SparkSession, refs: list[tuple[str, str | None]], configs: list[dict], vocabulary: dict[str, list[str]] | None = None) -> list[RunResult]:
+def run_multi(spark: SparkSession, refs: list[tuple[str, str | None]], configs: list[dict], vocabulary: dict[str, list[str]] | None = None, registry: readers.Registry = readers.REGISTRY) -> list[RunResult]:
     """One result per config; sources are read, resolved and fused once."""
     configs = [check_config(c) for c in configs]
-    people, errors = build(spark, refs, vocabulary)
+    people, errors = build(spark, refs, vocabulary, registry)
     out = []
     for config in configs:
         profiles, found = project(people, config, vocabulary=vocabulary)
@@ -128,5 +141,5 @@ def run_multi(spark: SparkSession, refs: list[tuple[str, str | None]], configs:
     return out
 
 
-def run(spark: SparkSession, refs: list[tuple[str, str | None]], config: dict, vocabulary: dict[str, list[str]] | None = None) -> RunResult:
-    return run_multi(spark, refs, [config], vocabulary)[0]
+def run(spark: SparkSession, refs: list[tuple[str, str | None]], config: dict, vocabulary: dict[str, list[str]] | None = None, registry: readers.Registry = readers.REGISTRY) -> RunResult:
+    return run_multi(spark, refs, [config], vocabulary, registry)[0]

@@ -1,34 +1,39 @@
 """Readers: each source becomes records of one shape.
 
-A record has record_id, source_id, source_type, full_name, emails, phones, location, links,
-headline, years_experience, skills, experience, education and a map of extraction methods.
+A record has record_id, source_id, source_type, ordinal (its place in the input), full_name, emails,
+phones, location, links, headline, years_experience, skills, experience, education and a map of
+extraction methods. Every reader has a function of a path, and one of what the files hold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clean, find_emails, find_link, find_phones
 from ..functions.vocabulary import load, mentions
+from ..operators.fusion import SOURCES
 from . import resumes
 
 ENTRY = "struct<company:string,title:string,start:string,end:string,summary:string>"
 SCHOOL = "struct<institution:string,degree:string,field:string,end_year:int>"
 TYPES = {
     "full_name": "string", "emails": "array<string>", "phones": "array<string>", "location": "struct<city:string,region:string,country:string>",
-    "links": "struct<linkedin:string,github:string,portfolio:string>", "headline": "string", "years_experience": "double", "skills": "array<string>",
+    "links": "struct<linkedin:string,github:string,portfolio:string,other:array<string>>", "headline": "string", "years_experience": "double", "skills": "array<string>",
     "experience": f"array<{ENTRY}>", "education": f"array<{SCHOOL}>",
 }
 #: Phrases that look like a name in notes.
 NOT_NAMES = ("call notes", "tech lead", "good culture", "culture fit")
 
 
-def _records(df: DataFrame, source_type: str, source_id: Column, methods: dict[str, str], **fields: Column) -> DataFrame:
+def _records(df: DataFrame, source_type: str, source_id: Column, methods: dict[str, str | Column], **fields: Column) -> DataFrame:
     cols = [F.coalesce(fields[n], F.lit(None)).cast(t).alias(n) if n in fields else F.lit(None).cast(t).alias(n) for n, t in TYPES.items()]
-    method = F.create_map(*[F.lit(x) for kv in methods.items() for x in kv]) if methods else F.lit(None).cast("map<string,string>")
-    out = df.select(source_id.alias("source_id"), F.lit(source_type).alias("source_type"), *cols, method.alias("methods"))
-    return out.select(F.xxhash64("source_type", "source_id", F.monotonically_increasing_id()).alias("record_id"), "*")
+    method = F.create_map(*[x if isinstance(x, Column) else F.lit(x) for kv in methods.items() for x in kv]) if methods else F.lit(None).cast("map<string,string>")
+    out = df.select(source_id.alias("source_id"), F.lit(source_type).alias("source_type"), F.monotonically_increasing_id().alias("ordinal"), *cols, method.alias("methods"))
+    return out.select(F.xxhash64("source_type", "source_id", "ordinal").alias("record_id"), "*")
 
 
 def _one(c: Column) -> Column:
@@ -55,6 +60,10 @@ def _json(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.input_file_name().alias("source_id"), F.try_parse_json("value").alias("v"))
 
 
+def _objects(df: DataFrame) -> DataFrame:
+    return df.where("v is not null")
+
+
 def _text(v: Column, key: str) -> Column:
     return clean(F.try_variant_get(v, f"$.{key}", "string"))
 
@@ -65,14 +74,25 @@ def _array(v: Column, key: str, kind: str) -> Column:
 
 def read_ats(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object, or an array of them, with the fixed keys of an applicant tracking export."""
-    df = _json(spark, path)
+    return ats_records(_json(spark, path))
+
+
+def _method(o: Column, *keys: str) -> Column:
+    """The keys, of those that the object has, as a method."""
+    has = F.array(*[F.when(F.try_variant_get(o, f"$.{k}", "string").isNotNull(), F.lit(k)) for k in keys])
+    return F.concat(F.lit("ats_field:"), F.nullif(F.array_join(has, "+"), F.lit("")))
+
+
+def ats_records(df: DataFrame) -> DataFrame:
+    """``(source_id, v)`` to records, one for each object."""
     many = df.select("source_id", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("i", "o")).select(F.concat("source_id", F.lit("#"), F.col("i").cast("string")).alias("source_id"), "o")
     one = df.where(F.try_variant_get("v", "$", "array<variant>").isNull() & F.col("v").isNotNull()).select("source_id", F.col("v").alias("o"))
     df, o = many.unionByName(one), F.col("o")
     city, region, country = _text(o, "city"), F.coalesce(_text(o, "state"), _text(o, "region")), _text(o, "country")
     place = F.when(F.coalesce(city, region, country).isNotNull(), F.struct(city.alias("city"), region.alias("region"), country.alias("country")))
-    methods = {"full_name": "ats_field:candidateName", "emails": "ats_field:emailAddress", "phones": "ats_field:phoneNumber", "headline": "ats_field:jobTitle", "years_experience": "ats_field:yrsExp", "skills": "ats_field:skillList", "experience": "ats_field:currentEmployer+jobTitle", "location": "ats_field:city+region+state+country"}
-    return _records(df, "ats_json", F.col("source_id"), methods, full_name=_text(o, "candidateName"), emails=_one(_text(o, "emailAddress")), phones=_one(_text(o, "phoneNumber")), headline=_text(o, "jobTitle"), years_experience=F.try_variant_get(o, "$.yrsExp", "double"), skills=_array(o, "skillList", "string"), experience=_entry(_text(o, "currentEmployer"), _text(o, "jobTitle")), location=place)
+    methods = {"full_name": ("candidateName",), "emails": ("emailAddress",), "phones": ("phoneNumber",), "headline": ("jobTitle",), "years_experience": ("yrsExp",), "skills": ("skillList",), "experience": ("currentEmployer", "jobTitle"), "location": ("city", "region", "state", "country")}
+    methods = {k: _method(o, *keys) for k, keys in methods.items()}
+    return _records(df, "ats_json", F.col("source_id"), methods, full_name=_text(o, "candidateName"), emails=_one(_text(o, "emailAddress")), phones=_one(_text(o, "phoneNumber")), headline=_text(o, "jobTitle"), years_experience=F.try_variant_get(o, "$.yrsExp", "double"), skills=F.coalesce(_array(o, "skillList", "string"), _one(_text(o, "skillList"))), experience=_entry(_text(o, "currentEmployer"), _text(o, "jobTitle")), location=place)
 
 
 def place_of(text: Column) -> Column:
@@ -86,19 +106,35 @@ def place_of(text: Column) -> Column:
 def _links(linkedin: Column | None = None, github: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
     a, b = none if linkedin is None else linkedin, none if github is None else github
-    return F.when(F.coalesce(a, b).isNotNull(), F.struct(a.alias("linkedin"), b.alias("github"), none.alias("portfolio")))
+    return F.when(F.coalesce(a, b).isNotNull(), F.struct(a.alias("linkedin"), b.alias("github"), none.alias("portfolio"), F.array().cast("array<string>").alias("other")))
+
+
+def _distinct_words(items: Column) -> Column:
+    """Items that differ in more than case, each as it came first."""
+    known = lambda out, x: F.exists(out, lambda y: F.lower(y) == F.lower(x))
+    return F.aggregate(items, F.array().cast("array<string>"), lambda out, x: F.when(known(out, x), out).otherwise(F.concat(out, F.array(x))))
 
 
 def read_github(spark: SparkSession, path: str) -> DataFrame:
+    return github_records(_json(spark, path))
+
+
+def github_records(df: DataFrame) -> DataFrame:
+    """``(source_id, v)`` to records: a profile each."""
     v = F.col("v")
     login = _text(v, "login")
     url = F.coalesce(_text(v, "html_url"), F.concat(F.lit("https://github.com/"), login))
-    spoken = F.concat(F.coalesce(_array(v, "languages", "string"), F.array().cast("array<string>")), F.coalesce(F.transform(_array(v, "repositories", "variant"), lambda r: _text(r, "language")), F.array().cast("array<string>")))
+    spoken = F.concat(F.coalesce(_array(v, "languages", "string"), F.array().cast("array<string>")), F.coalesce(F.transform(F.coalesce(_array(v, "repositories", "variant"), _array(v, "repos", "variant")), lambda r: _text(r, "language")), F.array().cast("array<string>")))
     methods = {"full_name": "github_profile_name", "headline": "github_profile_bio", "location": "github_profile_location", "emails": "github_profile_email", "skills": "github_repo_languages", "links": "github_profile_url"}
-    return _records(_json(spark, path).where("v is not null"), "github", F.col("source_id"), methods, full_name=_text(v, "name"), headline=_text(v, "bio"), location=place_of(_text(v, "location")), emails=_one(_text(v, "email")), skills=F.array_distinct(F.filter(F.transform(spoken, clean), lambda x: x.isNotNull())), links=_links(github=url))
+    return _records(_objects(df), "github", F.col("source_id"), methods, full_name=_text(v, "name"), headline=_text(v, "bio"), location=place_of(_text(v, "location")), emails=_one(_text(v, "email")), skills=_distinct_words(F.filter(F.transform(spoken, clean), lambda x: x.isNotNull())), links=_links(github=url))
 
 
 def read_linkedin(spark: SparkSession, path: str) -> DataFrame:
+    return linkedin_records(_json(spark, path))
+
+
+def linkedin_records(df: DataFrame) -> DataFrame:
+    """``(source_id, v)`` to records: a profile each."""
     v = F.col("v")
     jobs = F.transform(_array(v, "experience", "variant"), lambda e: F.struct(_text(e, "company").alias("company"), _text(e, "title").alias("title"), _text(e, "start").alias("start"), _text(e, "end").alias("end"), F.coalesce(_text(e, "summary"), _text(e, "description")).alias("summary")))
     jobs = F.filter(jobs, lambda e: F.coalesce(*[e[k] for k in ("company", "title", "start", "end", "summary")]).isNotNull())
@@ -106,38 +142,94 @@ def read_linkedin(spark: SparkSession, path: str) -> DataFrame:
     schools = F.transform(schools, lambda e: F.struct(e["institution"].alias("institution"), e["degree"].alias("degree"), e["field"].alias("field"), e["end_year"].alias("end_year")))
     schools = F.filter(schools, lambda e: F.coalesce(e["institution"], e["degree"], e["field"], e["end_year"].cast("string")).isNotNull())
     methods = {k: f"linkedin_profile_{m}" for k, m in {"full_name": "name", "headline": "headline", "location": "location", "skills": "skills", "experience": "experience", "education": "education", "links": "url", "emails": "email"}.items()}
-    return _records(_json(spark, path).where("v is not null"), "linkedin", F.col("source_id"), methods, full_name=_text(v, "name"), headline=_text(v, "headline"), location=place_of(_text(v, "location")), emails=_one(_text(v, "email")), skills=F.filter(F.transform(_array(v, "skills", "string"), clean), lambda x: x.isNotNull()), experience=jobs, education=schools, links=_links(linkedin=_text(v, "profile_url")))
+    return _records(_objects(df), "linkedin", F.col("source_id"), methods, full_name=_text(v, "name"), headline=_text(v, "headline"), location=place_of(_text(v, "location")), emails=_one(_text(v, "email")), skills=F.filter(F.transform(_array(v, "skills", "string"), clean), lambda x: x.isNotNull()), experience=jobs, education=schools, links=_links(linkedin=_text(v, "profile_url")))
 
 
 def read_notes(spark: SparkSession, path: str, vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
-    """One record a text: first name, email and phone, and all mentions of the vocabulary."""
+    return notes_records(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source_id"), "value"), vocabulary)
+
+
+def notes_records(df: DataFrame, vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
+    """``(source_id, value)`` to records, one a text: first name, email and phone, and all mentions
+    of the vocabulary."""
     t = F.col("value")
     runs = F.regexp_extract_all(t, F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})\b"), 1)
     name = F.get(F.filter(runs, lambda x: ~F.lower(x).isin(*NOT_NAMES)), F.lit(0))
     methods = {"full_name": "regex_name", "emails": "regex_email", "phones": "regex_phone", "skills": "regex_skill"}
-    df = spark.read.text(path, wholetext=True)
-    return _records(df, "recruiter_notes", F.input_file_name(), methods, full_name=name, emails=_one(F.get(find_emails(t), F.lit(0))), phones=_one(F.get(find_phones(t), F.lit(0))), skills=mentions(t, vocabulary or load()))
+    return _records(df, "recruiter_notes", F.col("source_id"), methods, full_name=name, emails=_one(F.get(find_emails(t), F.lit(0))), phones=_one(F.get(find_phones(t), F.lit(0))), skills=mentions(t, vocabulary or load()))
 
 
 def read_resume(spark: SparkSession, path: str, vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
     """One record a text, DOCX or PDF resume; unreadable files have none (see ``resumes.faults``)."""
-    df = resumes.parse(resumes.texts(spark, path).where("text is not null"), vocabulary)
+    return resume_records(resumes.texts(spark, path), vocabulary)
+
+
+def resume_records(df: DataFrame, vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
+    """``(source_id, text)`` to records, one a text that is not null."""
+    df = resumes.parse(df.where("text is not null"), vocabulary)
     col = F.col
     fields = {k: col(k) for k in ("full_name", "headline", "skills", "experience", "education")}
     return _records(df, "resume", col("source_id"), resumes.METHODS, emails=_one(col("email")), phones=_one(col("phone")), location=place_of(col("place")), links=_links(col("linkedin"), col("github")), **fields)
 
 
-READERS = {"recruiter_csv": read_csv, "ats_json": read_ats, "github": read_github, "linkedin": read_linkedin, "resume": read_resume, "recruiter_notes": read_notes}
+#: What the error texts call a source of plain text (fixed values).
+TEXT_SOURCES = {"recruiter_csv": "recruiter CSV", "recruiter_notes": "recruiter notes"}
+
+
+def text_faults(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Errors ``(source, stage, error)`` of files that are not UTF-8, line by line at any size."""
+    bad = spark.read.text(path).select(F.input_file_name().alias("source"), "value").where(~F.is_valid_utf8("value")).select("source").distinct()
+    return bad.select("source", F.lit("ingest").alias("stage"), F.format_string(f"failed to read {TEXT_SOURCES[kind]} '%s': not valid UTF-8", "source").alias("error"))
+
+
+@dataclass(frozen=True)
+class Adapter:
+    """A kind of source: which locations it takes, and a function of session and path to records."""
+
+    kind: str
+    read: Callable[[SparkSession, str], DataFrame]
+    fits: Callable[[str], bool]
+    priority: int | None = None
+
+
+class Registry:
+    """Adapters in order of priority (by default that of the kind), then of their kinds."""
+
+    def __init__(self, adapters: Iterable[Adapter] = ()) -> None:
+        self._adapters: list[Adapter] = []
+        for a in adapters:
+            self.register(a)
+
+    @property
+    def adapters(self) -> list[Adapter]:
+        return list(self._adapters)
+
+    def register(self, adapter: Adapter) -> None:
+        rank = {k: i for i, k in enumerate(SOURCES)}
+        self._adapters.append(adapter)
+        self._adapters.sort(key=lambda a: (rank.get(a.kind, len(rank)) if a.priority is None else a.priority, a.kind))
+
+    def resolve(self, location: str, hint: str | None = None) -> Adapter:
+        """The first adapter of the hinted kind, or without a hint the first that takes the location."""
+        for a in self._adapters:
+            if a.kind == hint if hint else a.fits(location.lower()):
+                return a
+        raise ValueError(f"no reader for {hint or location}")
+
+
+REGISTRY = Registry(
+    [
+        Adapter("recruiter_csv", read_csv, lambda x: x.endswith(".csv")),
+        Adapter("ats_json", read_ats, lambda x: x.endswith(".json")),
+        Adapter("resume", read_resume, lambda x: x.endswith((".pdf", ".docx"))),
+        Adapter("linkedin", read_linkedin, lambda x: "linkedin.com" in x),
+        Adapter("github", read_github, lambda x: "github.com" in x),
+        Adapter("recruiter_notes", read_notes, lambda x: x.endswith(".txt")),
+    ]
+)
+READERS = {a.kind: a.read for a in REGISTRY.adapters}
 
 
 def route(location: str, hint: str | None = None) -> str:
-    """The reader of a location: by hint, else by ending or site in order of priority."""
-    if hint:
-        if hint not in READERS:
-            raise ValueError(f"no reader for {hint}")
-        return hint
-    low = location.lower()
-    for kind, fits in (("recruiter_csv", low.endswith(".csv")), ("ats_json", low.endswith(".json")), ("linkedin", "linkedin.com" in low), ("github", "github.com" in low), ("resume", low.endswith((".pdf", ".docx"))), ("recruiter_notes", low.endswith(".txt"))):
-        if fits:
-            return kind
-    raise ValueError(f"no reader for {location}")
+    """The kind of a location."""
+    return REGISTRY.resolve(location, hint).kind
