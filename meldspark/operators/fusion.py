@@ -32,23 +32,26 @@ def field_confidence(r: Column, agreement: Column, quality: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), a * r + b * agreement + c * quality))
 
 
-def scored(claims: DataFrame) -> DataFrame:
-    """Claims ``(candidate_id, field, value, quality, source_type, source_id, record_id, method)``
-    with agreement and confidence. Agreement: distinct sources of the value over the records that
-    hold the field. Two combinable aggregates joined back; a hot value is no hot task."""
+def scored(claims: DataFrame, key: str = "candidate_id") -> DataFrame:
+    """Claims ``(key, field, value, quality, source_type, source_id, record_id, method)`` with
+    agreement and confidence. Agreement: distinct sources of the value over the records that hold
+    the field. Two combinable aggregates joined back; a hot value is no hot task."""
     claims = claims.where("value is not null")
-    supply = claims.groupBy("candidate_id", "field", "value").agg(F.countDistinct("source_id").alias("supplying"))
-    hold = claims.groupBy("candidate_id", "field").agg(F.countDistinct("record_id").alias("containing"))
-    out = claims.join(supply, ["candidate_id", "field", "value"]).join(hold, ["candidate_id", "field"])
+    supply = claims.groupBy(key, "field", "value").agg(F.countDistinct("source_id").alias("supplying"))
+    hold = claims.groupBy(key, "field").agg(F.countDistinct("record_id").alias("containing"))
+    out = claims.join(supply, [key, "field", "value"]).join(hold, [key, "field"])
     out = out.withColumn("agreement", F.col("supplying") / F.col("containing"))
     return out.withColumn("confidence", field_confidence(reliability(F.col("source_type")), F.col("agreement"), F.col("quality")))
 
 
+def winner_rank() -> Column:
+    """Smallest priority, then highest confidence, then highest quality, then smallest value."""
+    return F.struct(priority(F.col("source_type")), -F.col("confidence"), -F.col("quality"), F.col("value"), F.col("source_id"), F.col("method"))
+
+
 def winners(scored_claims: DataFrame) -> DataFrame:
-    """One claim per candidate and field: smallest priority, then highest confidence, then highest
-    quality, then smallest value."""
-    rank = F.struct(priority(F.col("source_type")), -F.col("confidence"), -F.col("quality"), F.col("value"), F.col("source_id"), F.col("method"))
-    best = scored_claims.groupBy("candidate_id", "field").agg(F.min_by(F.struct("value", "confidence", "source_id", "method"), rank).alias("w"))
+    """One claim per candidate and field, by ``winner_rank``."""
+    best = scored_claims.groupBy("candidate_id", "field").agg(F.min_by(F.struct("value", "confidence", "source_id", "method"), winner_rank()).alias("w"))
     return best.select("candidate_id", "field", "w.*")
 
 
