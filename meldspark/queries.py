@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import canonical
-from .functions.scalar import entity_id, find_emails, find_phones, normalize_date, normalize_email
+from .functions.scalar import entity_id, find_emails, find_link, find_phones, normalize_date, normalize_email, normalize_phone, with_country
+from .functions.vocabulary import match_terms, mentions
 from .operators.fusion import combined, scored, winners
 from .operators.identity import resolve
+from .operators.scratch import scratch_dir
 from .plans.projection import project
+from .runs import read_sources
+from .sources import readers
 from .sources.readers import TYPES
 
 
@@ -98,26 +104,277 @@ def validate_query(spark: SparkSession, d: str) -> DataFrame:
     return project(_nested(spark, d), _CONFIG, "c_custkey")[1].groupBy("stage", "error").agg(F.count("*").alias("n"))
 
 
-def fusion_query(spark: SparkSession, d: str) -> DataFrame:
+#: What the nations are called here; the tables have numbers only.
+LANDS = (("Algeria", "DZ"), ("Argentina", "AR"), ("Brazil", "BR"), ("Canada", "CA"), ("Egypt", "EG"), ("Ethiopia", "ET"), ("France", "FR"), ("Germany", "DE"), ("India", "IN"), ("Indonesia", "ID"), ("Iran", "IR"), ("Iraq", "IQ"), ("Japan", "JP"), ("Jordan", "JO"), ("Kenya", "KE"), ("Morocco", "MA"), ("Mozambique", "MZ"), ("Peru", "PE"), ("China", "CN"), ("Romania", "RO"), ("Saudi Arabia", "SA"), ("Vietnam", "VN"), ("Russia", "RU"), ("United Kingdom", "GB"), ("United States", "US"))
+
+
+def _land(key: str) -> Column:
+    return F.element_at(F.array(*[F.lit(name) for name, _ in LANDS]), (F.pmod(F.col(key), F.lit(len(LANDS))) + 1).cast("int"))
+
+
+def _phone(key: str) -> Column:
+    return F.concat(F.lit("+1 415-555-"), F.lpad((F.col(key) % 10000).cast("string"), 4, "0"))
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
     """The full run: customers, suppliers and contact finds in documents as three sources."""
     none = {n: F.lit(None).cast(t).alias(n) for n, t in TYPES.items()}
+    method = F.create_map(*[x for n in TYPES for x in (F.lit(n), F.lit("column"))])
 
     def records(df: DataFrame, kind: str, key: str, **cols) -> DataFrame:
         fields = [cols[n].cast(t).alias(n) if n in cols else none[n] for n, t in TYPES.items()]
-        return df.select(F.xxhash64(F.lit(kind), F.col(key)).alias("record_id"), F.lit(kind).alias("source_id"), F.lit(kind).alias("source_type"), *fields, F.create_map(F.lit("full_name"), F.lit("column")).alias("methods"))
+        return df.select(F.xxhash64(F.lit(kind), F.col(key)).alias("record_id"), F.lit(kind).alias("source_id"), F.lit(kind).alias("source_type"), F.col(key).cast("long").alias("ordinal"), *fields, method.alias("methods"))
 
+    text = F.lit(None).cast("string")
     mail = lambda c: F.array(F.concat(F.lit("u"), (F.col(c) % 500).cast("string"), F.lit("@example.com")))
-    one = records(_table(spark, d, "customer"), "recruiter_csv", "c_custkey", full_name=F.col("c_name"), emails=mail("c_custkey"), headline=F.col("c_mktsegment"), years_experience=F.floor("c_acctbal") % 40)
-    two = records(_table(spark, d, "supplier"), "ats_json", "s_suppkey", full_name=F.col("s_name"), emails=mail("s_suppkey"), skills=F.array(F.lit("py"), F.lit("Sql")))
+    customers = _table(spark, d, "customer").withColumn("n_name", _land("c_nationkey"))
+    job = F.struct(F.col("c_mktsegment").alias("company"), F.lit("Buyer").alias("title"), F.lit("2019").alias("start"), F.lit("now").alias("end"), text.alias("summary"))
+    place = F.struct(text.alias("city"), text.alias("region"), F.when(F.col("c_custkey") % 9 == 0, "Nowhere").otherwise(F.col("n_name")).alias("country"))
+    place = F.when(F.col("c_custkey") % 9 == 0, place.withField("city", F.lit("Town"))).otherwise(place)
+    links = F.struct(text.alias("linkedin"), F.concat(F.lit("github.com/u"), (F.col("s_suppkey") % 7).cast("string")).alias("github"), text.alias("portfolio"), F.array(F.concat(F.lit("x.org/"), (F.col("s_suppkey") % 3).cast("string"))).alias("other"))
+    skills = F.array(F.lit("py"), F.lit("Sql"), F.concat(F.lit("Spell  "), (F.col("s_suppkey") % 3).cast("string")))
+    one = records(customers, "recruiter_csv", "c_custkey", full_name=F.col("c_name"), emails=mail("c_custkey"), headline=F.col("c_mktsegment"), years_experience=F.pmod(F.floor("c_acctbal"), F.lit(40)), experience=F.array(job), location=place)
+    two = records(_table(spark, d, "supplier"), "ats_json", "s_suppkey", full_name=F.col("s_name"), emails=mail("s_suppkey"), skills=skills, links=links)
     three = records(_table(spark, d, "documents").where(F.size(find_emails(F.col("text"))) > 0), "recruiter_notes", "doc_id", emails=find_emails(F.col("text")))
-    out = canonical(one.unionByName(two).unionByName(three))
-    return out.select("candidate_id", "full_name", F.size("emails").alias("n_emails"), "headline", "years_experience", F.array_join("skills.name", ",").alias("skills"), "overall_confidence")
+    return canonical(one.unionByName(two).unionByName(three))
+
+
+def fusion_query(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d).select(
+        "candidate_id", "full_name", F.array_join("emails", ",").alias("emails"), F.size("phones").alias("n_phones"), "headline", "years_experience", F.col("location.country").alias("country"), F.col("location.city").alias("city"),
+        F.col("links.github").alias("github"), F.array_join("links.other", ",").alias("other"), F.array_join("skills.name", ",").alias("skills"), F.array_join("unknown_skills", ",").alias("unknown"),
+        F.array_join("experience.company", ",").alias("companies"), F.round("overall_confidence", 9).alias("overall_confidence"),
+    )
+
+
+def provenance_query(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of all candidates by field, method and source, with the sum of their confidences."""
+    entry = _fused(spark, d).select(F.explode("provenance").alias("e")).select("e.*")
+    return entry.groupBy("field", "method", "source").agg(F.count("*").alias("n"), F.count("value").alias("found"), F.round(F.sum("confidence"), 6).alias("confidence"))
+
+
+# --- Sources: files, or texts that stand for them, made of the tables
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_records_query(spark: SparkSession, d: str) -> DataFrame:
+    """Customers written as CSV files, and read as such."""
+    k = F.col("c_custkey")
+    rows = _table(spark, d, "customer").select(
+        F.concat(F.lit("  "), F.col("c_name")).alias("name"), F.when(k % 5 > 0, F.concat(F.lit("C"), k.cast("string"), F.lit("@x.org"))).alias("email"), _phone("c_custkey").alias("phone"),
+        F.when(k % 3 > 0, F.concat(F.lit('a, "b"\n'), F.col("c_mktsegment"))).alias("current_company"), F.when(k % 4 > 0, F.lit(" Buyer ")).alias("title"), F.lit("x").alias("more"),
+    )
+    path = _scratch(spark, "csv")
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    got = readers.read_csv(spark, path)
+    return got.select("source_type", "full_name", F.col("emails")[0].alias("email"), F.col("phones")[0].alias("phone"), "headline", F.size("experience").alias("jobs"), F.col("experience")[0]["company"].alias("company"), F.col("methods")["headline"].alias("method"))
+
+
+def _json_text(*fields: Column) -> Column:
+    return F.to_json(F.struct(*fields))
+
+
+def ats_records_query(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON array of applicants for each nation."""
+    k = F.col("c_custkey")
+    person = F.struct(
+        k.alias("id"), F.col("c_name").alias("candidateName"), F.when(k % 2 == 0, F.concat(F.lit("c"), k.cast("string"), F.lit("@x.org"))).alias("emailAddress"), F.when(k % 3 == 0, F.col("c_mktsegment")).alias("currentEmployer"),
+        F.when(k % 4 == 0, "Buyer").alias("jobTitle"), (k % 30).alias("yrsExp"), F.array(F.lit("py"), F.col("c_mktsegment")).alias("skillList"),
+        F.when(k % 5 == 0, "Town").alias("city"), F.lit("R").alias("region"), F.when(k % 6 == 0, "S").alias("state"),
+    )
+    files = _table(spark, d, "customer").groupBy("c_nationkey").agg(F.to_json(F.array_sort(F.collect_list(person))).alias("t"))
+    got = readers.ats_records(files.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("source_id"), F.try_parse_json("t").alias("v")))
+    return got.select(
+        "source_id", "full_name", F.col("emails")[0].alias("email"), "headline", F.col("years_experience").cast("long").alias("years"), F.array_join("skills", ",").alias("skills"), F.col("experience")[0]["company"].alias("company"),
+        F.col("location.city").alias("city"), F.col("location.region").alias("region"), F.col("methods")["experience"].alias("job_method"), F.col("methods")["location"].alias("place_method"),
+    )
+
+
+def _object(spark: SparkSession, d: str, table: str, key: str, text: Column) -> DataFrame:
+    return _table(spark, d, table).select(F.concat(F.lit(f"{table}/"), F.col(key).cast("string")).alias("source_id"), F.try_parse_json(text).alias("v"))
+
+
+def github_records_query(spark: SparkSession, d: str) -> DataFrame:
+    """A profile for each supplier."""
+    k = F.col("s_suppkey")
+    spoken = F.array(F.lit("Go"), F.when(k % 2 == 0, "GO").otherwise("Rust"), F.lit(" "))
+    place = F.when(k % 4 == 0, "Town, North, Peru").when(k % 4 == 1, "Town, Peru").when(k % 4 == 2, "Town")
+    repos = F.array(F.struct(F.lit("go").alias("language")), F.struct(F.when(k % 3 == 0, "HCL").alias("language")))
+    text = _json_text(F.concat(F.lit("u"), k.cast("string")).alias("login"), F.col("s_name").alias("name"), F.lit(" ").alias("bio"), place.alias("location"), F.when(k % 5 == 0, "https://g.io/x").alias("html_url"), spoken.alias("languages"), repos.alias("repositories"))
+    got = readers.github_records(_object(spark, d, "supplier", "s_suppkey", text))
+    return got.select("source_id", "full_name", "headline", F.col("location.city").alias("city"), F.col("location.region").alias("region"), F.col("location.country").alias("country"), F.array_join("skills", ",").alias("skills"), F.col("links.github").alias("github"), F.col("methods")["skills"].alias("method"))
+
+
+def linkedin_records_query(spark: SparkSession, d: str) -> DataFrame:
+    """A profile for each customer, with orders as jobs."""
+    text = F.lit(None).cast("string")
+    job = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("company"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("  ")).otherwise(F.lit("Clerk")).alias("title"), F.date_format("o_orderdate", "MMMM yyyy").alias("start"), F.col("o_orderstatus").alias("description"))
+    job = F.when(F.col("o_orderkey") % 7 == 0, F.struct(F.col("o_orderkey").alias("id"), text.alias("company"), text.alias("title"), text.alias("start"), F.lit("").alias("description"))).otherwise(job)
+    jobs = _table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(job)).alias("experience"))
+    k = F.col("c_custkey")
+    school = F.array(F.struct(F.lit("North School").alias("institution"), F.when(k % 2 == 0, "2015").otherwise("soon").alias("end_year")), F.struct(F.lit(" ").alias("institution"), text.alias("end_year")))
+    people = _table(spark, d, "customer").join(jobs, F.col("c_custkey") == F.col("o_custkey"), "left")
+    said = _json_text(F.col("c_name").alias("name"), F.lit("a@b.org").alias("email"), F.concat(F.lit("linkedin.com/in/"), k.cast("string")).alias("profile_url"), F.array(F.lit("Go"), F.lit(""), F.col("c_mktsegment")).alias("skills"), "experience", school.alias("education"))
+    got = readers.linkedin_records(people.select(F.concat(F.lit("p"), k.cast("string")).alias("source_id"), F.try_parse_json(said).alias("v")))
+    jobs = F.transform("experience", lambda e: F.concat_ws("|", F.coalesce(e["company"], F.lit("-")), F.coalesce(e["title"], F.lit("-")), e["start"], e["summary"]))
+    return got.select("source_id", "full_name", F.col("links.linkedin").alias("linkedin"), F.array_join("skills", ",").alias("skills"), F.array_join(jobs, ";").alias("jobs"), F.size("education").alias("schools"), F.col("education")[0]["end_year"].alias("end_year"))
+
+
+def notes_records_query(spark: SparkSession, d: str) -> DataFrame:
+    """A note about each customer."""
+    k = F.col("c_custkey")
+    who = F.when(k % 3 == 0, "Jane Doe").when(k % 3 == 1, "Bob Lee").otherwise("Ann Mary Poe")
+    note = F.concat(F.lit("Call notes 2024-03-12. Good Culture.\nSpoke with "), who, F.lit(" at j"), k.cast("string"), F.lit("@x.org or z@x.org, "), _phone("c_custkey"), F.lit(". Strong on py, "), F.when(k % 2 == 0, "golang and PY").otherwise("C++ (go)"), F.lit(". Also Java2 and script."))
+    vocabulary = {"Python": ["py"], "Go": ["golang"], "C++": [], "Java": ["script"]}
+    got = readers.notes_records(_table(spark, d, "customer").select(F.concat(F.lit("n"), k.cast("string")).alias("source_id"), note.alias("value")), vocabulary)
+    return got.select("source_id", "full_name", F.col("emails")[0].alias("email"), F.col("phones")[0].alias("phone"), F.array_join("skills", ",").alias("skills"), F.col("methods")["full_name"].alias("method"))
+
+
+def resume_records_query(spark: SparkSession, d: str) -> DataFrame:
+    """A resume for each supplier."""
+    k = F.col("s_suppkey")
+    s = k.cast("string")
+    lines = [
+        F.lit(""), F.concat(F.lit("  "), F.col("s_name")), F.concat(F.lit("u"), s, F.lit("@x.org | +1 (415) 555-2671 | Town, North, "), F.col("n_name")), F.concat(F.lit("https://www.github.com/u"), s, F.lit(", linkedin.com/in/u"), s, F.lit(".")),
+        F.lit("Summary"), F.lit("Likes work."), F.lit("EXPERIENCE"), F.lit("no entry yet"), F.concat(F.lit("Acme "), s, F.lit(" - Engineer")), F.lit("Jan 2019 - Present"), F.lit("- Built x"), F.when(k % 2 == 0, "* and y").otherwise(""),
+        F.lit("Beta \u2014 Intern"), F.lit("2015 \u2013 2016"), F.lit("Education"), F.lit("GPA: 4.0"), F.concat(F.lit("University "), s), F.when(k % 3 == 0, "B.Sc. in Physics, 2014").otherwise("Chess club"), F.lit("Projects"), F.lit("Late University"),
+        F.lit("Skills"), F.when(k % 4 == 0, "").otherwise("Backend: Java, Go, 12"),
+    ]
+    people = _table(spark, d, "supplier").withColumn("n_name", _land("s_nationkey"))
+    got = readers.resume_records(people.select(F.concat(F.lit("r"), s).alias("source_id"), F.array_join(F.array(*lines), "\n").alias("text")), {"Python": ["py"], "Chess": []})
+    jobs = F.transform("experience", lambda e: F.concat_ws("|", e["company"], e["title"], e["start"], e["end"], e["summary"]))
+    schools = F.transform("education", lambda e: F.concat_ws("|", e["institution"], e["degree"], e["field"], e["end_year"].cast("string")))
+    return got.select(
+        "source_id", "full_name", F.col("emails")[0].alias("email"), F.col("phones")[0].alias("phone"), F.col("location.city").alias("city"), F.col("location.region").alias("region"), F.col("location.country").alias("country"), "headline",
+        F.col("links.github").alias("github"), F.col("links.linkedin").alias("linkedin"), F.array_join("skills", ",").alias("skills"), F.array_join(jobs, ";").alias("jobs"), F.array_join(schools, ";").alias("schools"),
+    )
+
+
+def source_errors_query(spark: SparkSession, d: str) -> DataFrame:
+    """What a run says of sources that cannot be read, or hold something else."""
+    path = _scratch(spark, "sources")
+    orders = _table(spark, d, "orders").groupBy().agg(F.count("*").alias("n"))
+    for name, text in (("bad.json", F.lit("{nope")), ("list.json", F.concat(F.lit('[{"candidateName":"A"},'), F.col("n").cast("string"), F.lit(',"x",null,[1]]'))), ("gh", F.lit("[1]")), ("ok.csv", F.lit("name,email\nAnn,a@x")), ("head.csv", F.lit("name,email"))):
+        orders.select(text).coalesce(1).write.text(f"{path}/{name}")
+    orders.select(F.expr("cast(unhex('6EFF0A') as string)")).coalesce(1).write.text(f"{path}/n.txt")
+    refs = [(f"{path}/{n}", k) for n, k in (("bad.json", None), ("list.json", None), ("gh", "github"), ("ok.csv", None), ("head.csv", None), ("n.txt", None), ("gone.csv", None), ("x.zip", None))] + [("https://x.org/a.txt", None)]
+    records, errors = read_sources(spark, refs)
+    said = errors.select(F.lit("error").alias("what"), "stage", F.regexp_extract("source", r"/([a-z.]+)(?:/[^/]*)?$", 1).alias("source"), F.regexp_extract("error", "^([A-Za-z]+(?: [a-z]+)?)", 1).alias("text"))
+    found = records.select(F.lit("record").alias("what"), F.col("source_type").alias("stage"), F.regexp_extract("source_id", r"/([a-z.]+)(?:/[^/]*)?$", 1).alias("source"), "full_name")
+    return said.unionByName(found.withColumnRenamed("full_name", "text"))
+
+
+def route_query(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of locations, by hint or by name in order of priority; with one adapter more."""
+    registry = readers.Registry([*readers.REGISTRY.adapters, readers.Adapter("web_page", readers.read_notes, lambda x: x.startswith("http"), 3)])
+    urls = [("a/B.CSV", None), ("https://github.com/x.json", None), ("https://www.linkedin.com/in/a", None), ("https://github.com/a", None), ("cv.PDF", None), ("cv.docx", None), ("n.txt", None), ("n.txt", "resume"), ("any", "github"), ("https://x.org/", None), ("x.zip", None), ("a.csv", "nothing")]
+
+    def kind(location: str, hint: str | None) -> str:
+        try:
+            return registry.resolve(location, hint).kind
+        except ValueError:
+            return "none"
+
+    return spark.createDataFrame([(u, h or "", kind(u, h)) for u, h in urls], "location string, hint string, kind string")
+
+
+# --- Scalars and vocabulary
+
+
+def normalize_phone_query(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    four, kind = F.lpad((k % 10000).cast("string"), 4, "0"), k % 7
+    text = F.when(kind == 0, F.concat(F.lit("+1 (415) 555-"), four)).when(kind == 1, F.concat(F.lit(" +44 20 7946 "), four)).when(kind == 2, F.concat(F.lit("415-555-"), four)).when(kind == 3, F.concat(F.lit("+91 98765 4"), four)).when(kind == 4, F.concat(F.lit("+999 1234 "), four)).when(kind == 5, F.concat(F.lit("+1 115 555 "), four)).otherwise("n/a")
+    out = _table(spark, d, "orders").select("o_orderkey", normalize_phone(text).alias("n"), normalize_phone(text, "1").alias("m"))
+    return out.select("o_orderkey", F.col("n.value").alias("phone"), F.col("n.quality").alias("quality"), F.col("m.value").alias("assumed"), F.col("m.quality").alias("assumed_quality"))
+
+
+def normalize_country_query(spark: SparkSession, d: str) -> DataFrame:
+    """The nation of each customer by name, by part of its name, or as something else."""
+    k = F.col("c_custkey")
+    said = F.when(k % 4 == 0, F.col("n_name")).when(k % 4 == 1, F.concat(F.lit(" "), F.lower("n_name"), F.lit("\t"))).when(k % 4 == 2, F.expr("substring(n_name, 1, length(n_name) - 1)")).otherwise(F.when(k % 8 == 3, "gbr").otherwise("Atlantis"))
+    people = _table(spark, d, "customer").withColumn("n_name", _land("c_nationkey"))
+    return with_country(people.select("c_custkey", said.alias("said")), "said", "land").select("c_custkey", F.col("land.value").alias("code"), F.col("land.quality").alias("quality"))
+
+
+_TERMS = {"Anodised": ["anodized"], "Burnishedd": [], "Plated": ["plate d"], "Tin": ["tn"], "Steel Work": ["STEEL"]}
+
+
+def match_terms_query(spark: SparkSession, d: str) -> DataFrame:
+    terms = _table(spark, d, "part").select("p_partkey", F.explode(F.split("p_type", " ")).alias("term"))
+    return match_terms(terms, "term", _TERMS).select("p_partkey", "key", "name", "quality")
+
+
+_WORDS = {"The": ["of"], "Der": [], "In C++": [], "et": ["la"], "Password": ["secret", "key"]}
+
+
+def skill_mentions_query(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", F.explode(mentions(F.coalesce("text", F.lit("")), _WORDS)).alias("raw")).select("doc_id", F.lower("raw").alias("form"))
+
+
+def profile_links_query(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id").cast("string")
+    text = F.concat(F.lit("See https://www.GitHub.com/u"), k, F.lit("/x., or "), F.coalesce("url", F.lit("")), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" linkedin.com/in/p-"), k, F.lit(";"))).otherwise(" linkedin.com/p"))
+    return _table(spark, d, "pages").select("page_id", find_link(text, "github.com").alias("github"), find_link(text, "linkedin.com/in").alias("linkedin"))
+
+
+def identity_names_query(spark: SparkSession, d: str) -> DataFrame:
+    """Two records for each customer, with names that differ in a letter and contacts of some kinds."""
+    k = F.col("c_custkey")
+    none = F.array().cast("array<string>")
+
+    def side(kind: Column, letter: str, odd: int) -> DataFrame:
+        has = lambda bit, mark: F.when((kind / bit).cast("long") % 2 == 1, F.array(F.concat(F.lit(f"{mark}{letter}"), k.cast("string")))).otherwise(none)
+        name = F.concat(F.substring(F.md5(k.cast("string")), 1, 20), F.lit(letter))
+        return _table(spark, d, "customer").select((2 * k + odd).cast("long").alias("record_id"), has(1, "e").alias("emails"), has(2, "p").alias("phones"), name.alias("name"))
+
+    keys = side(k % 4, "x", 0).unionByName(side((k / 4).cast("long") % 4, "y", 1))
+    return resolve(keys).select("record_id", "group_id", "candidate_id")
+
+
+# --- Projection and validation
+
+_STRICT = {
+    "include_provenance": False,
+    "include_confidence": True,
+    "on_missing": "omit",
+    "fields": [
+        {"path": "c_custkey", "type": "string"},
+        {"path": "orders[0].o_orderstatus", "name": "first", "required": True, "enum": ["O", 1]},
+        {"path": "orders", "type": "array", "element_type": {"o_orderkey": "number", "o_orderstatus": "number", "clerk": "string"}},
+        {"path": "c_name", "normalize": "UPPERCASE", "enum": [1, 2]},
+        {"path": "c_nationkey", "enum": ["1", 2, 3]},
+        {"path": "orders[].o_orderkey", "name": "keys", "type": "number[]", "element_type": "string"},
+        {"path": "nothing", "on_missing": "null"},
+        {"path": "phone", "normalize": "E164", "type": "string"},
+    ],
+}
+
+
+def _strict(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nested = _nested(spark, d).withColumn("orders", F.slice("orders", 1, 2)).withColumn("overall_confidence", F.lit(0.5)).withColumn("phone", F.when(F.col("c_custkey") % 2 == 0, _phone("c_custkey")).otherwise("12"))
+    return project(nested, _STRICT, "c_custkey")
+
+
+def project_dialect_query(spark: SparkSession, d: str) -> DataFrame:
+    return _strict(spark, d)[0]
+
+
+def validate_elements_query(spark: SparkSession, d: str) -> DataFrame:
+    return _strict(spark, d)[1].groupBy("stage", "error").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
     "find_emails": find_emails_query, "find_phones": find_phones_query, "normalize_date": normalize_date_query, "candidate_id_uuid5": candidate_id_query,
     "json_field_map": json_field_map_query, "union_sources": union_sources_query, "agreement_confidence": agreement_confidence_query, "winner_selection": winner_selection_query,
     "list_combine": list_combine_query, "identity_exact": identity_exact_query, "project_paths": project_paths_query, "validate_schema": validate_query, "fusion": fusion_query,
+    "provenance": provenance_query, "csv_records": csv_records_query, "ats_records": ats_records_query, "github_records": github_records_query, "linkedin_records": linkedin_records_query,
+    "notes_records": notes_records_query, "resume_records": resume_records_query, "source_errors": source_errors_query, "route_sources": route_query, "normalize_phone": normalize_phone_query,
+    "normalize_country": normalize_country_query, "match_terms": match_terms_query, "skill_mentions": skill_mentions_query, "profile_links": profile_links_query, "identity_names": identity_names_query,
+    "project_dialect": project_dialect_query, "validate_elements": validate_elements_query,
 }
 
 _EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -146,12 +403,6 @@ select c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h,
     "agreement_confidence": f"with {_CLAIMS} select distinct candidate_id, value, source_type, round(agreement, 9) as agreement, round(confidence, 9) as confidence from scored",
     "winner_selection": f"with {_CLAIMS} select candidate_id, value, source_id, round(confidence, 9) as confidence from (select *, row_number() over (partition by candidate_id order by rank, -confidence, value, source_id) as n from scored) where n = 1",
     "list_combine": f"with {_CLAIMS} select candidate_id, string_agg(distinct value, ',' order by value) as vals, round(max(confidence), 9) as confidence from scored group by all",
-    "identity_exact": """with recursive r as (select o_orderkey as id, 'c' || o_custkey::varchar as e, case when o_orderkey % 50 < 6 then 'p' || (o_orderkey // 50)::varchar end as p from orders where o_orderkey % 3 = 0),
-k as (select id, e as k from r union all select id, p from r where p is not null),
-edge as (select distinct a.id as a, m.b from k a join (select k, min(id) as b from k group by 1) m using (k)),
-two as (select a, b from edge union select b, a from edge),
-walk(id, g) as (select id, id from r union select two.b, walk.g from walk join two on two.a = walk.id where walk.g < two.b)
-select group_id, count(*) as n from (select id, min(g) as group_id from walk group by 1) group by 1""",
     "project_paths": f"""with {_NESTED}
 select c_custkey, '{{"id":' || c_custkey || ',"first":' || coalesce(orders[1].k::varchar, 'null') || case when len(orders) > 2 then ',"third":"' || orders[3].s || '"' else '' end || ',"segment":"' || lower(c_mktsegment) || '"' ||
 case when orders is null then '' else ',"states":["' || array_to_string(list_transform(orders, lambda x: x.s), '","') || '"]' end || '}}' as profile from nested""",
@@ -161,3 +412,117 @@ union all select 'validate', 'field ''segment'': value is not in the enum' from
 union all select 'project', 'field ''states'': required value is missing' from nested where orders is null)
 select stage, error, count(*) as n from e group by all""",
 }
+
+_LAND = "case" + "".join(f" when {{0}} % {len(LANDS)} = {i} then '{name}'" for i, (name, _) in enumerate(LANDS)) + " end"
+_CODE = "case" + "".join(f" when {{0}} % {len(LANDS)} = {i} then '{code}'" for i, (_, code) in enumerate(LANDS)) + " end"
+_PHONE = "'+1 415-555-' || lpad(({0} % 10000)::varchar, 4, '0')"
+
+# Records, their groups (shared emails, by smallest record reachable), and claims with agreement.
+_FUSED = rf"""mails as (select 'd' || doc_id::varchar as rec, lower(unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '{_EMAIL}')))) as mail, 2 as src, doc_id::bigint as ord from documents
+  union all select 'c' || c_custkey::varchar, 'u' || (c_custkey % 500)::varchar || '@example.com', 0, c_custkey::bigint from customer
+  union all select 's' || s_suppkey::varchar, 'u' || (s_suppkey % 500)::varchar || '@example.com', 1, s_suppkey::bigint from supplier),
+hops as (select distinct a.mail as a, b.mail as b from mails a join mails b using (rec) where a.src = 2),
+walk(mail, g) as (select distinct mail, mail from mails union select h.b, w.g from walk w join hops h on h.a = w.mail where w.g < h.b),
+home as (select mail, min(g) as g from walk group by 1),
+recs as (select rec, src, min(ord) as ord, min(g) as g, min(mail) as low from mails join home using (mail) group by 1, 2),
+kinds as (select * from (values (0, 'recruiter_csv', 0.95::double, 0), (1, 'ats_json', 0.90::double, 1), (2, 'recruiter_notes', 0.60::double, 5)) as t(src, kind, r, pri)),
+facts as (
+  select r.*, c.c_name, c.c_mktsegment, c.c_custkey, c.c_nationkey, c.c_acctbal, s.s_suppkey, s.s_name from recs r
+  left join customer c on r.src = 0 and c.c_custkey = r.ord left join supplier s on r.src = 1 and s.s_suppkey = r.ord),
+claims as (
+  select g, rec, src, 'full_name' as field, coalesce(c_name, s_name) as value, 1.0::double as q from facts
+  union all select g, rec, src, 'emails', mail, case when regexp_full_match(mail, '[^@\s]+@[^@\s.]+(\.[^@\s.]+)+') then 1.0 else 0.7 end from mails join recs using (rec, src)
+  union all select g, rec, src, 'headline', c_mktsegment, 1.0 from facts
+  union all select g, rec, src, 'years_experience', (((floor(c_acctbal)::bigint % 40) + 40) % 40)::varchar, 1.0 from facts where src = 0
+  union all select g, rec, src, 'location', case when c_custkey % 9 = 0 then '{{"city":"Town","region":null,"country":null}}' else '{{"city":null,"region":null,"country":"' || {_CODE.format("c_nationkey")} || '"}}' end, case when c_custkey % 9 = 0 then 0.5 else 1.0 end from facts where src = 0
+  union all select g, rec, src, 'links.github', 'github.com/u' || (s_suppkey % 7)::varchar, 1.0 from facts where src = 1
+  union all select g, rec, src, 'links.other', 'x.org/' || (s_suppkey % 3)::varchar, 1.0 from facts where src = 1
+  union all select g, rec, src, 'skills', 'Python', 0.8 from facts where src = 1
+  union all select g, rec, src, 'skills', 'SQL', 1.0 from facts where src = 1),
+marks as (
+  select c.*, k.kind, k.pri, k.r, greatest(0.0::double, least(1.0::double, 0.5::double * k.r + 0.3::double * (s.n / h.n) + 0.2::double * q)) as conf, s.n / h.n as agree from claims c join kinds k using (src)
+  join (select g, field, value, count(distinct src)::double as n from claims where value is not null group by all) s using (g, field, value)
+  join (select g, field, count(distinct rec)::double as n from claims where value is not null group by all) h using (g, field)),
+wins as (select * from (select *, row_number() over (partition by g, field order by pri, -conf, -q, value) as n from marks where field not in ('emails', 'links.other', 'skills')) where n = 1),
+names as (select g, value, greatest(0.0::double, least(1.0::double, 0.5::double * max(r) + 0.3::double * max(agree) + 0.2::double * max(q))) as conf from marks where field = 'skills' group by all)"""
+
+_ONE = lambda field, of="value": f"max(case when w.field = '{field}' then w.{of} end)"
+ORACLES |= {
+    "fusion": f"""with recursive {_FUSED},
+flat as (select g, {_ONE("full_name")} as full_name, {_ONE("headline")} as headline, {_ONE("years_experience")}::double as years, {_ONE("location")} as place, {_ONE("links.github")} as github,
+  {_ONE("full_name", "conf")} as c1, {_ONE("location", "conf")} as c4, {_ONE("links.github", "conf")} as c5, {_ONE("headline", "conf")} as c6, {_ONE("years_experience", "conf")} as c7 from wins w group by g),
+ids as (select g, min(mail) as mail, string_agg(distinct mail, ',' order by mail) as emails from home join mails using (mail) group by g),
+h as (select *, sha1(unhex('6f9b3f7a2c1e5d8b9a4c3e2d1f0a7b6c') || encode('email:' || mail)) as h from ids),
+lists as (select g, max(case when field = 'emails' then conf end) as c2, max(case when field = 'links.other' then conf end) as other, string_agg(distinct case when field = 'links.other' then value end, ',' order by case when field = 'links.other' then value end) as others from marks group by g),
+known as (select g, string_agg(value, ',' order by value) as skills, max(conf) as c8 from names group by g),
+stray as (select g, string_agg(distinct 'Spell ' || (s_suppkey % 3)::varchar, ',' order by 'Spell ' || (s_suppkey % 3)::varchar) as unknown from facts where src = 1 group by g),
+jobs as (select g, string_agg(company, ',' order by first) as companies from (select g, c_mktsegment as company, min(struct_pack(a := low, b := lower(c_name), c := ord)) as first from facts where src = 0 group by all) group by g)
+select substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + ((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4)::int, 1) || substr(h, 18, 1) || substr(h, 19, 2) || '-' || substr(h, 21, 12) as candidate_id,
+  full_name, emails, 0::int as n_phones, headline, years as years_experience, json_extract_string(place, '$.country') as country, json_extract_string(place, '$.city') as city, github, coalesce(others, '') as other, coalesce(skills, '') as skills, coalesce(unknown, '') as unknown, coalesce(companies, '') as companies,
+  round((coalesce(c1, 0) + coalesce(c2, 0) + coalesce(c4, 0) + coalesce(greatest(c5, lists.other), 0) + coalesce(c6, 0) + coalesce(c7, 0) + coalesce(c8, 0) + case when companies is null then 0 else 0.5::double * 0.95::double + 0.3::double + 0.2::double end)
+    / ((c1 is not null)::int + (c2 is not null)::int + (c4 is not null)::int + (greatest(c5, lists.other) is not null)::int + (c6 is not null)::int + (c7 is not null)::int + (c8 is not null)::int + (companies is not null)::int), 9) as overall_confidence
+from h left join flat using (g) left join lists using (g) left join known using (g) left join stray using (g) left join jobs using (g)""",
+    "provenance": f"""with recursive {_FUSED},
+had as (select g, field, 'column' as method, kind as source, conf from wins union all select g, field, 'column', kind, conf from marks where field in ('emails', 'links.other', 'skills')
+  union all select g, 'unknown_skills', 'column', 'ats_json', 0.0 from facts where src = 1
+  union all select distinct g, 'experience#' || c_mktsegment, 'column', 'recruiter_csv', 0.5::double * 0.95::double + 0.3::double + 0.2::double from facts where src = 0),
+fields as (select unnest(['full_name', 'emails', 'phones', 'location', 'links.linkedin', 'links.github', 'links.portfolio', 'links.other', 'headline', 'years_experience', 'skills', 'experience', 'education']) as field),
+every as (select g, split_part(field, '#', 1) as field, method, source, conf, true as found from had
+  union all select g, field, 'not_found', null, 0.0, false from (select distinct g from home) cross join fields where (g, field) not in (select g, split_part(field, '#', 1) from had))
+select field, method, source, count(*) as n, count(*) filter (found) as found, round(sum(conf), 6) as confidence from every group by all""",
+    "csv_records": f"""select 'recruiter_csv' as source_type, c_name as full_name, case when c_custkey % 5 > 0 then 'C' || c_custkey::varchar || '@x.org' end as email, {_PHONE.format("c_custkey")} as phone, case when c_custkey % 4 > 0 then 'Buyer' end as headline,
+case when c_custkey % 3 > 0 or c_custkey % 4 > 0 then 1 end::int as jobs, case when c_custkey % 3 > 0 then 'a, "b"' || chr(10) || c_mktsegment end as company, 'csv_column' as method from customer""",
+    "ats_records": """with c as (select *, row_number() over (partition by c_nationkey order by c_custkey) - 1 as i from customer)
+select 'n' || c_nationkey::varchar || '#' || i::varchar as source_id, c_name as full_name, case when c_custkey % 2 = 0 then 'c' || c_custkey::varchar || '@x.org' end as email, case when c_custkey % 4 = 0 then 'Buyer' end as headline,
+(c_custkey % 30)::bigint as years, 'py,' || c_mktsegment as skills, case when c_custkey % 3 = 0 then c_mktsegment end as company, case when c_custkey % 5 = 0 then 'Town' end as city, case when c_custkey % 6 = 0 then 'S' else 'R' end as region,
+case when c_custkey % 12 = 0 then 'ats_field:currentEmployer+jobTitle' when c_custkey % 3 = 0 then 'ats_field:currentEmployer' when c_custkey % 4 = 0 then 'ats_field:jobTitle' end as job_method,
+'ats_field:' || case when c_custkey % 5 = 0 then 'city+' else '' end || 'region' || case when c_custkey % 6 = 0 then '+state' else '' end as place_method from c""",
+    "github_records": """select 'supplier/' || s_suppkey::varchar as source_id, s_name as full_name, null::varchar as headline, case when s_suppkey % 4 < 3 then 'Town' end as city, case when s_suppkey % 4 = 0 then 'North' end as region, case when s_suppkey % 4 < 2 then 'Peru' end as country,
+'Go' || case when s_suppkey % 2 = 0 then '' else ',Rust' end || case when s_suppkey % 3 = 0 then ',HCL' else '' end as skills, case when s_suppkey % 5 = 0 then 'https://g.io/x' else 'https://github.com/u' || s_suppkey::varchar end as github, 'github_repo_languages' as method from supplier""",
+    "linkedin_records": """with j as (select o_custkey, string_agg(o_orderpriority || '|' || case when o_orderkey % 2 = 0 then '-' else 'Clerk' end || '|' || strftime(o_orderdate, '%B %Y') || '|' || o_orderstatus, ';' order by o_orderkey) as jobs from orders where o_orderkey % 7 <> 0 group by 1)
+select 'p' || c_custkey::varchar as source_id, c_name as full_name, 'linkedin.com/in/' || c_custkey::varchar as linkedin, 'Go,' || c_mktsegment as skills, case when c_custkey in (select o_custkey from orders) then coalesce(jobs, '') end as jobs, 1::int as schools, case when c_custkey % 2 = 0 then 2015 end::int as end_year
+from customer left join j on o_custkey = c_custkey""",
+    "notes_records": f"""select 'n' || c_custkey::varchar as source_id, case c_custkey % 3 when 0 then 'Jane Doe' when 1 then 'Bob Lee' else 'Ann Mary Poe' end as full_name, 'j' || c_custkey::varchar || '@x.org' as email, {_PHONE.format("c_custkey")} as phone,
+case when c_custkey % 2 = 0 then 'py,golang,script' else 'py,C++,go,script' end as skills, 'regex_name' as method from customer""",
+    "resume_records": f"""select 'r' || s_suppkey::varchar as source_id, s_name as full_name, 'u' || s_suppkey::varchar || '@x.org' as email, '+1 (415) 555-2671' as phone, 'Town' as city, 'North' as region, {_LAND.format("s_nationkey")} as country, 'Engineer' as headline,
+'https://www.github.com/u' || s_suppkey::varchar as github, 'linkedin.com/in/u' || s_suppkey::varchar as linkedin, case when s_suppkey % 4 > 0 then 'Java,Go' when s_suppkey % 3 > 0 then 'Chess' else '' end as skills,
+'Acme ' || s_suppkey::varchar || '|Engineer|Jan 2019|Present|Built x' || case when s_suppkey % 2 = 0 then ' and y' else '' end || ';Beta|Intern|2015|2016' as jobs, 'University ' || s_suppkey::varchar || case when s_suppkey % 3 = 0 then '|B.Sc.|Physics|2014' else '' end as schools from supplier""",
+    "source_errors": """select what, stage, source, text from (values ('error', 'ingest', 'bad.json', 'source'), ('error', 'extract', 'list.json', 'Expected a'), ('error', 'extract', 'list.json', 'Expected a'), ('error', 'extract', 'list.json', 'Expected a'), ('error', 'extract', 'list.json', 'Expected a'),
+('error', 'extract', 'gh', 'Expected a'), ('error', 'ingest', 'n.txt', 'failed to'), ('error', 'ingest', 'gone.csv', 'failed to'), ('error', 'ingest', 'x.zip', 'No registered'), ('error', 'ingest', 'x.org', 'failed to'),
+('record', 'ats_json', 'list.json', 'A'), ('record', 'ats_json', 'list.json', null), ('record', 'ats_json', 'list.json', null), ('record', 'ats_json', 'list.json', null), ('record', 'ats_json', 'list.json', null), ('record', 'github', 'gh', null), ('record', 'recruiter_csv', 'ok.csv', 'Ann'), ('record', 'recruiter_csv', 'head.csv', null)) as t(what, stage, source, text)""",
+    "route_sources": """select location, hint, kind from (values ('a/B.CSV', '', 'recruiter_csv'), ('https://github.com/x.json', '', 'ats_json'), ('https://www.linkedin.com/in/a', '', 'linkedin'), ('https://github.com/a', '', 'web_page'), ('cv.PDF', '', 'resume'), ('cv.docx', '', 'resume'),
+('n.txt', '', 'recruiter_notes'), ('n.txt', 'resume', 'resume'), ('any', 'github', 'github'), ('https://x.org/', '', 'web_page'), ('x.zip', '', 'none'), ('a.csv', 'nothing', 'none')) as t(location, hint, kind)""",
+    "normalize_phone": """with t as (select o_orderkey, lpad((o_orderkey % 10000)::varchar, 4, '0') as f, o_orderkey % 7 as k from orders),
+n as (select *, case k when 0 then '+1415555' || f when 1 then '+44207946' || f when 3 then '+91987654' || f end as phone from t)
+select o_orderkey, phone, case when phone is null then 0.0 else 1.0 end::double as quality, case when k = 2 then '+1415555' || f else phone end as assumed, case when k = 2 then 0.7 when phone is null then 0.0 else 1.0 end::double as assumed_quality from n""",
+    "normalize_country": f"""with t as (select c_custkey, c_custkey % 4 as k, c_custkey % 8 as e, {_CODE.format("c_nationkey")} as code from customer)
+select c_custkey, case when k = 2 and code = 'IR' then 'IQ' when k < 3 then code when e = 3 then 'GB' end as code, case when k < 2 or k = 2 and code = 'PE' then 1.0 when k = 2 then 0.7 when e = 3 then 1.0 else 0.0 end::double as quality from t""",
+    "match_terms": """with t as (select p_partkey, lower(unnest(str_split(p_type, ' '))) as key from part)
+select p_partkey, key, case key when 'anodized' then 'Anodised' when 'burnished' then 'Burnishedd' when 'plated' then 'Plated' when 'tin' then 'Tin' when 'steel' then 'Steel Work' end as name,
+case key when 'anodized' then 0.8 when 'burnished' then 0.6 when 'plated' then 1.0 when 'tin' then 1.0 when 'steel' then 0.8 end::double as quality from t""",
+    "skill_mentions": r"""with w as (select unnest(['the', 'of', 'der', 'in c++', 'et', 'la', 'password', 'secret', 'key']) as form)
+select doc_id, form from documents, w where regexp_matches(coalesce(text, ''), '(?i)(^|[^A-Za-z0-9+#.])' || replace(form, '+', '\+') || '($|[^A-Za-z0-9+#])')""",
+    "profile_links": """select page_id, 'https://www.GitHub.com/u' || page_id::varchar || '/x' as github, case when page_id % 2 = 0 then 'linkedin.com/in/p-' || page_id::varchar end as linkedin from pages""",
+    "identity_names": """with k as (select c_custkey::bigint as c, c_custkey % 4 as a, c_custkey // 4 % 4 as b, substr(md5(c_custkey::varchar), 1, 20) as n from customer),
+f as (select *, a = 0 or b = 0 or (a = 1 and b = 2) or (a = 2 and b = 1) as one from k),
+r as (select 2 * c as record_id, c, one, a as kind, 'x' as l, n from f union all select 2 * c + 1, c, one, b, 'y', n from f),
+own as (select *, case when kind % 2 = 1 then 'e' || l || c::varchar end as e, case when kind >= 2 then 'p' || l || c::varchar end as p, n || l as name from r),
+g as (select *, case when one then 2 * c else record_id end as group_id from own),
+id as (select group_id, coalesce('email:' || min(e), 'phone:' || min(p), 'name:' || min(name)) as key from g group by 1),
+h as (select group_id, sha1(unhex('6f9b3f7a2c1e5d8b9a4c3e2d1f0a7b6c') || encode(key)) as h from id)
+select record_id, group_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + ((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4)::int, 1) || substr(h, 18, 1) || substr(h, 19, 2) || '-' || substr(h, 21, 12) as candidate_id from g join h using (group_id)""",
+    "project_dialect": f"""with {_NESTED}, two as (select *, orders[1:2] as os from nested)
+select c_custkey, '{{"c_custkey":' || c_custkey || case when os is null then '' else ',"first":"' || os[1].s || '","orders":[' || array_to_string(list_transform(os, lambda o: '{{"o_orderkey":' || o.k || ',"o_orderstatus":"' || o.s || '"}}'), ',') || ']' end || ',"c_name":"' || upper(c_name) || '","c_nationkey":' || c_nationkey
+  || case when os is null then '' else ',"keys":[' || array_to_string(list_transform(os, lambda o: o.k), ',') || ']' end || ',"nothing":null,"phone":"' || case when c_custkey % 2 = 0 then '+1415555' || lpad((c_custkey % 10000)::varchar, 4, '0') else '12' end || '","overall_confidence":0.5}}' as profile from two""",
+    "validate_elements": f"""with {_NESTED}, two as (select *, orders[1:2] as os from nested), o as (select unnest(generate_series(0, len(os) - 1)) as i from two where os is not null), e as (
+select 'project' as stage, 'invalid path ''nothing''' as error from two
+union all select 'validate', 'field ''c_custkey'': expected type string' from two
+union all select 'validate', 'field ''first'': required field is missing' from two where os is null
+union all select 'validate', 'field ''first'': value is not in the enum' from two where os[1].s <> 'O'
+union all select 'validate', 'field ''c_name'': value is not in the enum' from two
+union all select 'validate', 'field ''c_nationkey'': value is not in the enum' from two where c_nationkey not in (2, 3)
+union all select 'validate', 'field ''orders[' || i || '].o_orderstatus'': expected type ''number'' but got ''str''' from o
+union all select 'validate', 'field ''orders[' || i || '].clerk'': required object subfield is missing' from o
+union all select 'validate', 'field ''keys[' || i || ']'': expected element type ''string'' but got ''int''' from o)
+select stage, error, count(*) as n from e group by all""",
+}

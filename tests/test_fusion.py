@@ -16,25 +16,23 @@ from meldspark.operators import identity
 from meldspark.plans.projection import parse_path, project
 
 SF = "/root/testdata/sf0.001"
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("customer", "supplier", "orders", "events", "documents"):
+    for t in TABLES:
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(queries.ORACLES[name])
     df = queries.QUERIES[name](spark, SF)
     assert sorted(df.columns) == sorted(want.columns)
-    got = [tuple(r) for r in df.select(*want.columns).collect()]
-    assert Counter(map(str, got)) == Counter(map(str, want.fetchall()))
+    near = lambda r: str(tuple(round(x, 6) if isinstance(x, float) else x for x in r))
+    got = [near(r) for r in df.select(*want.columns).collect()]
+    assert Counter(got) == Counter(map(near, want.fetchall()))
     assert got
 
 
-def test_fusion_runs(spark):
-    assert queries.fusion_query(spark, SF).count() > 0
-
-
 @given(st.text("abcd", max_size=12), st.text("abcd", max_size=12))
 @settings(deadline=None)
 def test_lcs(a, b):
@@ -59,7 +57,7 @@ def test_close_names_lose_no_pair(spark):
             names.add("".join(w))
     names = sorted(n for n in names if n)
     want = {(x, y) for x in names for y in names if x != y and 200 * scalar.lcs(x, y) > 90 * (len(x) + len(y))}
-    got = {tuple(r) for r in identity.close_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    got = {tuple(r) for r in identity.close_names(*[spark.createDataFrame([(n,) for n in names], "name string")] * 2).collect()}
     assert got == want and want
 
 
@@ -87,11 +85,11 @@ def test_normalizers(spark):
 
 def test_terms(spark):
     df = spark.createDataFrame([("py",), ("PYTHON",), ("kubernets",), ("wizardry",), ("  ",), (None,)], "t string")
-    got = {r.t: (r.name, r.quality) for r in vocabulary.match_terms(df, "t", vocabulary.DEFAULT).collect()}
+    got = {r.t: (r.name, r.quality) for r in vocabulary.match_terms(df, "t", vocabulary.SKILLS).collect()}
     assert got["py"] == ("Python", 0.8) and got["PYTHON"] == ("Python", 1.0) and got["kubernets"] == ("Kubernetes", 0.6)
     assert got["wizardry"] == got["  "] == got[None] == (None, None)
     text = spark.createDataFrame([("Strong on py and JS, C++ too; Golang-ish, Node.js",)], "t string")
-    assert text.select(vocabulary.mentions(text.t, vocabulary.DEFAULT).alias("m")).first().m[:3] == ["py", "JS", "C++"]
+    assert text.select(vocabulary.mentions(text.t, vocabulary.SKILLS).alias("m")).first().m[:3] == ["py", "JS", "C++"]
 
 
 def test_paths_and_policies(spark):
