@@ -90,7 +90,7 @@ def canonical(records: DataFrame, vocabulary: dict[str, list[str]] | None = None
     entry = claims.where(F.col("field").isin(*ENTRIES)).groupBy("group_id", "field", "value").agg(F.min(F.struct("order", "at", "source_type", "source_id", "method")).alias("m"))
     entry = entry.select("group_id", "field", "value", "m.*", field_confidence(reliability(F.col("m.source_type")), F.lit(1.0), F.lit(1.0)).alias("confidence"))
     nothing = F.struct(F.lit("").alias("email"), F.lit("").alias("phone"), F.lit("").alias("name"), F.lit("").alias("source_type"), F.lit("").alias("source_id"), F.lit(0).cast("long").alias("ordinal"))
-    place = lambda listed: F.struct((F.col("order") if listed else nothing).alias("order"), (F.col("at") if listed else F.lit(0)).alias("at"), F.col("value").alias("value"), F.coalesce("source_id", F.lit("")).alias("source"), F.coalesce("method", F.lit("")).alias("way"))
+    place = lambda listed: F.struct((F.col("order") if listed else nothing).alias("order"), (F.col("at") if listed else F.lit(0)).alias("at"), F.col("value").alias("value"), F.coalesce("source_id", F.lit("")).alias("source"), F.coalesce("method", F.lit("")).alias("way"), F.col("order").alias("then"), F.col("at").alias("then_at"))
     told = lambda df, listed: df.withColumn("told", F.struct(place(listed).alias("place"), "field", "value", "source_id", "method", "confidence"))
     marks = scored(claims.where(~F.col("field").isin(*ENTRIES)), key="group_id")
     per = told(marks, False).groupBy("group_id", "field").agg(
