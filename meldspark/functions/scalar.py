@@ -154,3 +154,9 @@ def find_link(text: Column, site: str) -> Column:
     """First profile link of ``site`` (linkedin.com/in, github.com), or null."""
     hit = F.regexp_extract(text, rf"(?i)(?:https?://)?(?:www\.)?{site.replace('.', '[.]')}/[A-Za-z0-9_\-%./]+", 0)
     return F.when(hit != "", F.regexp_replace(hit, "[.,;]+$", ""))
+
+
+def github_user(c: Column) -> Column:
+    """The user name in a profile address, or a bare one, without a leading @."""
+    text = F.regexp_replace(clean(c), "/+$", "")
+    return F.regexp_extract(text, r"^(?:.*?(?i:github\.com/))?@*([^/]*)", 1)

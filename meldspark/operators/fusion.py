@@ -32,6 +32,21 @@ def field_confidence(r: Column, agreement: Column, quality: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), a * r + b * agreement + c * quality))
 
 
+def null_confidence() -> Column:
+    """That of a field which no source supplied."""
+    return F.lit(0.0)
+
+
+def list_contributions(records: DataFrame, field: str, confidence: Column | None = None) -> DataFrame:
+    """A row for each item that is not null of a list field of records (``links.other``: of that list):
+    record_id, source_type, source_id, at, value, method, confidence. ``confidence`` may use any of
+    these and of the record's columns; without it all are 0."""
+    items = records.select("*", F.posexplode(F.col(field)).alias("at", "value")).where("value is not null")
+    items = items.withColumn("method", F.try_element_at("methods", F.lit(field.split(".")[0])))
+    given = null_confidence() if confidence is None else confidence
+    return items.select("record_id", "source_type", "source_id", "at", "value", "method", given.cast("double").alias("confidence"))
+
+
 def scored(claims: DataFrame, key: str = "candidate_id") -> DataFrame:
     """Claims ``(key, field, value, quality, source_type, source_id, record_id, method)`` with
     agreement and confidence. Agreement: distinct sources of the value over the records that hold

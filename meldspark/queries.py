@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import canonical
-from .functions.scalar import entity_id, find_emails, find_link, find_phones, normalize_date, normalize_email, normalize_phone, with_country
+from .functions.scalar import entity_id, find_emails, find_link, find_phones, github_user, normalize_date, normalize_email, normalize_phone, with_country
 from .functions.vocabulary import match_terms, mentions
-from .operators.fusion import combined, scored, winners
+from .operators.fusion import combined, list_contributions, scored, winners
 from .operators.identity import resolve
 from .operators.scratch import scratch_dir
 from .plans.projection import project
@@ -153,6 +153,25 @@ def provenance_query(spark: SparkSession, d: str) -> DataFrame:
     return entry.groupBy("field", "method", "source").agg(F.count("*").alias("n"), F.count("value").alias("found"), F.round(F.sum("confidence"), 6).alias("confidence"))
 
 
+def candidate_order_query(spark: SparkSession, d: str) -> DataFrame:
+    """What candidates are ordered by: the least of their records."""
+    return _fused(spark, d).select("candidate_id", "__order.email", "__order.phone", "__order.name", "__order.source_type", "__order.ordinal")
+
+
+def list_contributions_query(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as records, whose customers are a list."""
+    k = F.col("c_custkey")
+    people = _table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(k, F.when(k % 3 > 0, F.col("c_mktsegment")).alias("v")))).alias("l"))
+    records = people.select(F.col("c_nationkey").alias("record_id"), F.lit("resume").alias("source_type"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("source_id"), F.transform("l", lambda x: x["v"]).alias("skills"), F.create_map(F.lit("skills"), F.lit("m")).alias("methods"))
+    return list_contributions(records, "skills", F.length("value") / 10 + F.col("record_id"))
+
+
+def github_user_query(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    ref = F.when(k % 4 == 0, F.concat(F.lit(" https://GitHub.com/u"), k.cast("string"), F.lit("/repos/ "))).when(k % 4 == 1, F.concat(F.lit("@u"), k.cast("string"))).when(k % 4 == 2, F.concat(F.lit("github.com/@u"), k.cast("string"), F.lit("//"))).otherwise(F.concat(F.lit("u"), k.cast("string"), F.lit("/x")))
+    return _table(spark, d, "supplier").select("s_suppkey", github_user(ref).alias("login"))
+
+
 # --- Sources: files, or texts that stand for them, made of the tables
 
 
@@ -374,7 +393,8 @@ QUERIES = {
     "provenance": provenance_query, "csv_records": csv_records_query, "ats_records": ats_records_query, "github_records": github_records_query, "linkedin_records": linkedin_records_query,
     "notes_records": notes_records_query, "resume_records": resume_records_query, "source_errors": source_errors_query, "route_sources": route_query, "normalize_phone": normalize_phone_query,
     "normalize_country": normalize_country_query, "match_terms": match_terms_query, "skill_mentions": skill_mentions_query, "profile_links": profile_links_query, "identity_names": identity_names_query,
-    "project_dialect": project_dialect_query, "validate_elements": validate_elements_query,
+    "project_dialect": project_dialect_query, "validate_elements": validate_elements_query, "candidate_order": candidate_order_query, "list_contributions": list_contributions_query,
+    "github_user": github_user_query,
 }
 
 _EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -525,4 +545,12 @@ union all select 'validate', 'field ''orders[' || i || '].o_orderstatus'': expec
 union all select 'validate', 'field ''orders[' || i || '].clerk'': required object subfield is missing' from o
 union all select 'validate', 'field ''keys[' || i || ']'': expected element type ''string'' but got ''int''' from o)
 select stage, error, count(*) as n from e group by all""",
+    "candidate_order": f"""with recursive {_FUSED},
+ids as (select g, min(mail) as mail from home group by g), h as (select *, sha1(unhex('6f9b3f7a2c1e5d8b9a4c3e2d1f0a7b6c') || encode('email:' || mail)) as h from ids),
+o as (select g, min(struct_pack(a := low, c := lower(coalesce(c_name, s_name, '')), d := kind, f := ord)) as o from facts join kinds using (src) group by g)
+select substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + ((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4)::int, 1) || substr(h, 18, 1) || substr(h, 19, 2) || '-' || substr(h, 21, 12) as candidate_id,
+  o.a as email, '' as phone, o.c as name, o.d as source_type, o.f as ordinal from h join o using (g)""",
+    "list_contributions": """with c as (select *, (row_number() over (partition by c_nationkey order by c_custkey) - 1)::int as "at" from customer)
+select c_nationkey as record_id, 'resume' as source_type, 'n' || c_nationkey::varchar as source_id, "at", c_mktsegment as value, 'm' as method, (length(c_mktsegment) / 10 + c_nationkey)::double as confidence from c where c_custkey % 3 > 0""",
+    "github_user": "select s_suppkey, 'u' || s_suppkey::varchar as login from supplier",
 }

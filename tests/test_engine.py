@@ -246,3 +246,11 @@ def test_texts_that_are_not_utf8(spark, tmp_path):
     result = runs.run(spark, [(f"{tmp_path}/{n}", None) for n in ("a.csv", "n.txt")], config)
     errors = [(r.stage, r.error.split(" '")[0]) for r in result.errors.collect()]
     assert sorted(errors) == [("ingest", "failed to read recruiter CSV"), ("ingest", "failed to read recruiter notes")]
+
+
+def test_live_profiles(spark):
+    from meldspark.sources.github_live import fetch_github
+
+    answers = {"users/ann": {"login": "ann", "name": "Ann"}, "users/ann/repos?per_page=100&sort=updated": [{"language": "Go"}, {"language": None}, {"language": "GO"}], "users/x": [], "users/x/repos?per_page=100&sort=updated": {}}
+    got = readers.github_records(fetch_github(spark, ["ann", "x"], lambda url: answers[url.split(".com/")[1]])).collect()
+    assert [(r.full_name, r.skills, r.links.github) for r in got] == [("Ann", ["Go"], "https://github.com/ann")]
