@@ -8,16 +8,27 @@ from pyspark.sql import functions as F
 from .scratch import discard, materialize
 
 
+#: Parts into which the edges of one node are dealt where they meet its minimum.
+SALTS = 8
+
+
+def _with_low(edges: DataFrame, low: DataFrame, on: str, by: str) -> DataFrame:
+    """Edges with ``m`` of the node in column ``on``; the edges of a node are dealt by ``by``."""
+    spread = low.select(F.col("a").alias("node"), "m", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("part"))
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread, (F.col(on) == F.col("node")) & (F.col("salt") == F.col("part")), "left").select("a", "b", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    """The larger end of each edge is linked to the least of the smaller end and its neighbours."""
+    low = edges.groupBy("a").agg(F.min("b").alias("m"))
+    return _with_low(edges, low, "b", "a").select("a", F.coalesce("m", "b").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours are linked to the least of these."""
     low = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(low, "a")
-    return joined.select("a", F.col("m").alias("b")).union(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+    return low.select("a", F.col("m").alias("b")).union(_with_low(edges, low, "a", "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,7 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Only ids with an edge to another id appear. Null ends and self loops are ignored; an empty
     table gives an empty result. No step gathers the neighbours of a node in one task: a node's
-    minimum is a combinable aggregate and the join back can be split by AQE.
+    minimum is a combinable aggregate, and its edges are dealt into parts that each meet it.
     """
     edges = (
         edges.where("a is not null and b is not null and a <> b")
