@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ..operators.scratch import materialize
 
 #: Benchmark text held in one search table, which takes up to some 25 times as much memory; more
 #: text is searched for in further tables, one after the other.

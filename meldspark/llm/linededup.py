@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ..operators.scratch import materialize
 from .urlfilter import url_host
 
 #: Elements whose tags end a line, and elements without text of their own.

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ..operators.scratch import materialize
 
 #: Ranks are cut digit by digit, of this many bits; three digits rank by q, two by a hash of the
 #: row's id, size and text, one by the row's number.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ..operators.scratch import materialize
 
 #: Bytes of query vectors broadcast at once; more queries go in further passes over the table.
 QUERY_BYTES = 16 << 20

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import materialize
+from ..operators.scratch import materialize
 
 FEATURE_BITS = 22
 #: Annotated documents that the lexicon and the scorer are fitted on, and others for the scorer.

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ..operators.scratch import discard, materialize
 
 #: Rows of a range, without their texts.
 RANGE_ROWS = 500_000
@@ -47,6 +47,7 @@ def shards(docs: DataFrame, count: int = 16, id_col: str = "doc_id", text_col: s
     doubled = (2 * (F.col("bytes_before") + F.col("sum")) - F.col("size")) * count  # twice the middle, times count
     placed = placed.withColumn("shard", F.least(F.floor(doubled / (2 * F.col("bytes_all"))), F.lit(count - 1)).cast("int"))
     placed = materialize(placed.drop("sum", "bytes_before", "bytes_all"), "shard-places")
+    discard(slim)
 
     # At most ranges + count rows: where each range's share of a shard begins in the range, and in the shard.
     cells = placed.groupBy("shard", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))

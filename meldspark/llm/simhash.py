@@ -28,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from ._common import materialize, runs
-from .components import connected_components
+from ..operators.components import connected_components
+from ..operators.scratch import materialize
+from ._common import runs
 
 BITS = 64
 #: Rows compared in one bit-sliced block; larger buckets are first split by further blocks.

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, materialize
+from ..operators.scratch import materialize
+from ._common import ascii_lower
 
 #: Second-level names that act as public suffixes under a two-letter country name.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from meldspark.llm import decontaminate, mixing, sharding, simhash
-from meldspark.llm.components import connected_components
+from meldspark.operators.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp int, size int, part int, row int"
 ODD = [None, "", " \t\n ", "One", "one two", "ÀÉ É à ÀÉ", "x" * 200_000, "word " * 30_000, "a b c\x0bd\x1ce"]
