@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from ..operators.components import connected_components
-from ..operators.scratch import materialize
+from ..operators.scratch import discard, materialize
 from ._common import runs
 
 BITS = 64
@@ -288,22 +288,66 @@ def _signed_batches(at: int, shingle: int):
     return run
 
 
-def _leaders(fp: np.ndarray, ids: np.ndarray, radius: int, out: list) -> None:
+class _Links:
+    """Links that are found: those so close that they are certain, and those to be checked."""
+
+    def __init__(self, near: int, far: int) -> None:
+        self.near, self.far = near, far
+        self.certain: list[tuple[np.ndarray, np.ndarray]] = []
+        self.open: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _leaders(fp: np.ndarray, ids: np.ndarray, links: _Links) -> None:
     """Link each row to the first rows that it is close to, one leader after the other: every row
-    that no leader before it reached leads, and is compared with all."""
-    open_ = np.ones(len(fp), bool)
-    while open_.any():
-        lead = int(open_.argmax())
-        open_[lead] = False
-        near = np.flatnonzero(np.bitwise_count(fp ^ fp[lead]).sum(axis=1) <= radius)
-        near = near[near != lead]
-        open_[near] = False
-        out.append((ids[near], np.full(len(near), ids[lead])))
-
-
-def _similar(fp: np.ndarray, low: np.ndarray, ids: np.ndarray, bucket: np.ndarray, radius: int, used: frozenset, out: list) -> None:
-    """Append links (id, id) of close rows with equal ``bucket`` (sorted). A bucket too large for one
-    block is divided by each other minimum; what that does not divide is much alike, and led."""
+    that no leader before it surely reached leads, and is compared with all."""
+    waiting = np.ones(len(fp), bool)
+    while waiting.any():
+        lead = int(waiting.argmax())
+        distance = np.bitwise_count(fp ^ fp[lead]).sum(axis=1)
+        waiting[distance <= links.near] = False
+        for low, high, out in ((-1, links.near, links.certain), (links.near, links.far, links.open)):
+            at = np.flatnonzero((distance > low) & (distance <= high))
+            at = at[at != lead]
+            out.append((ids[at], np.full(len(at), ids[lead])))
+
+
+def _block(fp: np.ndarray, bucket: np.ndarray, ids: np.ndarray, links: _Links) -> None:
+    """A spanning forest of the close rows of each bucket: certain links first, then the closest others."""
+    root, open_ = np.arange(len(fp)), []
+
+    def join(i: np.ndarray, j: np.ndarray, out: list | None) -> None:
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = root[x], root[y]
+            if a != b:
+                root[root == max(a, b)] = min(a, b)
+                if out is not None:
+                    out.append((x, y))
+
+    for i, j in close_pairs(fp, bucket, links.far):
+        distance = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1)
+        sure = (distance <= links.near) & (root[i] != root[j])
+        join(i[sure], j[sure], None)
+        rest = distance > links.near
+        open_.append((i[rest], j[rest], distance[rest]))
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    links.certain.append((ids[moved], ids[root[moved]]))
+    if open_:
+        i, j, distance = (np.concatenate(x) for x in zip(*open_, strict=True))
+        apart = root[i] != root[j]
+        i, j, distance = i[apart], j[apart], distance[apart]
+        order = np.argsort(distance, kind="stable")
+        a, b = root[i[order]], root[j[order]]
+        first = np.unique(np.minimum(a, b) * len(root) + np.maximum(a, b), return_index=True)[1]
+        order, taken = order[np.sort(first)], []
+        join(i[order], j[order], taken)
+        if taken:
+            x, y = (np.array(c) for c in zip(*taken, strict=True))
+            links.open.append((ids[x], ids[y]))
+
+
+def _similar(fp: np.ndarray, low: np.ndarray, ids: np.ndarray, bucket: np.ndarray, links: _Links, used: frozenset) -> None:
+    """Links of close rows with equal ``bucket`` (sorted). A bucket too large for one block is divided
+    by each other minimum; what that does not divide is much alike, and led."""
     edges = np.flatnonzero(np.diff(bucket)) + 1
     lo, hi = np.r_[0, edges], np.r_[edges, len(bucket)]
     keep = hi - lo > 1
@@ -314,18 +358,17 @@ def _similar(fp: np.ndarray, low: np.ndarray, ids: np.ndarray, bucket: np.ndarra
             key = low[a:b, k]
             most = np.unique(key, return_counts=True)[1].max()
             if 2 * most > b - a or len(used) > 2:
-                _leaders(fp[a:b], ids[a:b], radius, out)
+                _leaders(fp[a:b], ids[a:b], links)
                 break
             order = np.argsort(key, kind="stable")
-            _similar(fp[a:b][order], low[a:b][order], ids[a:b][order], key[order], radius, used | {k}, out)
+            _similar(fp[a:b][order], low[a:b][order], ids[a:b][order], key[order], links, used | {k})
     lo, hi = lo[~large], hi[~large]
     start = 0
     while start < len(lo):  # as many whole buckets as fit in a block
         end = int(np.searchsorted(np.cumsum(hi[start:] - lo[start:]), BLOCK, "right")) + start
         end = max(end, start + 1)
         at = np.concatenate([np.arange(a, b) for a, b in zip(lo[start:end].tolist(), hi[start:end].tolist(), strict=True)])
-        for i, j in close_pairs(fp[at], bucket[at], radius):
-            out.append((ids[at[i]], ids[at[j]]))
+        _block(fp[at], bucket[at], ids[at], links)
         start = end
 
 
@@ -349,36 +392,62 @@ def _forest(pairs: list) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[root[moved]]
 
 
-def _similar_batches(radius: int):
+def _similar_batches(near: int, far: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 2):
-            out: list = []
+            links = _Links(near, far)
             which, key, ids = (t.column(i).to_numpy() for i in (0, 1, 4))
             fp = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint64).reshape(len(ids), -1)
             low = t.column(3).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
             for k in np.unique(which).tolist():
                 s = which == k
-                _similar(fp[s], low[s], ids[s], key[s], radius, frozenset([k]), out)
-            a, b = _forest(out)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                _similar(fp[s], low[s], ids[s], key[s], links, frozenset([k]))
+            for pairs, certain in ((_forest(links.certain), True), (links.open, False)):
+                a, b = pairs if certain else [np.concatenate(x) for x in zip(*pairs, strict=True)] if pairs else ([], [])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.full(len(a), certain))], names=["a", "b", "certain"])
 
     return run
 
 
-def similarity_radius(similarity: float, bits: int = 64 * WORDS) -> int:
-    """Bits that differ between fingerprints of sets of the given Jaccard similarity: the mean, and
-    one standard deviation more."""
+def similarity_radii(similarity: float, bits: int = 64 * WORDS) -> tuple[int, int]:
+    """Distances of fingerprints below which a Jaccard similarity is certain, and beyond which it is
+    not met: 3.3 standard deviations below, and 2.3 above the mean at the similarity."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+    mean, deviation = bits * share, math.sqrt(bits * share * (1 - share))
+    return int(mean - 3.3 * deviation), int(mean + 2.3 * deviation)
+
+
+def _set_batches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for b in batches:
+            sets = [shingles(t.as_py(), shingle, known).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["number", "runs"])
+
+    return run
+
+
+def _checked_batches(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(r.as_py(), np.uint64) for r in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies: that of the smallest id, null last, and of rows of one
     id the first. Columns as they were.
 
-    Texts are near copies if their different ``shingle``-word runs have about the given Jaccard
-    similarity or more, told by the distance of 256-bit fingerprints; groups are those reachable.
+    Texts are near copies if their different ``shingle``-word runs have the given Jaccard similarity
+    or more: candidates are told by the distance of 256-bit fingerprints, and those that it does not
+    settle are checked run by run. Groups are those reachable.
     Equal texts are one group whatever their number. Null and wordless texts are alike, and equal
     to each other only. An empty table gives an empty result. Rows are written once with their
     signatures, and once shuffled to those that stay, by number, as the kept ones grow with the input.
@@ -390,7 +459,17 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "number")
     groups = materialize(signed.groupBy("fp", "low").agg(F.min(order).alias("first")).select("fp", "low", "first.doc_id", "first.number"), "signature-groups")
     filed = groups.select(F.posexplode("low").alias("which", "key"), "fp", "low", "number").repartition("which", "key").sortWithinPartitions("which", "key", "number")
-    parts = connected_components(filed.mapInArrow(_similar_batches(similarity_radius(similarity)), "a long, b long"))
+    links = materialize(filed.mapInArrow(_similar_batches(*similarity_radii(similarity)), "a long, b long, certain boolean"), "near-links")
+    links = links.groupBy("a", "b").agg(F.max("certain").alias("certain"))
+    open_ = links.where("not certain").select("a", "b")
+    asked = open_.select(F.col("a").alias("number")).union(open_.select("b")).distinct()
+    text = F.col("row").getField(text_col).cast("binary").alias("text")
+    sets = signed.select("number", text).join(asked, "number", "left_semi").mapInArrow(_set_batches(shingle), "number long, runs binary")
+    sets = materialize(sets, "near-runs")
+    pairs = open_.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    checked = pairs.mapInArrow(_checked_batches(similarity), "a long, b long")
+    parts = connected_components(links.where("certain").select("a", "b").union(checked))
+    discard(sets)
     joined = groups.join(parts, groups.number == parts.id, "left").select(F.coalesce("component", "number").alias("component"), "doc_id", "number")
     keep = joined.groupBy("component").agg(F.min(F.struct("doc_id", "number")).alias("first")).select(F.col("first.number").alias("number"))
     kept = signed.select("number", "row").join(keep.hint("merge"), "number", "left_semi")
