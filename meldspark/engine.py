@@ -66,7 +66,11 @@ def _claims(owned: DataFrame) -> DataFrame:
 
 def canonical(records: DataFrame, vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
     """Records (see ``sources.readers``) to candidates: candidate_id, the fused fields, provenance,
-    overall_confidence, and ``__order``, the smallest order key of the candidate's records."""
+    overall_confidence, and ``__order``, the smallest order key of the candidate's records.
+
+    Records without any value are candidates of their own. Claims that are null, or that their
+    normalizer rejects, do not count. What a candidate's row holds is gathered in one task: its
+    lists, and an entry of provenance for each claim of a list field. No records give no rows."""
     vocabulary = vocabulary or load()
     records = materialize(records, "records")
     values = lambda c, f: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: f(x)["value"]), lambda x: x.isNotNull())
