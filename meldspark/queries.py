@@ -553,4 +553,11 @@ select substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) ||
     "list_contributions": """with c as (select *, (row_number() over (partition by c_nationkey order by c_custkey) - 1)::int as "at" from customer)
 select c_nationkey as record_id, 'resume' as source_type, 'n' || c_nationkey::varchar as source_id, "at", c_mktsegment as value, 'm' as method, (length(c_mktsegment) / 10 + c_nationkey)::double as confidence from c where c_custkey % 3 > 0""",
     "github_user": "select s_suppkey, 'u' || s_suppkey::varchar as login from supplier",
+    # Smallest ids along star edges, round by round; each round keeps one row an id.
+    "identity_exact": """with recursive r as (select o_orderkey as id, 'c' || o_custkey::varchar as e, case when o_orderkey % 50 < 6 then 'p' || (o_orderkey // 50)::varchar end as p from orders),
+k as (select id, e as k from r union all select id, p from r where p is not null),
+edge as (select distinct a.id as a, m.b from k a join (select k, min(id) as b from k group by 1) m using (k) where a.id <> m.b),
+two as materialized (select a, b from edge union select b, a from edge),
+walk(id, g) using key (id) as (select id, id from r union select t.b, min(w.g) from walk w join two t on t.a = w.id join recurring.walk o on o.id = t.b where w.g < o.g group by t.b)
+select g as group_id, count(*) as n from walk group by 1""",
 }
