@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express.
 
-Not here: op1 (alignment), op3 (rounds of order sampling), op5 (XXH64), op7 and op10 (fitted
-models); tests hold those against brute force.
+Not here: op1 (alignment), op5 (XXH64), op7 and op10 (fitted models); tests hold those against
+brute force. op3's rows of one rank in 30 bits would stand in another order than here.
 """
 
 from __future__ import annotations
@@ -30,6 +30,23 @@ found as (select rid, count(*) as n, string_agg(item_id::varchar, ',' order by i
 select doc_id, len(w)::bigint as n_words, coalesce(c.n, 0)::bigint as n_hit, coalesce(f.n, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, c.n is not null as contaminated
 from d left join cover c using (rid) left join found f using (rid)"""
 
+_MIX = r"""with d as (select doc_id::bigint as doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, row_number() over () as rid from documents),
+t as (select source, sum(size)::bigint as total, avg(sqrt(greatest(size, 1)::double)) as mean from d group by source),
+w as (select *, ([5.0, 2.0, 1.0][1 + (row_number() over (order by source nulls last) - 1) % 3])::double as weight, 2.0::double * total as cap from t),
+o as (select *, coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0.0) as capped, sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as free, sum(total) over () as every from w),
+l as (select *, (1.5::double * every - capped) / free as level from o),
+p as (select source, total, mean, least(cap, coalesce((select level from l where level * weight <= cap order by cap / weight, level limit 1) * weight, cap)) as target from l),
+r as (select *, case when total > 0 then target / total else 0.0 end as ratio from p),
+f as (select *, floor(ratio) as whole, ratio - floor(ratio) as p, target - floor(ratio) * total as gap from r),
+u as (select d.*, f.total, f.target, whole, p, gap, mean, (('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint::double + 0.5::double) / 281474976710656.0::double as u from d join f on d.source is not distinct from f.source),
+q as (select *, case when p > 0 then u / (1 - u) / (p / (1 - p) * sqrt(greatest(size, 1)::double) / mean) end as q from u),
+k as (select *, least(floor(q / (1 + q) * 1073741824.0::double), 1073741823) as rank from q),
+c as (select *, sum(size) over (partition by source order by rank, doc_id rows unbounded preceding) as upto from k where p > 0 and size > 0),
+g as (select source, any_value(gap) - coalesce(max(upto) filter (upto <= gap), 0) as rest from c group by source),
+e as (select c.rid, row_number() over (partition by c.source order by abs(rest - size), rank, doc_id) as n from c join g on c.source is not distinct from g.source where upto > gap and abs(rest - size) < rest),
+taken as (select rid from c where upto <= gap union select rid from e where n = 1)
+select doc_id, size, total as source_size, target, ((whole + (rid in (select rid from taken))::int) * size)::bigint as taken from k"""
+
 # CRC-32 by its table, a byte at a time.
 _SHARD = """with s as (select doc_id, encode(coalesce(text, '')) as t, list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c % 2 = 1 then xor(3988292384, c // 2) else c // 2 end)) as tbl from documents),
 h as (select doc_id, octet_length(t) + 1 as size, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(t), '..'), lambda x: ('0x' || x)::bigint)), lambda c, x: xor(c // 256, tbl[1 + xor(c, x) % 256]))) as crc from s),
@@ -89,6 +106,7 @@ select page_id, host, len(lines)::int as n_lines, (len(lines) - coalesce(c, 0)):
 
 ORACLES: dict[str, str] = {
     "op2_decontaminate": _DECONTAMINATE,
+    "op3_mix": _MIX,
     "op4_shard": _SHARD,
     "op6_url_filter": _URLS,
     "op8_nearest": _NEAREST,
