@@ -119,6 +119,58 @@ def test_passages_held_apart_by_third_documents(spark):
     assert [(p.start, p.end, p.partner_start, p.partner_end) for p in got[25].passages] == [(30, 102, 30, 102)]
 
 
+def longest_common_runs(texts, least):
+    """Pairs of texts that share ``least`` or more words in a row, by all their runs of that length."""
+    where = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - least + 1):
+            where.setdefault(tuple(w[j : j + least]), set()).add(i)
+    return {(a, b) for docs in where.values() for a in docs for b in docs if a < b}
+
+
+def reachable(pairs, n):
+    parent = list(range(n))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    return {i: find(i) for i in {x for p in pairs for x in p}}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_classes_are_those_of_all_shared_runs(spark, seed):
+    """Passages of 50 to 70 words, held apart by documents with parts of them of any length."""
+    rnd = random.Random(seed)
+    texts = []
+    for _ in range(12):
+        passage = [f"p{rnd.randrange(10**9)}" for _ in range(rnd.randint(50, 70))]
+        for _ in range(40):
+            n = rnd.choice([12, 30, 44, 45, 46, 47, 48, 49, 49, 49, len(passage), 50])
+            at = rnd.randrange(len(passage) - n + 1)
+            own = lambda k: [f"o{rnd.randrange(10**9)}" for _ in range(k)]
+            texts.append(" ".join(own(rnd.randint(0, 30)) + passage[at : at + n] + own(rnd.randint(0, 30))))
+    rnd.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(df).collect()}
+    want = reachable(longest_common_runs(texts, 50), len(texts))
+    assert {i: c for i, c in got.items() if i in want} == want
+    # What is found beyond is similar, with a word or two changed at an end.
+    assert len(set(got) - set(want)) <= 0.05 * len(texts)
+
+
+def test_passage_behind_many_fragments(spark):
+    passage = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(passage)), (1000, " ".join(["x", *passage]))] + [(i, " ".join([f"a{i}", *passage[i : i + 12], f"b{i}"])) for i in range(1, 49)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id) for r in got} == {(0, 0), (1000, 0)}
+
+
 def test_stretches_are_the_same_anywhere():
     rnd = np.random.default_rng(0)
     a, b = rnd.integers(0, 1 << 63, 300, np.uint64), rnd.integers(0, 1 << 63, 90, np.uint64)
@@ -161,6 +213,24 @@ def test_places_are_linked_in_turn(monkeypatch, size):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_stretches_of_shared_seeds(monkeypatch, size):
+    import pyarrow as pa
+
+    rnd = random.Random(size)
+    seeds = sorted({(rnd.randrange(60), rnd.randrange(5), rnd.randrange(30)) for _ in range(110)})
+    rows = [(*x, 0 if rnd.random() < 0.2 else 1000 + i) for i, x in enumerate(seeds)]
+    monkeypatch.setattr(passages, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda self: 0})())}))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["h", "d", "p", "s"]) for i in range(0, len(rows), size)]
+    key = lambda h, s: int((np.array([h], np.uint64) * passages._MULT ^ np.array([s], np.uint64) * passages._MULT).view(np.int64)[0])
+    got = Counter((r["h"], r["a"], r["ap"]) for b in passages._neighbour_links(batches) for r in b.to_pylist() if r["kind"] == 3)
+    docs = {}
+    for h, d, *_ in rows:
+        docs.setdefault(h, set()).add(d)
+    ends = {rows[0][:2], rows[-1][:2]}  # the partitions beside may have more of these
+    assert got == Counter((key(h, s), d, p) for h, d, p, s in rows if s and (len(docs[h]) > 1 or (h, d) in ends))
+
+
 # --- URL filter
 
 
@@ -442,3 +512,36 @@ def test_quality_edges(spark):
         kept = quality.quality_filter(docs, some)
         assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
+
+
+# --- Edge cases of several operators
+
+
+def test_urls_that_repeat_and_long_ones(spark):
+    long = "http://l.net/" + "p/" * 300_000
+    urls = ["http://a.com/en/x"] * 3 + [long, long + "?q", "http://" + "h" * 200_000 + ".com/en/", None, None]
+    df = spark.createDataFrame([(i % 5, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    got = urlfilter.url_verdicts(df).collect()
+    assert len(got) == len(urls)
+    assert sorted(r.rule or "" for r in got) == ["", "", "", "", "com/en/", "com/en/", "com/en/", "com/en/"]
+    assert max(len(r.path) for r in got) == len(long) - len("http://l.net")
+
+
+def test_lines_that_repeat_and_long_ones(spark):
+    long = "x" * 400_000
+    pages = [(i, f"http://a.com/{i}", f"<p>{long}</p><p>own {i}</p><p>again</p><p>again</p>", "h") for i in range(6)]
+    pages += [(0, "http://a.com/0", f"<p>{long}</p>", "h")] * 2 + [(9, "http://b.com/", "<p>" + "line</p><p>" * 20_000, "h"), (None, None, None, None)]
+    got = linededup.dedup_lines(spark.createDataFrame(pages, "page_id long, url string, html string, host string")).collect()
+    assert len(got) == len(pages)
+    assert sorted(r.text for r in got if r.host == "a.com") == ["", "", *(f"own {i}" for i in range(6))]
+    assert next(r for r in got if r.page_id == 9).n_dropped == 0  # one page is no boilerplate
+
+
+def test_a_chance_of_exactly_the_threshold_stays(spark):
+    texts = ["plain words here", None, "", "plain words here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    scores = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    assert scores[0] == scores[3]
+    kept = quality.quality_filter(docs, labels, threshold=scores[0]).collect()
+    assert {r.doc_id for r in kept} == {i for i, s in scores.items() if s >= scores[0]} >= {0, 3}
