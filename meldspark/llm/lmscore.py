@@ -104,16 +104,22 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Ascending hashes by their steps, in as many bytes as the longest takes."""
-    steps = np.diff(keys, prepend=np.uint64(0))
+    """Ascending hashes: the first, and the steps to the others in as many bytes as the longest takes."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys)
     width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
-    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return keys[:1].astype("<u8").tobytes() + bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    steps = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
-    full = np.zeros((len(steps), 8), np.uint8)
-    full[:, : raw[0]] = steps
+    if not raw:
+        return np.empty(0, np.uint64)
+    width = raw[8]
+    steps = np.frombuffer(raw[9:], np.uint8).reshape(-1, width)
+    full = np.zeros((len(steps) + 1, 8), np.uint8)
+    full[0] = np.frombuffer(raw, np.uint8, 8)
+    full[1:, :width] = steps
     return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
 
 
