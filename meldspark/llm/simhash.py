@@ -35,6 +35,8 @@ from ._common import runs
 BITS = 64
 #: Rows compared in one bit-sliced block; larger buckets are first split by further blocks.
 BLOCK = 4096
+#: Numbers that rows are filtered by where few are needed; their table is broadcast.
+BUCKETS = 1 << 20
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -464,9 +466,12 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_ = links.where("not certain").select("a", "b")
     asked = open_.select(F.col("a").alias("number")).union(open_.select("b")).distinct()
     text = F.col("row").getField(text_col).cast("binary").alias("text")
-    sets = signed.select("number", text).join(asked, "number", "left_semi").mapInArrow(_set_batches(shingle), "number long, runs binary")
+    # Rows that are not asked for are left out before the shuffle, by a table of at most BUCKETS numbers.
+    bucket = F.pmod(F.xxhash64("number"), F.lit(BUCKETS))
+    few = signed.select("number", text).join(F.broadcast(asked.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")
+    sets = few.join(asked.hint("merge"), "number", "left_semi").mapInArrow(_set_batches(shingle), "number long, runs binary")
     sets = materialize(sets, "near-runs")
-    pairs = open_.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    pairs = open_.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
     checked = pairs.mapInArrow(_checked_batches(similarity), "a long, b long")
     parts = connected_components(links.where("certain").select("a", "b").union(checked))
     discard(sets)
