@@ -104,6 +104,18 @@ l as (select rid, host, unnest(lines) as line, generate_subscripts(lines, 1) as
 kept as (select rid, count(*) as c, string_agg(line, chr(10) order by i) as text from l anti join stock using (host, line) group by 1)
 select page_id, host, len(lines)::int as n_lines, (len(lines) - coalesce(c, 0))::int as n_dropped, coalesce(text, '') as text from p left join kept using (rid)"""
 
+_SECONDS = "floor(epoch_us({}) / 1000000::double)::bigint"
+_CONCURRENCY = f"""with e as (select sale_id, min(shipped_at) as shipped from sale_lines where sale_id is not null group by 1),
+c as (select client_id, min(nation_id) as nation_id from clients where client_id is not null group by 1),
+s as (select coalesce(c.nation_id, -1) as nation_id, {_SECONDS.format("sold_at")} as start, {_SECONDS.format("shipped")} + 86400 as stop, coalesce(floor(100 * total + 0.5)::bigint, 0) as cents
+  from sales left join e using (sale_id) left join c using (client_id) where sold_at is not null),
+o as (select nation_id, start, stop, cents from s where stop is null or stop > start union all select -2, start, stop, cents from s where stop is null or stop > start),
+x as (select nation_id, start as t, 1 as n, cents as v from o union all select nation_id, stop, -1, -cents from o where stop is not null),
+d as (select nation_id, t, sum(n) as n, sum(v) as v from x group by all having sum(n) <> 0 or sum(v) <> 0),
+r as (select nation_id, t, lead(t) over w as nxt, sum(n) over w as n, sum(v) over w as v from d window w as (partition by nation_id order by t)),
+h as (select *, max(n) over (partition by nation_id order by t) as high, max(v) over (partition by nation_id) as peak from r)
+select nation_id::int as nation_id, t as from_s, nxt as to_s, n::bigint as n_open, v::bigint as open_cents, high::bigint as high_open, v = peak as is_peak from h"""
+
 ORACLES: dict[str, str] = {
     "op2_decontaminate": _DECONTAMINATE,
     "op3_mix": _MIX,
@@ -111,4 +123,5 @@ ORACLES: dict[str, str] = {
     "op6_url_filter": _URLS,
     "op8_nearest": _NEAREST,
     "op9_line_dedup": _LINE_DEDUP,
+    "op12_peak_concurrency": _CONCURRENCY,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .concurrency import open_sales
 from .decontaminate import benchmark_hits
 from .linededup import dedup_lines
 from .lmscore import cross_entropy_difference
@@ -66,4 +67,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(_table(spark, sf_dir, "documents"), target_ids=good)
 
 
-QUERIES = {f.__name__: f for f in (op1_repeated_passages, op2_decontaminate, op3_mix, op4_shard, op5_simhash, op6_url_filter, op7_quality, op8_nearest, op9_line_dedup, op10_lm_score)}
+def op12_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return open_sales(*(_table(spark, sf_dir, t) for t in ("sales", "sale_lines", "clients")))
+
+
+QUERIES = {f.__name__: f for f in (op1_repeated_passages, op2_decontaminate, op3_mix, op4_shard, op5_simhash, op6_url_filter, op7_quality, op8_nearest, op9_line_dedup, op10_lm_score, op12_peak_concurrency)}
