@@ -31,13 +31,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The place of a folder of files in the shared folder; like a table, it stands until it is
+    discarded, or the process ends."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables[path] = spark
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; survives lost executors.
 
     The table stands until it is discarded, or the process ends."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _tables[path] = spark
+    path = new_folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from .functions.scalar import entity_id, find_emails, find_link, find_phones, gi
 from .functions.vocabulary import match_terms, mentions
 from .operators.fusion import combined, list_contributions, scored, winners
 from .operators.identity import resolve
-from .operators.scratch import scratch_dir
+from .operators.scratch import new_folder
 from .plans.projection import project
 from .runs import read_sources
 from .sources import readers
@@ -175,10 +173,6 @@ def github_user_query(spark: SparkSession, d: str) -> DataFrame:
 # --- Sources: files, or texts that stand for them, made of the tables
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def csv_records_query(spark: SparkSession, d: str) -> DataFrame:
     """Customers written as CSV files, and read as such."""
     k = F.col("c_custkey")
@@ -186,7 +180,7 @@ def csv_records_query(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("  "), F.col("c_name")).alias("name"), F.when(k % 5 > 0, F.concat(F.lit("C"), k.cast("string"), F.lit("@x.org"))).alias("email"), _phone("c_custkey").alias("phone"),
         F.when(k % 3 > 0, F.concat(F.lit('a, "b"\n'), F.col("c_mktsegment"))).alias("current_company"), F.when(k % 4 > 0, F.lit(" Buyer ")).alias("title"), F.lit("x").alias("more"),
     )
-    path = _scratch(spark, "csv")
+    path = new_folder(spark, "csv")
     rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     got = readers.read_csv(spark, path)
     return got.select("source_type", "full_name", F.col("emails")[0].alias("email"), F.col("phones")[0].alias("phone"), "headline", F.size("experience").alias("jobs"), F.col("experience")[0]["company"].alias("company"), F.col("methods")["headline"].alias("method"))
@@ -274,7 +268,7 @@ def resume_records_query(spark: SparkSession, d: str) -> DataFrame:
 
 def source_errors_query(spark: SparkSession, d: str) -> DataFrame:
     """What a run says of sources that cannot be read, or hold something else."""
-    path = _scratch(spark, "sources")
+    path = new_folder(spark, "sources")
     orders = _table(spark, d, "orders").groupBy().agg(F.count("*").alias("n"))
     for name, text in (("bad.json", F.lit("{nope")), ("list.json", F.concat(F.lit('[{"candidateName":"A"},'), F.col("n").cast("string"), F.lit(',"x",null,[1]]'))), ("gh", F.lit("[1]")), ("ok.csv", F.lit("name,email\nAnn,a@x")), ("head.csv", F.lit("name,email"))):
         orders.select(text).coalesce(1).write.text(f"{path}/{name}")
