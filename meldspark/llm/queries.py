@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import new_folder
 from .concurrency import open_sales
 from .decontaminate import benchmark_hits
 from .linededup import dedup_lines
@@ -16,9 +17,17 @@ from .passages import repeated_passages
 from .quality import THRESHOLD, quality_scores
 from .sharding import shards
 from .simhash import simhash_components
+from .tokenfiles import token_digests
 from .urlfilter import url_verdicts
 
 
+def _tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies, on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,4 +80,8 @@ def op12_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_sales(*(_table(spark, sf_dir, t) for t in ("sales", "sale_lines", "clients")))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeated_passages, op2_decontaminate, op3_mix, op4_shard, op5_simhash, op6_url_filter, op7_quality, op8_nearest, op9_line_dedup, op10_lm_score, op12_peak_concurrency)}
+def op13_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), _tokenizer("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repeated_passages, op2_decontaminate, op3_mix, op4_shard, op5_simhash, op6_url_filter, op7_quality, op8_nearest, op9_line_dedup, op10_lm_score, op12_peak_concurrency, op13_token_output)}
