@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scratch import new_folder
+from .alignment import alignments
 from .concurrency import open_sales
 from .decontaminate import benchmark_hits
 from .linededup import dedup_lines
@@ -76,6 +77,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(_table(spark, sf_dir, "documents"), target_ids=good)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"), digest=True)
+
+
 def op12_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_sales(*(_table(spark, sf_dir, t) for t in ("sales", "sale_lines", "clients")))
 
@@ -84,4 +89,4 @@ def op13_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeated_passages, op2_decontaminate, op3_mix, op4_shard, op5_simhash, op6_url_filter, op7_quality, op8_nearest, op9_line_dedup, op10_lm_score, op12_peak_concurrency, op13_token_output)}
+QUERIES = {f.__name__: f for f in (op1_repeated_passages, op2_decontaminate, op3_mix, op4_shard, op5_simhash, op6_url_filter, op7_quality, op8_nearest, op9_line_dedup, op10_lm_score, op11_alignment, op12_peak_concurrency, op13_token_output)}

@@ -1,16 +1,20 @@
 """Segments, Simple-8b, token files and alignments against the tokenizers themselves."""
 
+import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from meldspark.llm import segments, simple8b, tokenfiles
+from meldspark.llm import _common, alignment, segments, simple8b, tokenfiles
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SIGNS = [*"     \n\t\r\x0b\x1c\x85\xa0 　", "a", "B", "é", "à", "日", "'s", "'ll", "12", "!", "...", "<|endoftext|>", "ing", "the", "x́", "<s>", "\x00", "\U0001f600"]
@@ -108,3 +112,69 @@ def test_a_file_is_read_in_parts(tmp_path, monkeypatch):
         with fs.LocalFileSystem().open_input_file(path) as f:
             parts = list(tokenfiles.read_file(f))
         assert [(i, np.frombuffer(x, "<u4").tolist()) for ids, raw in parts for i, x in zip(ids, raw, strict=True)] == docs
+
+
+def aligned(rows):
+    """By definition, whole text by whole text, token by token."""
+    one, two, alphabet = Tokenizer.from_file(A), SentencePieceProcessor(model_file=B), segments.byte_alphabet()
+    one.encode_special_tokens = True
+    found, counts = [], Counter()
+    for doc, text in rows:
+        a = one.encode(" " + (text or ""), add_special_tokens=False).ids if text else []
+        b = two.encode(text) if text else []
+        spans = []
+        for ids, piece in ((a, lambda i: bytes(alphabet[c] for c in one.id_to_token(i))), (b, lambda i: bytes([int(two.id_to_piece(i)[3:5], 16)]) if two.is_byte(i) else two.id_to_piece(i).replace("\u2581", " ").encode())):
+            raw = [piece(i) for i in ids]
+            if not text or b"".join(raw) != (" " + text).encode():
+                spans = None
+                break
+            at = [0]
+            for r in raw:
+                at.append(at[-1] + len(r))
+            spans.append(list(zip(ids, at, at[1:], strict=False)))
+        if spans is None:
+            found.append((doc, None))
+            continue
+        links = [(x, y) for x, lo, hi in spans[0] for y, p, q in spans[1] if lo < q and p < hi]
+        ends = sorted({s[2] for s in spans[0]} & {s[2] for s in spans[1]})
+        groups = ["|".join(",".join(str(i) for i, lo, hi in side if before <= lo and hi <= end) for side in spans) for before, end in zip([0, *ends], ends, strict=False)]
+        counts.update(links)
+        found.append((doc, (len(a), len(b), len(groups), links, ";".join(groups))))
+    most = Counter()
+    for (_, y), c in counts.items():
+        most[y] = max(most[y], c)
+    out = []
+    for doc, f in found:
+        if f is None:
+            out.append((doc, 0, 0, 0, 0, 0, 0, ""))
+        else:
+            out.append((doc, *f[:3], len(f[3]), sum(counts[p] == most[p[1]] for p in f[3]), sum(counts[p] for p in f[3]), f[4]))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 300, 1 << 25])
+def test_alignments_are_those_of_whole_texts(spark, monkeypatch, chunk):
+    monkeypatch.setattr(alignment, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(_common, "SHARE", 20)  # some pairs are hot
+    rnd = random.Random(2)
+    words = ["the", "Token", "izers", "na\u00efve", "\u65e5\u672c", "don't", "x" * 9, "2024,", "<|endoftext|>", "</s>", "\n", "", "caf\u00e9.\nEnd", "\U0001f600", "-"]
+    rows = [(i % 50, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 40)))) for i in range(70)]
+    rows += [(1, None), (2, ""), (3, " "), (4, "the \u2581 Token the"), (4, "Token the the"), (None, "the"), (6, "\u2581"), (7, "nospace" * 400)]
+    df = spark.createDataFrame([(i, t, "y") for i, t in rows], "doc_id long, text string, segment string")
+    want = aligned(rows)
+    got = [tuple(r) for r in alignment.alignments(df, A, B).collect()]
+    assert Counter(got) == Counter(want)
+    assert sum(r[1] == 0 for r in got) == 4
+    if chunk > 300:
+        short = [tuple(r) for r in alignment.alignments(df, A, B, digest=True).collect()]
+        assert Counter(short) == Counter((*w[:7], hashlib.sha256(w[7].encode()).hexdigest() if w[7] else "") for w in want)
+        assert alignment.alignments(df.limit(0), A, B).collect() == []
+
+
+def test_undivided_texts_give_the_same(spark, monkeypatch):
+    rows = [(i, f"some words {i}  and \n more") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(map(tuple, alignment.alignments(df, A, B).collect()))
+    assert want == Counter(aligned(rows))
+    whole = df.select("doc_id", F.regexp_replace("text", " ", "\u00a0").alias("text"))  # no spaces, no cuts
+    assert Counter(map(tuple, alignment.alignments(whole, A, B).collect())) == Counter(aligned([(i, t.replace(" ", "\u00a0")) for i, t in rows]))
