@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scratch import discard, materialize
-from ._common import runs
+from ._common import hot_keys, join_dealt, runs
 
 #: Units of time in a piece, which therefore has no more points than that.
 SPAN = 1 << 16
@@ -187,17 +187,19 @@ def sale_intervals(sales: DataFrame, lines: DataFrame, clients: DataFrame, unit:
     told of more than once; -1 without one), sold_at and the earliest shipped_at of its lines plus
     ``days`` in UTC seconds, rounded down to multiples of ``unit``, and its total in cents, rounded
     half up; a total that is null or no finite number is 0. A sale without shipped lines, or without
-    an id, has no stop. A hot sale's lines are combined before they are shuffled; a hot client's
-    sales are split by Spark's skew join.
+    an id, has no stop. A hot sale's lines are combined before they are shuffled; the sales of hot
+    clients are dealt into parts, each of which meets the client.
     """
     ends = lines.where("sale_id is not null and shipped_at is not null").groupBy("sale_id").agg(F.min("shipped_at").alias("shipped"))
+    ends = ends.select("sale_id", (utc_seconds(ends, "shipped") + days * 86400).alias("stop"))
     nations = clients.where("client_id is not null").groupBy("client_id").agg(F.min("nation_id").cast("int").alias("key"))
+    hot = hot_keys(sales.groupBy("client_id").count(), "client_id", sales.count())
     cents = F.floor(100 * F.col("total") + 0.5).cast("long")
     cents = F.when(F.isnan("total") | (F.abs("total") == float("inf")), 0).otherwise(cents)
-    sold = sales.select("sale_id", "client_id", utc_seconds(sales, "sold_at").alias("start"), F.coalesce(cents, F.lit(0)).alias("value"))
-    ends = ends.select("sale_id", (utc_seconds(ends, "shipped") + days * 86400).alias("stop"))
+    sold = sales.select("sale_id", "client_id", utc_seconds(sales, "sold_at").alias("start"), F.coalesce(cents, F.lit(0)).alias("value")).where("start is not null")
+    joined = join_dealt(sold, ends, "sale_id", [], ["client_id", "start"])
+    joined = join_dealt(joined, nations, "client_id", hot, ["sale_id", "start"])
     down = lambda c: (F.col(c) - F.pmod(F.col(c), F.lit(unit))).alias(c)
-    joined = sold.where("start is not null").join(ends, "sale_id", "left").join(nations, "client_id", "left")
     return joined.select("key", down("start"), down("stop"), "value")
 
 
