@@ -1,74 +1,162 @@
 """Which records are one entity: shared emails, shared phones, or close names without conflict.
 
-Exact keys give star edges to the smallest record of a key, never pairs. Names are compared by the
-indel ratio (over 90) only where neither kind of contact is present on both sides, since a contact
-of one kind on both sides either already links them or forbids the link. That leaves pairs of
-presence classes none-any and email only-phone only: the names of these classes alone are compared,
-and where every record has an email, none. Candidate names come by the pigeonhole rule: with
-fewer than d edits between them, one of d pieces of the shorter name is found unchanged in the
-longer, moved by less than d.
+Exact keys give star edges to the smallest record of a key, never pairs. Names are close at an indel
+ratio over 90; that counts only where neither kind of contact is present on both sides, since a
+contact of one kind on both sides either already links the records or forbids the link. So pairs of
+presence classes none-any and email only-phone only remain: the names of these classes alone are
+compared, and where every record has an email, none.
+
+Names of n and m characters are close if they share a subsequence of L = 9 (n + m) // 20 + 1. Where
+they have few subsequences of that length, these are keys: names under one key are close by
+definition, so they are linked by stars as well, however many share a first name or a prefix.
+Longer names are found by their rarest q-grams (of which some survive any admissible edits, at about
+the same place; common q-grams are dealt into parts) and compared one by one.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterable
+from itertools import combinations
+from math import comb
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.scalar import entity_id, lcs_length
 from .components import connected_components
-from .scratch import materialize
+from .scratch import discard, materialize
 
+#: Subsequences of a name, of one length, that are used as keys.
+KEYS = 300
+#: Characters of a q-gram.
+Q = 3
+#: Names with a q-gram that meet in one part.
+PART = 2000
+#: Presence classes (e: emails, p: phones) that a class may be linked with by name.
+FITS = {"": ("", "e", "p", "ep"), "e": ("", "p"), "p": ("", "e"), "ep": ("",)}
 
-def _pieces(la: int, lb: int):
-    """(number, start, end) of the pieces of a name of length la, for partners of length lb >= la."""
-    n = max(1, math.ceil(0.1 * (la + lb)))
-    return n, [(i, i * la // n, (i + 1) * la // n) for i in range(n)]
 
+def shared(n: int, m: int) -> int | None:
+    """Least common subsequence of names of n and m characters that are close; None if none can be."""
+    least = 9 * (n + m) // 20 + 1
+    return least if 0 < least <= min(n, m) else None
 
-def _lengths(n: int):
-    """Lengths of the other name for which the ratio can pass: 200 min > 90 (n + m)."""
-    return [m for m in range(n * 9 // 11, n * 11 // 9 + 2) if m and 200 * min(n, m) > 90 * (n + m)]
 
+def _few(n: int, m: int) -> bool:
+    return max(comb(n, shared(n, m)), comb(m, shared(n, m))) <= KEYS
 
-def short_keys(name: str) -> list[str]:
-    la = len(name)
-    return [f"{la}|{lb}|{i}|{name[s:e]}" for lb in _lengths(la) if lb >= la for i, s, e in _pieces(la, lb)[1]]
 
+def _partners(n: int, lengths: Iterable[int]) -> list[int]:
+    return [m for m in lengths if shared(n, m)]
 
-def long_keys(name: str) -> list[str]:
-    lb, out = len(name), set()
-    for la in _lengths(lb):
-        if la <= lb:
-            n, parts = _pieces(la, lb)
-            for i, s, e in parts:
-                for at in range(max(0, s - n), min(lb - (e - s), s + n) + 1):
-                    out.add(f"{la}|{lb}|{i}|{name[at:at + e - s]}")
-    return sorted(out)
 
+def _prefix(n: int, lengths: Iterable[int]) -> int:
+    """q-grams of a name of n characters of which at least one, at its place give or take the edits,
+    is in any close name that keys do not find: one more than the edits can destroy (a character that
+    goes takes Q of them, one that comes Q - 1). 0 where keys find all."""
+    return max((Q * (n - shared(n, m)) + (Q - 1) * (m - shared(n, m)) + 1 for m in _partners(n, lengths) if not _few(n, m)), default=0)
 
-@F.pandas_udf(ArrayType(StringType()))
-def _short(names: pd.Series) -> pd.Series:
-    return names.map(short_keys)
 
+def keys_of(name: str, lengths: Iterable[int]) -> list[str]:
+    """Keys of a name for partners of the given lengths, equal names included. The last sign tells whether it is the shorter
+    (``<``), the longer (``>``) or as long (``=``)."""
+    n, out = len(name), []
+    if not shared(n, n) or not _few(n, n):
+        out.append(f"{name}=")
+    for m in _partners(n, lengths):
+        if _few(n, m):
+            side = "<" if n < m else ">" if n > m else "="
+            head = f"{min(n, m)}|{max(n, m)}|"
+            out += [f"{head}{s}{side}" for s in {"".join(c) for c in combinations(name, shared(n, m))}]
+    return out
 
-@F.pandas_udf(ArrayType(StringType()))
-def _long(names: pd.Series) -> pd.Series:
-    return names.map(long_keys)
+
+def _lengths(names: DataFrame) -> list[int]:
+    """Distinct lengths: at most as many as the longest name has characters."""
+    return sorted(r[0] for r in names.select(F.length("name")).distinct().collect() if r[0])
+
+
+def _keyed(names: DataFrame, lengths: list[int]) -> DataFrame:
+    """The rows with ``key`` and ``side`` for each key of their name."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def keys(of: pd.Series) -> pd.Series:
+        return of.map(lambda name: keys_of(name, lengths))
+
+    rows = names.select("*", F.explode(keys("name")).alias("k"))
+    return rows.select(*names.columns, F.expr("left(k, length(k) - 1)").alias("key"), F.right("k", F.lit(1)).alias("side"))
+
+
+def _long_pairs(names: DataFrame, lengths: list[int]) -> DataFrame:
+    """Distinct names to the pairs (x < y) of close ones that keys do not find, and perhaps others."""
+    needed = {n: p for n in lengths if (p := _prefix(n, lengths))}
+    if not needed:
+        return names.select(F.col("name").alias("x"), F.col("name").alias("y")).limit(0)
+    prefix = F.create_map(*[F.lit(v) for kv in needed.items() for v in kv])
+    rows = names.select("name", F.length("name").alias("n")).where(F.col("n").isin(list(needed)))
+    grams = rows.select("name", "n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - (Q - 1), F.lit(1))), lambda i: F.struct(F.substring(F.col("name"), i, F.lit(Q)).alias("gram"), i.alias("at")))).alias("g")).select("name", "n", "g.*")
+    grams = materialize(grams, "grams")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("common"))
+    rarest = Window.partitionBy("name").orderBy("common", "gram", "at")
+    chosen = grams.join(counts, "gram").withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= F.element_at(prefix, F.col("n"))).drop("rank")
+    chosen = materialize(chosen.withColumn("parts", (F.col("common") / PART + 1).cast("int")), "rare-grams")
+    one = chosen.select("gram", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), F.col("name").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    two = chosen.select("gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+    both = F.col("nx") + F.col("ny")
+    least = F.floor(9 * both / 20).cast("int") + 1
+    near = (F.col("x") < F.col("y")) & (least <= F.least("nx", "ny")) & (F.abs(F.col("ax") - F.col("ay")) <= F.greatest("nx", "ny") - least)
+    met = one.join(two, ["gram", "part"]).where(near).select("x", "y").distinct()
+    pairs = materialize(met.where(200 * lcs_length("x", "y") > 90 * (F.length("x") + F.length("y"))), "close")
+    discard(grams, chosen)
+    return pairs
+
+
+def _other(side: str):
+    return F.when(F.col(side) == "<", ">").when(F.col(side) == ">", "<").otherwise("=")
 
 
 def close_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct ``name`` on two sides to the ordered pairs ``(x, y)``, x <> y, with indel ratio over
     90 between a name of one side and a name of the other."""
-    short = lambda df, c: df.select(F.col("name").alias(c), F.explode(_short("name")).alias("key"))
-    long = lambda df, c: df.select(F.col("name").alias(c), F.explode(_long("name")).alias("key"))
-    pairs = short(left, "x").join(long(right, "y"), "key").select("x", "y").union(short(right, "y").join(long(left, "x"), "key").select("x", "y"))
-    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    close = materialize(pairs.where(200 * lcs_length("x", "y") > 90 * (F.length("x") + F.length("y"))), "close")
-    return close.union(close.select("y", "x"))
+    left, right = left.select("name").distinct(), right.select("name").distinct()
+    lengths = _lengths(left.union(right))
+    ours = _keyed(left, lengths).select(F.col("name").alias("x"), "key", "side")
+    theirs = _keyed(right, lengths).select(F.col("name").alias("y"), "key", _other("side").alias("side"))
+    met = ours.join(theirs, ["key", "side"]).where("x <> y").select("x", "y").distinct()
+    long = _long_pairs(left.union(right).distinct(), lengths)
+    long = long.union(long.select("y", "x"))
+    long = long.join(left.select(F.col("name").alias("x")), "x", "left_semi").join(right.select(F.col("name").alias("y")), "y", "left_semi").select("x", "y")
+    pairs = materialize(met.union(long), "close")
+    return pairs.union(pairs.select("y", "x")).distinct()
+
+
+def name_links(groups: DataFrame) -> DataFrame:
+    """Groups ``(name, kind, least)`` of the records of one name and presence class, by their smallest
+    record, to ``(least, hub)``: groups whose records are all to be linked to the record ``hub``.
+
+    The links connect what links between all close names of fitting classes connect, but there are
+    no more of them than keys, and pairs of long names. A name's own group is among them only in the
+    class without contacts."""
+    lengths = _lengths(groups)
+    members = materialize(_keyed(groups, lengths).drop("name"), "name-keys")
+    spots = [(s, k) for s in "<>=" for k in FITS]
+    least = [F.min(F.when((F.col("side") == s) & (F.col("kind") == k), F.col("least"))).alias(f"{s}{k}") for s, k in spots]
+    hubs = members.groupBy("key").agg(F.count("*").alias("n"), *least).where("n > 1").drop("n")
+    of = lambda s, k: F.array(*[F.col(f"`{s}{other}`") for other in FITS[k]])
+    fitting = F.array().cast("array<long>")
+    for s, k in spots:
+        other = {"<": ">", ">": "<"}.get(s, s)
+        fitting = F.when((F.col("side") == s) & (F.col("kind") == k), of(other, k)).otherwise(fitting)
+    links = members.join(hubs, "key").select("least", F.explode(fitting).alias("hub")).where("hub is not null and hub <> least").distinct()
+
+    long = _long_pairs(groups.select("name").distinct(), lengths)
+    one, two = groups.toDF("x", "kx", "lx"), groups.toDF("y", "ky", "ly")
+    fits = " or ".join(f"(kx = '{a}' and ky = '{b}')" for a, some in FITS.items() for b in some)
+    met = long.join(one, "x").join(two, "y").where(fits).select("lx", "ly")
+    own = groups.where("kind = ''").select("least", F.col("least").alias("hub"))
+    return links.union(met).union(met.select("ly", "lx")).union(own)
 
 
 def identity_edges(keys: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -86,18 +174,13 @@ def identity_edges(keys: DataFrame, fuzzy: bool = True) -> DataFrame:
     named = keys.where("name is not null").select("record_id", "name", F.concat(has("emails"), has("phones")).alias("kind"))
     groups = materialize(named.groupBy("name", "kind").agg(F.min("record_id").alias("least")), "names")
     kinds = {r.kind for r in groups.select("kind").distinct().collect()}  # at most four
-    of = lambda *some: groups.where(F.col("kind").isin(*some)).select("name").distinct()
-    sides = [(of(""), groups.select("name").distinct())] if "" in kinds else []
-    if {"e", "p"} <= kinds:
-        sides.append((of("e"), of("p")))
-    if not sides:  # every two names have a kind of contact in common
-        return edges
-    linked = groups.select(F.col("name").alias("x"), F.col("name").alias("y")).distinct()
-    for left, right in sides:
-        linked = linked.union(close_names(left, right))
-    ours, theirs = named.toDF("a", "x", "kind"), groups.toDF("y", "other", "b")
-    fits = "kind = '' or other = '' or (kind = 'e' and other = 'p') or (kind = 'p' and other = 'e')"
-    return edges.union(ours.join(linked.distinct(), "x").join(theirs, "y").where(fits).select("a", "b"))
+    if "" not in kinds:  # only names with an email alone can be linked, to those with a phone alone
+        if not {"e", "p"} <= kinds:
+            return edges
+        groups = groups.where("kind in ('e', 'p')")
+    links = name_links(groups)
+    ours = named.join(groups, ["name", "kind"]).select(F.col("record_id").alias("a"), "least")
+    return edges.union(ours.join(links, "least").select("a", F.col("hub").alias("b")))
 
 
 def resolve(keys: DataFrame, fuzzy: bool = True) -> DataFrame:

@@ -234,7 +234,7 @@ def test_vocabulary_files(tmp_path, monkeypatch):
 def test_all_have_emails_so_no_names_are_compared(spark, monkeypatch):
     from meldspark.operators import identity
 
-    monkeypatch.setattr(identity, "close_names", None)  # would fail if called
+    monkeypatch.setattr(identity, "name_links", None)  # would fail if called
     keys = spark.createDataFrame([(i, [f"u{i}@x"], [], f"person 00000{i}") for i in range(10)], "record_id long, emails array<string>, phones array<string>, name string")
     assert identity.resolve(keys).select("group_id").distinct().count() == 10
 

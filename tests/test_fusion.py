@@ -10,6 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from meldspark import queries
 from meldspark.functions import scalar, vocabulary
 from meldspark.operators import identity
@@ -61,6 +63,47 @@ def test_close_names_lose_no_pair(spark):
     assert got == want and want
 
 
+def groups_by_pairs(rows):
+    """Groups by definition, record by record."""
+    parent = {r[0]: r[0] for r in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, e, p, n in rows:
+        for j, f, q, m in rows:
+            if i < j:
+                apart = (e and f) or (p and q)
+                if set(e) & set(f) or set(p) & set(q) or (n and m and not apart and 200 * scalar.lcs(n, m) > 90 * (len(n) + len(m))):
+                    a, b = sorted((find(i), find(j)))
+                    parent[b] = a
+    return {i: find(i) for i in parent}
+
+
+@pytest.mark.parametrize("kinds", ["none", "any", "apart"])
+def test_names_by_stars_give_the_groups_of_pairs(spark, monkeypatch, kinds):
+    monkeypatch.setattr(identity, "PART", 5)  # common q-grams in several parts
+    rnd = random.Random(len(kinds))
+    heads = ["", "person 0000", "senior consultant number 00", "a much longer name that is shared by all of these people 0"]
+    rows = []
+    for i in range(260):
+        kind = {"none": "", "any": rnd.choice(["", "e", "e", "p", "p", "ep"]), "apart": rnd.choice(["e", "p", "ep"])}[kinds]
+        name = rnd.choice(heads) + rnd.choice([str(rnd.randrange(400)), "".join(rnd.choices("abcdefgh ", k=rnd.randint(1, 14)))]) if rnd.random() < 0.95 else rnd.choice([None, "twin", heads[3]])
+        rows.append((i, [f"u{rnd.choice([i, i % 40])}"] * ("e" in kind), [f"t{i}"] * ("p" in kind), name))
+    df = spark.createDataFrame(rows, "record_id long, emails array<string>, phones array<string>, name string")
+    want = groups_by_pairs(rows)
+    assert {r.record_id: r.group_id for r in identity.resolve(df).collect()} == want
+    assert len(set(want.values())) < len(rows) - 20
+
+
+def test_names_with_a_shared_prefix_make_few_rows(spark):
+    """The keys of a name are as many as its characters, whatever it shares with the others."""
+    groups = spark.range(3000).select(F.format_string("person %06d", "id").alias("name"), F.lit("").alias("kind"), F.col("id").alias("least"))
+    assert identity.name_links(groups).count() <= 14 * 3000
+
+
 def test_identity_rules(spark):
     rows = [
         (1, ["a@x"], [], "john smith"), (2, ["a@x"], ["+1"], "other"), (3, [], ["+1"], None),
