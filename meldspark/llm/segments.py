@@ -15,11 +15,13 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct segments that a worker remembers.
-REMEMBERED = 400_000
-#: Texts whose new segments are tokenised at once.
-TOGETHER = 512
+REMEMBERED = 600_000
+#: Segments that are tokenised as one text.
+TOGETHER = 100
 
 
 def joins(vocabulary: Iterable[bytes]) -> tuple[bytes, ...]:
@@ -48,6 +50,32 @@ def cut(text: str, joined: tuple[bytes, ...] = ()) -> list[str]:
     return out
 
 
+def _odd(parts: pa.Array, joined: tuple[bytes, ...]) -> np.ndarray:
+    """Parts after which a text is not simply cut: those that are empty, end in white space or may go on."""
+    size = pc.binary_length(parts)
+    odd = pc.or_(pc.equal(size, 0), pc.less(pc.binary_length(pc.utf8_rtrim_whitespace(parts)), size)).to_numpy(zero_copy_only=False)
+    return odd | np.fromiter((p.encode().endswith(joined) for p in parts.to_pylist()), bool, len(parts)) if joined else odd
+
+
+def number(texts: pa.Array, joined: tuple[bytes, ...] = (), divisible: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The segments of " " + text, for texts that are not null: (distinct segments without the space with
+    which each begins, the number of each text's segments in it, how many there are of each text)."""
+    if not divisible:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32)), texts)
+    else:
+        lists = pc.split_pattern(texts, " ")
+    coded = lists.flatten().dictionary_encode()
+    if divisible and len(texts):
+        size = lists.value_lengths().to_numpy()
+        odd = np.logical_or.reduceat(_odd(coded.dictionary, joined)[coded.indices.to_numpy()], np.cumsum(size) - size)
+        if odd.any():
+            cuts = [[s[1:] for s in cut(" " + t, joined)] for t in texts.filter(pa.array(odd)).to_pylist()]
+            order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+            lists = pa.concat_arrays([lists.filter(pa.array(~odd)), pa.array(cuts, lists.type)]).take(pa.array(np.argsort(order)))
+            coded = lists.flatten().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), lists.value_lengths().to_numpy().astype(np.int64)
+
+
 def byte_alphabet() -> dict[str, int]:
     """Character to byte of byte-level vocabularies: visible Latin-1 characters stand for themselves,
     the other bytes, in order, for the characters from 256."""
@@ -56,7 +84,56 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class ByteLevel:
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat``, one after the other."""
+    return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
+class Vocabulary:
+    """A tokenizer with its entries as bytes."""
+
+    entries: list[bytes]
+
+    def _measure(self) -> None:
+        self.joined = joins(self.entries)
+        self.sizes = np.array([len(e) for e in self.entries], np.int64)
+
+    def each(self, segments: list[str]) -> list[list[int]]:
+        """The ids of each segment (which begin with a space) by itself."""
+        raise NotImplementedError
+
+    def many(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all segments, how many of each). Some are tokenised as one text, as they would be side
+        by side; their bytes tell where each ends. Where they do not, each is tokenised by itself."""
+        every = pa.array(segments, pa.string())
+        single = _odd(every, self.joined) if self.divisible else np.ones(len(segments), bool)
+        size = pc.binary_length(every).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.concatenate([np.flatnonzero(~single), np.flatnonzero(single)])
+        ids, counts, rest = [], [], []
+        several, lone = [segments[i] for i in order[: (~single).sum()].tolist()], order[(~single).sum() :]
+        groups = [several[lo : lo + TOGETHER] for lo in range(0, len(several), TOGETHER)]
+        for k, found in enumerate(self.each(["".join(g) for g in groups])):
+            of = order[k * TOGETHER : k * TOGETHER + len(groups[k])]
+            found = np.array(found, np.int64)
+            ends, upto = np.cumsum(size[of]), np.cumsum(self.sizes[found])
+            at = np.searchsorted(upto, ends)
+            if len(found) and upto[-1] == ends[-1] and (upto[at] == ends).all():
+                ids.append(found)
+                counts.append((of, np.diff(at + 1, prepend=0)))
+            else:
+                rest.append(of)
+        for of in [*rest, lone]:
+            for i, one in zip(of.tolist(), self.each([segments[i] for i in of.tolist()]), strict=True):
+                ids.append(np.array(one, np.int64))
+                counts.append((np.array([i]), np.array([len(one)])))
+        none = np.zeros(0, np.int64)
+        flat, of, n = np.concatenate([none, *ids]), np.concatenate([none, *(c[0] for c in counts)]), np.concatenate([none, *(c[1] for c in counts)])
+        starts, out = np.zeros(len(segments), np.int64), np.zeros(len(segments), np.int64)
+        starts[of], out[of] = np.cumsum(n) - n, n
+        return gathered(flat, starts, out), out
+
+
+class ByteLevel(Vocabulary):
     """A byte-level BPE file of the tokenizers library. ``plain``: special tokens in texts are ordinary text."""
 
     def __init__(self, path: str, plain: bool) -> None:
@@ -68,19 +145,18 @@ class ByteLevel:
         alphabet, self.entries = byte_alphabet(), [b""] * self.tokenizer.get_vocab_size()
         for entry, i in self.tokenizer.get_vocab().items():
             self.entries[i] = bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else entry.encode()
-        self.joined = joins(self.entries)
+        self._measure()
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         #: Whether cuts hold: byte-level pieces, no changes before, spaces of a text not added.
         kind = made.get("pre_tokenizer") or {}
         self.divisible = made.get("normalizer") is None and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
-        self.sizes = np.array([len(e) for e in self.entries], np.int64)
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def each(self, segments: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
 
 
-class Pieces:
+class Pieces(Vocabulary):
     """A sentencepiece model, which puts a space before each text."""
 
     def __init__(self, path: str) -> None:
@@ -91,13 +167,12 @@ class Pieces:
         for i in range(self.model.vocab_size()):
             piece = self.model.id_to_piece(i)
             self.entries.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
-        self.joined = joins(self.entries)
+        self._measure()
         #: Whether cuts hold: white space is kept as it is, and a space is added before a text.
         self.divisible = b"".join(self.entries[i] for i in self.model.encode("a  b ")) == b" a  b "
-        self.sizes = np.array([len(e) for e in self.entries], np.int64)
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def each(self, segments: list[str]) -> list[list[int]]:
+        return self.model.encode([s[1:] for s in segments], num_threads=1)
 
 
 @lru_cache(maxsize=4)
@@ -111,19 +186,42 @@ def pieces(path: str) -> Pieces:
 
 
 class Memo:
-    """Ids of texts as little-endian unsigned 32-bit numbers; a segment is tokenised once while it is remembered."""
+    """Token ids of texts; a segment is tokenised once while it is remembered."""
 
     def __init__(self, tokenizer: ByteLevel) -> None:
-        self.tokenizer, self.known = tokenizer, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for lo in range(0, len(texts), TOGETHER):
-            some = [cut(t, self.tokenizer.joined) if self.tokenizer.divisible else [t] for t in texts[lo : lo + TOGETHER]]
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list({s for segments in some for s in segments if s not in self.known})
-            for s, ids in zip(new, self.tokenizer.ids(new), strict=True):
-                self.known[s] = np.array(ids, "<u4").tobytes()
-            out += [b"".join(map(self.known.__getitem__, segments)) for segments in some]
-        return out
+        self.tokenizer = tokenizer
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many of each)."""
+        of = self.tokenizer
+        parts, at, sizes = number(texts, of.joined, of.divisible)
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        words = [" " + p for p in parts.to_pylist()]
+        new = [w for w in words if w not in self.known]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        ids, counts = of.many(new)
+        self.ids, self.sizes = np.concatenate([self.ids, ids.astype(np.uint32)]), np.concatenate([self.sizes, counts])
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[at]
+        # The first segment of a text has no space before it.
+        begins = np.cumsum(sizes) - sizes
+        firsts, back = np.unique(at[begins], return_inverse=True)
+        names = {i: w for w, i in zip(words, map(self.known.__getitem__, words), strict=True)} if len(firsts) else {}
+        heads = [np.array(x, np.uint32) for x in of.each([names[i][1:] for i in firsts.tolist()])]
+        length = np.concatenate([self.sizes, np.fromiter(map(len, heads), np.int64, len(heads))])
+        at[begins] = len(self.sizes) + back
+        n = length[at]
+        out = gathered(np.concatenate([self.ids, *heads]), (np.cumsum(length) - length)[at], n)
+        upto = np.concatenate([[0], np.cumsum(n)])
+        return out, upto[begins + sizes] - upto[begins]
+
+
+@lru_cache(maxsize=2)
+def memo(path: str) -> Memo:
+    """That of a worker, whatever its tasks."""
+    return Memo(byte_level(path, False))

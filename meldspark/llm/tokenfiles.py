@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .segments import Memo, byte_level
+from .segments import memo
 
 MARK = int.from_bytes(b"TOKENS8B", "little")
 #: Bytes of text that a file is made of, about.
 FILE_BYTES = 64 << 20
+#: Texts that are tokenised at once.
+TOGETHER = 4096
 #: Ids that are coded, or decoded, at once.
 AT_ONCE = 1 << 20
 
@@ -120,18 +122,19 @@ def read_file(source) -> Iterator[tuple[list[int | None], list[bytes]]]:
 
 def _write(folder: str, tokenizer: str, end: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, stop = Memo(byte_level(tokenizer, False)), b"" if end is None else np.array([end], "<u4").tobytes()
+        known, stop = memo(tokenizer), b"" if end is None else np.array([end], "<u4").tobytes()
         files, root = arrow_fs.FileSystem.from_uri(folder)
         part, file, path = TaskContext.get().partitionId(), None, ""
         for b in batches:
             if file is None and b.num_rows:
                 path = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.s8b"
                 file = TokenFile(files.open_output_stream(path))
-            docs = b.column(0).to_pylist()
-            for lo in range(0, len(docs), 512):
-                texts = [t or "" for t in b.column(1).slice(lo, 512).to_pylist()]
-                for doc, ids in zip(docs[lo : lo + 512], memo.encode(texts), strict=True):
-                    file.add(doc, ids + stop)
+            for lo in range(0, b.num_rows, TOGETHER):
+                ids, counts = known.encode(b.column(1).slice(lo, TOGETHER).fill_null(""))
+                raw, at = ids.astype("<u4").tobytes(), 0
+                for doc, n in zip(b.column(0).slice(lo, TOGETHER).to_pylist(), counts.tolist(), strict=True):
+                    file.add(doc, raw[at : at + 4 * n] + stop)
+                    at += 4 * n
         if file is not None:
             yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip(("part", "path", "n_docs", "n_ids", "n_blocks", "n_bytes"), (part, path, *file.close()), strict=True)})
 

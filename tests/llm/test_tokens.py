@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,12 +30,35 @@ def test_segments_are_tokenised_as_in_their_text(text):
     for plain in (True, False):
         of = segments.byte_level(A, plain)
         assert of.divisible and not of.joined
-        assert [i for ids in of.ids(some) for i in ids] == of.ids([text])[0]
+        assert [i for ids in of.each(some) for i in ids] == of.each([text])[0]
     if text:
         of = segments.pieces(B)
         some = segments.cut(" " + text)
         assert of.divisible and not of.joined and all(s[0] == " " for s in some)
-        assert [i for ids in of.ids([s[1:] for s in some]) for i in ids] == of.ids([text])[0]
+        assert [i for ids in of.each(some) for i in ids] == of.each([" " + text])[0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(texts, max_size=12), st.sampled_from([1, 2, 100]))
+def test_texts_by_their_segments(some, together):
+    had, segments.TOGETHER = segments.TOGETHER, together
+    try:
+        given_texts = pa.array(some, pa.string())
+        parts, at, sizes = segments.number(given_texts)
+        words = [" " + p for p in parts.to_pylist()]
+        assert len(set(words)) == len(words)
+        flat = iter([words[i] for i in at.tolist()])
+        assert ["".join(next(flat) for _ in range(n)) for n in sizes.tolist()] == [" " + t for t in some]
+        for of in (segments.byte_level(A, True), segments.pieces(B)):
+            ids, counts = of.many(words)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == of.each(words) or not words
+        of = segments.byte_level(A, False)
+        for memo in (segments.Memo(of),):
+            for _ in range(2):
+                ids, counts = memo.encode(given_texts)
+                assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == of.each(some) or not some
+    finally:
+        segments.TOGETHER = had
 
 
 def test_no_cut_where_a_vocabulary_goes_on():
@@ -46,8 +70,8 @@ def test_no_cut_where_a_vocabulary_goes_on():
 def test_vocabularies_as_bytes():
     text = "Ab é日\x00\n z"
     a, b = segments.byte_level(A, True), segments.pieces(B)
-    assert b"".join(a.entries[i] for i in a.ids([text])[0]) == text.encode()
-    assert b"".join(b.entries[i] for i in b.ids([text])[0]) == b" " + text.encode()
+    assert b"".join(a.entries[i] for i in a.each([text])[0]) == text.encode()
+    assert b"".join(b.entries[i] for i in b.each([" " + text])[0]) == b" " + text.encode()
 
 
 @settings(max_examples=200, deadline=None)
@@ -152,9 +176,12 @@ def aligned(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1, 300, 1 << 25])
-def test_alignments_are_those_of_whole_texts(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "held"), [(1, 0), (300, 1 << 20), (1 << 25, 0), (1 << 25, 1 << 20)])
+def test_alignments_are_those_of_whole_texts(spark, monkeypatch, chunk, held):
     monkeypatch.setattr(alignment, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(alignment, "PAIRS", held)
+    monkeypatch.setattr(alignment, "TOGETHER", 7)
+    monkeypatch.setattr(alignment, "ENTRIES", 3)
     monkeypatch.setattr(_common, "SHARE", 20)  # some pairs are hot
     rnd = random.Random(2)
     words = ["the", "Token", "izers", "na\u00efve", "\u65e5\u672c", "don't", "x" * 9, "2024,", "<|endoftext|>", "</s>", "\n", "", "caf\u00e9.\nEnd", "\U0001f600", "-"]
@@ -169,6 +196,7 @@ def test_alignments_are_those_of_whole_texts(spark, monkeypatch, chunk):
         short = [tuple(r) for r in alignment.alignments(df, A, B, digest=True).collect()]
         assert Counter(short) == Counter((*w[:7], hashlib.sha256(w[7].encode()).hexdigest() if w[7] else "") for w in want)
         assert alignment.alignments(df.limit(0), A, B).collect() == []
+        assert [tuple(r) for r in alignment.alignments(spark.createDataFrame([(6, "\u2581")], "doc_id long, text string"), A, B).collect()] == [(6, 0, 0, 0, 0, 0, 0, "")]
 
 
 def test_undivided_texts_give_the_same(spark, monkeypatch):
