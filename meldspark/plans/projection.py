@@ -6,16 +6,16 @@ emitted as JSON fragments, since a field may be left out row by row.
 
 from __future__ import annotations
 
-import json
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, NumericType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType, VariantType
 
 from ..functions.scalar import normalize_phone
 from ..functions.vocabulary import canonical_name, load
+from . import validation
 
 _SEGMENT = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)(?:\[(\d*)\])?")
 
@@ -46,6 +46,10 @@ def _picking(name: str):
     return lambda x: x[name]
 
 
+def _parting(name: str):
+    return lambda x: validation.variant_part(x, name)
+
+
 @dataclass
 class Resolved:
     value: Column
@@ -56,24 +60,32 @@ class Resolved:
 
 def resolve_path(path: Path, schema: StructType) -> Resolved:
     """Null and empty parents are missing; an index past a list that has elements is an error, and
-    so is an unknown name (below a list, only where the list has elements)."""
+    so is an unknown name (below a list, only where the list has elements). Below a VARIANT, names and
+    places that are not there are missing, and a JSON null is."""
     none, kind, value = F.lit(None).cast("string"), schema, None
     error = none
     for n, step in enumerate(path.steps):
-        if isinstance(step, int):
+        if isinstance(kind, VariantType):
+            if step is None:
+                rest, out = path.steps[n + 1 :], validation.variant_items(value)
+                for sub in rest:
+                    out = F.transform(out, _parting(sub))
+                return Resolved(out, validation.variant_items(value).isNull(), error, ArrayType(kind))
+            value = F.get(validation.variant_items(value), F.lit(step)) if isinstance(step, int) else validation.variant_part(value, step)
+        elif isinstance(step, int):
             if not isinstance(kind, ArrayType):
-                return Resolved(none, F.lit(False), F.lit(f"invalid path '{path.text}'"), None)
+                return Resolved(none, F.lit(False), F.lit(f"{path.steps[n - 1]!r} is not a list (cannot index)"), None)
             past = (F.size(value) > 0) & (F.size(value) <= step)
-            error = F.when(past, F.lit(f"invalid path '{path.text}': index {step} out of range")).otherwise(error)
+            error = F.when(past, F.concat(F.lit(f"index {step} out of range for {path.steps[n - 1]!r} (length "), F.size(value).cast("string"), F.lit(")"))).otherwise(error)
             value, kind = F.get(value, F.lit(step)), kind.elementType
         elif step is None:
             if not isinstance(kind, ArrayType):
-                return Resolved(none, F.lit(False), F.lit(f"invalid path '{path.text}'"), None)
+                return Resolved(none, F.lit(False), F.lit(f"{path.steps[n - 1]!r} is not a list (cannot project)"), None)
             rest = path.steps[n + 1 :]
             inner = kind.elementType
             for sub in rest:
                 if not isinstance(inner, StructType) or sub not in inner.names:
-                    return Resolved(value, value.isNull(), F.when(F.size(value) > 0, F.lit(f"invalid path '{path.text}'")), kind)
+                    return Resolved(value, value.isNull(), F.when(F.size(value) > 0, F.lit(f"non-existent subfield {sub!r}")), kind)
                 inner = inner[sub].dataType
             out = value
             for sub in rest:
@@ -81,10 +93,10 @@ def resolve_path(path: Path, schema: StructType) -> Resolved:
             return Resolved(out, value.isNull(), error, ArrayType(inner))
         else:
             if not isinstance(kind, StructType) or step not in kind.names:
-                return Resolved(none, F.lit(False), F.lit(f"invalid path '{path.text}'"), None)
+                return Resolved(none, F.lit(False), F.lit(f"non-existent subfield {step!r}"), None)
             value = F.col(step) if value is None else value.getField(step)
             kind = kind[step].dataType
-    return Resolved(value, value.isNull(), error, kind)
+    return Resolved(value, validation.absent(value, kind), error, kind)
 
 
 NORMALIZERS = {
@@ -105,105 +117,59 @@ def normalized(value: Column, kind: DataType | None, name: str | None, vocabular
     return value if f is None else F.transform(value, f) if listed else f(value)
 
 
-def type_fits(kind: DataType | None, want: str | None) -> bool:
-    """Static check; unknown type names accept anything."""
-    if not want or kind is None:
-        return True
-    if want.endswith("[]"):
-        return isinstance(kind, ArrayType) and type_fits(kind.elementType, want[:-2])
-    known = {"string": StringType, "number": NumericType, "boolean": BooleanType, "array": ArrayType, "object": StructType}
-    return want not in known or isinstance(kind, known[want])
-
-
-def one_of(value: Column, kind: DataType | None, allowed: list) -> Column:
-    """Whether the value is among those allowed, of its own JSON kind: the number 1 is not the text "1"."""
-    kinds = {StringType: str, NumericType: (int, float), BooleanType: bool}
-    mine = next((k for t, k in kinds.items() if isinstance(kind, t)), ())
-    same = [x for x in allowed if isinstance(x, mine) and isinstance(x, bool) == isinstance(kind, BooleanType)]
-    if not same:
-        text = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
-        return text.isin([json.dumps({"v": x}, separators=(",", ":"), ensure_ascii=False) for x in allowed if isinstance(x, list | dict)])
-    return value.isin(same)
-
-
-def _type_name(kind: DataType) -> str:
-    """What JSON values of the type are called in error texts (fixed values)."""
-    names = {"string": "str", "boolean": "bool", "array": "list", "struct": "dict", "map": "dict", "double": "float", "float": "float"}
-    return names.get(kind.typeName(), "int")
-
-
-def element_faults(kind: DataType, want: str | dict) -> list[tuple[str, str]]:
-    """Faults of any element of a type, as (suffix of the field's name, reason): scalars against a
-    type name, objects against a mapping of subfields, which may be nested. The type says it all,
-    so elements are not looked at one by one; only whether they are null, which scalars may be."""
-    if not isinstance(want, dict):
-        return [] if type_fits(kind, want) else [("", f"expected element type {want!r} but got {_type_name(kind)!r}")]
-    if not isinstance(kind, StructType):
-        return [("", f"expected an object but got {_type_name(kind)!r}")]
-    out = []
-    for sub, inner in want.items():
-        if sub not in kind.names:
-            out.append((f".{sub}", "required object subfield is missing"))
-        elif isinstance(inner, dict):
-            out += [(f".{sub}{s}", why) for s, why in element_faults(kind[sub].dataType, inner)]
-        elif not type_fits(kind[sub].dataType, inner):
-            out.append((f".{sub}", f"expected type {inner!r} but got {_type_name(kind[sub].dataType)!r}"))
-    return out
-
-
-def _element_errors(name: str, value: Column, kind: ArrayType, want: str | dict) -> Column:
-    """Array of error structs, one for each faulty element and subfield."""
-    error = lambda i, suffix, why: F.struct(F.lit("validate").alias("stage"), F.concat(F.lit(f"field '{name}["), i.cast("string"), F.lit(f"]{suffix}': {why}")).alias("error"))
-    faults = element_faults(kind.elementType, want)
-    null = [("", "expected an object but got 'NoneType'")] if isinstance(want, dict) else []
-    each = F.transform(value, lambda x, i: F.when(x.isNull(), F.array(*[error(i, *f) for f in null]) if null else None).otherwise(F.array(*[error(i, *f) for f in faults]) if faults else None))
-    return F.flatten(F.filter(each, lambda e: e.isNotNull()))
-
-
-def project(df: DataFrame, config: dict, key: str = "candidate_id", vocabulary: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Profiles ``(key, profile)`` with profile a JSON text of the configured fields in order, and
-    errors ``(key, stage, error)``. A column ``__order`` comes along."""
-    fragments, errors, element_errors = [], [], []
+def compiled(df: DataFrame, config: dict, vocabulary: dict[str, list[str]] | None = None) -> tuple[Column, Column]:
+    """A config as two Columns of ``df``: the profile, a JSON text of the configured fields in order,
+    and its errors, an array of struct(stage, error). A field whose path is invalid is left out."""
+    fragments, errors, faults = [], [], []
     everywhere = config.get("on_missing", "null")
     fields = {f.get("name") or f.get("path"): f for f in config["fields"]}
     for name, spec in fields.items():
-        got = resolve_path(parse_path(spec.get("from") or spec.get("path") or name), df.schema)
+        path = spec.get("from") or spec.get("path") or name
+        got = resolve_path(parse_path(path), df.schema)
         policy = spec.get("on_missing", everywhere)
         value = normalized(got.value, got.kind, spec.get("normalize"), vocabulary)
         bad = got.error.isNotNull()
-        errors.append(F.when(bad, F.struct(F.lit("project").alias("stage"), got.error.alias("error"))))
+        errors.append(F.when(bad, F.struct(F.lit("project").alias("stage"), F.concat(F.lit(f"invalid canonical path {path!r} for output field {name!r}: "), got.error).alias("error"))))
         shown = F.to_json(F.struct(value.alias(name)), {"ignoreNullFields": "false"})
         fragment = F.substring(shown, F.lit(2), F.length(shown) - 2)
         absent = got.missing | bad
-        if policy == "null":
-            fragment = F.when(absent, F.lit(f'"{name}":null')).otherwise(fragment)
-        else:
-            fragment = F.when(~absent, fragment)
-            if policy == "error":
-                errors.append(F.when(got.missing & ~bad, F.struct(F.lit("project").alias("stage"), F.lit(f"field '{name}': required value is missing").alias("error"))))
+        fragment = F.when(~bad, F.when(~got.missing, fragment).otherwise(F.lit(f'"{name}":null' if policy == "null" else None)))
+        if policy == "error":
+            errors.append(F.when(got.missing & ~bad, F.struct(F.lit("project").alias("stage"), F.lit(f"required output field {name!r} is absent from the canonical record (from {path!r})").alias("error"))))
         fragments.append(fragment)
-        present = ~absent | F.lit(policy == "null")
-
-        def failed(when: Column, reason: str, name: str = name) -> Column:
-            return F.when(when, F.struct(F.lit("validate").alias("stage"), F.lit(f"field '{name}': {reason}").alias("error")))
-
         if spec.get("required"):
-            errors.append(failed(~present, "required field is missing"))
-        if not type_fits(got.kind, spec.get("type")):
-            errors.append(failed(~absent, f"expected type {spec['type']}"))
-        elif spec.get("enum"):
-            errors.append(failed(~absent & ~one_of(value, got.kind, spec["enum"]), "value is not in the enum"))
-        want = spec.get("element_type")
-        if want and isinstance(got.kind, ArrayType) and type_fits(got.kind, spec.get("type")) and (isinstance(want, dict) or element_faults(got.kind.elementType, want)):
-            element_errors.append(F.when(~absent, _element_errors(name, value, got.kind, want)))
+            faults.append(F.when(bad if policy == "null" else absent, F.array(F.struct(F.lit(name).alias("field"), F.lit(validation.MISSING).alias("reason")))))
+        faults += [F.when(~absent, f) for f in validation.field_faults(name, value, got.kind, spec)]
     if config.get("include_provenance", True) and "provenance" in df.columns:
         fragments.append(F.concat(F.lit('"provenance":'), F.to_json("provenance", {"ignoreNullFields": "false"})))
     if config.get("include_confidence", True) and "overall_confidence" in df.columns:
         fragments.append(F.concat(F.lit('"overall_confidence":'), F.col("overall_confidence").cast("string")))
     profile = F.concat(F.lit("{"), F.array_join(F.filter(F.array(*fragments), lambda x: x.isNotNull()), ","), F.lit("}"))
-    every = F.filter(F.array(*errors), lambda x: x.isNotNull())
-    for more in element_errors:
-        every = F.concat(every, F.coalesce(more, F.array().cast("array<struct<stage:string,error:string>>")))
-    found = df.select(F.col(key), F.explode(every).alias("e")).select(key, "e.stage", "e.error")
+    every = F.filter(F.array(*errors), lambda x: x.isNotNull()).cast(ERRORS)
+    for more in faults:
+        said = F.transform(more, lambda f: F.struct(F.lit("validate").alias("stage"), F.concat(F.lit("field '"), f["field"], F.lit("': "), f["reason"]).alias("error")))
+        every = F.concat(every, F.coalesce(said.cast(ERRORS), F.array().cast(ERRORS)))
+    return profile, every
+
+
+ERRORS = "array<struct<stage:string,error:string>>"
+
+
+def project(df: DataFrame, config: dict, key: str = "candidate_id", vocabulary: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Profiles ``(key, profile)`` and errors ``(key, stage, error)`` of a config (see ``compiled``). A
+    column ``__order`` comes along."""
+    profile, errors = compiled(df, config, vocabulary)
+    found = df.select(F.col(key), F.explode(errors).alias("e")).select(key, "e.stage", "e.error")
     order = [c for c in ("__order",) if c in df.columns]
     return df.select(F.col(key), profile.alias("profile"), *order), found
+
+
+def project_many(df: DataFrame, configs: dict[str, dict], key: str = "candidate_id", vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
+    """All configs in one pass over ``df``: ``(config, number, key, profile, errors)``, a row for each of
+    its rows and configs, with the config's name and its place among them; ``__order`` comes along."""
+    each = []
+    for i, (name, config) in enumerate(configs.items()):
+        profile, errors = compiled(df, config, vocabulary)
+        each.append(F.struct(F.lit(name).alias("config"), F.lit(i).alias("number"), profile.alias("profile"), errors.alias("errors")))
+    order = [c for c in ("__order",) if c in df.columns]
+    return df.select(F.col(key), *order, F.explode(F.array(*each)).alias("p")).select("p.config", "p.number", key, "p.profile", "p.errors", *order)

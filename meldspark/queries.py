@@ -10,7 +10,7 @@ from .functions.scalar import entity_id, find_emails, find_link, find_phones, gi
 from .functions.vocabulary import match_terms, mentions
 from .operators.fusion import combined, list_contributions, scored, winners
 from .operators.identity import resolve
-from .operators.scratch import new_folder
+from .operators.scratch import materialize, new_folder
 from .plans.projection import project
 from .runs import read_sources
 from .sources import readers
@@ -157,10 +157,10 @@ def candidate_order_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def list_contributions_query(spark: SparkSession, d: str) -> DataFrame:
-    """Nations as records, whose customers are a list."""
+    """A hundred customers each as a record, in which they are a list."""
     k = F.col("c_custkey")
-    people = _table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(k, F.when(k % 3 > 0, F.col("c_mktsegment")).alias("v")))).alias("l"))
-    records = people.select(F.col("c_nationkey").alias("record_id"), F.lit("resume").alias("source_type"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("source_id"), F.transform("l", lambda x: x["v"]).alias("skills"), F.create_map(F.lit("skills"), F.lit("m")).alias("methods"))
+    people = _table(spark, d, "customer").groupBy(F.floor(k / 100).alias("f")).agg(F.array_sort(F.collect_list(F.struct(k, F.when(k % 3 > 0, F.col("c_mktsegment")).alias("v")))).alias("l"))
+    records = people.select(F.col("f").alias("record_id"), F.lit("resume").alias("source_type"), F.concat(F.lit("n"), F.col("f").cast("string")).alias("source_id"), F.transform("l", lambda x: x["v"]).alias("skills"), F.create_map(F.lit("skills"), F.lit("m")).alias("methods"))
     return list_contributions(records, "skills", F.length("value") / 10 + F.col("record_id"))
 
 
@@ -186,20 +186,25 @@ def csv_records_query(spark: SparkSession, d: str) -> DataFrame:
     return got.select("source_type", "full_name", F.col("emails")[0].alias("email"), F.col("phones")[0].alias("phone"), "headline", F.size("experience").alias("jobs"), F.col("experience")[0]["company"].alias("company"), F.col("methods")["headline"].alias("method"))
 
 
+def _hundred(key: str) -> Column:
+    """Files of a hundred rows at most, by names that are in order."""
+    return F.lpad(F.floor(F.col(key) / 100).cast("string"), 12, "0").alias("file")
+
+
 def _json_text(*fields: Column) -> Column:
     return F.to_json(F.struct(*fields))
 
 
 def ats_records_query(spark: SparkSession, d: str) -> DataFrame:
-    """A JSON array of applicants for each nation."""
+    """A JSON array of applicants for each hundred customers."""
     k = F.col("c_custkey")
     person = F.struct(
         k.alias("id"), F.col("c_name").alias("candidateName"), F.when(k % 2 == 0, F.concat(F.lit("c"), k.cast("string"), F.lit("@x.org"))).alias("emailAddress"), F.when(k % 3 == 0, F.col("c_mktsegment")).alias("currentEmployer"),
         F.when(k % 4 == 0, "Buyer").alias("jobTitle"), (k % 30).alias("yrsExp"), F.array(F.lit("py"), F.col("c_mktsegment")).alias("skillList"),
         F.when(k % 5 == 0, "Town").alias("city"), F.lit("R").alias("region"), F.when(k % 6 == 0, "S").alias("state"),
     )
-    files = _table(spark, d, "customer").groupBy("c_nationkey").agg(F.to_json(F.array_sort(F.collect_list(person))).alias("t"))
-    got = readers.ats_records(files.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("source_id"), F.try_parse_json("t").alias("v")))
+    files = _table(spark, d, "customer").groupBy(_hundred("c_custkey")).agg(F.to_json(F.array_sort(F.collect_list(person))).alias("t"))
+    got = readers.ats_records(files.select(F.concat(F.lit("n"), F.col("file")).alias("source_id"), F.try_parse_json("t").alias("v")))
     return got.select(
         "source_id", "full_name", F.col("emails")[0].alias("email"), "headline", F.col("years_experience").cast("long").alias("years"), F.array_join("skills", ",").alias("skills"), F.col("experience")[0]["company"].alias("company"),
         F.col("location.city").alias("city"), F.col("location.region").alias("region"), F.col("methods")["experience"].alias("job_method"), F.col("methods")["location"].alias("place_method"),
@@ -266,32 +271,59 @@ def resume_records_query(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _source_files(spark: SparkSession, d: str) -> str:
+    """Files of a hundred customers each, with planted faults: JSON of four kinds, and CSV."""
+    path, k = new_folder(spark, "sources"), F.col("c_custkey")
+    people, kind = _table(spark, d, "customer"), F.col("file").cast("long") % 4
+    object_ = F.to_json(F.struct(F.col("c_name").alias("candidateName")))
+    each = people.groupBy(_hundred("c_custkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k, F.when(k % 10 == 0, k.cast("string")).otherwise(object_).alias("t")))), lambda x: x["t"]).alias("l"))
+    array = F.concat(F.lit("["), F.array_join("l", ","), F.lit("]"))
+    json = F.when(kind == 0, array).when(kind == 1, F.substring(array, F.lit(1), F.length(array) - 1)).when(kind == 2, '{"candidateName":"One"}').otherwise(F.col("file").cast("long").cast("string"))
+    each.select("file", json.alias("t")).write.partitionBy("file").text(f"{path}/json")
+
+    # Too few fields, too many, and a quote that is open to the end of its file.
+    row = F.concat_ws(",", F.col("c_name"), F.when(k % 20 > 0, F.concat(F.lit("c"), k.cast("string"), F.lit("@x.org"))), F.when(k % 20 == 1, "more"))
+    rows = people.groupBy(_hundred("c_custkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k, F.when(k % 100 == 99, F.concat(F.col("c_name"), F.lit(',"open'))).otherwise(row).alias("t")))), lambda x: x["t"]).alias("l"))
+    rows.select("file", F.concat(F.lit("name,email\n"), F.array_join("l", "\n")).alias("t")).write.partitionBy("file").text(f"{path}/csv")
+    return path
+
+
 def source_errors_query(spark: SparkSession, d: str) -> DataFrame:
-    """What a run says of sources that cannot be read, or hold something else."""
-    path = new_folder(spark, "sources")
-    orders = _table(spark, d, "orders").groupBy().agg(F.count("*").alias("n"))
-    for name, text in (("bad.json", F.lit("{nope")), ("list.json", F.concat(F.lit('[{"candidateName":"A"},'), F.col("n").cast("string"), F.lit(',"x",null,[1]]'))), ("gh", F.lit("[1]")), ("ok.csv", F.lit("name,email\nAnn,a@x")), ("head.csv", F.lit("name,email"))):
-        orders.select(text).coalesce(1).write.text(f"{path}/{name}")
-    orders.select(F.expr("cast(unhex('6EFF0A') as string)")).coalesce(1).write.text(f"{path}/n.txt")
-    refs = [(f"{path}/{n}", k) for n, k in (("bad.json", None), ("list.json", None), ("gh", "github"), ("ok.csv", None), ("head.csv", None), ("n.txt", None), ("gone.csv", None), ("x.zip", None))] + [("https://x.org/a.txt", None)]
-    records, errors = read_sources(spark, refs)
-    said = errors.select(F.lit("error").alias("what"), "stage", F.regexp_extract("source", r"/([a-z.]+)(?:/[^/]*)?$", 1).alias("source"), F.regexp_extract("error", "^([A-Za-z]+(?: [a-z]+)?)", 1).alias("text"))
-    found = records.select(F.lit("record").alias("what"), F.col("source_type").alias("stage"), F.regexp_extract("source_id", r"/([a-z.]+)(?:/[^/]*)?$", 1).alias("source"), "full_name")
-    return said.unionByName(found.withColumnRenamed("full_name", "text"))
+    """What a run says of sources that cannot be read, or hold something else; records are counted."""
+    path = _source_files(spark, d)
+    refs = [(f"{path}/json", "ats_json"), (f"{path}/csv", "recruiter_csv"), (f"{path}/gone.csv", None), (f"{path}/x.zip", None)]
+    records, errors = read_sources(spark, refs, strict=True)
+    file = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, r"/file=(\d+)", 1), F.lit("")), F.regexp_extract(c, r"/([a-z.]+)$", 1)).alias("file")
+    said = errors.select("stage", file("source"), F.regexp_replace("error", r"(?s)source '.*?' |source_type=.*|location=.*| recruiter_csv source '.*?'|: .*", "").alias("what"), F.length(F.regexp_extract("error", "(?s)header: (.*)", 1)).alias("size"))
+    found = records.groupBy(F.col("source_type").alias("stage"), file("source_id")).agg(F.count("full_name").alias("named"), F.count("*").alias("n"))
+    return said.select(*said.columns, F.lit(1).cast("long").alias("n")).unionByName(found.select("stage", "file", F.lit("records").alias("what"), F.col("named").cast("int").alias("size"), "n"))
 
 
 def route_query(spark: SparkSession, d: str) -> DataFrame:
-    """Kinds of locations, by hint or by name in order of priority; with one adapter more."""
+    """Kinds of the locations of pages, by hint or by name in order of priority; with one adapter more."""
     registry = readers.Registry([*readers.REGISTRY.adapters, readers.Adapter("web_page", readers.read_notes, lambda x: x.startswith("http"), 3)])
-    urls = [("a/B.CSV", None), ("https://github.com/x.json", None), ("https://www.linkedin.com/in/a", None), ("https://github.com/a", None), ("cv.PDF", None), ("cv.docx", None), ("n.txt", None), ("n.txt", "resume"), ("any", "github"), ("https://x.org/", None), ("x.zip", None), ("a.csv", "nothing")]
-
-    def kind(location: str, hint: str | None) -> str:
-        try:
-            return registry.resolve(location, hint).kind
-        except ValueError:
-            return "none"
-
-    return spark.createDataFrame([(u, h or "", kind(u, h)) for u, h in urls], "location string, hint string, kind string")
+    k, url = F.col("page_id"), F.coalesce("url", F.lit(""))
+    names = ["B.CSV", "x.json", "cv.PDF", "cv.docx", "n.txt", "x.zip", "in"]
+    place = F.when(k % 9 == 7, F.concat(F.lit("https://github.com/p"), k.cast("string"))).when(k % 9 == 8, F.concat(F.lit("HTTPS://www.LinkedIn.com/in/p"), k.cast("string")))
+    for i, name in enumerate(names):
+        place = F.when(k % 9 == i, F.concat(url, F.lit(f"/{name}") if i % 2 == 0 else F.concat(k.cast("string"), F.lit(f"/{name}")))).otherwise(place)
+    place = F.when(k % 5 == 0, F.concat(F.lit("a"), k.cast("string"), F.lit("/"), F.regexp_extract(place, "([^/]*)$", 1))).otherwise(place)
+    hint = F.when(k % 7 == 0, "resume").when(k % 7 == 1, "nothing").when(k % 7 == 2, "")
+    pages = _table(spark, d, "pages").select("page_id", place.alias("location"), hint.alias("hint"))
+    return pages.select("page_id", "location", registry.kinds(F.col("location"), F.col("hint")).alias("kind"))
+
+
+def input_ordinals_query(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the lines of files made of orders, read in large splits and in small ones."""
+    path = new_folder(spark, "orders")
+    orders = _table(spark, d, "orders").repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey")
+    orders.select(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority", F.repeat(F.lit("x"), (F.col("o_orderkey") % 50).cast("int")))).write.text(path)
+    fine = spark.newSession()
+    fine.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    key = F.split_part("value", F.lit(","), F.lit(1)).cast("long").alias("o_orderkey")
+    of = lambda session, name: readers.numbered(session.read.text(path)).select(key, F.col("ordinal").alias(name))
+    small = materialize(of(fine, "in_small_splits"), "ordinals")
+    return of(spark, "ordinal").join(spark.read.schema(small.schema).parquet(small._scratch_path), "o_orderkey")
 
 
 # --- Scalars and vocabulary
@@ -380,6 +412,24 @@ def validate_elements_query(spark: SparkSession, d: str) -> DataFrame:
     return _strict(spark, d)[1].groupBy("stage", "error").agg(F.count("*").alias("n"))
 
 
+_DYNAMIC = {
+    "fields": [
+        {"name": "k", "from": "p.k", "type": "number", "required": True, "on_missing": "omit"},
+        {"name": "few", "from": "p.k", "enum": ["a1", 2, 3]},
+        {"name": "list", "from": "p.k", "type": "number[]"},
+        {"name": "object", "from": "p.k", "type": "object", "element_type": {"a": "number", "b": "number", "c": "string", "d": "string"}},
+    ],
+}
+
+
+def validate_dynamic_query(spark: SparkSession, d: str) -> DataFrame:
+    """JSON of events, of one type and another, checked row by row."""
+    e, k = F.col("event_id") % 6, F.get_json_object("props", "$.k")
+    shape = F.when(e == 1, F.concat(F.lit('{"k":"a'), k, F.lit('"}'))).when(e == 2, F.concat(F.lit('{"k":['), k, F.lit(',"x",null,{}]}'))).when(e == 3, F.concat(F.lit('{"k":{"a":'), k, F.lit(',"b":"x","c":null}}'))).when(e == 4, '{"k":null}').when(e == 5, "{").otherwise(F.col("props"))
+    events = _table(spark, d, "events").select("event_id", F.try_parse_json(shape).alias("p"))
+    return project(events, _DYNAMIC, "event_id")[1]
+
+
 QUERIES = {
     "find_emails": find_emails_query, "find_phones": find_phones_query, "normalize_date": normalize_date_query, "candidate_id_uuid5": candidate_id_query,
     "json_field_map": json_field_map_query, "union_sources": union_sources_query, "agreement_confidence": agreement_confidence_query, "winner_selection": winner_selection_query,
@@ -388,7 +438,8 @@ QUERIES = {
     "notes_records": notes_records_query, "resume_records": resume_records_query, "source_errors": source_errors_query, "route_sources": route_query, "normalize_phone": normalize_phone_query,
     "normalize_country": normalize_country_query, "match_terms": match_terms_query, "skill_mentions": skill_mentions_query, "profile_links": profile_links_query, "identity_names": identity_names_query,
     "project_dialect": project_dialect_query, "validate_elements": validate_elements_query, "candidate_order": candidate_order_query, "list_contributions": list_contributions_query,
-    "github_user": github_user_query,
+    "github_user": github_user_query, "input_ordinals": input_ordinals_query,
+    "validate_dynamic": validate_dynamic_query,
 }
 
 _EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -421,9 +472,9 @@ select c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h,
 select c_custkey, '{{"id":' || c_custkey || ',"first":' || coalesce(orders[1].k::varchar, 'null') || case when len(orders) > 2 then ',"third":"' || orders[3].s || '"' else '' end || ',"segment":"' || lower(c_mktsegment) || '"' ||
 case when orders is null then '' else ',"states":["' || array_to_string(list_transform(orders, lambda x: x.s), '","') || '"]' end || '}}' as profile from nested""",
     "validate_schema": f"""with {_NESTED}, e as (
-select 'project' as stage, 'invalid path ''orders[2].o_orderstatus'': index 2 out of range' as error from nested where len(orders) between 1 and 2
-union all select 'validate', 'field ''segment'': value is not in the enum' from nested where lower(c_mktsegment) not in ('building', 'machinery')
-union all select 'project', 'field ''states'': required value is missing' from nested where orders is null)
+select 'project' as stage, 'invalid canonical path ''orders[2].o_orderstatus'' for output field ''third'': index 2 out of range for ''orders'' (length ' || len(orders) || ')' as error from nested where len(orders) between 1 and 2
+union all select 'validate', 'field ''segment'': value ''' || lower(c_mktsegment) || ''' is not a member of the allowed set [''building'', ''machinery'']' from nested where lower(c_mktsegment) not in ('building', 'machinery')
+union all select 'project', 'required output field ''states'' is absent from the canonical record (from ''orders[].o_orderstatus'')' from nested where orders is null)
 select stage, error, count(*) as n from e group by all""",
 }
 
@@ -486,8 +537,8 @@ every as (select g, split_part(field, '#', 1) as field, method, source, conf, tr
 select field, method, source, count(*) as n, count(*) filter (found) as found, round(sum(conf), 6) as confidence from every group by all""",
     "csv_records": f"""select 'recruiter_csv' as source_type, c_name as full_name, case when c_custkey % 5 > 0 then 'C' || c_custkey::varchar || '@x.org' end as email, {_PHONE.format("c_custkey")} as phone, case when c_custkey % 4 > 0 then 'Buyer' end as headline,
 case when c_custkey % 3 > 0 or c_custkey % 4 > 0 then 1 end::int as jobs, case when c_custkey % 3 > 0 then 'a, "b"' || chr(10) || c_mktsegment end as company, 'csv_column' as method from customer""",
-    "ats_records": """with c as (select *, row_number() over (partition by c_nationkey order by c_custkey) - 1 as i from customer)
-select 'n' || c_nationkey::varchar || '#' || i::varchar as source_id, c_name as full_name, case when c_custkey % 2 = 0 then 'c' || c_custkey::varchar || '@x.org' end as email, case when c_custkey % 4 = 0 then 'Buyer' end as headline,
+    "ats_records": """with c as (select *, c_custkey // 100 as f, row_number() over (partition by c_custkey // 100 order by c_custkey) - 1 as i from customer)
+select 'n' || lpad(f::varchar, 12, '0') || '#' || i::varchar as source_id, c_name as full_name, case when c_custkey % 2 = 0 then 'c' || c_custkey::varchar || '@x.org' end as email, case when c_custkey % 4 = 0 then 'Buyer' end as headline,
 (c_custkey % 30)::bigint as years, 'py,' || c_mktsegment as skills, case when c_custkey % 3 = 0 then c_mktsegment end as company, case when c_custkey % 5 = 0 then 'Town' end as city, case when c_custkey % 6 = 0 then 'S' else 'R' end as region,
 case when c_custkey % 12 = 0 then 'ats_field:currentEmployer+jobTitle' when c_custkey % 3 = 0 then 'ats_field:currentEmployer' when c_custkey % 4 = 0 then 'ats_field:jobTitle' end as job_method,
 'ats_field:' || case when c_custkey % 5 = 0 then 'city+' else '' end || 'region' || case when c_custkey % 6 = 0 then '+state' else '' end as place_method from c""",
@@ -501,11 +552,23 @@ case when c_custkey % 2 = 0 then 'py,golang,script' else 'py,C++,go,script' end
     "resume_records": f"""select 'r' || s_suppkey::varchar as source_id, s_name as full_name, 'u' || s_suppkey::varchar || '@x.org' as email, '+1 (415) 555-2671' as phone, 'Town' as city, 'North' as region, {_LAND.format("s_nationkey")} as country, 'Engineer' as headline,
 'https://www.github.com/u' || s_suppkey::varchar as github, 'linkedin.com/in/u' || s_suppkey::varchar as linkedin, case when s_suppkey % 4 > 0 then 'Java,Go' when s_suppkey % 3 > 0 then 'Chess' else '' end as skills,
 'Acme ' || s_suppkey::varchar || '|Engineer|Jan 2019|Present|Built x' || case when s_suppkey % 2 = 0 then ' and y' else '' end || ';Beta|Intern|2015|2016' as jobs, 'University ' || s_suppkey::varchar || case when s_suppkey % 3 = 0 then '|B.Sc.|Physics|2014' else '' end as schools from supplier""",
-    "source_errors": """select what, stage, source, text from (values ('error', 'ingest', 'bad.json', 'source'), ('error', 'extract', 'list.json', 'Expected a'), ('error', 'extract', 'list.json', 'Expected a'), ('error', 'extract', 'list.json', 'Expected a'), ('error', 'extract', 'list.json', 'Expected a'),
-('error', 'extract', 'gh', 'Expected a'), ('error', 'ingest', 'n.txt', 'failed to'), ('error', 'ingest', 'gone.csv', 'failed to'), ('error', 'ingest', 'x.zip', 'No registered'), ('error', 'ingest', 'x.org', 'failed to'),
-('record', 'ats_json', 'list.json', 'A'), ('record', 'ats_json', 'list.json', null), ('record', 'ats_json', 'list.json', null), ('record', 'ats_json', 'list.json', null), ('record', 'ats_json', 'list.json', null), ('record', 'github', 'gh', null), ('record', 'recruiter_csv', 'ok.csv', 'Ann'), ('record', 'recruiter_csv', 'head.csv', null)) as t(what, stage, source, text)""",
-    "route_sources": """select location, hint, kind from (values ('a/B.CSV', '', 'recruiter_csv'), ('https://github.com/x.json', '', 'ats_json'), ('https://www.linkedin.com/in/a', '', 'linkedin'), ('https://github.com/a', '', 'web_page'), ('cv.PDF', '', 'resume'), ('cv.docx', '', 'resume'),
-('n.txt', '', 'recruiter_notes'), ('n.txt', 'resume', 'resume'), ('any', 'github', 'github'), ('https://x.org/', '', 'web_page'), ('x.zip', '', 'none'), ('a.csv', 'nothing', 'none')) as t(location, hint, kind)""",
+    "source_errors": """with c as (select *, c_custkey // 100 as f, row_number() over (partition by c_custkey // 100 order by c_custkey) as i from customer),
+f as (select f, lpad(f::varchar, 12, '0') as file, count(*) as n, count(*) filter (c_custkey % 10 <> 0) as named from c group by 1)
+select 'ingest' as stage, file, 'is not valid JSON' as what, 0::int as size, 1::bigint as n from f where f % 4 = 1
+union all select 'extract', file, 'Expected a JSON object, got int', 0, 1 from c join f using (f) where f % 4 = 0 and c_custkey % 10 = 0
+union all select 'extract', file, 'Expected a JSON object, got int', 0, 1 from f where f % 4 = 3
+union all select 'ats_json', file, 'records', case f % 4 when 0 then named when 2 then 1 else 0 end::int, case f % 4 when 0 then f.n else 1 end from f where f % 4 <> 1
+union all select 'extract', file, 'row ' || i::varchar || ' is not as wide as the header', (length(c_name) + case when c_custkey % 20 = 1 then length('c' || c_custkey::varchar || '@x.org') + 6 else 0 end)::int, 1 from c join f using (f) where c_custkey % 20 < 2 and c_custkey % 100 <> 99
+union all select 'recruiter_csv', file, 'records', n::int, n from f
+union all select 'ingest', 'gone.csv', 'failed to read', 0, 1
+union all select 'ingest', 'x.zip', 'No registered adapter can handle reference', 0, 1""",
+    "route_sources": """with p as (select page_id, page_id % 9 as k, coalesce(url, '') as u, page_id::varchar as s, case page_id % 7 when 0 then 'resume' when 1 then 'nothing' end as hint from pages),
+l as (select *, case k when 0 then u || '/B.CSV' when 1 then u || s || '/x.json' when 2 then u || '/cv.PDF' when 3 then u || s || '/cv.docx' when 4 then u || '/n.txt' when 5 then u || s || '/x.zip' when 6 then u || '/in' when 7 then 'https://github.com/p' || s else 'HTTPS://www.LinkedIn.com/in/p' || s end as w from p),
+m as (select *, case when page_id % 5 = 0 then 'a' || s || '/' || regexp_extract(w, '([^/]*)$', 1) else w end as location from l),
+n as (select *, lower(location) as x from m)
+select page_id, location, case when hint = 'nothing' then null when hint is not null then hint when x like '%.csv' then 'recruiter_csv' when x like '%.json' then 'ats_json' when x like '%.pdf' or x like '%.docx' then 'resume'
+when x like '%linkedin.com%' then 'linkedin' when x like 'http%' then 'web_page' when x like '%github.com%' then 'github' when x like '%.txt' then 'recruiter_notes' end as kind from n""",
+    "input_ordinals": "select o_orderkey, row_number() over (order by o_orderkey) - 1 as ordinal, row_number() over (order by o_orderkey) - 1 as in_small_splits from orders",
     "normalize_phone": """with t as (select o_orderkey, lpad((o_orderkey % 10000)::varchar, 4, '0') as f, o_orderkey % 7 as k from orders),
 n as (select *, case k when 0 then '+1415555' || f when 1 then '+44207946' || f when 3 then '+91987654' || f end as phone from t)
 select o_orderkey, phone, case when phone is null then 0.0 else 1.0 end::double as quality, case when k = 2 then '+1415555' || f else phone end as assumed, case when k = 2 then 0.7 when phone is null then 0.0 else 1.0 end::double as assumed_quality from n""",
@@ -527,25 +590,37 @@ h as (select group_id, sha1(unhex('6f9b3f7a2c1e5d8b9a4c3e2d1f0a7b6c') || encode(
 select record_id, group_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + ((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4)::int, 1) || substr(h, 18, 1) || substr(h, 19, 2) || '-' || substr(h, 21, 12) as candidate_id from g join h using (group_id)""",
     "project_dialect": f"""with {_NESTED}, two as (select *, orders[1:2] as os from nested)
 select c_custkey, '{{"c_custkey":' || c_custkey || case when os is null then '' else ',"first":"' || os[1].s || '","orders":[' || array_to_string(list_transform(os, lambda o: '{{"o_orderkey":' || o.k || ',"o_orderstatus":"' || o.s || '"}}'), ',') || ']' end || ',"c_name":"' || upper(c_name) || '","c_nationkey":' || c_nationkey
-  || case when os is null then '' else ',"keys":[' || array_to_string(list_transform(os, lambda o: o.k), ',') || ']' end || ',"nothing":null,"phone":"' || case when c_custkey % 2 = 0 then '+1415555' || lpad((c_custkey % 10000)::varchar, 4, '0') else '12' end || '","overall_confidence":0.5}}' as profile from two""",
+  || case when os is null then '' else ',"keys":[' || array_to_string(list_transform(os, lambda o: o.k), ',') || ']' end || ',"phone":"' || case when c_custkey % 2 = 0 then '+1415555' || lpad((c_custkey % 10000)::varchar, 4, '0') else '12' end || '","overall_confidence":0.5}}' as profile from two""",
     "validate_elements": f"""with {_NESTED}, two as (select *, orders[1:2] as os from nested), o as (select unnest(generate_series(0, len(os) - 1)) as i from two where os is not null), e as (
-select 'project' as stage, 'invalid path ''nothing''' as error from two
-union all select 'validate', 'field ''c_custkey'': expected type string' from two
-union all select 'validate', 'field ''first'': required field is missing' from two where os is null
-union all select 'validate', 'field ''first'': value is not in the enum' from two where os[1].s <> 'O'
-union all select 'validate', 'field ''c_name'': value is not in the enum' from two
-union all select 'validate', 'field ''c_nationkey'': value is not in the enum' from two where c_nationkey not in (2, 3)
-union all select 'validate', 'field ''orders[' || i || '].o_orderstatus'': expected type ''number'' but got ''str''' from o
+select 'project' as stage, 'invalid canonical path ''nothing'' for output field ''nothing'': non-existent subfield ''nothing''' as error from two
+union all select 'validate', 'field ''c_custkey'': expected type ''string'' but got ''number''' from two
+union all select 'validate', 'field ''first'': required field is missing from the projected profile' from two where os is null
+union all select 'validate', 'field ''first'': value ''' || os[1].s || ''' is not a member of the allowed set [''O'', 1]' from two where os[1].s <> 'O'
+union all select 'validate', 'field ''c_name'': value ''' || upper(c_name) || ''' is not a member of the allowed set [1, 2]' from two
+union all select 'validate', 'field ''c_nationkey'': value ' || c_nationkey || ' is not a member of the allowed set [''1'', 2, 3]' from two where c_nationkey not in (2, 3)
+union all select 'validate', 'field ''orders[' || i || '].o_orderstatus'': expected type ''number'' but got ''string''' from o
 union all select 'validate', 'field ''orders[' || i || '].clerk'': required object subfield is missing' from o
-union all select 'validate', 'field ''keys[' || i || ']'': expected element type ''string'' but got ''int''' from o)
+union all select 'validate', 'field ''keys[' || i || ']'': expected element type ''string'' but got ''number''' from o)
 select stage, error, count(*) as n from e group by all""",
+    "validate_dynamic": """with t as (select event_id, event_id % 6 as e, json_extract_string(props, '$.k') as k from events),
+v as (select *, case e when 0 then k when 1 then chr(39) || 'a' || k || chr(39) when 2 then '[' || k || ',"x",null,{}]' else '{"a":' || k || ',"b":"x","c":null}' end as shown, case e when 0 then 'number' when 1 then 'string' when 2 then 'array' else 'object' end as kind from t where e < 4),
+x as (select event_id, 'k' as f, 'required field is missing from the projected profile' as why from t where e > 3
+union all select event_id, 'k', 'expected type ''number'' but got ''' || kind || '''' from v where e > 0
+union all select event_id, 'few', 'value ' || shown || ' is not a member of the allowed set [''a1'', 2, 3]' from v where not (e = 0 and k in ('2', '3') or e = 1 and k = '1')
+union all select event_id, 'list', 'expected type ''number[]'' but got ''' || kind || '''' from v where e <> 2
+union all select event_id, 'list[1]', 'expected element type ''number'' but got ''string''' from v where e = 2
+union all select event_id, 'list[3]', 'expected element type ''number'' but got ''object''' from v where e = 2
+union all select event_id, 'object', 'expected type ''object'' but got ''' || kind || '''' from v where e < 3
+union all select event_id, 'object.b', 'expected type ''number'' but got ''string''' from v where e = 3
+union all select event_id, 'object.d', 'required object subfield is missing' from v where e = 3)
+select event_id, 'validate' as stage, 'field ''' || f || ''': ' || why as error from x""",
     "candidate_order": f"""with recursive {_FUSED},
 ids as (select g, min(mail) as mail from home group by g), h as (select *, sha1(unhex('6f9b3f7a2c1e5d8b9a4c3e2d1f0a7b6c') || encode('email:' || mail)) as h from ids),
 o as (select g, min(struct_pack(a := low, c := lower(coalesce(c_name, s_name, '')), d := kind, f := ord)) as o from facts join kinds using (src) group by g)
 select substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + ((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4)::int, 1) || substr(h, 18, 1) || substr(h, 19, 2) || '-' || substr(h, 21, 12) as candidate_id,
   o.a as email, '' as phone, o.c as name, o.d as source_type, o.f as ordinal from h join o using (g)""",
-    "list_contributions": """with c as (select *, (row_number() over (partition by c_nationkey order by c_custkey) - 1)::int as "at" from customer)
-select c_nationkey as record_id, 'resume' as source_type, 'n' || c_nationkey::varchar as source_id, "at", c_mktsegment as value, 'm' as method, (length(c_mktsegment) / 10 + c_nationkey)::double as confidence from c where c_custkey % 3 > 0""",
+    "list_contributions": """with c as (select *, c_custkey // 100 as f, (row_number() over (partition by c_custkey // 100 order by c_custkey) - 1)::int as "at" from customer)
+select f as record_id, 'resume' as source_type, 'n' || f::varchar as source_id, "at", c_mktsegment as value, 'm' as method, (length(c_mktsegment) / 10 + f)::double as confidence from c where c_custkey % 3 > 0""",
     "github_user": "select s_suppkey, 'u' || s_suppkey::varchar as login from supplier",
     # Smallest ids along star edges, round by round; each round keeps one row an id.
     "identity_exact": """with recursive r as (select o_orderkey as id, 'c' || o_custkey::varchar as e, case when o_orderkey % 50 < 6 then 'p' || (o_orderkey // 50)::varchar end as p from orders),

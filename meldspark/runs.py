@@ -64,22 +64,25 @@ def _kind(v: Column) -> Column:
 
 def json_errors(spark: SparkSession, location: str, kind: str) -> DataFrame:
     """Files that are not JSON, and values that ought to be objects."""
-    files = readers._json(spark, location)
+    files = readers._json(spark, location).drop("ordinal")
     bad = files.where("v is null").select(F.col("source_id").alias("source"), F.lit("ingest").alias("stage"), F.format_string("source '%s' is not valid JSON", "source_id").alias("error"))
     if kind == "ats_json":
         list_ = F.try_variant_get("v", "$", "array<variant>")
-        values = files.where(list_.isNotNull()).select("source_id", F.explode(list_).alias("v")).unionByName(files.where(list_.isNull()))
+        each = files.where(list_.isNotNull()).select("source_id", F.posexplode(list_).alias("i", "v"))
+        values = each.select(F.concat("source_id", F.lit("#"), F.col("i").cast("string")).alias("source_id"), "v").unionByName(files.where(list_.isNull()))
     else:
         values = files
     values = values.where("v is not null").select("source_id", _kind(F.col("v")).alias("kind")).where("kind <> 'dict'")
     return bad.unionByName(values.select(F.col("source_id").alias("source"), F.lit("extract").alias("stage"), F.format_string("Expected a JSON object, got %s", "kind").alias("error")))
 
 
-def read_sources(spark: SparkSession, refs: list[tuple[str, str | None]], registry: readers.Registry = readers.REGISTRY) -> tuple[DataFrame | None, DataFrame]:
+def read_sources(spark: SparkSession, refs: list[tuple[str, str | None]], registry: readers.Registry = readers.REGISTRY, strict: bool = False) -> tuple[DataFrame | None, DataFrame]:
     """References ``(location, type or None)`` to records, or None, and errors.
 
     A source that reads well but has no records gives one record of nulls. References are few and
-    handled one by one; a reference may be a folder or a pattern of any number of files.
+    handled one by one; a reference may be a folder or a pattern of any number of files. The order of
+    the records is that of the references, then of their files, then of the rows. ``strict`` reports
+    CSV rows that are not as wide as their header, too, which are records all the same.
     """
     records, errors, known = [], [], []
     for location, hint in refs:
@@ -96,29 +99,32 @@ def read_sources(spark: SparkSession, refs: list[tuple[str, str | None]], regist
             faults = None
             if kind in readers.TEXT_SOURCES:
                 faults = readers.text_faults(spark, location, kind)
+                unread = faults.select(F.col("source").alias("source_id"))
+                if strict and kind == "recruiter_csv":
+                    faults = faults.unionByName(readers.csv_faults(spark, location).join(unread.withColumnRenamed("source_id", "source"), "source", "left_anti").select(*faults.columns))
             elif kind in ("ats_json", "github", "linkedin"):
                 faults = json_errors(spark, location, kind)
             elif kind == "resume":
                 faults = resumes.faults(spark, location)
             found = adapter.read(spark, location)
             if kind in readers.TEXT_SOURCES:
-                found = found.join(faults.select(F.col("source").alias("source_id")), "source_id", "left_anti").select(*found.columns)
+                found = found.join(unread, "source_id", "left_anti").select(*found.columns)
             if found.isEmpty() and (faults is None or faults.isEmpty()):
                 found = readers._records(spark.range(1), kind, F.lit(location), {})
         except Exception as e:  # whatever a source is like, the others are read
             known.append((location, "ingest", f"unexpected ingest error: {type(e).__name__}"))
             continue
-        records.append(found)
+        records.append(found.withColumns({"ordinal": F.col("ordinal") + (len(records) << 48), "record_id": F.xxhash64("record_id", F.lit(len(records)))}))
         if faults is not None:
             errors.append(faults)
     every = reduce(DataFrame.unionByName, [spark.createDataFrame(known, ERRORS), *errors]).distinct()
     return (reduce(DataFrame.unionByName, records) if records else None), every
 
 
-def build(spark: SparkSession, refs: list[tuple[str, str | None]], vocabulary: dict[str, list[str]] | None = None, registry: readers.Registry = readers.REGISTRY) -> tuple[DataFrame, DataFrame]:
+def build(spark: SparkSession, refs: list[tuple[str, str | None]], vocabulary: dict[str, list[str]] | None = None, registry: readers.Registry = readers.REGISTRY, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """The candidates, written once for all projections, and the errors of their sources. Without
     any records there is one candidate of nulls."""
-    records, errors = read_sources(spark, refs, registry)
+    records, errors = read_sources(spark, refs, registry, strict)
     if records is None:
         records = readers._records(spark.range(0), "", F.lit(""), {})
     people = materialize(canonical(records, vocabulary), "candidates")
@@ -129,10 +135,10 @@ def build(spark: SparkSession, refs: list[tuple[str, str | None]], vocabulary: d
     return people, materialize(errors, "source-errors")
 
 
-def run_multi(spark: SparkSession, refs: list[tuple[str, str | None]], configs: list[dict], vocabulary: dict[str, list[str]] | None = None, registry: readers.Registry = readers.REGISTRY) -> list[RunResult]:
+def run_multi(spark: SparkSession, refs: list[tuple[str, str | None]], configs: list[dict], vocabulary: dict[str, list[str]] | None = None, registry: readers.Registry = readers.REGISTRY, strict: bool = False) -> list[RunResult]:
     """One result per config; sources are read, resolved and fused once."""
     configs = [check_config(c) for c in configs]
-    people, errors = build(spark, refs, vocabulary, registry)
+    people, errors = build(spark, refs, vocabulary, registry, strict)
     out = []
     for config in configs:
         profiles, found = project(people, config, vocabulary=vocabulary)
@@ -141,5 +147,5 @@ def run_multi(spark: SparkSession, refs: list[tuple[str, str | None]], configs:
     return out
 
 
-def run(spark: SparkSession, refs: list[tuple[str, str | None]], config: dict, vocabulary: dict[str, list[str]] | None = None, registry: readers.Registry = readers.REGISTRY) -> RunResult:
-    return run_multi(spark, refs, [config], vocabulary, registry)[0]
+def run(spark: SparkSession, refs: list[tuple[str, str | None]], config: dict, vocabulary: dict[str, list[str]] | None = None, registry: readers.Registry = readers.REGISTRY, strict: bool = False) -> RunResult:
+    return run_multi(spark, refs, [config], vocabulary, registry, strict)[0]

@@ -7,11 +7,13 @@ extraction methods. Every reader has a function of a path, and one of what the f
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions.scalar import clean, find_emails, find_link, find_phones
 from ..functions.vocabulary import load, mentions
@@ -29,10 +31,26 @@ TYPES = {
 NOT_NAMES = ("call notes", "tech lead", "good culture", "culture fit")
 
 
+def numbered(scan: DataFrame) -> DataFrame:
+    """A file scan with source_id (the file), ordinal (the row's place in the input: files in order of
+    their names, rows as they stand) and row (its place in the file), both from 0.
+
+    The numbers do not depend on how files are split or dealt among tasks: one pass counts the rows of
+    each split, sums over them give where each begins, and these are joined back."""
+    rows = scan.select("*", F.input_file_name().alias("source_id"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__id"))
+    splits = rows.groupBy("source_id", "__split").agg(F.count("*").alias("n"), F.min("__id").alias("__first"))  # a row for each
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("source_id", "__split", "__first", before(Window.orderBy("source_id", "__split")).alias("__all"), before(Window.partitionBy("source_id").orderBy("__split")).alias("__own"))
+    placed = rows.join(splits, ["source_id", "__split"])
+    at = F.col("__id") - F.col("__first")
+    return placed.select(*scan.columns, "source_id", (at + F.col("__all")).alias("ordinal"), (at + F.col("__own")).alias("row"))
+
+
 def _records(df: DataFrame, source_type: str, source_id: Column, methods: dict[str, str | Column], **fields: Column) -> DataFrame:
     cols = [F.coalesce(fields[n], F.lit(None)).cast(t).alias(n) if n in fields else F.lit(None).cast(t).alias(n) for n, t in TYPES.items()]
     method = F.create_map(*[x if isinstance(x, Column) else F.lit(x) for kv in methods.items() for x in kv]) if methods else F.lit(None).cast("map<string,string>")
-    out = df.select(source_id.alias("source_id"), F.lit(source_type).alias("source_type"), F.monotonically_increasing_id().alias("ordinal"), *cols, method.alias("methods"))
+    ordinal = F.col("ordinal") if "ordinal" in df.columns else F.monotonically_increasing_id()
+    out = df.select(source_id.alias("source_id"), F.lit(source_type).alias("source_type"), ordinal.alias("ordinal"), *cols, method.alias("methods"))
     return out.select(F.xxhash64("source_type", "source_id", "ordinal").alias("record_id"), "*")
 
 
@@ -46,18 +64,36 @@ def _entry(company: Column, title: Column) -> Column:
     return F.when(company.isNotNull() | title.isNotNull(), F.array(one))
 
 
+_BAD_ROW = "__malformed"
+
+
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    """The rows, all columns as text; ``_BAD_ROW`` is the row itself where it is not as wide as the header."""
+    scan = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    columns = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*scan.csv(path).columns, _BAD_ROW])
+    return numbered(scan.schema(columns).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD_ROW).option("columnPruning", False).csv(path))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Columns name, email, phone, current_company, title by exact name; missing ones are null."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """Columns name, email, phone, current_company, title by exact name; missing ones are null. A row
+    that is too short, or too long, is a record of what it has (see ``csv_faults``)."""
+    df = _csv(spark, path)
     col = lambda n: clean(F.col(f"`{n}`")) if n in df.columns else F.lit(None).cast("string")
     names = {"full_name": col("name"), "emails": _one(col("email")), "phones": _one(col("phone")), "headline": col("title"), "experience": _entry(col("current_company"), col("title"))}
-    return _records(df, "recruiter_csv", F.input_file_name(), dict.fromkeys(names, "csv_column"), **names)
+    return _records(df, "recruiter_csv", F.col("source_id"), dict.fromkeys(names, "csv_column"), **names)
+
+
+def csv_faults(spark: SparkSession, path: str) -> DataFrame:
+    """Errors ``(source, stage, error)`` of rows that are not as wide as the header, be it that fields
+    are missing, that there are more, or that a quote is left open. Rows count from 1."""
+    rows = _csv(spark, path)
+    bad = rows.where(F.col(_BAD_ROW).isNotNull() & F.coalesce(*[F.col(f"`{c}`").isNotNull() for c in rows.columns]))  # Spark does not read that column alone
+    return bad.select(F.col("source_id").alias("source"), F.lit("extract").alias("stage"), F.format_string("row %d is not as wide as the header: %s", F.col("row") + 1, F.substring(_BAD_ROW, 1, 100)).alias("error"))
 
 
 def _json(spark: SparkSession, path: str) -> DataFrame:
-    """(source_id, v): each file's JSON value, null where malformed."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.input_file_name().alias("source_id"), F.try_parse_json("value").alias("v"))
+    """(source_id, v, ordinal): each file's JSON value, null where malformed."""
+    return numbered(spark.read.text(path, wholetext=True)).select("source_id", F.try_parse_json("value").alias("v"), "ordinal")
 
 
 def _objects(df: DataFrame) -> DataFrame:
@@ -85,8 +121,9 @@ def _method(o: Column, *keys: str) -> Column:
 
 def ats_records(df: DataFrame) -> DataFrame:
     """``(source_id, v)`` to records, one for each object."""
-    many = df.select("source_id", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("i", "o")).select(F.concat("source_id", F.lit("#"), F.col("i").cast("string")).alias("source_id"), "o")
-    one = df.where(F.try_variant_get("v", "$", "array<variant>").isNull() & F.col("v").isNotNull()).select("source_id", F.col("v").alias("o"))
+    place = ["ordinal"] if "ordinal" in df.columns else []
+    many = df.select("source_id", *place, F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("i", "o")).select(F.concat("source_id", F.lit("#"), F.col("i").cast("string")).alias("source_id"), "o", *[(F.shiftleft(p, 31) + F.col("i")).alias(p) for p in place])
+    one = df.where(F.try_variant_get("v", "$", "array<variant>").isNull() & F.col("v").isNotNull()).select("source_id", F.col("v").alias("o"), *[F.shiftleft(p, 31).alias(p) for p in place])
     df, o = many.unionByName(one), F.col("o")
     city, region, country = _text(o, "city"), F.coalesce(_text(o, "state"), _text(o, "region")), _text(o, "country")
     place = F.when(F.coalesce(city, region, country).isNotNull(), F.struct(city.alias("city"), region.alias("region"), country.alias("country")))
@@ -146,7 +183,7 @@ def linkedin_records(df: DataFrame) -> DataFrame:
 
 
 def read_notes(spark: SparkSession, path: str, vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
-    return notes_records(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source_id"), "value"), vocabulary)
+    return notes_records(numbered(spark.read.text(path, wholetext=True)), vocabulary)
 
 
 def notes_records(df: DataFrame, vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
@@ -166,7 +203,7 @@ def read_resume(spark: SparkSession, path: str, vocabulary: dict[str, list[str]]
 
 def resume_records(df: DataFrame, vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
     """``(source_id, text)`` to records, one a text that is not null."""
-    df = resumes.parse(df.where("text is not null"), vocabulary)
+    df = resumes.parse(df.where("text is not null"), vocabulary).withColumn("ordinal", F.lit(0).cast("long"))  # a record per source
     col = F.col
     fields = {k: col(k) for k in ("full_name", "headline", "skills", "experience", "education")}
     return _records(df, "resume", col("source_id"), resumes.METHODS, emails=_one(col("email")), phones=_one(col("phone")), location=place_of(col("place")), links=_links(col("linkedin"), col("github")), **fields)
@@ -184,13 +221,24 @@ def text_faults(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Adapter:
-    """A kind of source: which locations it takes, and a function of session and path to records."""
+    """A kind of source: a function of session and path to records, and which locations it takes, as a
+    pattern or a function of a location in lower case."""
 
     kind: str
     read: Callable[[SparkSession, str], DataFrame]
-    fits: Callable[[str], bool]
+    fits: str | Callable[[str], bool]
     priority: int | None = None
 
+    def takes(self, location: str) -> bool:
+        return re.search(self.fits, location.lower()) is not None if isinstance(self.fits, str) else self.fits(location.lower())
+
+    def taken(self, location: Column) -> Column:
+        """``takes`` for a column of locations."""
+        if isinstance(self.fits, str):
+            return F.lower(location).rlike(self.fits)
+        fits = self.fits
+        return F.pandas_udf(lambda c: c.map(lambda x: bool(fits(x)), na_action="ignore").astype(object), BooleanType())(F.lower(location))
+
 
 class Registry:
     """Adapters in order of priority (by default that of the kind), then of their kinds."""
@@ -212,19 +260,28 @@ class Registry:
     def resolve(self, location: str, hint: str | None = None) -> Adapter:
         """The first adapter of the hinted kind, or without a hint the first that takes the location."""
         for a in self._adapters:
-            if a.kind == hint if hint else a.fits(location.lower()):
+            if a.kind == hint if hint else a.takes(location):
                 return a
         raise ValueError(f"no reader for {hint or location}")
 
+    def kinds(self, location: Column, hint: Column) -> Column:
+        """``resolve`` for columns of locations and hints: the kind, null where no adapter will do. Null
+        and empty hints are none."""
+        hinted = F.coalesce(hint, F.lit("")) != ""
+        out = F.lit(None).cast("string")
+        for a in reversed(self._adapters):
+            out = F.when(F.when(hinted, hint == a.kind).otherwise(a.taken(location)), a.kind).otherwise(out)
+        return out
+
 
 REGISTRY = Registry(
     [
-        Adapter("recruiter_csv", read_csv, lambda x: x.endswith(".csv")),
-        Adapter("ats_json", read_ats, lambda x: x.endswith(".json")),
-        Adapter("resume", read_resume, lambda x: x.endswith((".pdf", ".docx"))),
-        Adapter("linkedin", read_linkedin, lambda x: "linkedin.com" in x),
-        Adapter("github", read_github, lambda x: "github.com" in x),
-        Adapter("recruiter_notes", read_notes, lambda x: x.endswith(".txt")),
+        Adapter("recruiter_csv", read_csv, r"\.csv$"),
+        Adapter("ats_json", read_ats, r"\.json$"),
+        Adapter("resume", read_resume, r"\.(?:pdf|docx)$"),
+        Adapter("linkedin", read_linkedin, r"linkedin\.com"),
+        Adapter("github", read_github, r"github\.com"),
+        Adapter("recruiter_notes", read_notes, r"\.txt$"),
     ]
 )
 READERS = {a.kind: a.read for a in REGISTRY.adapters}

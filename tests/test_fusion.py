@@ -139,7 +139,7 @@ def test_paths_and_policies(spark):
     df = spark.createDataFrame([(1, ["x", "Y"], None), (2, [], None)], "id long, tags array<string>, gone string")
     config = {"on_missing": "omit", "fields": [{"name": "a", "from": "tags[0]"}, {"name": "b", "from": "tags[5]", "on_missing": "null"}, {"name": "c", "from": "tags", "normalize": "lowercase"}, {"name": "d", "from": "gone", "required": True, "on_missing": "error"}]}
     profiles, errors = project(df, config, "id")
-    assert [r.profile for r in profiles.orderBy("id").collect()] == ['{"a":"x","b":null,"c":["x","y"]}', '{"b":null,"c":[]}']
+    assert [r.profile for r in profiles.orderBy("id").collect()] == ['{"a":"x","c":["x","y"]}', '{"b":null,"c":[]}']
     assert Counter((r.id, r.stage) for r in errors.collect()) == {(1, "project"): 2, (1, "validate"): 1, (2, "project"): 1, (2, "validate"): 1}
     for bad in ("a..b", "a[", "a[].b[]", ""):
         with pytest.raises(ValueError):
@@ -148,17 +148,47 @@ def test_paths_and_policies(spark):
 
 def test_canonical_names_and_elements(spark):
     df = spark.createDataFrame([(1, ["py", "kubernets", "wizardry", None], "GOLANG", [("a", 1), None]), (2, None, None, [])], "id long, terms array<string>, term string, items array<struct<k:string,v:int>>")
-    fields = [{"name": "terms", "normalize": "canonical", "element_type": "number"}, {"name": "term", "normalize": "canonical"}, {"name": "items", "element_type": {"k": "string", "v": "string", "w": "number"}}, {"name": "rows", "from": "items", "element_type": {"k": "string"}}]
+    fields = [{"name": "terms", "normalize": "canonical", "type": "number[]"}, {"name": "term", "normalize": "canonical"}, {"name": "items", "type": "array", "element_type": {"k": "string", "v": "string", "w": "number"}}, {"name": "rows", "from": "items", "type": "array", "element_type": {"k": "string"}}]
     profiles, errors = project(df, {"fields": fields}, "id")
     got = {r.id: json.loads(r.profile) for r in profiles.collect()}
     assert got[1]["terms"] == ["Python", "Kubernetes", "wizardry", None] and got[1]["term"] == "Go" and got[2]["terms"] is None
     assert sorted(r.error for r in errors.where("stage = 'validate'").collect()) == sorted(
-        [f"field 'terms[{i}]': expected element type 'number' but got 'str'" for i in range(3)]
-        + ["field 'items[0].v': expected type 'string' but got 'int'", "field 'items[0].w': required object subfield is missing"]
-        + [f"field '{n}[1]': expected an object but got 'NoneType'" for n in ("items", "rows")]
+        [f"field 'terms[{i}]': expected element type 'number' but got 'string'" for i in range(3)]
+        + ["field 'items[0].v': expected type 'string' but got 'number'", "field 'items[0].w': required object subfield is missing"]
+        + [f"field '{n}[1]': expected an object but got 'null'" for n in ("items", "rows")]
     )
 
 
+def test_checks_of_dynamic_values(spark):
+    texts = ['{"k":1.5}', '{"k":"it\'s"}', '{"k":true}', '{"k":[1,"a",null,[2]]}', '{"k":{"a":{"b":null,"c":3},"n":null}}', '{"k":null}', "{}", None, '{"k":[{"a":{"b":1}},7,null]}', "{"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", F.try_parse_json("t").alias("v"))
+
+    def errors(**spec):
+        _, found = project(df, {"fields": [{"name": "x", "from": "v.k", **spec}]}, "id")
+        return sorted((r.id, r.error.removeprefix("field 'x")) for r in found.collect())
+
+    got = errors(type="string")
+    assert got == [(i, f"': expected type 'string' but got '{t}'") for i, t in ((0, "number"), (2, "boolean"), (3, "array"), (4, "object"), (8, "array"))]
+    assert errors(type="array", element_type="number")[0] == (0, "': expected type 'array' but got 'number'")
+    elements = [e for e in errors(type="number[]") if e[1].startswith("[")]
+    assert elements == [(3, "[1]': expected element type 'number' but got 'string'"), (3, "[3]': expected element type 'number' but got 'array'"), (8, "[0]': expected element type 'number' but got 'object'")]
+    assert [e for e in errors(type="array", element_type={"a": {"b": "string"}}) if e[0] == 8] == [(8, "[0].a.b': expected type 'string' but got 'number'"), (8, "[1]': expected an object but got 'number'"), (8, "[2]': expected an object but got 'null'")]
+    assert [e for e in errors(type="object", element_type={"a": {"b": "string", "c": "string", "d": "number"}, "n": "number", "z": "any"}) if e[0] == 4] == [(4, ".a.c': expected type 'string' but got 'number'"), (4, ".a.d': required object subfield is missing"), (4, ".z': required object subfield is missing")]
+    allowed = ["x", 1.5, True, [1, "a", None, [2]]]
+    odd = [(1, '"it\'s"'), (4, '{"a":{"b":null,"c":3},"n":null}'), (8, '[{"a":{"b":1}},7,null]')]
+    assert errors(enum=allowed) == [(i, f"': value {v} is not a member of the allowed set {allowed!r}") for i, v in odd]
+    assert errors(type="anything", required=True, on_missing="omit") == [(i, "': required field is missing from the projected profile") for i in (5, 6, 7, 9)]
+    profiles, _ = project(df, {"fields": [{"name": "a", "from": "v.k[1]"}, {"name": "b", "from": "v.k[].a", "on_missing": "omit"}]}, "id")
+    assert {r.id: r.profile for r in profiles.where("id in (3, 5, 8)").collect()} == {3: '{"a":"a","b":[null,null,null,null]}', 5: '{"a":null}', 8: '{"a":7,"b":[{"b":1},null,null]}'}
+
+
+def test_checks_of_typed_objects(spark):
+    df = spark.createDataFrame([(1, (None, 2, (True,))), (2, None)], "id long, o struct<a:string,b:int,c:struct<d:boolean>>")
+    config = {"fields": [{"name": "o", "type": "object", "element_type": {"a": "number", "b": "string", "c": {"d": "string", "e": "x"}}}]}
+    _, found = project(df, config, "id")
+    assert sorted(r.error for r in found.collect()) == ["field 'o.b': expected type 'string' but got 'number'", "field 'o.c.d': expected type 'string' but got 'boolean'", "field 'o.c.e': required object subfield is missing"]
+
+
 def test_identity_exact_takes_all_orders(spark, tmp_path):
     from collections import Counter
 

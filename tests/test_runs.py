@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from meldspark import cli, runs
 
@@ -25,7 +26,7 @@ def test_errors_are_isolated(spark, files):
     refs = [(f"{files}/{n}", k) for n, k in (("a.csv", None), ("ats.json", None), ("bad.json", None), ("gh.json", "github"), ("gone.txt", None), ("x.zip", None))]
     result = runs.run(spark, refs, CONFIG)
     errors = sorted((r.source.rsplit("/", 1)[-1], r.stage, r.error.split(" ")[0]) for r in result.errors.collect())
-    assert errors == [("ats.json", "extract", "Expected"), ("bad.json", "ingest", "source"), ("gh.json", "extract", "Expected"), ("gone.txt", "ingest", "failed"), ("x.zip", "ingest", "No")]
+    assert errors == [("ats.json#1", "extract", "Expected"), ("bad.json", "ingest", "source"), ("gh.json", "extract", "Expected"), ("gone.txt", "ingest", "failed"), ("x.zip", "ingest", "No")]
     assert result.exit_code == 1
     got = sorted(r.profile for r in result.profiles.collect())
     assert got.count('{"name":"Jane Doe","mail":"jane@x.org"}') == 1 and '{"name":"Bob Lee"}' in got
@@ -55,3 +56,50 @@ def test_command_line(spark, files, capsys):
 def test_wrong_configs(bad):
     with pytest.raises(ValueError):
         runs.check_config(bad)
+
+
+def test_ordinals_do_not_depend_on_splits(spark, tmp_path):
+    from meldspark.sources.readers import numbered
+
+    lines = [f"{i:05d}" + "x" * (i % 37) for i in range(3000)]
+    for k in range(3):
+        (tmp_path / f"{k}.txt").write_text("\n".join(lines[k * 1000 : (k + 1) * 1000]) + "\n")
+    for size in ("1k", "7k", "128m"):
+        session = spark.newSession()
+        session.conf.set("spark.sql.files.maxPartitionBytes", size)
+        session.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = {r.value: (r.ordinal, r.row, r.source_id[-5]) for r in numbered(session.read.text(str(tmp_path))).collect()}
+        assert got == {v: (i, i % 1000, str(i // 1000)) for i, v in enumerate(lines)}
+    assert numbered(spark.read.text(f"{tmp_path}/0.txt").limit(0)).collect() == []
+
+
+def test_rows_of_another_width(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name,email,phone\nAnn,a@x,1\nBob,b@x\nCid,c@x,3,more\n"Dan ""D""",d@x,4\n"Two\nlines",m@x,5\nEve,"open,6\nFay,f@x,7\n')
+    refs = [(f"{tmp_path}/a.csv", None)]
+    records, errors = runs.read_sources(spark, refs)
+    assert errors.isEmpty()
+    assert [(r.full_name, r.emails) for r in records.orderBy("ordinal").collect()] == [("Ann", ["a@x"]), ("Bob", ["b@x"]), ("Cid", ["c@x"]), ('Dan "D"', ["d@x"]), ("Two\nlines", ["m@x"]), ("Eve", ["open,6\nFay,f@x,7"])]
+    _, errors = runs.read_sources(spark, refs, strict=True)
+    assert sorted((r.stage, r.error) for r in errors.collect()) == [("extract", f"row {n} is not as wide as the header: {t}") for n, t in ((2, "Bob,b@x"), (3, "Cid,c@x,3,more"), (6, 'Eve,"open,6\nFay,f@x,7'))]
+
+
+def test_one_file_twice_is_two_records(spark, files):
+    records, _ = runs.read_sources(spark, [(f"{files}/a.csv", None)] * 2)
+    assert records.select("record_id").distinct().count() == 4
+    assert [r.full_name for r in records.orderBy("ordinal").collect()] == ["Jane Doe", "Bob Lee"] * 2
+
+
+def test_routing_of_a_table(spark):
+    from meldspark.sources import readers
+
+    registry = readers.Registry([*readers.REGISTRY.adapters, readers.Adapter("odd", readers.read_notes, lambda x: x.startswith("odd"), 0)])
+    refs = [("a/B.CSV", None), ("https://github.com/x.json", None), ("cv.PDF", ""), ("odd.csv", None), ("n.txt", "resume"), ("x.zip", None), ("a.csv", "nothing"), (None, None), (None, "github")]
+
+    def kind(location, hint):
+        try:
+            return registry.resolve(location or "", hint).kind
+        except ValueError:
+            return None
+
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(refs)], "i int, l string, h string").withColumn("k", registry.kinds(F.col("l"), F.col("h"))).orderBy("i").collect()
+    assert [r.k for r in got] == [kind(*r) for r in refs]
