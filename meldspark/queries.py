@@ -13,6 +13,7 @@ from .operators.identity import resolve
 from .operators.scratch import materialize, new_folder
 from .plans.projection import project
 from .runs import read_sources
+from .sinks import write_profiles
 from .sources import readers
 from .sources.readers import TYPES
 
@@ -430,6 +431,60 @@ def validate_dynamic_query(spark: SparkSession, d: str) -> DataFrame:
     return project(events, _DYNAMIC, "event_id")[1]
 
 
+def education_query(spark: SparkSession, d: str) -> DataFrame:
+    """Schools of customers as two sources tell of them: each once, in order of the records."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    school = lambda name, degree, year: F.struct(name.alias("institution"), degree.alias("degree"), none.alias("field"), year.cast("int").alias("end_year"))
+    mine = school(F.concat(F.lit("School "), F.col("c_nationkey").cast("string")), F.col("c_mktsegment"), 2000 + k % 20)
+    north = school(F.lit("North"), none, F.lit(None))
+
+    def records(df: DataFrame, kind: str, schools: Column) -> DataFrame:
+        given = {"full_name": F.col("c_name"), "emails": F.array(F.concat(F.lit("e"), k.cast("string"), F.lit("@x.org"))), "education": schools}
+        fields = [given.get(n, F.lit(None)).cast(t).alias(n) for n, t in TYPES.items()]
+        return df.select(F.xxhash64(F.lit(kind), k).alias("record_id"), F.lit(kind).alias("source_id"), F.lit(kind).alias("source_type"), k.cast("long").alias("ordinal"), *fields, F.create_map(F.lit("education"), F.lit("m")).alias("methods"))
+
+    people = _table(spark, d, "customer")
+    one = records(people, "ats_json", F.array(mine, north, mine))
+    two = records(people.where(k % 2 == 0), "linkedin", F.array(north, school(F.lit("Late"), none, 2010 + k % 3), mine))
+    shown = F.transform("education", lambda e: F.concat_ws("|", e["institution"], F.coalesce(e["degree"], F.lit("-")), F.coalesce(e["field"], F.lit("-")), F.coalesce(e["end_year"].cast("string"), F.lit("-"))))
+    return canonical(one.unionByName(two)).select(F.col("emails")[0].alias("email"), F.array_join(shown, ";").alias("schools"))
+
+
+_SHEETS = {
+    "first": {
+        "include_provenance": False, "include_confidence": False, "on_missing": "omit",
+        "fields": [{"name": "id", "from": "c_custkey"}, {"name": "town", "from": "place.town"}, {"name": "x", "from": "place.geo.x", "on_missing": "error"}, {"name": "segment", "from": "c_mktsegment", "enum": ["BUILDING"]}],
+    },
+    "second": {
+        "include_provenance": False, "include_confidence": False,
+        "fields": [{"name": "x", "from": "place.geo.x", "on_missing": "error"}, {"name": "seg", "from": "c_mktsegment", "normalize": "lowercase"}, {"name": "far", "from": "place.geo.y"}],
+    },
+}
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in order of their balance, some without a place."""
+    k = F.col("c_custkey")
+    place = F.struct(F.concat(F.lit("T"), F.col("c_nationkey").cast("string")).alias("town"), F.struct((k % 90).cast("int").alias("x")).alias("geo"))
+    return _table(spark, d, "customer").select("*", F.when(k % 5 > 0, place).alias("place"), F.struct("c_acctbal").alias("__order"))
+
+
+def ordered_profiles_query(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles of two configs, written in order and read back as files and lines stand."""
+    path = new_folder(spark, "profiles")
+    write_profiles(_placed(spark, d), _SHEETS, path, "c_custkey")
+    lines = readers.numbered(spark.read.text(path))
+    first = lines.groupBy("config").agg(F.min("ordinal").alias("first"))
+    return lines.join(first, "config").select("config", (F.col("ordinal") - F.col("first")).alias("position"), F.col("value").alias("profile"))
+
+
+def error_report_query(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of a run with two configs: each once, with its first place, and the exit code."""
+    regions = _table(spark, d, "region").select(F.col("r_name").alias("source"), F.lit("ingest").alias("stage"), F.lit("failed to read").alias("error"))
+    done = write_profiles(_placed(spark, d), _SHEETS, new_folder(spark, "profiles"), "c_custkey", regions.unionByName(regions))
+    return done.errors.select("source", "stage", "error", "place.*", F.lit(done.exit_code).alias("exit_code"))
+
+
 QUERIES = {
     "find_emails": find_emails_query, "find_phones": find_phones_query, "normalize_date": normalize_date_query, "candidate_id_uuid5": candidate_id_query,
     "json_field_map": json_field_map_query, "union_sources": union_sources_query, "agreement_confidence": agreement_confidence_query, "winner_selection": winner_selection_query,
@@ -439,7 +494,7 @@ QUERIES = {
     "normalize_country": normalize_country_query, "match_terms": match_terms_query, "skill_mentions": skill_mentions_query, "profile_links": profile_links_query, "identity_names": identity_names_query,
     "project_dialect": project_dialect_query, "validate_elements": validate_elements_query, "candidate_order": candidate_order_query, "list_contributions": list_contributions_query,
     "github_user": github_user_query, "input_ordinals": input_ordinals_query,
-    "validate_dynamic": validate_dynamic_query,
+    "validate_dynamic": validate_dynamic_query, "education_merge": education_query, "ordered_profiles": ordered_profiles_query, "error_report": error_report_query,
 }
 
 _EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -602,6 +657,16 @@ union all select 'validate', 'field ''orders[' || i || '].o_orderstatus'': expec
 union all select 'validate', 'field ''orders[' || i || '].clerk'': required object subfield is missing' from o
 union all select 'validate', 'field ''keys[' || i || ']'': expected element type ''string'' but got ''number''' from o)
 select stage, error, count(*) as n from e group by all""",
+    "education_merge": """select 'e' || c_custkey::varchar || '@x.org' as email, 'School ' || c_nationkey::varchar || '|' || c_mktsegment || '|-|' || (2000 + c_custkey % 20)::varchar || ';North|-|-|-' || case when c_custkey % 2 = 0 then ';Late|-|-|' || (2010 + c_custkey % 3)::varchar else '' end as schools from customer""",
+    "ordered_profiles": """with c as (select *, row_number() over (order by c_acctbal, c_custkey) - 1 as position, c_custkey % 5 > 0 as there from customer)
+select 'first' as config, position, '{"id":' || c_custkey::varchar || case when there then ',"town":"T' || c_nationkey::varchar || '","x":' || (c_custkey % 90)::varchar else '' end || ',"segment":"' || c_mktsegment || '"}' as profile from c
+union all select 'second', position, '{' || case when there then '"x":' || (c_custkey % 90)::varchar || ',' else '' end || '"seg":"' || lower(c_mktsegment) || '"}' from c""",
+    "error_report": """with c as (select *, row_number() over (order by c_acctbal, c_custkey) - 1 as position from customer),
+e as (select distinct r_name as source, 'ingest' as stage, 'failed to read' as error, -1 as number, 0 as position, 0 as "at" from region
+union all select c_custkey::varchar, 'project', 'required output field ''x'' is absent from the canonical record (from ''place.geo.x'')', 0, position, 0 from c where c_custkey % 5 = 0
+union all select c_custkey::varchar, 'validate', 'field ''segment'': value ''' || c_mktsegment || ''' is not a member of the allowed set [''BUILDING'']', 0, position, case when c_custkey % 5 = 0 then 1 else 0 end from c where c_mktsegment <> 'BUILDING'
+union all select c_custkey::varchar, 'project', 'invalid canonical path ''place.geo.y'' for output field ''far'': non-existent subfield ''y''', 1, position, case when c_custkey % 5 = 0 then 1 else 0 end from c)
+select source, stage, error, number::int as number, position::bigint as position, "at"::int as "at", 1::int as exit_code from e""",
     "validate_dynamic": """with t as (select event_id, event_id % 6 as e, json_extract_string(props, '$.k') as k from events),
 v as (select *, case e when 0 then k when 1 then chr(39) || 'a' || k || chr(39) when 2 then '[' || k || ',"x",null,{}]' else '{"a":' || k || ',"b":"x","c":null}' end as shown, case e when 0 then 'number' when 1 then 'string' when 2 then 'array' else 'object' end as kind from t where e < 4),
 x as (select event_id, 'k' as f, 'required field is missing from the projected profile' as why from t where e > 3

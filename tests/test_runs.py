@@ -48,7 +48,7 @@ def test_command_line(spark, files, capsys):
     text = capsys.readouterr()
     assert set(json.loads(text.out)) == {"one.json", "two.json"} and text.err.count("error_report: ") == 1
     assert cli.main(["--input", f"{files}/a.csv", "--config", f"{files}/one.json", "--write", f"{files}/big"], spark) == 0
-    assert len(spark.read.text(f"{files}/big/one.json").collect()) == 2
+    assert len(spark.read.text(f"{files}/big/config=one.json").collect()) == 2
     assert cli.main(["--input", "x"], spark) == 2 and cli.main(["--input", "x", "--config", f"{files}/bad.json"], spark) == 2
 
 
