@@ -31,7 +31,8 @@ def _as_json(c: Column) -> Column:
 
 
 def _claims(owned: DataFrame) -> DataFrame:
-    """A row for each value that a record claims for a field, skills as they stand."""
+    """A row for each value that a record claims for a field, skills as they stand; and one without a
+    field for each record."""
 
     def one(field: str, value: Column, quality: Column, of: str | None = None) -> Column:
         claim = F.struct(F.lit(field).alias("field"), F.lit(0).alias("at"), value.alias("value"), quality.cast("double").alias("quality"), F.element_at("methods", F.lit(of or field)).alias("method"))
@@ -59,7 +60,8 @@ def _claims(owned: DataFrame) -> DataFrame:
         many("experience", F.col("experience"), dated), many("education", F.col("education"), _as_json),
     ]
     none = F.array().cast(_CLAIM)
-    every = F.concat(*[F.coalesce(p.cast(_CLAIM), none) for p in parts])
+    mark = F.array(F.struct(F.lit("").alias("field"), F.lit(0).alias("at"), F.lit("").alias("value"), F.lit(0.0).alias("quality"), F.lit(None).cast("string").alias("method")))
+    every = F.concat(mark.cast(_CLAIM), *[F.coalesce(p.cast(_CLAIM), none) for p in parts])
     base = ["group_id", "candidate_id", "source_type", "source_id", "record_id", "order"]
     return owned.select(*base, F.explode(F.filter(every, lambda c: c["value"].isNotNull())).alias("c")).select(*base, "c.*")
 
@@ -80,15 +82,17 @@ def canonical(records: DataFrame, vocabulary: dict[str, list[str]] | None = None
     order = F.struct(blank(F.array_min("__e")).alias("email"), blank(F.array_min("__p")).alias("phone"), blank(F.col("__n")).alias("name"), "source_type", "source_id", "ordinal")
     contacts = keys.select("record_id", F.col("emails").alias("__e"), F.col("phones").alias("__p"), F.col("name").alias("__n"))
     owned = records.join(contacts, "record_id").join(resolve(keys), "record_id").withColumn("order", order).drop("__e", "__p", "__n")
-    owned = materialize(with_country(owned.withColumn("__land", F.col("location.country")), "__land", "country"), "owned")
+    owned = with_country(owned.withColumn("__land", F.col("location.country")), "__land", "country")
 
-    claims = _claims(owned)
-    matched = match_terms(claims.where("field = 'skills'").drop("quality"), "value", vocabulary).where("key is not null")
+    every = materialize(_claims(owned), "claims")
+    claims = every.where("field not in ('', 'skills')")
+    skilled = every.where("field = 'skills'").drop("quality")
+    matched = materialize(match_terms(skilled, "value", vocabulary).where("key is not null"), "terms")
     known = matched.where("name is not null").drop("value", "key").withColumnRenamed("name", "value").select(*claims.columns)
     shown = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
     unknown = matched.where("name is null").withColumn("value", F.regexp_replace(shown, r"(?U)\s+", " ")).where(F.col("value").rlike(r"\p{L}"))
-    unknown = materialize(unknown.drop("name", "quality"), "unknown")
-    claims = materialize(claims.where("field <> 'skills'").unionByName(known), "claims")
+    unknown = unknown.drop("name", "quality")
+    claims = claims.unionByName(known)
 
     # Entries count once, for the first record that has them; the others by agreement.
     entry = claims.where(F.col("field").isin(*ENTRIES)).groupBy("group_id", "field", "value").agg(F.min(F.struct("order", "at", "source_type", "source_id", "method")).alias("m"))
@@ -120,7 +124,7 @@ def canonical(records: DataFrame, vocabulary: dict[str, list[str]] | None = None
         *[pick("confidence", f).alias(f"c_{f}") for f in PROVENANCE if f != "skills"],
         *[pick("told", f).alias(f"t_{f}") for f in (*PROVENANCE, "unknown_skills")],
     )
-    heads = owned.groupBy("group_id").agg(F.min("candidate_id").alias("candidate_id"), F.min("order").alias("__order"))
+    heads = every.where("field = ''").groupBy("group_id").agg(F.min("candidate_id").alias("candidate_id"), F.min("order").alias("__order"))
     out = heads.join(flat, "group_id", "left").join(skills, "group_id", "left")
 
     v, many, c = (lambda f: F.col(f"`v_{f}`")), (lambda f: F.coalesce(F.col(f"`l_{f}`"), F.array().cast("array<string>"))), (lambda f: F.col(f"`c_{f}`"))

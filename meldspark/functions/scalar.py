@@ -77,14 +77,21 @@ def normalize_date(c: Column) -> Column:
     return _result(F.when(ok, F.format_string("%04d-%02d", year, month)), quality)
 
 
+_countries: list[tuple[str, str]] = []
+
+
 def country_table(spark: SparkSession) -> DataFrame:
-    """``(key, code)``: ISO 3166 alpha-2, alpha-3 and English names, from the JVM's own tables."""
-    locale = spark.sparkContext._jvm.java.util.Locale
-    rows = []
-    for code in locale.getISOCountries():
-        of = locale("", code)
-        rows += [(k.lower(), code) for k in {code, of.getISO3Country(), of.getDisplayCountry(locale.ENGLISH)} if k]
-    return spark.createDataFrame(rows, "key string, code string").dropDuplicates(["key"])
+    """``(key, code)``: ISO 3166 alpha-2, alpha-3 and English names, from the JVM's own tables, which are
+    asked once."""
+    if not _countries:
+        locale, found = spark.sparkContext._jvm.java.util.Locale, {}
+        for code in locale.getISOCountries():
+            of = locale("", code)
+            for key in (code, of.getISO3Country(), of.getDisplayCountry(locale.ENGLISH)):
+                if key:
+                    found.setdefault(key.lower(), code)
+        _countries[:] = found.items()
+    return spark.createDataFrame(_countries, "key string, code string")
 
 
 def with_country(df: DataFrame, column: str, into: str) -> DataFrame:

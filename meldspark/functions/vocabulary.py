@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import os
-import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .near import few, keyed, other_side, shared
 from .scalar import clean, indel_ratio, lcs
 from .skill_names import SKILLS
 
@@ -46,25 +47,66 @@ def match_terms(terms: DataFrame, column: str, vocabulary: dict[str, list[str]],
     """Adds ``key``, ``name`` and ``quality``: exact or alias form, else the closest form with an
     indel ratio of at least ``threshold`` (keys of ``least`` characters or more), else null.
 
-    The vocabulary is a given table of some hundred forms, which bounds the broadcasts; only distinct
-    unmatched keys meet all its forms."""
-    table = F.broadcast(forms(terms.sparkSession, vocabulary))
-    keyed = terms.withColumn("key", term_key(F.col(column)))
-    exact = keyed.join(table.toDF("form", "name", "quality"), F.col("key") == F.col("form"), "left").drop("form")
+    Distinct unmatched keys meet the forms under subsequences that they share, so each meets the close
+    ones only; those of some thirty characters or more are compared with the forms of such lengths."""
+    rule = (int(threshold), False)
+    table = forms(terms.sparkSession, vocabulary)
+    given = sorted({len(f) for n, al in vocabulary.items() for f in (n.lower(), *map(str.lower, al)) if len(f) >= least})
+    keyed_ = terms.withColumn("key", term_key(F.col(column)))
+    exact = keyed_.join(table.toDF("form", "name", "quality"), F.col("key") == F.col("form"), "left").drop("form")
     open_ = exact.where(F.col("name").isNull() & (F.length("key") >= least)).select("key").distinct()
-    near = open_.join(table.toDF("form", "near", "q"), F.length("form") >= least).withColumn("ratio", indel_ratio("key", "form")).where(F.col("ratio") >= threshold)
-    near = near.groupBy("key").agg(F.min_by("near", F.struct(-F.col("ratio"), F.col("form"))).alias("near"))
+    near_forms = table.where(F.length("form") >= least).toDF("form", "near", "q").drop("q")
+    lengths = sorted({n for m in given for n in range(m * 2 // 3, m * 3 // 2 + 2) if shared(n, m, *rule)})  # of keys that can be close
+    short = keyed(open_.withColumnRenamed("key", "term"), "term", given, *rule)
+    met = short.join(keyed(near_forms, "form", lengths, *rule).withColumn("side", other_side("side")), ["key", "side"]).select("term", "form", "near")
+    if long := [(n, m) for m in given for n in lengths if shared(n, m, *rule) and not few(n, m, *rule)]:
+        size, of_form = F.length("term"), F.length("form")
+        fits = 200 * F.least(size, of_form) >= rule[0] * (size + of_form)
+        some = open_.where(F.length("key").isin(sorted({n for n, _ in long}))).withColumnRenamed("key", "term")
+        met = met.union(some.join(near_forms.where(F.length("form").isin(sorted({m for _, m in long}))), fits).select("term", "form", "near"))
+    near = met.distinct().withColumn("ratio", indel_ratio("term", "form")).where(F.col("ratio") >= threshold)
+    near = near.groupBy(F.col("term").alias("key")).agg(F.min_by("near", F.struct(-F.col("ratio"), F.col("form"))).alias("near"))
     out = exact.join(near, "key", "left")
     return out.withColumn("quality", F.coalesce("quality", F.when(F.col("near").isNotNull(), QUALITY["fuzzy"]))).withColumn("name", F.coalesce("name", "near")).drop("near")
 
 
+#: Bytes that a mention does not follow, and is not followed by.
+BEFORE, AFTER = frozenset(b"+#.0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), frozenset(b"+#0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+
+@lru_cache(maxsize=4)
+def automaton(terms: tuple[str, ...]):
+    """One automaton of all forms as bytes, A-Z in lower case, with a number and length each."""
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for i, term in enumerate(sorted({t.encode().lower() for t in terms} - {b""})):
+        made.add_word(term.decode("latin-1"), (i, len(term)))
+    made.make_automaton()
+    return made
+
+
+def found_mentions(text: str, terms: tuple[str, ...]) -> list[str]:
+    """The first whole-word place of each form, in order, as it stands in the text."""
+    raw, seen = text.encode(), {}
+    scan = automaton(terms)
+    for end, (i, size) in scan.iter(raw.lower().decode("latin-1")) if len(scan) else ():
+        start = end + 1 - size
+        if i not in seen and (not start or raw[start - 1] not in BEFORE) and (end + 1 == len(raw) or raw[end + 1] not in AFTER):
+            seen[i] = (start, raw[start : end + 1])
+    return [r.decode() for _, r in sorted(seen.values())]
+
+
 def mentions(text: Column, vocabulary: dict[str, list[str]]) -> Column:
-    """Vocabulary forms found in a text as whole words, in order, each once whatever its case."""
-    every = sorted({f for n, a in vocabulary.items() for f in (n, *a)}, key=lambda f: (-len(f), f))
-    # Looking ahead for the form keeps overlapping mentions apart.
-    patterns = [rf"(?i)(?<![A-Za-z0-9+#.]){re.escape(f)}(?![A-Za-z0-9+#])" for f in every]
-    found = F.array(*[F.struct(F.regexp_instr(text, F.lit(p)).alias("at"), F.regexp_extract(text, p, 0).alias("raw")) for p in patterns])
-    return F.transform(F.array_sort(F.filter(found, lambda x: x["at"] > 0)), lambda x: x["raw"])
+    """Vocabulary forms found in a text as whole words, in order, each once whatever its case; none in
+    a null text, or one that is not UTF-8. One automaton runs over each text, however many forms there are."""
+    terms = tuple(sorted({f for n, a in vocabulary.items() for f in (n, *a)}))
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: found_mentions(t, terms) if t else [])
+
+    return found(F.try_validate_utf8(text))
 
 
 def canonical_name(value: Column, vocabulary: dict[str, list[str]], listed: bool = False, threshold: float = 90.0, least: int = 4) -> Column:

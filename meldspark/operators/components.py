@@ -44,6 +44,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     edges = materialize(edges, "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     for _ in range(max_rounds):
         before, edges = edges, materialize(_small_star(_large_star(edges).distinct()).distinct(), "edges")
         discard(before)

@@ -16,20 +16,15 @@ the same place; common q-grams are dealt into parts) and compared one by one.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import combinations
-from math import comb
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
+from ..functions.near import few, keyed, lengths_of, other_side, partners, shared
 from ..functions.scalar import entity_id, lcs_length
 from .components import connected_components
 from .scratch import discard, materialize
 
-#: Subsequences of a name, of one length, that are used as keys.
-KEYS = 300
 #: Characters of a q-gram.
 Q = 3
 #: Names with a q-gram that meet in one part.
@@ -38,55 +33,11 @@ PART = 2000
 FITS = {"": ("", "e", "p", "ep"), "e": ("", "p"), "p": ("", "e"), "ep": ("",)}
 
 
-def shared(n: int, m: int) -> int | None:
-    """Least common subsequence of names of n and m characters that are close; None if none can be."""
-    least = 9 * (n + m) // 20 + 1
-    return least if 0 < least <= min(n, m) else None
-
-
-def _few(n: int, m: int) -> bool:
-    return max(comb(n, shared(n, m)), comb(m, shared(n, m))) <= KEYS
-
-
-def _partners(n: int, lengths: Iterable[int]) -> list[int]:
-    return [m for m in lengths if shared(n, m)]
-
-
 def _prefix(n: int, lengths: Iterable[int]) -> int:
     """q-grams of a name of n characters of which at least one, at its place give or take the edits,
     is in any close name that keys do not find: one more than the edits can destroy (a character that
     goes takes Q of them, one that comes Q - 1). 0 where keys find all."""
-    return max((Q * (n - shared(n, m)) + (Q - 1) * (m - shared(n, m)) + 1 for m in _partners(n, lengths) if not _few(n, m)), default=0)
-
-
-def keys_of(name: str, lengths: Iterable[int]) -> list[str]:
-    """Keys of a name for partners of the given lengths, equal names included. The last sign tells whether it is the shorter
-    (``<``), the longer (``>``) or as long (``=``)."""
-    n, out = len(name), []
-    if not shared(n, n) or not _few(n, n):
-        out.append(f"{name}=")
-    for m in _partners(n, lengths):
-        if _few(n, m):
-            side = "<" if n < m else ">" if n > m else "="
-            head = f"{min(n, m)}|{max(n, m)}|"
-            out += [f"{head}{s}{side}" for s in {"".join(c) for c in combinations(name, shared(n, m))}]
-    return out
-
-
-def _lengths(names: DataFrame) -> list[int]:
-    """Distinct lengths: at most as many as the longest name has characters."""
-    return sorted(r[0] for r in names.select(F.length("name")).distinct().collect() if r[0])
-
-
-def _keyed(names: DataFrame, lengths: list[int]) -> DataFrame:
-    """The rows with ``key`` and ``side`` for each key of their name."""
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def keys(of: pd.Series) -> pd.Series:
-        return of.map(lambda name: keys_of(name, lengths))
-
-    rows = names.select("*", F.explode(keys("name")).alias("k"))
-    return rows.select(*names.columns, F.expr("left(k, length(k) - 1)").alias("key"), F.right("k", F.lit(1)).alias("side"))
+    return max((Q * (n - shared(n, m)) + (Q - 1) * (m - shared(n, m)) + 1 for m in partners(n, lengths) if not few(n, m)), default=0)
 
 
 def _long_pairs(names: DataFrame, lengths: list[int]) -> DataFrame:
@@ -113,17 +64,13 @@ def _long_pairs(names: DataFrame, lengths: list[int]) -> DataFrame:
     return pairs
 
 
-def _other(side: str):
-    return F.when(F.col(side) == "<", ">").when(F.col(side) == ">", "<").otherwise("=")
-
-
 def close_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct ``name`` on two sides to the ordered pairs ``(x, y)``, x <> y, with indel ratio over
     90 between a name of one side and a name of the other."""
     left, right = left.select("name").distinct(), right.select("name").distinct()
-    lengths = _lengths(left.union(right))
-    ours = _keyed(left, lengths).select(F.col("name").alias("x"), "key", "side")
-    theirs = _keyed(right, lengths).select(F.col("name").alias("y"), "key", _other("side").alias("side"))
+    lengths = lengths_of(left.union(right), "name")
+    ours = keyed(left, "name", lengths).select(F.col("name").alias("x"), "key", "side")
+    theirs = keyed(right, "name", lengths).select(F.col("name").alias("y"), "key", other_side("side").alias("side"))
     met = ours.join(theirs, ["key", "side"]).where("x <> y").select("x", "y").distinct()
     long = _long_pairs(left.union(right).distinct(), lengths)
     long = long.union(long.select("y", "x"))
@@ -139,8 +86,8 @@ def name_links(groups: DataFrame) -> DataFrame:
     The links connect what links between all close names of fitting classes connect, but there are
     no more of them than keys, and pairs of long names. A name's own group is among them only in the
     class without contacts."""
-    lengths = _lengths(groups)
-    members = materialize(_keyed(groups, lengths).drop("name"), "name-keys")
+    lengths = lengths_of(groups, "name")
+    members = materialize(keyed(groups, "name", lengths).drop("name"), "name-keys")
     spots = [(s, k) for s in "<>=" for k in FITS]
     least = [F.min(F.when((F.col("side") == s) & (F.col("kind") == k), F.col("least"))).alias(f"{s}{k}") for s, k in spots]
     hubs = members.groupBy("key").agg(F.count("*").alias("n"), *least).where("n > 1").drop("n")
@@ -189,7 +136,8 @@ def resolve(keys: DataFrame, fuzzy: bool = True) -> DataFrame:
     come from (column ``origin``, else their ids)."""
     if "origin" not in keys.columns:
         keys = keys.withColumn("origin", F.col("record_id").cast("string"))
-    keys = materialize(keys, "keys")
+    if not hasattr(keys, "_scratch_path"):  # a table already
+        keys = materialize(keys, "keys")
     parts = connected_components(identity_edges(keys, fuzzy))
     grouped = keys.join(parts, keys.record_id == parts.id, "left").withColumn("group_id", F.coalesce("component", "record_id"))
     per = grouped.groupBy("group_id").agg(F.min(F.array_min("emails")).alias("e"), F.min(F.array_min("phones")).alias("p"), F.min("name").alias("n"), F.min("origin").alias("o"))

@@ -135,6 +135,63 @@ def test_terms(spark):
     assert text.select(vocabulary.mentions(text.t, vocabulary.SKILLS).alias("m")).first().m[:3] == ["py", "JS", "C++"]
 
 
+def test_terms_by_brute_force(spark):
+    rnd = random.Random(4)
+    letters = "abcde "
+    word = lambda k: "".join(rnd.choices(letters, k=k)).strip() or "x"
+    names = sorted({word(rnd.choice([2, 4, 6, 9, 14, 20, 33, 45])) for _ in range(80)} | {"same name", "sane name"})
+    given = {n: [word(8)] for n in names}
+
+    def edited(f):
+        w = list(f)
+        for _ in range(rnd.randint(0, 4)):
+            i = rnd.randrange(len(w) + 1)
+            w[i : i + rnd.randint(0, 1)] = rnd.choices(letters, k=rnd.randint(0, 1))
+        return "".join(w)
+
+    terms = sorted({edited(rnd.choice(names)) for _ in range(300)} | {"safe name"})
+    table = {}
+    for n, al in sorted(given.items()):
+        for tier, f in [(0, n), *((1, a) for a in al)]:
+            table[f.lower()] = min(table.get(f.lower(), (9, "")), (tier, n))
+    want = {}
+    for t in terms:
+        key = " ".join(t.split()).lower()
+        if not key:
+            want[t] = None
+        elif key in table:
+            want[t] = (table[key][1], (1.0, 0.8)[table[key][0]])
+        else:
+            close = [(-200 * scalar.lcs(key, f) / (len(key) + len(f)), f) for f in table if min(len(f), len(key)) >= 4]
+            best = min([c for c in close if -c[0] >= 90], default=None)
+            want[t] = (table[best[1]][1], 0.6) if best else None
+    df = spark.createDataFrame([(t,) for t in terms], "t string")
+    got = {r.t: (r.name, r.quality) if r.name else None for r in vocabulary.match_terms(df, "t", given).collect()}
+    assert got == want and sum(w is not None and w[1] == 0.6 for w in want.values()) > 30
+
+
+def test_mentions_by_patterns():
+    import re
+
+    rnd = random.Random(5)
+    terms = ("Go", "go", "C", "C++", "c#", ".NET", "Node", "Node.js", "machine learning", "R", "é", "Ünder", "a-b", "")
+    bits = ["Go", "GO", "C", "C++", "C#", ".net", "Node", "node.JS", "js", "Machine Learning", "machine", "r", "é", "É", "ünder", "Ünder", "a-B", " ", ".", ",", "+", "#", "x", "9", "日本"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(bits) + rnd.choice(["", " ", " "]) for _ in range(rnd.randint(0, 12)))
+        want = {}
+        for f in {"".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for t in terms} - {""}:
+            flags = re.ASCII | re.IGNORECASE
+            pattern = "".join(re.escape(c) if ord(c) < 128 else f"(?-i:{c})" for c in f)
+            if m := re.search(rf"(?<![A-Za-z0-9+#.]){pattern}(?![A-Za-z0-9+#])", text, 0 if not f.isascii() else flags):
+                want[f] = (m.start(), m[0])
+            if not f.isascii():
+                m = re.search(rf"(?<![A-Za-z0-9+#.])(?a:(?i:{pattern}))(?![A-Za-z0-9+#])", text)
+                want.pop(f, None)
+                if m:
+                    want[f] = (m.start(), m[0])
+        assert vocabulary.found_mentions(text, terms) == [r for _, r in sorted(want.values())]
+
+
 def test_paths_and_policies(spark):
     df = spark.createDataFrame([(1, ["x", "Y"], None), (2, [], None)], "id long, tags array<string>, gone string")
     config = {"on_missing": "omit", "fields": [{"name": "a", "from": "tags[0]"}, {"name": "b", "from": "tags[5]", "on_missing": "null"}, {"name": "c", "from": "tags", "normalize": "lowercase"}, {"name": "d", "from": "gone", "required": True, "on_missing": "error"}]}
