@@ -256,6 +256,18 @@ def test_url_parts_and_rules(spark, tmp_path):
     assert urlfilter.url_verdicts(df.limit(0)).count() == 0
 
 
+def test_url_query_takes_the_rules_of_its_contract(spark, tmp_path):
+    from meldspark.llm.queries import op6_url_filter
+
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://x.example.com/en/71": ("example.com/en/7", "allow"), "http://b.net/de/81": ("net/de/", "allow"),
+        "http://example.net/de/7": ("net/de/", "allow"), "http://m.example.net/de/81": ("example.net/de/8", "block"), "http://c.org/es/": ("org/es/", "block"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in op6_url_filter(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_reputation_shrinks(spark):
     rows = [("a.bad.com", 1)] * 40 + [("b.bad.com", None)] * 3 + [("c.bad.com", 0)] * 2 + [("d.good.com", 0)] * 60 + [("e.good.com", 1)] + [("x.other.net", None)]
     rep = {r.host: r for r in urlfilter.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
