@@ -71,6 +71,8 @@ def write_profiles(people: DataFrame, configs: dict[str, dict], folder: str, key
     """Write a folder ``config=<name>`` for each config, whose text files hold a profile a line, in order
     from file to file. ``errors`` (source, stage, error) of the build come first among the errors."""
     rows, n = projected(people, configs, key, vocabulary)
-    lines = rows.repartitionByRange("number", "position").sortWithinPartitions("number", "position")
+    # Spark sorts what it writes by config, and drops a sort before that one, unless rows come sorted by it
+    # (a column that cannot be null, as others are rewritten first).
+    lines = rows.withColumn("config", F.coalesce("config", F.lit(""))).repartitionByRange("number", "position").sortWithinPartitions("config", "position")
     lines.select("config", "profile").write.partitionBy("config").option("maxRecordsPerFile", FILE_ROWS).text(folder)
     return Written(said(rows, key, errors), int(n > 0 or (errors is not None and not errors.isEmpty())))

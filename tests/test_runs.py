@@ -103,3 +103,19 @@ def test_routing_of_a_table(spark):
 
     got = spark.createDataFrame([(i, *r) for i, r in enumerate(refs)], "i int, l string, h string").withColumn("k", registry.kinds(F.col("l"), F.col("h"))).orderBy("i").collect()
     assert [r.k for r in got] == [kind(*r) for r in refs]
+
+
+def test_profiles_stand_in_order_however_they_are_dealt(spark, tmp_path):
+    from meldspark.sinks import write_profiles
+    from meldspark.sources.readers import numbered
+
+    people = spark.range(20_000).select("id", F.struct(F.pmod(F.col("id") * 7919, F.lit(20_000)).alias("o")).alias("__order"), F.lit(1).alias("x"))
+    config = {"include_provenance": False, "include_confidence": False, "fields": [{"name": "id", "from": "id"}]}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_profiles(people, {"a": config, "b": config}, f"{tmp_path}/out", "id")
+        lines = numbered(spark.read.text(f"{tmp_path}/out")).orderBy("ordinal").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [f'{{"id":{i}}}' for i in sorted(range(20_000), key=lambda i: i * 7919 % 20_000)]
+    assert [r.value for r in lines if r.config == "a"] == want == [r.value for r in lines if r.config == "b"]
