@@ -81,3 +81,12 @@ def test_documents(spark, tmp_path):
     assert read_resume(spark, f"{tmp_path}/b.pdf").first().links.github == "https://github.com/di"
     with pytest.raises(ValueError):
         documents.pdf_text(b"text")
+
+
+def test_numbers_of_made_universities_are_no_years(spark, tmp_path):
+    from meldspark.queries import resume_records_query
+
+    keys = (1903, 1950, 2015, 2100)
+    spark.createDataFrame([(k, f"Supplier {k}", 1, 0.0) for k in keys], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.source_id: r.schools for r in resume_records_query(spark, str(tmp_path)).collect()}
+    assert got == {f"r{k}": f"University {k}" + ("|B.Sc.|Physics|2014" if k % 3 == 0 else "") for k in keys}
