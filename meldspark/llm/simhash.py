@@ -233,6 +233,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 # --- Documents that link by similarity
 
 WORDS, MINIMA = 4, 8  # of 64 bits a fingerprint; of shingle hashes
+SPARE, OPEN, CERTAIN = 0, 1, 2  # kinds of links
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -291,44 +292,100 @@ def _signed_batches(at: int, shingle: int):
 
 
 class _Links:
-    """Links that are found: those so close that they are certain, and those to be checked."""
+    """Links that are found: those so close that they are certain, and those to be checked. Of these
+    there is one, the closest, for each two groups of rows that certain links make: ``open`` if it is
+    in a spanning forest, else ``spare``."""
 
     def __init__(self, near: int, far: int) -> None:
         self.near, self.far = near, far
         self.certain: list[tuple[np.ndarray, np.ndarray]] = []
         self.open: list[tuple[np.ndarray, np.ndarray]] = []
+        self.spare: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _distances(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(one ^ other).sum(axis=-1, dtype=np.int64)
+
+
+def _closest(one: np.ndarray, two: np.ndarray) -> tuple[int, int, int]:
+    """(distance, i, j) of the closest rows, a few of the first at a time."""
+    best, step = (1 << 30, 0, 0), max(1, (1 << 20) // len(two))
+    for lo in range(0, len(one), step):
+        d = _distances(one[lo : lo + step, None], two[None])
+        at = int(d.argmin())
+        best = min(best, (int(d.flat[at]), lo + at // len(two), at % len(two)))
+    return best
 
 
 def _leaders(fp: np.ndarray, ids: np.ndarray, links: _Links) -> None:
-    """Link each row to the first rows that it is close to, one leader after the other: every row
-    that no leader before it surely reached leads, and is compared with all."""
-    waiting = np.ones(len(fp), bool)
-    while waiting.any():
-        lead = int(waiting.argmax())
-        distance = np.bitwise_count(fp ^ fp[lead]).sum(axis=1)
-        waiting[distance <= links.near] = False
-        for low, high, out in ((-1, links.near, links.certain), (links.near, links.far, links.open)):
-            at = np.flatnonzero((distance > low) & (distance <= high))
-            at = at[at != lead]
-            out.append((ids[at], np.full(len(at), ids[lead])))
+    """Close rows of a large bucket: every row that no leader before it surely reached leads, and the
+    others follow the first that did. Two leaders whose followers can be close, by the distance between
+    the leaders and from each to its farthest follower, have these compared one by one."""
+    owner, leads, reach = np.full(len(fp), -1), [], []
+    for row in range(len(fp)):
+        if owner[row] >= 0:
+            continue
+        rest = row + np.flatnonzero(owner[row:] < 0)
+        distance = _distances(fp[rest], fp[row])
+        own = distance <= links.near
+        owner[rest[own]] = len(leads)
+        leads.append(row)
+        reach.append(int(distance[own].max()))
+    leads, reach = np.array(leads), np.array(reach)
+    at = np.flatnonzero(ids != ids[leads[owner]])
+    links.certain.append((ids[at], ids[leads[owner[at]]]))
+    order = np.argsort(owner, kind="stable")
+    rows = np.split(order, np.cumsum(np.bincount(owner, minlength=len(leads)))[:-1])
+    root, found = np.arange(len(leads)), []
+    for x in range(len(leads) - 1):
+        apart = _distances(fp[leads[x + 1 :]], fp[leads[x]])
+        for y in (x + 1 + np.flatnonzero(apart <= links.far + reach[x] + reach[x + 1 :])).tolist():
+            distance, i, j = _closest(fp[rows[x]], fp[rows[y]])
+            if distance <= links.far:
+                found.append((distance, x, y, rows[x][i], rows[y][j]))
+    _linked_groups(found, root, ids, links)
+
+
+def _linked_groups(found: list, root: np.ndarray, ids: np.ndarray, links: _Links) -> None:
+    """The closest rows (distance, group, group, i, j) of groups: certain ones are links, and so are the
+    others in order of their distance, those that close a circle as spare ones."""
+    out: dict[str, list] = {"certain": [], "open": [], "spare": []}
+    top = list(range(len(root)))
+
+    def of(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for distance, x, y, i, j in sorted(found):
+        a, b = of(x), of(y)
+        sure = distance <= links.near
+        if a != b:
+            top[max(a, b)] = min(a, b)
+        elif sure:
+            continue
+        out["certain" if sure else "open" if a != b else "spare"].append((ids[i], ids[j]))
+    for kind, pairs in out.items():
+        if pairs:
+            x, y = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
+            getattr(links, kind).append((x, y))
 
 
 def _block(fp: np.ndarray, bucket: np.ndarray, ids: np.ndarray, links: _Links) -> None:
-    """A spanning forest of the close rows of each bucket: certain links first, then the closest others."""
+    """A spanning forest of the certain links of each bucket, and the closest other link of each two
+    groups that these make."""
     root, open_ = np.arange(len(fp)), []
 
-    def join(i: np.ndarray, j: np.ndarray, out: list | None) -> None:
+    def join(i: np.ndarray, j: np.ndarray) -> None:
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
             a, b = root[x], root[y]
             if a != b:
                 root[root == max(a, b)] = min(a, b)
-                if out is not None:
-                    out.append((x, y))
 
     for i, j in close_pairs(fp, bucket, links.far):
         distance = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1)
         sure = (distance <= links.near) & (root[i] != root[j])
-        join(i[sure], j[sure], None)
+        join(i[sure], j[sure])
         rest = distance > links.near
         open_.append((i[rest], j[rest], distance[rest]))
     moved = np.flatnonzero(root != np.arange(len(root)))
@@ -339,12 +396,8 @@ def _block(fp: np.ndarray, bucket: np.ndarray, ids: np.ndarray, links: _Links) -
         i, j, distance = i[apart], j[apart], distance[apart]
         order = np.argsort(distance, kind="stable")
         a, b = root[i[order]], root[j[order]]
-        first = np.unique(np.minimum(a, b) * len(root) + np.maximum(a, b), return_index=True)[1]
-        order, taken = order[np.sort(first)], []
-        join(i[order], j[order], taken)
-        if taken:
-            x, y = (np.array(c) for c in zip(*taken, strict=True))
-            links.open.append((ids[x], ids[y]))
+        first = order[np.unique(np.minimum(a, b) * len(root) + np.maximum(a, b), return_index=True)[1]]
+        _linked_groups([*zip(distance[first].tolist(), root[i[first]].tolist(), root[j[first]].tolist(), i[first].tolist(), j[first].tolist(), strict=True)], root, ids, links)
 
 
 def _similar(fp: np.ndarray, low: np.ndarray, ids: np.ndarray, bucket: np.ndarray, links: _Links, used: frozenset) -> None:
@@ -404,10 +457,10 @@ def _similar_batches(near: int, far: int):
             for k in np.unique(which).tolist():
                 s = which == k
                 _similar(fp[s], low[s], ids[s], key[s], links, frozenset([k]))
-            for pairs, certain in ((_forest(links.certain), True), (links.open, False)):
-                a, b = pairs if certain else [np.concatenate(x) for x in zip(*pairs, strict=True)] if pairs else ([], [])
+            for pairs, kind in ((_forest(links.certain), CERTAIN), (links.open, OPEN), (links.spare, SPARE)):
+                a, b = pairs if kind == CERTAIN else [np.concatenate(x) for x in zip(*pairs, strict=True)] if pairs else ([], [])
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.full(len(a), certain))], names=["a", "b", "certain"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.full(len(a), kind, np.int32))], names=["a", "b", "kind"])
 
     return run
 
@@ -430,6 +483,16 @@ def _set_batches(shingle: int):
     return run
 
 
+def _within_batches(far: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(_distances(x, y) <= far))
+
+    return run
+
+
 def _checked_batches(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -461,20 +524,42 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "number")
     groups = materialize(signed.groupBy("fp", "low").agg(F.min(order).alias("first")).select("fp", "low", "first.doc_id", "first.number"), "signature-groups")
     filed = groups.select(F.posexplode("low").alias("which", "key"), "fp", "low", "number").repartition("which", "key").sortWithinPartitions("which", "key", "number")
-    links = materialize(filed.mapInArrow(_similar_batches(*similarity_radii(similarity)), "a long, b long, certain boolean"), "near-links")
-    links = links.groupBy("a", "b").agg(F.max("certain").alias("certain"))
-    open_ = links.where("not certain").select("a", "b")
-    asked = open_.select(F.col("a").alias("number")).union(open_.select("b")).distinct()
-    text = F.col("row").getField(text_col).cast("binary").alias("text")
-    # Rows that are not asked for are left out before the shuffle, by a table of at most BUCKETS numbers.
-    bucket = F.pmod(F.xxhash64("number"), F.lit(BUCKETS))
-    few = signed.select("number", text).join(F.broadcast(asked.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")
-    sets = few.join(asked.hint("merge"), "number", "left_semi").mapInArrow(_set_batches(shingle), "number long, runs binary")
-    sets = materialize(sets, "near-runs")
-    pairs = open_.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
-    checked = pairs.mapInArrow(_checked_batches(similarity), "a long, b long")
-    parts = connected_components(links.where("certain").select("a", "b").union(checked))
-    discard(sets)
+    near, far = similarity_radii(similarity)
+    links = materialize(filed.mapInArrow(_similar_batches(near, far), "a long, b long, kind int"), "near-links")
+    links = links.groupBy("a", "b").agg(F.max("kind").alias("kind"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Of pairs of numbers, those that are similar, run by run."""
+        asked = pairs.select(F.col("a").alias("number")).union(pairs.select("b")).distinct()
+        text = F.col("row").getField(text_col).cast("binary").alias("text")
+        # Rows that are not asked for are left out before the shuffle, by a table of at most BUCKETS numbers.
+        bucket = F.pmod(F.xxhash64("number"), F.lit(BUCKETS))
+        few = signed.select("number", text).join(F.broadcast(asked.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")
+        sets = few.join(asked.hint("merge"), "number", "left_semi").mapInArrow(_set_batches(shingle), "number long, runs binary")
+        sets = materialize(sets, "near-runs")
+        both = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
+        alike = materialize(both.mapInArrow(_checked_batches(similarity), "a long, b long"), "near-checked")
+        discard(sets)
+        return alike
+
+    certain = links.where(F.col("kind") == CERTAIN).select("a", "b")
+    parts = connected_components(certain.union(checked(links.where(F.col("kind") == OPEN).select("a", "b"))))
+    # Groups that certain links make and that are still apart, though rows of theirs are close: the closest
+    # may fail where others pass, so all that are within reach are checked.
+    of = lambda df, ids, end, name: df.join(ids.select(F.col("id").alias(end), F.col("component").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+    apart = of(of(links.where(F.col("kind") != CERTAIN), parts, "a", "ca"), parts, "b", "cb").where("ca <> cb").select("a", "b", "kind")
+    apart = materialize(apart, "near-apart")
+    if not apart.isEmpty():
+        sure = connected_components(certain)
+        between = of(of(apart, sure, "a", "ca"), sure, "b", "cb").select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct()
+        held = between.select("ca").union(between.select("cb")).distinct()
+        members = held.join(sure, held.ca == sure.component, "left").select(F.coalesce("id", "ca").alias("number"), F.col("ca").alias("group"))
+        members = members.join(groups.select("number", "fp"), "number")
+        sides = between.join(members.toDF("a", "ca", "fa"), "ca").join(members.toDF("b", "cb", "fb"), "cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "fa", "fb")
+        close = sides.mapInArrow(_within_batches(far), "a long, b long")
+        close = materialize(close.join(apart.where(F.col("kind") == OPEN).select("a", "b"), ["a", "b"], "left_anti"), "near-rest")
+        if not close.isEmpty():
+            parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(checked(close)))
     joined = groups.join(parts, groups.number == parts.id, "left").select(F.coalesce("component", "number").alias("component"), "doc_id", "number")
     keep = joined.groupBy("component").agg(F.min(F.struct("doc_id", "number")).alias("first")).select(F.col("first.number").alias("number"))
     kept = signed.select("number", "row").join(keep.hint("merge"), "number", "left_semi")

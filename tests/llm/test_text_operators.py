@@ -240,6 +240,49 @@ def test_large_buckets_are_divided(monkeypatch):
         assert {tuple(g) for g in groups.values()} == want
 
 
+@pytest.mark.parametrize("by", ["_block", "_leaders"])
+def test_no_close_rows_are_left_out(by):
+    """Rows within reach are in one group of certain links, or their groups have a link to be checked."""
+    rng = np.random.default_rng(8)
+    near, far = simhash.similarity_radii(0.8)
+    base = rng.integers(0, 1 << 63, simhash.WORDS, dtype=np.uint64)
+    fp = [base]
+    for k in range(1, 120):
+        x = (base if k % 3 else fp[-1]).copy()
+        for bit in rng.choice(256, 24 if k % 3 else 8, replace=False):
+            x[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        fp.append(x)
+    fp, ids, links = np.array(fp), np.arange(120), simhash._Links(near, far)
+    simhash._block(fp, np.zeros(120, np.int64), ids, links) if by == "_block" else simhash._leaders(fp, ids, links)
+    group = np.arange(120)
+    for x, y in zip(*simhash._forest(links.certain), strict=True):
+        group[x] = y
+    told = {frozenset((group[x], group[y])) for pairs in links.open + getattr(links, "spare", []) for x, y in zip(*pairs, strict=True)}
+    close = np.argwhere(np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2) <= far)
+    apart = {frozenset((group[x], group[y])) for x, y in close if group[x] != group[y]}
+    assert len(apart) > 200 and not apart - told
+
+
+def test_groups_whose_closest_rows_are_not_similar(spark):
+    """One text is similar to one of two near copies, and closer by its fingerprint to the other."""
+    for seed in range(100):
+        rnd = random.Random(seed)
+        one = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+        two, other = list(one), list(one)
+        two[30] = "changed"
+        for i in (*range(60, 200, 20), *range(300, 305)):  # 44 of 396 runs
+            other[i] = f"new{i}"
+        texts = [" ".join(x) for x in (one, two, other)]
+        fp, low = simhash.signatures([simhash.shingles(t.encode(), 5, simhash._Hashes()) for t in texts])
+        d = lambda x, y: int(np.bitwise_count(fp[x] ^ fp[y]).sum())
+        near, far = simhash.similarity_radii(0.8)
+        if d(0, 1) <= near < d(1, 2) < d(0, 2) <= far and (low[0] == low[1]).any() and ((low[0] == low[2]) & (low[1] == low[2])).any():
+            break
+    assert brute_near(texts) == [0, 0, 0]
+    got = simhash.simhash_dedup(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert [r.doc_id for r in got] == [0]
+
+
 # --- Decontamination
 
 
