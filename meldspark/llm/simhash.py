@@ -233,7 +233,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 # --- Documents that link by similarity
 
 WORDS, MINIMA = 4, 8  # of 64 bits a fingerprint; of shingle hashes
-SPARE, OPEN, CERTAIN = 0, 1, 2  # kinds of links
+OPEN, CERTAIN = 1, 2  # kinds of links
+#: Of the runs of a block of rows that are compared one by one, and columns of a table of theirs.
+BLOCK_BYTES, COLUMNS = 1 << 19, 2048
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -294,10 +296,10 @@ def _signed_batches(at: int, shingle: int):
 class _Links:
     """Links that are found: those so close that they are certain, and those to be checked. Of these
     there is one, the closest, for each two groups of rows that certain links make: ``open`` if it is
-    in a spanning forest, else ``spare``."""
+    in a spanning forest, else ``spare``; these are as many as pairs of groups, and told if asked for."""
 
-    def __init__(self, near: int, far: int) -> None:
-        self.near, self.far = near, far
+    def __init__(self, near: int, far: int, spares: bool = True) -> None:
+        self.near, self.far, self.spares = near, far, spares
         self.certain: list[tuple[np.ndarray, np.ndarray]] = []
         self.open: list[tuple[np.ndarray, np.ndarray]] = []
         self.spare: list[tuple[np.ndarray, np.ndarray]] = []
@@ -362,7 +364,7 @@ def _linked_groups(found: list, root: np.ndarray, ids: np.ndarray, links: _Links
         sure = distance <= links.near
         if a != b:
             top[max(a, b)] = min(a, b)
-        elif sure:
+        elif sure or not links.spares:
             continue
         out["certain" if sure else "open" if a != b else "spare"].append((ids[i], ids[j]))
     for kind, pairs in out.items():
@@ -450,14 +452,14 @@ def _forest(pairs: list) -> tuple[np.ndarray, np.ndarray]:
 def _similar_batches(near: int, far: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 2):
-            links = _Links(near, far)
+            links = _Links(near, far, False)
             which, key, ids = (t.column(i).to_numpy() for i in (0, 1, 4))
             fp = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint64).reshape(len(ids), -1)
             low = t.column(3).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
             for k in np.unique(which).tolist():
                 s = which == k
                 _similar(fp[s], low[s], ids[s], key[s], links, frozenset([k]))
-            for pairs, kind in ((_forest(links.certain), CERTAIN), (links.open, OPEN), (links.spare, SPARE)):
+            for pairs, kind in ((_forest(links.certain), CERTAIN), (links.open, OPEN)):
                 a, b = pairs if kind == CERTAIN else [np.concatenate(x) for x in zip(*pairs, strict=True)] if pairs else ([], [])
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.full(len(a), kind, np.int32))], names=["a", "b", "kind"])
@@ -483,12 +485,37 @@ def _set_batches(shingle: int):
     return run
 
 
-def _within_batches(far: int):
+def _alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Of sets of run hashes, which two are similar, by products of the table of those that some share."""
+    size = np.array([len(x) for x in sets])
+    value, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, place = np.repeat(np.arange(len(sets)), size), np.where(count > 1, np.cumsum(count > 1) - 1, -1)[place]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    edge = np.searchsorted(place, np.arange(0, int((count > 1).sum()) + COLUMNS, COLUMNS))
+    for k, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+        table = np.zeros((len(sets), COLUMNS), np.float32)
+        table[row[lo:hi], place[lo:hi] - k * COLUMNS] = 1
+        both += table @ table.T
+    np.fill_diagonal(both, size)
+    return both >= similarity * (size[:, None] + size[None] - both)
+
+
+def _alike_batches(similarity: float):
+    """Two blocks of rows (.., number, part, runs) to links of similar rows of different parts: a star for
+    each group of these."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(_distances(x, y) <= far))
+        for t in runs(batches, 3):
+            edge = np.r_[0, np.flatnonzero(np.any([np.diff(t.column(i).to_numpy()) != 0 for i in range(3)], axis=0)) + 1, t.num_rows]
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                number, part = (t.column(i).slice(lo, hi - lo).to_numpy() for i in (3, 4))
+                if (part == part[0]).all():
+                    continue
+                i, j = np.nonzero(_alike([np.frombuffer(x.as_py(), np.uint64) for x in t.column(5).slice(lo, hi - lo)], similarity) & (part[:, None] < part[None]))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _forest([(number[i], number[j])])], names=["a", "b"])
 
     return run
 
@@ -528,38 +555,46 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = materialize(filed.mapInArrow(_similar_batches(near, far), "a long, b long, kind int"), "near-links")
     links = links.groupBy("a", "b").agg(F.max("kind").alias("kind"))
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """Of pairs of numbers, those that are similar, run by run."""
-        asked = pairs.select(F.col("a").alias("number")).union(pairs.select("b")).distinct()
+    def runs_of(asked: DataFrame) -> DataFrame:
+        """The runs of distinct numbers."""
         text = F.col("row").getField(text_col).cast("binary").alias("text")
         # Rows that are not asked for are left out before the shuffle, by a table of at most BUCKETS numbers.
         bucket = F.pmod(F.xxhash64("number"), F.lit(BUCKETS))
         few = signed.select("number", text).join(F.broadcast(asked.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")
         sets = few.join(asked.hint("merge"), "number", "left_semi").mapInArrow(_set_batches(shingle), "number long, runs binary")
-        sets = materialize(sets, "near-runs")
+        return materialize(sets, "near-runs")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Of pairs of numbers, those that are similar, run by run."""
+        sets = runs_of(pairs.select(F.col("a").alias("number")).union(pairs.select("b")).distinct())
         both = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
         alike = materialize(both.mapInArrow(_checked_batches(similarity), "a long, b long"), "near-checked")
         discard(sets)
         return alike
 
-    certain = links.where(F.col("kind") == CERTAIN).select("a", "b")
-    parts = connected_components(certain.union(checked(links.where(F.col("kind") == OPEN).select("a", "b"))))
-    # Groups that certain links make and that are still apart, though rows of theirs are close: the closest
-    # may fail where others pass, so all that are within reach are checked.
-    of = lambda df, ids, end, name: df.join(ids.select(F.col("id").alias(end), F.col("component").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
-    apart = of(of(links.where(F.col("kind") != CERTAIN), parts, "a", "ca"), parts, "b", "cb").where("ca <> cb").select("a", "b", "kind")
-    apart = materialize(apart, "near-apart")
-    if not apart.isEmpty():
-        sure = connected_components(certain)
-        between = of(of(apart, sure, "a", "ca"), sure, "b", "cb").select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct()
-        held = between.select("ca").union(between.select("cb")).distinct()
-        members = held.join(sure, held.ca == sure.component, "left").select(F.coalesce("id", "ca").alias("number"), F.col("ca").alias("group"))
-        members = members.join(groups.select("number", "fp"), "number")
-        sides = between.join(members.toDF("a", "ca", "fa"), "ca").join(members.toDF("b", "cb", "fb"), "cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "fa", "fb")
-        close = sides.mapInArrow(_within_batches(far), "a long, b long")
-        close = materialize(close.join(apart.where(F.col("kind") == OPEN).select("a", "b"), ["a", "b"], "left_anti"), "near-rest")
-        if not close.isEmpty():
-            parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(checked(close)))
+    def apart(parts: DataFrame) -> DataFrame:
+        """Links that failed between parts, by the parts that they would link."""
+        of = lambda df, end, name: df.join(parts.select(F.col("id").alias(end), F.col("component").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+        return of(of(links.where(F.col("kind") == OPEN), "a", "ca"), "b", "cb").where("ca <> cb").select("ca", "cb")
+
+    parts = connected_components(links.where(F.col("kind") == CERTAIN).select("a", "b").union(checked(links.where(F.col("kind") == OPEN).select("a", "b"))))
+    # Open links are a forest, and where one fails, other rows of what it would have linked may be similar. All
+    # rows within reach of each other are in one group of links, so those of its parts are compared, block by block.
+    reach = connected_components(apart(parts).toDF("a", "b"))
+    if not reach.isEmpty():
+        of = reach.select(F.col("id").alias("part"), F.col("component").alias("reach"))
+        members = materialize(of.join(parts, of.part == parts.component, "left").select(F.coalesce("id", "part").alias("number"), "part", "reach"), "near-members")
+        sets = runs_of(members.select("number"))
+        rows = members.join(sets.hint("merge"), "number")
+        count = rows.groupBy("reach").agg(F.greatest(F.ceil(F.sum(F.length("runs")) / BLOCK_BYTES), F.lit(1)).cast("int").alias("n"))
+        own = F.pmod(F.xxhash64("number"), F.col("n")).cast("int")
+        dealt = rows.join(count, "reach").select("reach", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"), "number", "part", "runs")
+        dealt = dealt.select("reach", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "number", "part", "runs")
+        dealt = dealt.repartition("reach", "x", "y").sortWithinPartitions("reach", "x", "y")
+        found = materialize(dealt.mapInArrow(_alike_batches(similarity), "a long, b long"), "near-rest")
+        discard(sets, members)
+        if not found.isEmpty():
+            parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found))
     joined = groups.join(parts, groups.number == parts.id, "left").select(F.coalesce("component", "number").alias("component"), "doc_id", "number")
     keep = joined.groupBy("component").agg(F.min(F.struct("doc_id", "number")).alias("first")).select(F.col("first.number").alias("number"))
     kept = signed.select("number", "row").join(keep.hint("merge"), "number", "left_semi")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -283,6 +284,38 @@ def test_groups_whose_closest_rows_are_not_similar(spark):
     assert [r.doc_id for r in got] == [0]
 
 
+def test_links_within_reach_grow_with_rows():
+    """Rows that are all within reach, and none surely similar, give a forest of links, not all pairs."""
+    rng = np.random.default_rng(9)
+    near, far = simhash.similarity_radii(0.8)
+    base, n = rng.integers(0, 1 << 63, simhash.WORDS, dtype=np.uint64), 300
+    fp = np.tile(base, (n, 1))
+    for x in fp:
+        for bit in rng.choice(256, far // 2, replace=False):
+            x[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    columns = {"which": pa.array(np.zeros(n, np.int32)), "key": pa.array(np.full(n, 7)), "fp": pa.array([x.tobytes() for x in fp]), "low": pa.array([[7] * simhash.MINIMA] * n), "number": pa.array(np.arange(n))}
+    links = pa.Table.from_batches(simhash._similar_batches(near, far)([pa.RecordBatch.from_pydict(columns)]))
+    assert n - 1 == simhash._forest([(links["a"].to_numpy(), links["b"].to_numpy())])[0].size <= links.num_rows < 2 * n
+
+
+@pytest.mark.parametrize("size", [1 << 9, 1 << 19])
+def test_rows_of_failed_links_are_compared_block_by_block(spark, monkeypatch, size):
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", size)
+    monkeypatch.setattr(simhash, "COLUMNS", 64)
+    rnd = random.Random(11)
+    base, texts = [f"w{rnd.randrange(10**6)}" for _ in range(120)], []
+    for i in range(80):
+        w = list(base)
+        for at in rnd.sample(range(0, 120, 6), rnd.randrange(4)):
+            w[at] = f"new{i}"
+        texts.append(" ".join(w))
+    known = simhash._Hashes()
+    sets, words = [simhash.shingles(t.encode(), 5, known) for t in texts], [word_runs(t) for t in texts]
+    assert simhash._alike(sets, 0.8).tolist() == [[len(a & b) >= 0.8 * len(a | b) for b in words] for a in words]
+    got = {r.doc_id for r in simhash.simhash_dedup(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == set(brute_near(texts))
+
+
 # --- Decontamination
 
 
