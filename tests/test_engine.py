@@ -254,3 +254,28 @@ def test_live_profiles(spark):
     answers = {"users/ann": {"login": "ann", "name": "Ann"}, "users/ann/repos?per_page=100&sort=updated": [{"language": "Go"}, {"language": None}, {"language": "GO"}], "users/x": [], "users/x/repos?per_page=100&sort=updated": {}}
     got = readers.github_records(fetch_github(spark, ["ann", "x"], lambda url: answers[url.split(".com/")[1]])).collect()
     assert [(r.full_name, r.skills, r.links.github) for r in got] == [("Ann", ["Go"], "https://github.com/ann")]
+
+
+def test_components_set_leaves_aside(spark):
+    """A hub with many leaves, leaves of leaves, and a long path: as union-find has them; the rounds work on what is no leaf."""
+    from meldspark.operators import components
+
+    rnd = random.Random(3)
+    edges = [(1000 + i, 7) for i in range(300)] + [(2000 + i, 1000 + i) for i in range(50)] + [(5000 - i, 5001 - i) for i in range(40)]
+    edges += [(rnd.randrange(6000, 6400), rnd.randrange(6000, 6400)) for _ in range(250)]
+    parent = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert sorted(map(tuple, components.connected_components(df).collect())) == sorted((x, find(x)) for x in parent)
+    star = spark.createDataFrame(edges[:300], "a long, b long")
+    leaves, core = components._leaves(star, 300)
+    assert (leaves.count(), core.count(), components._hot(star, "b", 300)) == (300, 0, [7])
