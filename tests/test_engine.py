@@ -261,7 +261,7 @@ def test_components_set_leaves_aside(spark):
     from meldspark.operators import components
 
     rnd = random.Random(3)
-    edges = [(1000 + i, 7) for i in range(300)] + [(2000 + i, 1000 + i) for i in range(50)] + [(5000 - i, 5001 - i) for i in range(40)]
+    edges = [(10000 + i, 7) for i in range(1500)] + [(20000 + i, 10000 + i) for i in range(50)] + [(5000 - i, 5001 - i) for i in range(40)]
     edges += [(rnd.randrange(6000, 6400), rnd.randrange(6000, 6400)) for _ in range(250)]
     parent = {x: x for e in edges for x in e if e[0] != e[1]}
 
@@ -276,6 +276,6 @@ def test_components_set_leaves_aside(spark):
             parent[b] = a
     df = spark.createDataFrame(edges, "a long, b long")
     assert sorted(map(tuple, components.connected_components(df).collect())) == sorted((x, find(x)) for x in parent)
-    star = spark.createDataFrame(edges[:300], "a long, b long")
-    leaves, core = components._leaves(star, 300)
-    assert (leaves.count(), core.count(), components._hot(star, "b", 300)) == (300, 0, [7])
+    star = spark.createDataFrame(edges[:1500], "a long, b long")
+    leaves, core = components._leaves(star, 1500)
+    assert (leaves.count(), core.count(), components._hot(star, "b", 1500)) == (1500, 0, [7])
