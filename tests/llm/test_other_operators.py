@@ -171,6 +171,56 @@ def test_passage_behind_many_fragments(spark):
     assert {(r.doc_id, r.class_id) for r in got} == {(0, 0), (1000, 0)}
 
 
+def test_changed_passages_held_apart_by_third_documents(spark):
+    """A passage with every twelfth word changed has no whole stretch, and each document between
+    holds one of its seeds."""
+    rnd = random.Random(11)
+    own = lambda n: [f"o{rnd.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(4):
+        passage = own(72)
+        changed = [f"c{k}" if i % 12 == 11 else w for i, w in enumerate(passage)]
+        rows += [(100 * k + 1, own(20) + passage), (100 * k + 99, own(9) + changed + own(3)), (100 * k + 98, own(9) + changed + own(3))]
+        rows += [(100 * k + 2 + i, own(60) + passage[12 * i : 12 * i + 11] + own(60)) for i in range(6)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.repeated_passages(df).collect()}
+    assert {i: r.class_id for i, r in got.items()} == {100 * k + j: 100 * k + 1 for k in range(4) for j in (1, 98, 99)}
+    assert all(any(p.start == 20 and p.end == 91 for p in got[100 * k + 1].passages) for k in range(4))
+
+
+def test_pairs_between_classes_are_all_that_chain(spark):
+    """Fragments of one passage in disorder: documents are in one class exactly if all their seeds,
+    compared pair by pair, say so."""
+    rnd = random.Random(12)
+    own = lambda n: [f"o{rnd.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(3):
+        pieces = [own(11) for _ in range(7)]
+        for _ in range(25):
+            chosen = [pieces[i] for i in sorted(rnd.sample(range(7), rnd.randint(1, 7)))]
+            texts.append(own(30) + [w for p in chosen for w in p + own(rnd.choice([0, 1, 2, 5, 30]))] + own(30))
+    rnd.shuffle(texts)
+    known = passages._Hashes()
+    words = [passages.word_hashes(" ".join(t).encode(), known) for t in texts]
+    seeds = [dict(zip(*(x.tolist() for x in passages.winnow(w)), strict=True)) for w in words]
+    pairs = []
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            if len(both := sorted(seeds[i].keys() & seeds[j].keys(), key=seeds[i].get)) < 2:
+                continue
+            boxes = passages.diagonal_runs(np.array([seeds[i][h] for h in both]), np.array([seeds[j][h] for h in both]), 5, 11)
+            for chain in passages.chains(boxes):
+                if boxes[chain, 4].sum() >= 10 and boxes[chain[-1], 1] - boxes[chain[0], 0] >= 25:
+                    low_a, high_a, low_b, high_b = (max(0, boxes[chain[0], 0] - 32), boxes[chain[-1], 1] + 32, max(0, boxes[chain[0], 2] - 32), boxes[chain[-1], 3] + 32)
+                    at = boxes[chain][:, :4] - np.array([low_a, low_a, low_b, low_b])
+                    if passages.similar_parts(words[i][low_a:high_a], words[j][low_b:high_b], at, 50, 0.8):
+                        pairs.append((i, j))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(df).collect()}
+    want = reachable(pairs, len(texts))
+    assert len(want) > 20 and {i: c for i, c in got.items() if i in want} == want
+
+
 def test_stretches_are_the_same_anywhere():
     rnd = np.random.default_rng(0)
     a, b = rnd.integers(0, 1 << 63, 300, np.uint64), rnd.integers(0, 1 << 63, 90, np.uint64)
