@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import json
 import os
+from collections import defaultdict
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct segments that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Segments that are tokenised as one text.
 TOGETHER = 100
 
@@ -193,7 +195,7 @@ class Memo:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = defaultdict(count().__next__)
         self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -202,17 +204,16 @@ class Memo:
         parts, at, sizes = number(texts, of.joined, of.divisible)
         if len(self.known) > REMEMBERED:
             self._forget()
-        words = [" " + p for p in parts.to_pylist()]
-        new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        ids, counts = of.many(new)
-        self.ids, self.sizes = np.concatenate([self.ids, ids.astype(np.uint32)]), np.concatenate([self.sizes, counts])
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[at]
+        words, before = parts.to_pylist(), len(self.known)
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))  # a new one takes the next number
+        if len(self.known) > before:
+            ids, counts = of.many([" " + words[i] for i in np.flatnonzero(place >= before).tolist()])
+            self.ids, self.sizes = np.concatenate([self.ids, ids.astype(np.uint32)]), np.concatenate([self.sizes, counts])
         # The first segment of a text has no space before it.
         begins = np.cumsum(sizes) - sizes
         firsts, back = np.unique(at[begins], return_inverse=True)
-        names = {i: w for w, i in zip(words, map(self.known.__getitem__, words), strict=True)} if len(firsts) else {}
-        heads = [np.array(x, np.uint32) for x in of.each([names[i][1:] for i in firsts.tolist()])]
+        at = place[at]
+        heads = [np.array(x, np.uint32) for x in of.each([words[i] for i in firsts.tolist()])]
         length = np.concatenate([self.sizes, np.fromiter(map(len, heads), np.int64, len(heads))])
         at[begins] = len(self.sizes) + back
         n = length[at]

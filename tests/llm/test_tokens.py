@@ -206,3 +206,25 @@ def test_undivided_texts_give_the_same(spark, monkeypatch):
     assert want == Counter(aligned(rows))
     whole = df.select("doc_id", F.regexp_replace("text", " ", "\u00a0").alias("text"))  # no spaces, no cuts
     assert Counter(map(tuple, alignment.alignments(whole, A, B).collect())) == Counter(aligned([(i, t.replace(" ", "\u00a0")) for i, t in rows]))
+
+
+def test_segments_are_remembered_between_batches():
+    """700,000 distinct segments are tokenised once; those of a later batch get numbers of their own."""
+
+    class Letters:
+        joined, divisible, seen = (), True, 0
+
+        def each(self, found):
+            return [[len(s)] for s in found]
+
+        def many(self, found):
+            self.seen += len(found)
+            return np.array([1000 + len(s) for s in found], np.int64), np.ones(len(found), np.int64)
+
+    of = Letters()
+    known = segments.Memo(of)
+    many = pa.array([" ".join(f"w{i}" for i in range(lo, lo + 70_000)) for lo in range(0, 700_000, 70_000)])
+    first, sizes = known.encode(many)
+    again, _ = known.encode(pa.concat_arrays([many, pa.array(["w1 new w1", "", "w12"])]))
+    assert of.seen <= 700_002 and (again[: len(first)] == first).all() and sizes.tolist() == [70_000] * 10
+    assert again[len(first) :].tolist() == [2, 1004, 1003, 0, 3]
