@@ -66,6 +66,28 @@ def _claims(owned: DataFrame) -> DataFrame:
     return owned.select(*base, F.explode(F.filter(every, lambda c: c["value"].isNotNull())).alias("c")).select(*base, "c.*")
 
 
+def _owned(records: DataFrame) -> DataFrame:
+    """Records with group_id, candidate_id and the key that they are ordered by."""
+    records = materialize(records, "records")
+    values = lambda c, f: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: f(x)["value"]), lambda x: x.isNotNull())
+    origin = F.concat("source_type", F.lit("/"), "source_id").alias("origin")
+    keys = materialize(records.select("record_id", values(F.col("emails"), normalize_email).alias("emails"), values(F.col("phones"), normalize_phone).alias("phones"), name_key(F.col("full_name")).alias("name"), origin), "keys")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    order = F.struct(blank(F.array_min("__e")).alias("email"), blank(F.array_min("__p")).alias("phone"), blank(F.col("__n")).alias("name"), "source_type", "source_id", "ordinal")
+    contacts = keys.select("record_id", F.col("emails").alias("__e"), F.col("phones").alias("__p"), F.col("name").alias("__n"))
+    return records.join(contacts, "record_id").join(resolve(keys), "record_id").withColumn("order", order).drop("__e", "__p", "__n")
+
+
+def _heads(owned: DataFrame) -> DataFrame:
+    return owned.groupBy("group_id").agg(F.min("candidate_id").alias("candidate_id"), F.min("order").alias("__order"))
+
+
+def candidate_orders(records: DataFrame) -> DataFrame:
+    """candidate_id and ``__order`` of ``canonical``'s rows, without what else these hold: nothing of a
+    candidate is gathered."""
+    return _heads(_owned(records)).drop("group_id")
+
+
 def canonical(records: DataFrame, vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
     """Records (see ``sources.readers``) to candidates: candidate_id, the fused fields, provenance,
     overall_confidence, and ``__order``, the smallest order key of the candidate's records.
@@ -74,14 +96,7 @@ def canonical(records: DataFrame, vocabulary: dict[str, list[str]] | None = None
     normalizer rejects, do not count. What a candidate's row holds is gathered in one task: its
     lists, and an entry of provenance for each claim of a list field. No records give no rows."""
     vocabulary = vocabulary or load()
-    records = materialize(records, "records")
-    values = lambda c, f: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: f(x)["value"]), lambda x: x.isNotNull())
-    origin = F.concat("source_type", F.lit("/"), "source_id").alias("origin")
-    keys = materialize(records.select("record_id", values(F.col("emails"), normalize_email).alias("emails"), values(F.col("phones"), normalize_phone).alias("phones"), name_key(F.col("full_name")).alias("name"), origin), "keys")
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    order = F.struct(blank(F.array_min("__e")).alias("email"), blank(F.array_min("__p")).alias("phone"), blank(F.col("__n")).alias("name"), "source_type", "source_id", "ordinal")
-    contacts = keys.select("record_id", F.col("emails").alias("__e"), F.col("phones").alias("__p"), F.col("name").alias("__n"))
-    owned = records.join(contacts, "record_id").join(resolve(keys), "record_id").withColumn("order", order).drop("__e", "__p", "__n")
+    owned = _owned(records)
     owned = with_country(owned.withColumn("__land", F.col("location.country")), "__land", "country")
 
     every = materialize(_claims(owned), "claims")
@@ -124,7 +139,7 @@ def canonical(records: DataFrame, vocabulary: dict[str, list[str]] | None = None
         *[pick("confidence", f).alias(f"c_{f}") for f in PROVENANCE if f != "skills"],
         *[pick("told", f).alias(f"t_{f}") for f in (*PROVENANCE, "unknown_skills")],
     )
-    heads = every.where("field = ''").groupBy("group_id").agg(F.min("candidate_id").alias("candidate_id"), F.min("order").alias("__order"))
+    heads = _heads(every.where("field = ''"))
     out = heads.join(flat, "group_id", "left").join(skills, "group_id", "left")
 
     v, many, c = (lambda f: F.col(f"`v_{f}`")), (lambda f: F.coalesce(F.col(f"`l_{f}`"), F.array().cast("array<string>"))), (lambda f: F.col(f"`c_{f}`"))

@@ -267,3 +267,9 @@ def test_identity_exact_takes_all_orders(spark, tmp_path):
                 parent[b] = a
     want = Counter(find(k) for k, _ in orders)
     assert {r.group_id: r.n for r in identity_exact_query(spark, str(tmp_path)).collect()} == want
+
+
+def test_candidate_order_gathers_nothing(spark):
+    """No list of a candidate's claims is made where only its order is asked for."""
+    plan = queries.QUERIES["candidate_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
