@@ -607,3 +607,27 @@ def test_a_chance_of_exactly_the_threshold_stays(spark):
     assert scores[0] == scores[3]
     kept = quality.quality_filter(docs, labels, threshold=scores[0]).collect()
     assert {r.doc_id for r in kept} == {i for i, s in scores.items() if s >= scores[0]} >= {0, 3}
+
+
+def test_repeated_words_of_a_pair_meet_at_their_ends(spark):
+    """Runs of one word are linked where both begin and where both end, whatever their lengths; other
+    places, of both documents, each with each."""
+    places = [(1, 7, p) for p in range(100, 600)] + [(1, 8, 5), (1, 8, 90)] + [(2, 7, p) for p in range(30, 70)] + [(2, 8, 3), (2, 9, 1)]
+    runs = passages._place_runs(spark.createDataFrame(places, "doc long, h long, pos int"))
+    for a, b in ((1, 2), (2, 1)):
+        links = passages._pair_links(spark.createDataFrame([(a, b)], "a long, b long"), runs, 5).collect()
+        assert {(r.a, r.b) for r in links} == {(a, b)}
+        turned = {(r.ap, r.bp, r.n) if a == 1 else (r.bp, r.ap, r.n) for r in links}
+        assert len(links) == len(turned) and turned == {(100, 30, 44), (560, 30, 44), (5, 3, 5), (90, 3, 5)}
+
+
+def test_passages_between_classes_across_repeated_words(spark):
+    """A changed passage with a repeated word in it, held apart by documents with its fragments."""
+    own = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    one, two = own("p", 24), own("q", 24)
+    rows = [(1, own("a", 40) + one + ["it"] * 20 + two + own("b", 40)), (9, own("c", 40) + one[:12] + ["x"] + one[13:] + ["it"] * 20 + two[:12] + ["y"] + two[13:] + own("d", 40))]
+    rows += [(2 + i, own(f"e{i}", 60) + piece + own(f"f{i}", 60)) for i, piece in enumerate((one, two, ["it"] * 26, one, two, ["it"] * 40))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.repeated_passages(df).collect()}
+    assert {i: r.class_id for i, r in got.items()} == {1: 1, 9: 1}
+    assert [(p.start, p.end, p.partner) for p in got[1].passages] == [(40, 108, 9)]
