@@ -631,3 +631,19 @@ def test_passages_between_classes_across_repeated_words(spark):
     got = {r.doc_id: r for r in passages.repeated_passages(df).collect()}
     assert {i: r.class_id for i, r in got.items()} == {1: 1, 9: 1}
     assert [(p.start, p.end, p.partner) for p in got[1].passages] == [(40, 108, 9)]
+
+
+def test_a_passage_in_a_class_held_apart_by_its_other_documents(spark):
+    """All documents share a heading, so they are one class. Two share a changed passage as well, and
+    each of the others holds a piece of it."""
+    rnd = random.Random(13)
+    own = lambda n: [f"o{rnd.randrange(10**9)}" for _ in range(n)]
+    heading, passage = own(60), own(72)
+    changed = ["c" if i % 12 == 11 else w for i, w in enumerate(passage)]
+    rows = [(1, heading + own(40) + passage), (9, heading + own(50) + changed + own(3))]
+    rows += [(2 + i, heading + own(60) + passage[12 * i : 12 * i + 11] + own(60)) for i in range(6)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.repeated_passages(df).collect()}
+    assert {i: r.class_id for i, r in got.items()} == dict.fromkeys(range(1, 8), 1) | {9: 1}
+    assert [(p.start, p.end, p.partner_start, p.partner_end) for p in got[1].passages if p.partner == 9 and p.start > 0] == [(100, 171, 110, 181)]
+    assert [p.partner for p in got[9].passages if p.start == 110] == [1]
