@@ -8,7 +8,9 @@ compared, and where every record has an email, none.
 
 Names of n and m characters are close if they share a subsequence of L = 9 (n + m) // 20 + 1. Where
 they have few subsequences of that length, these are keys: names under one key are close by
-definition, so they are linked by stars as well, however many share a first name or a prefix.
+definition, so they are linked by stars as well, however many share a first name or a prefix. Where
+such keys are some hundred a name, names meet by fewer keys of their halves first: the few that meet
+under one are compared one by one, and only names under a crowded one have all their keys.
 Longer names are found by their rarest q-grams (of which some survive any admissible edits, at about
 the same place; common q-grams are dealt into parts) and compared one by one.
 """
@@ -20,7 +22,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.near import few, keyed, lengths_of, other_side, partners, shared
+from ..functions.near import bucket_batches, few, halved, heavy, keyed, lengths_of, light, other_side, partners, shared
 from ..functions.scalar import entity_id, lcs_length
 from .components import connected_components
 from .scratch import discard, materialize
@@ -64,6 +66,21 @@ def _long_pairs(names: DataFrame, lengths: list[int]) -> DataFrame:
     return pairs
 
 
+def _halves_met(names: DataFrame, lengths: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Distinct names to the pairs (x < y) of close ones whose halves meet few others, and the names
+    whose halves meet more."""
+    rows = halved(names, "name", lengths).repartition("key").sortWithinPartitions("key", "sign")
+    met = materialize(rows.mapInArrow(bucket_batches, "a long, b long"), "met")
+    ids = names.select(F.xxhash64("name").alias("id"), "name")
+    of = lambda c, n: ids.select(F.col("id").alias(c), F.col("name").alias(n))
+    pairs = met.where("a <> b").distinct().join(of("a", "one"), "a").join(of("b", "two"), "b")
+    pairs = pairs.where(200 * lcs_length("one", "two") > 90 * (F.length("one") + F.length("two")))
+    pairs = materialize(pairs.select(F.least("one", "two").alias("x"), F.greatest("one", "two").alias("y")), "close")
+    crowded = materialize(ids.join(met.where("a = b").select(F.col("a").alias("id")).distinct(), "id", "left_semi").select("name"), "crowded")
+    discard(met)
+    return pairs, crowded
+
+
 def close_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct ``name`` on two sides to the ordered pairs ``(x, y)``, x <> y, with indel ratio over
     90 between a name of one side and a name of the other."""
@@ -87,7 +104,13 @@ def name_links(groups: DataFrame) -> DataFrame:
     no more of them than keys, and pairs of long names. A name's own group is among them only in the
     class without contacts."""
     lengths = lengths_of(groups, "name")
-    members = materialize(keyed(groups, "name", lengths).drop("name"), "name-keys")
+    members = keyed(groups, "name", lengths, by=light)
+    long = _long_pairs(groups.select("name").distinct(), lengths)
+    if some := [n for n in lengths if any(heavy(n, m) for m in partners(n, lengths))]:
+        pairs, crowded = _halves_met(groups.where(F.length("name").isin(some)).select("name").distinct(), lengths)
+        members = members.union(keyed(groups.join(crowded, "name", "left_semi"), "name", lengths, by=heavy))
+        long = long.union(pairs)
+    members = materialize(members.drop("name"), "name-keys")
     spots = [(s, k) for s in "<>=" for k in FITS]
     least = [F.min(F.when((F.col("side") == s) & (F.col("kind") == k), F.col("least"))).alias(f"{s}{k}") for s, k in spots]
     hubs = members.groupBy("key").agg(F.count("*").alias("n"), *least).where("n > 1").drop("n")
@@ -98,7 +121,6 @@ def name_links(groups: DataFrame) -> DataFrame:
         fitting = F.when((F.col("side") == s) & (F.col("kind") == k), of(other, k)).otherwise(fitting)
     links = members.join(hubs, "key").select("least", F.explode(fitting).alias("hub")).where("hub is not null and hub <> least").distinct()
 
-    long = _long_pairs(groups.select("name").distinct(), lengths)
     one, two = groups.toDF("x", "kx", "lx"), groups.toDF("y", "ky", "ly")
     fits = " or ".join(f"(kx = '{a}' and ky = '{b}')" for a, some in FITS.items() for b in some)
     met = long.join(one, "x").join(two, "y").where(fits).select("lx", "ly")

@@ -6,6 +6,7 @@ import json
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -273,3 +274,43 @@ def test_candidate_order_gathers_nothing(spark):
     """No list of a candidate's claims is made where only its order is asked for."""
     plan = queries.QUERIES["candidate_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "collect_set" not in plan
+
+
+@pytest.mark.parametrize("bucket", [1, 3, 16])
+def test_names_meet_by_their_halves(spark, monkeypatch, bucket):
+    """All close pairs of 20 to 25 characters meet under a key of a half, however their two characters
+    each are spread, or else both names are under a crowded one."""
+    from meldspark.functions import near
+
+    monkeypatch.setattr(near, "BUCKET", bucket)
+    rnd = random.Random(bucket)
+    names = set()
+    for i in range(120):
+        base = "".join(rnd.choices("abcdefghij", k=rnd.randint(21, 25)))
+        for _ in range(4):
+            w = list(base)
+            for at in sorted(rnd.sample(range(len(w)), 2), reverse=True):
+                del w[at]
+            for _ in range(rnd.randint(0, 2)):
+                w.insert(rnd.choice([0, len(w) // 2, len(w), rnd.randrange(len(w) + 1)]), rnd.choice("abcxyz"))
+            names.add("".join(w))
+        names.add(base)
+    names = sorted(names)
+    lengths = sorted({len(n) for n in names})
+    rows = sorted((hash(k[:-1]), "=><".index(k[-1]), i) for i, n in enumerate(names) for k in near.halves_of(n, lengths))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 7], strict=True)], names=["key", "sign", "id"]) for i in range(0, len(rows), 7)]
+    got = [(r["a"], r["b"]) for b in near.bucket_batches(iter(batches)) for r in b.to_pylist()]
+    met, crowded = {p for p in got if p[0] != p[1]}, {a for a, b in got if a == b}
+    want = {(i, j) for i in range(len(names)) for j in range(i) if near.shared(len(names[i]), len(names[j])) and near.heavy(len(names[i]), len(names[j])) and 200 * scalar.lcs(names[i], names[j]) > 90 * (len(names[i]) + len(names[j]))}
+    assert len(want) > 300 and all((j, i) in met or {i, j} <= crowded for i, j in want)
+    assert max(len(near.halves_of(n, lengths)) for n in names if len(n) == 21) <= 150  # 210 and more keys before
+
+
+def test_long_names_that_meet_few_others_have_few_rows(spark, tmp_path, monkeypatch):
+    """Names of 21 characters do not have a row for each of their 210 subsequences."""
+    seen = {}
+    monkeypatch.setattr(identity, "materialize", lambda df, name, m=identity.materialize: seen.setdefault(name, m(df, name)))
+    groups = spark.range(400).select(F.concat(F.substring(F.md5((F.col("id") / 2).cast("int").cast("string")), 1, 20), F.when(F.col("id") % 2 == 0, "x").otherwise("y")).alias("name"), F.lit("").alias("kind"), F.col("id").alias("least"))
+    links = {(r.least, r.hub) for r in identity.name_links(groups).collect()}
+    assert links == {(i, j) for k in range(200) for i in (2 * k, 2 * k + 1) for j in (2 * k, 2 * k + 1)}
+    assert seen["name-keys"].count() == 400
