@@ -647,3 +647,30 @@ def test_a_passage_in_a_class_held_apart_by_its_other_documents(spark):
     assert {i: r.class_id for i, r in got.items()} == dict.fromkeys(range(1, 8), 1) | {9: 1}
     assert [(p.start, p.end, p.partner_start, p.partner_end) for p in got[1].passages if p.partner == 9 and p.start > 0] == [(100, 171, 110, 181)]
     assert [p.partner for p in got[9].passages if p.start == 110] == [1]
+
+
+def test_documents_under_crowded_keys_meet_where_they_go_on_alike(spark, monkeypatch):
+    """A line and a repeated word, both shorter than a passage, are in many documents. Only those are
+    compared that agree beyond, and none of the passages is lost by that."""
+    rnd = random.Random(14)
+    own = lambda n: [f"o{rnd.randrange(10**9)}" for _ in range(n)]
+    line, after, before = own(46), own(9), own(9)
+    texts = [own(30) + line + own(30) for _ in range(40)] + [own(30) + ["it"] * rnd.randint(26, 48) + own(30) for _ in range(40)]
+    texts += [own(20) + line + own(1) + after + own(20) for _ in range(2)] + [own(20) + before + own(1) + line + own(20) for _ in range(2)]
+    texts += [own(20) + before[:5] + own(1) + line + after[:4] + own(20) for _ in range(2)]
+    texts += [own(20) + ["it"] * n + own(1) + after + own(20) for n in (45, 45)] + [own(20) + before + own(1) + ["it"] * n + own(20) for n in (46, 44)]
+    texts += [own(20) + ["it"] * 47 + ["x", "it", "it", "it", "it"] + own(20), own(20) + ["it"] * 200 + own(20)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(passages, "materialize", lambda t, name, m=passages.materialize: seen.append((name, m(t, name))) or seen[-1][1])
+    monkeypatch.setattr(passages, "discard", lambda *tables: None)
+
+    def classes(crowd):
+        monkeypatch.setattr(passages, "CROWD", crowd)
+        seen.clear()
+        got = {r.doc_id: r.class_id for r in passages.repeated_passages(df).collect()}
+        return got, dict(seen)["open-document-pairs"].count()
+
+    (all_, pairs), (got, fewer) = classes(10**6), classes(8)
+    assert got == all_ and {80, 81, 82, 83} <= set(got) and len(got) >= 8
+    assert pairs > 1500 and fewer < 200
