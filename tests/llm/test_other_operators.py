@@ -674,3 +674,13 @@ def test_documents_under_crowded_keys_meet_where_they_go_on_alike(spark, monkeyp
     (all_, pairs), (got, fewer) = classes(10**6), classes(8)
     assert got == all_ and {80, 81, 82, 83} <= set(got) and len(got) >= 8
     assert pairs > 1500 and fewer < 200
+
+
+def test_words_in_turn_meet_at_their_ends(spark):
+    """Places of one step are one run; two runs of unequal steps are linked at all places."""
+    places = [(1, 7, p) for p in range(100, 600, 2)] + [(1, 7, 700), (2, 7, 5)] + [(2, 7, p) for p in range(30, 70, 2)] + [(3, 7, p) for p in (10, 13, 16)]
+    runs = passages._place_runs(spark.createDataFrame(places, "doc long, h long, pos int"))
+    assert {tuple(r) for r in runs.select("doc", "pos", "len", "step").collect()} == {(1, 100, 250, 2), (1, 700, 1, 0), (2, 5, 1, 0), (2, 30, 20, 2), (3, 10, 3, 3)}
+    links = lambda a, b: sorted((r.ap, r.bp, r.n) for r in passages._pair_links(spark.createDataFrame([(a, b)], "a long, b long"), runs, 5).collect())
+    assert links(1, 2) == sorted([(100, 30, 43), (560, 30, 43), (100, 5, 5), (598, 5, 5), (700, 5, 5), (700, 30, 5), (700, 68, 5)])
+    assert links(2, 3) == sorted([(5, 10, 5), (5, 16, 5)] + [(p, q, 5) for p in range(30, 70, 2) for q in (10, 13, 16)])
